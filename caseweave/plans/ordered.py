@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from caseweave.plans.sizes import has_hot_group
@@ -82,30 +82,93 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     totals: Mapping[str, str | Column],
+    how: str = "sum",
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add inclusive running totals; ``totals`` maps a new name to what is summed."""
+    """Add running sums (or maxima) up to and, if inclusive, with each row.
+
+    ``totals`` maps a new column to what is accumulated.  Without earlier rows an
+    exclusive total is NULL.
+    """
     columns = {name: F.col(v) if isinstance(v, str) else v for name, v in totals.items()}
+    fold = {"sum": F.sum, "max": F.max}[how]
+    until = Window.currentRow if inclusive else -1
+
+    def join_totals(own: Column, before: Column) -> Column:
+        if how == "max":
+            return F.greatest(own, before)
+        return F.when(own.isNull(), before).otherwise(own + F.coalesce(before, F.lit(0)))
+
     cut = _slices_if_hot(df, keys, order)
     if cut is None:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
+            Window.unboundedPreceding, until
         )
-        return df.withColumns({name: F.sum(c).over(window) for name, c in columns.items()})
+        return df.withColumns({name: fold(c).over(window) for name, c in columns.items()})
     window = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        Window.unboundedPreceding, until
     )
-    inside = cut.withColumns({name: F.sum(c).over(window) for name, c in columns.items()})
-    sums = cut.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(n) for n, c in columns.items()])
+    inside = cut.withColumns({name: fold(c).over(window) for name, c in columns.items()})
+    slices = cut.groupBy(*keys, SLICE).agg(*[fold(c).alias(n) for n, c in columns.items()])
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(
-        *keys, SLICE, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in columns]
+    carry = slices.select(*keys, SLICE, *[fold(n).over(before).alias(n) for n in columns])
+    return (
+        inside.alias("i")
+        .join(carry.alias("c"), _same(inside, carry, [*keys, SLICE]), "left")
+        .select(
+            *[F.col(f"i.{c}") for c in df.columns],
+            *[join_totals(F.col(f"i.{n}"), F.col(f"c.{n}")).alias(n) for n in columns],
+        )
+    )
+
+
+def carried(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, str],
+    backward: bool = False,
+) -> DataFrame:
+    """Add the nearest non-null value at or before each row (after, if backward).
+
+    With the two sides of an as-of join stacked and ordered by time, this is the
+    join: each row of one side carries the latest value of the other.
+    """
+    def sort(columns: Sequence[str]) -> list[Column]:
+        return [F.col(c).desc() if backward else F.col(c).asc() for c in columns]
+
+    def so_far(window: WindowSpec) -> WindowSpec:
+        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    cut = _slices_if_hot(df, keys, order)
+    if cut is None:
+        window = so_far(Window.partitionBy(*keys).orderBy(*sort(order)))
+        return df.withColumns(
+            {n: F.last(v, ignorenulls=True).over(window) for n, v in values.items()}
+        )
+    window = so_far(Window.partitionBy(*keys, SLICE).orderBy(*sort(order)))
+    inside = cut.withColumns(
+        {n: F.last(v, ignorenulls=True).over(window) for n, v in values.items()}
+    )
+    pick = F.min_by if backward else F.max_by
+    edges = cut.groupBy(*keys, SLICE).agg(
+        *[
+            pick(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(n)
+            for n, v in values.items()
+        ]
+    )
+    earlier = Window.partitionBy(*keys).orderBy(*sort([SLICE])).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carry = edges.select(
+        *keys, SLICE, *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in values]
     )
     return (
         inside.alias("i")
         .join(carry.alias("c"), _same(inside, carry, [*keys, SLICE]), "left")
         .select(
             *[F.col(f"i.{c}") for c in df.columns],
-            *[(F.col(f"i.{n}") + F.col(f"c.{n}")).alias(n) for n in columns],
+            *[F.coalesce(f"i.{n}", f"c.{n}").alias(n) for n in values],
         )
     )
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("filters",)
+MODULES = ("filters", "windows", "cohorts", "codes", "aggregates", "observation")
 
 
 def _load() -> None:
