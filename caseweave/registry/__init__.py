@@ -7,7 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("filters", "windows", "cohorts", "codes", "aggregates", "observation")
+MODULES = (
+    "filters", "windows", "cohorts", "codes", "aggregates", "observation", "temporal",
+)
 
 
 def _load() -> None:
