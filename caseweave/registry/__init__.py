@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
-    "filters", "windows", "cohorts", "codes", "aggregates", "observation", "temporal",
+    "filters", "windows", "cohorts", "codes", "aggregates", "observation", "temporal", "graph",
 )
 
 

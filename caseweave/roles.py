@@ -284,6 +284,18 @@ FROM {lineitem} l JOIN {icustays} i
   ON l.l_orderkey = i.hadm_id AND i.stay_id = i.hadm_id * 2
 """
 
+# Two scores and a 0/1 label per order line.
+ROLE_SQL["scored"] = """
+SELECT ((l_orderkey % 100000000 * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000) * 10
+    + l_linenumber AS row_id,
+  l_orderkey AS hadm_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+  (l_quantity * 7 + CAST(l_partkey % 50 AS DOUBLE)) / 400 AS score_a,
+  (CAST(l_partkey % 97 AS DOUBLE) + CASE WHEN l_returnflag = 'R' THEN 9 ELSE 0 END) / 107
+    AS score_b,
+  CAST(l_linenumber AS STRING) AS category
+FROM {lineitem}
+"""
+
 # A concept map for diagnosis codes: exact codes and three-character families.
 ROLE_SQL["icd_concepts"] = """
 SELECT * FROM (VALUES
