@@ -63,16 +63,19 @@ def _width(low: float, high: float) -> float:
     return high - low if high != low else 1.0
 
 
+def _clipped(gap: Column) -> Column:
+    """``1 - gap`` within [0, 1]; NULL stays NULL (``least`` alone would skip it)."""
+    return F.when(gap.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - gap)))
+
+
 def quantitative(a: Column, b: Column, width: float) -> Column:
-    gap = F.abs(a - b) / F.lit(float(width))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - gap))
+    return _clipped(F.abs(a - b) / F.lit(float(width)))
 
 
 def one_sided(reference: Column, candidate: Column, width: float, direction: Direction) -> Column:
     """Only falling short of the reference lowers the similarity."""
     gap = reference - candidate if direction is Direction.HIGHER else candidate - reference
-    short = F.greatest(F.lit(0.0), gap) / F.lit(float(width))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - short))
+    return _clipped(gap / F.lit(float(width)))
 
 
 def same(a: Column, b: Column) -> Column:

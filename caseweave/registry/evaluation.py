@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseweave.functions.draws import POISSON_ONE
 from caseweave.operators import causal as cs, cohorts as co, evaluation as ev
 from caseweave.registry.aggregates import lab_extremes, rounded
 from caseweave.registry.case import case
@@ -199,18 +200,18 @@ def _(t):
 
 
 @case("e3_x_learner", PEAK_SQL + """
-, m AS (SELECT arm, regr_intercept(y, x) + regr_slope(y, x) * (SELECT AVG(x) FROM f) AS mu FROM f
+, mu_rows AS (SELECT arm, regr_intercept(y, x) + regr_slope(y, x) * (SELECT AVG(x) FROM f) AS mu FROM f
   GROUP BY arm)
-SELECT 0 AS replicate, a.arm AS T, ROUND(a.mu - b.mu, 6) AS effect FROM m a JOIN m b
+SELECT 0 AS replicate, a.arm AS T, ROUND(a.mu - b.mu, 6) AS effect FROM mu_rows a JOIN mu_rows b
 ON b.arm = 0 AND a.arm > 0
 """)
 def _(t):
     return rounded(cs.x_learner(frame(t), ["age"], "peak", 3))
 
 
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-           0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-COPIES = "CASE " + " ".join(f"WHEN d < {p}::DOUBLE THEN {k}" for k, p in enumerate(POISSON)) + " ELSE 7 END"
+COPIES = "CASE " + " ".join(
+    f"WHEN d < {p}::DOUBLE THEN {k}" for k, p in enumerate(POISSON_ONE)
+) + f" ELSE {len(POISSON_ONE)} END"
 BOOT_SQL = PEAK_SQL + f"""
 , r AS (SELECT f.*, rep, CAST('0x' || md5(concat_ws('-', '5', CAST(hadm_id AS VARCHAR),
     CAST(rep AS VARCHAR)))[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS d
@@ -219,7 +220,7 @@ w AS (SELECT rep, arm, x, y, {COPIES} AS w FROM r),
 s AS (SELECT rep, arm, SUM(w) AS n, SUM(w * x) AS sx, SUM(w * y) AS sy, SUM(w * x * x) AS sxx,
   SUM(w * x * y) AS sxy FROM w GROUP BY rep, arm),
 b AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s),
-m AS (SELECT rep, arm, (sy - slope * sx) / n + slope * (SELECT AVG(x) FROM f) AS mu FROM b)
+mu_rows AS (SELECT rep, arm, (sy - slope * sx) / n + slope * (SELECT AVG(x) FROM f) AS mu FROM b)
 """
 NAME = "CASE arm WHEN 0 THEN 'norepinephrine' WHEN 1 THEN 'heparin' ELSE 'ventilated' END"
 
@@ -230,14 +231,14 @@ def replicates(t):
 
 @case("e4_bootstrap", BOOT_SQL + f"""
 SELECT arm AS T, {NAME} AS label, ROUND(AVG(mu), 5) AS point, ROUND(quantile_cont(mu, 0.025), 5) AS lower,
-  ROUND(quantile_cont(mu, 0.975), 5) AS upper FROM m GROUP BY arm
+  ROUND(quantile_cont(mu, 0.975), 5) AS upper FROM mu_rows GROUP BY arm
 """)
 def _(t):
     return rounded(cs.arm_means(replicates(t), LABELS), 5)
 
 
 @case("e5_contrasts", BOOT_SQL + f"""
-, g AS (SELECT rep, {NAME} AS label, mu FROM m),
+, g AS (SELECT rep, {NAME} AS label, mu FROM mu_rows),
 c AS (SELECT a.label || '|' || b.label AS contrast, a.mu - b.mu AS gap FROM g a JOIN g b
   ON a.rep = b.rep AND a.label < b.label)
 SELECT contrast, ROUND(AVG(gap), 5) AS point, ROUND(quantile_cont(gap, 0.025), 5) AS lower,
@@ -248,7 +249,7 @@ def _(t):
 
 
 @case("e5_ranking", BOOT_SQL + f"""
-SELECT {NAME} AS label, ROUND(AVG(mu), 5) AS point FROM m GROUP BY arm
+SELECT {NAME} AS label, ROUND(AVG(mu), 5) AS point FROM mu_rows GROUP BY arm
 """)
 def _(t):
     return rounded(

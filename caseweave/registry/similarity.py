@@ -61,7 +61,7 @@ A, B = F.col("score_a"), F.col("score_b")
 _kernel_case("s1_quantitative", kn.quantitative(A, B, 0.5),
              "GREATEST(0, LEAST(1, 1 - ABS(score_a - score_b) / 0.5))")
 _kernel_case("s2_nominal", kn.same(F.col("category"), F.lit("3")),
-             "CASE WHEN category = '3' THEN 1.0 ELSE 0.0 END")
+             "CASE WHEN category = '3' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 _kernel_case(
     "s3_ordinal",
     kn.compare_trait(
@@ -239,12 +239,12 @@ def contextual(t):
 
 
 @case("s13_contextual_scores", SCORES_SQL + """
-SELECT hadm_id, subject_id, ROUND(contextual, 6) AS contextual, ROUND(demographics, 6) AS demographics,
-  ROUND(comorbidity_burden, 6) AS comorbidity_burden, comorbidity_set,
-  ROUND(severity, 6) AS severity, social FROM ctx
+SELECT hadm_id, subject_id, ROUND(contextual, 9) AS contextual, ROUND(demographics, 9) AS demographics,
+  ROUND(comorbidity_burden, 9) AS comorbidity_burden, comorbidity_set,
+  ROUND(severity, 9) AS severity, social FROM ctx
 """)
 def _(t):
-    return rounded(contextual(t).drop("contributors", "detractors"))
+    return rounded(contextual(t).drop("contributors", "detractors"), 9)
 
 
 def _overlap_sql():
@@ -336,8 +336,8 @@ RANKED_SQL = SCORES_SQL + _named(TRAJECTORY_SQL) + """
 
 
 @case("s17_combined_scores", RANKED_SQL + """
-SELECT hadm_id, ROUND(contextual, 6) AS contextual, ROUND(temporal, 6) AS temporal,
-  ROUND(combined, 6) AS combined FROM ranked
+SELECT hadm_id, ROUND(contextual, 9) AS contextual, ROUND(temporal, 9) AS temporal,
+  ROUND(combined, 9) AS combined FROM ranked
 """)
 def _(t):
     rows = buckets(t)
@@ -346,18 +346,18 @@ def _(t):
         t.admissions.where(F.col("hadm_id") != ANCHOR),
     )
     both = sm.combined(contextual(t), temporal)
-    return rounded(both.select("hadm_id", "contextual", "temporal", "combined"))
+    return rounded(both.select("hadm_id", "contextual", "temporal", "combined"), 9)
 
 
 @case("s18_similar_encounters", RANKED_SQL + """
-SELECT hadm_id, subject_id, ROUND(combined, 6) AS combined FROM ranked
+SELECT hadm_id, subject_id, ROUND(combined, 9) AS combined FROM ranked
 ORDER BY ranked.combined DESC, hadm_id LIMIT 20
 """)
 def _(t):
     ranked = sm.rank_similar(
         features(t, comorbid=True), buckets(t), hadm_id=ANCHOR, burden=BURDEN, top_k=20
     )
-    return rounded(ranked.select("hadm_id", "subject_id", "combined"))
+    return rounded(ranked.select("hadm_id", "subject_id", "combined"), 9)
 
 
 @case("s18_similar_to_template", FEATURES_SQL + """
@@ -366,7 +366,7 @@ def _(t):
     + CASE WHEN admission_type = '1-URGENT' THEN 1e0 ELSE 0e0 END) / 3
   + 0.35e0 + 0.25e0 + 0.15e0 * (GREATEST(0e0, LEAST(1e0, 1e0 - ABS(40 - creatinine_max) / 3e0)))/ 4
   + 0.10e0 AS combined FROM f)
-SELECT hadm_id, ROUND(combined, 6) AS combined FROM x WHERE combined >= 0.8
+SELECT hadm_id, ROUND(combined, 9) AS combined FROM x WHERE combined >= 0.8
 """)
 def _(t):
     template = {
@@ -374,7 +374,7 @@ def _(t):
         "charlson_index": 0,
     }
     ranked = sm.rank_similar(features(t), buckets(t), template=template, top_k=None, at_least=0.8)
-    return rounded(ranked.select("hadm_id", "combined"))
+    return rounded(ranked.select("hadm_id", "combined"), 9)
 
 
 COHORT_SQL = FEATURES_SQL + f"""
