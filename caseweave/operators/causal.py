@@ -156,7 +156,9 @@ def t_learner(
     rows = replicated(known, replicates, seed, key)
     x, y = constant_and(covariates), F.col(outcome).cast("double")
     fit = fit_logistic if binary else fit_linear
-    return mean_prediction(known, fit(rows, [REPLICATE, ARM], x, y), x, binary)
+    # One row per replicate and arm: kept, so that summaries do not fit again.
+    models = materialise(fit(rows, [REPLICATE, ARM], x, y))
+    return mean_prediction(known, models, x, binary)
 
 
 def s_learner(
@@ -175,7 +177,7 @@ def s_learner(
     if binary:
         betas = fit_logistic(rows, [REPLICATE], x, y, free=range(len(base), len(x)))
     else:
-        betas = fit_linear(rows, [REPLICATE], x, y)
+        betas = materialise(fit_linear(rows, [REPLICATE], x, y))
     forced = reduce(
         lambda a, b: a.unionByName(b),
         [betas.select(REPLICATE, F.lit(a).alias(ARM), "beta") for a in range(n_arms)],

@@ -22,6 +22,7 @@ from caseweave.operators.filters import keep
 from caseweave.operators.windows import sample, set_members, top_per_group, top_scored
 from caseweave.plans.ordered import numbered, percentiles
 from caseweave.plans.sizes import take_bounded
+from caseweave.session import materialise
 
 # --- mixed-type distance -----------------------------------------------------------------
 
@@ -328,6 +329,8 @@ def trajectory_scores(
     1, d, d²…; buckets only the candidate has follow.  Those overlap by 0, so only
     their number matters, and the weights sum to (1 - d^n) / (1 - d).
     """
+    # The rows of one encounter, used three times below.
+    anchor = materialise(anchor.select("bucket", "code", "first_at"))
     order = anchor.groupBy("bucket").agg(
         F.min("first_at").alias("_at"), F.count_distinct("code").alias("_n_anchor")
     )
