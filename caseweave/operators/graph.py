@@ -37,11 +37,23 @@ def stamp(time: Column) -> Column:
     return F.coalesce(F.date_format(time, "yyyyMMddHHmmss"), F.lit("nostart"))
 
 
-SUBJECT = node_id("PA", F.col("subject_id"))
-ENCOUNTER = node_id("HA", F.col("hadm_id"))
-STAY = node_id("IS", F.col("stay_id"))
-DAY = F.concat(F.lit("ID-"), F.col("stay_id").cast("string"), F.lit("-D"),
-               F.col("day_number").cast("string"))
+def subject_node() -> Column:
+    return node_id("PA", F.col("subject_id"))
+
+
+def encounter_node(hadm_id: str = "hadm_id") -> Column:
+    return node_id("HA", F.col(hadm_id))
+
+
+def stay_node() -> Column:
+    return node_id("IS", F.col("stay_id"))
+
+
+def day_node() -> Column:
+    return F.concat(
+        F.lit("ID-"), F.col("stay_id").cast("string"), F.lit("-D"),
+        F.col("day_number").cast("string"),
+    )
 
 
 def link(rows: DataFrame, src: Column, predicate: str, dst: Column) -> DataFrame:
@@ -63,7 +75,7 @@ def both_ways(rows: DataFrame, src: Column, there: str, dst: Column, back: str)
 def subject_nodes(subjects: DataFrame) -> DataFrame:
     """G1: subjects with gender and age."""
     return subjects.select(
-        SUBJECT.alias("id"), F.lit("Patient").alias("type"), "subject_id", "gender",
+        subject_node().alias("id"), F.lit("Patient").alias("type"), "subject_id", "gender",
         F.col("anchor_age").alias("age"),
     )
 
@@ -72,7 +84,7 @@ def encounter_nodes(encounters: DataFrame, all_encounters: DataFrame | None = No
     """G1: encounters as intervals with labels and admission attributes."""
     flags = readmission_flags(all_encounters if all_encounters is not None else encounters)
     return encounters.join(flags, "hadm_id").select(
-        ENCOUNTER.alias("id"), F.lit("HospitalAdmission").alias("type"), "hadm_id", "subject_id",
+        encounter_node().alias("id"), F.lit("HospitalAdmission").alias("type"), "hadm_id", "subject_id",
         F.col("admittime").alias("start_ts"), F.col("dischtime").alias("end_ts"),
         "admission_type", "discharge_location", "hospital_expire_flag",
         "readmitted_30d", "readmitted_60d",
@@ -81,9 +93,9 @@ def encounter_nodes(encounters: DataFrame, all_encounters: DataFrame | None = No
 
 def encounter_edges(encounters: DataFrame) -> DataFrame:
     """Subject-encounter links both ways, and each encounter's successor."""
-    owned = both_ways(encounters, SUBJECT, "hasAdmission", ENCOUNTER, "admissionOf")
+    owned = both_ways(encounters, subject_node(), "hasAdmission", encounter_node(), "admissionOf")
     order = link(
-        followed_by(encounters), ENCOUNTER, "followedBy", node_id("HA", F.col("next_hadm_id"))
+        followed_by(encounters), encounter_node(), "followedBy", encounter_node("next_hadm_id")
     )
     return owned.unionByName(order)
 
@@ -91,7 +103,7 @@ def encounter_edges(encounters: DataFrame) -> DataFrame:
 def stay_nodes(stays: DataFrame) -> DataFrame:
     """Stays as intervals with their length in days."""
     return stays.select(
-        STAY.alias("id"), F.lit("ICUStay").alias("type"), "stay_id", "hadm_id",
+        stay_node().alias("id"), F.lit("ICUStay").alias("type"), "stay_id", "hadm_id",
         F.col("intime").alias("start_ts"), F.col("outtime").alias("end_ts"),
         F.col("los").alias("days"),
     )
@@ -99,14 +111,14 @@ def stay_nodes(stays: DataFrame) -> DataFrame:
 
 def stay_edges(stays: DataFrame) -> DataFrame:
     """Encounter-stay and stay-day links."""
-    days = both_ways(stay_days(stays), STAY, "hasICUDay", DAY, "partOf")
-    return both_ways(stays, ENCOUNTER, "containsICUStay", STAY, "partOf").unionByName(days)
+    days = both_ways(stay_days(stays), stay_node(), "hasICUDay", day_node(), "partOf")
+    return both_ways(stays, encounter_node(), "containsICUStay", stay_node(), "partOf").unionByName(days)
 
 
 def day_nodes(stays: DataFrame) -> DataFrame:
     """T5 as nodes: days of stays."""
     return stay_days(stays).select(
-        DAY.alias("id"), F.lit("ICUDay").alias("type"), "stay_id", "day_number",
+        day_node().alias("id"), F.lit("ICUDay").alias("type"), "stay_id", "day_number",
         F.col("day_begin").alias("start_ts"), F.col("day_end").alias("end_ts"),
     )
 
@@ -229,23 +241,23 @@ def neuro_nodes(window_events: DataFrame, stays: DataFrame) -> DataFrame:
 def event_edges(events: DataFrame) -> DataFrame:
     """Events linked both ways to their stay and, if they have one, their day."""
     to_stay = both_ways(
-        events, F.col("id"), "associatedWithICUStay", STAY, "hasICUStayEvent"
+        events, F.col("id"), "associatedWithICUStay", stay_node(), "hasICUStayEvent"
     )
     to_day = both_ways(
         events.where(F.col("day_number").isNotNull()),
-        F.col("id"), "associatedWithICUDay", DAY, "hasICUDayEvent",
+        F.col("id"), "associatedWithICUDay", day_node(), "hasICUDayEvent",
     )
     return to_stay.unionByName(to_day)
 
 
 def diagnosis_edges(nodes: DataFrame) -> DataFrame:
     """Encounter-diagnosis links."""
-    return both_ways(nodes, ENCOUNTER, "hasDiagnosis", F.col("id"), "diagnosisOf")
+    return both_ways(nodes, encounter_node(), "hasDiagnosis", F.col("id"), "diagnosisOf")
 
 
 def comorbidity_edges(nodes: DataFrame) -> DataFrame:
     """Subject-comorbidity links."""
-    return both_ways(nodes, SUBJECT, "hasComorbidity", F.col("id"), "comorbidityOf")
+    return both_ways(nodes, subject_node(), "hasComorbidity", F.col("id"), "comorbidityOf")
 
 
 @dataclass(frozen=True)
@@ -475,12 +487,12 @@ def structural_edges(encounters: DataFrame, stays: DataFrame) -> DataFrame:
     The time of a next-encounter edge runs from start to start.
     """
     parts = [
-        typed(encounters, "patient", "has_admission", "admission", SUBJECT, ENCOUNTER),
-        typed(stays, "admission", "contains_icu_stay", "icu_stay", ENCOUNTER, STAY),
-        typed(stay_days(stays), "icu_stay", "has_icu_day", "icu_day", STAY, DAY),
+        typed(encounters, "patient", "has_admission", "admission", subject_node(), encounter_node()),
+        typed(stays, "admission", "contains_icu_stay", "icu_stay", encounter_node(), stay_node()),
+        typed(stay_days(stays), "icu_stay", "has_icu_day", "icu_day", stay_node(), day_node()),
         typed(
-            followed_by(encounters), "admission", "followed_by", "admission", ENCOUNTER,
-            node_id("HA", F.col("next_hadm_id")), days_between("admittime", "next_admittime"),
+            followed_by(encounters), "admission", "followed_by", "admission", encounter_node(),
+            encounter_node("next_hadm_id"), days_between("admittime", "next_admittime"),
         ),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -492,14 +504,14 @@ def clinical_edges(events: DataFrame, encounters: DataFrame, kind: str) -> DataF
         encounters.select("hadm_id", "admittime"), "hadm_id"
     )
     return typed(
-        rows, "icu_day", "has_event", kind, DAY, F.col("concept"),
+        rows, "icu_day", "has_event", kind, day_node(), F.col("concept"),
         days_between("admittime", "start_ts"),
     )
 
 
 def diagnosis_concept_edges(rows: DataFrame) -> DataFrame:
     """Encounter-diagnosis edges."""
-    return typed(rows, "admission", "has_diagnosis", "diagnosis", ENCOUNTER, F.col("concept"))
+    return typed(rows, "admission", "has_diagnosis", "diagnosis", encounter_node(), F.col("concept"))
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
@@ -669,7 +681,7 @@ def labelled_encounters(encounters: DataFrame, seed: int = 42) -> DataFrame:
     """Encounters with both labels and their part of the split."""
     rows = encounters.select("hadm_id", "subject_id").join(readmission_flags(encounters), "hadm_id")
     return split_subjects(rows, "readmitted_30d", seed=seed).select(
-        ENCOUNTER.alias("id"), F.col("readmitted_30d").alias("y_30d"),
+        encounter_node().alias("id"), F.col("readmitted_30d").alias("y_30d"),
         F.col("readmitted_60d").alias("y_60d"), "split",
     )
 
@@ -683,20 +695,20 @@ def structural_features(
     """
     gender = F.when(F.col("gender") == "M", 1.0).otherwise(0.0)
     people = subjects.select(
-        SUBJECT.alias("id"), F.lit("patient").alias("type"),
+        subject_node().alias("id"), F.lit("patient").alias("type"),
         F.col("anchor_age").cast("double").alias("x0"), gender.alias("x1"),
     )
     days = stay_days(stays)
     n_days = days.groupBy("stay_id").agg(F.count(F.lit(1)).alias("_n"))
     stay_rows = stays.join(n_days, "stay_id", "left").select(
-        STAY.alias("id"), F.lit("icu_stay").alias("type"), (F.col("los") * 24.0).alias("x0"),
+        stay_node().alias("id"), F.lit("icu_stay").alias("type"), (F.col("los") * 24.0).alias("x0"),
         F.coalesce("_n", F.lit(0)).cast("double").alias("x1"),
     )
     n_events = events.where(F.col("day_number").isNotNull()).groupBy("stay_id", "day_number").agg(
         F.count(F.lit(1)).alias("_n")
     )
     day_rows = days.join(n_events, ["stay_id", "day_number"], "left").select(
-        DAY.alias("id"), F.lit("icu_day").alias("type"),
+        day_node().alias("id"), F.lit("icu_day").alias("type"),
         F.col("day_number").cast("double").alias("x0"),
         F.coalesce("_n", F.lit(0)).cast("double").alias("x1"),
     )

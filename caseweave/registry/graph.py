@@ -126,7 +126,7 @@ SELECT n.seed, n.n AS n_nodes, CAST(COALESCE(t.s, 0) / 2 AS BIGINT) AS n_edges,
 FROM n LEFT JOIN t ON n.seed = t.seed
 """)
 def _(t):
-    seeds = t.admissions.select(gr.ENCOUNTER.alias("id"))
+    seeds = t.admissions.select(gr.encounter_node().alias("id"))
     return rounded(gr.subgraph_features(seeds, structure(t), hops=1))
 
 
@@ -254,7 +254,7 @@ AND x.node <> y.node WHERE x.node IN (SELECT 'HA-' || hadm_id FROM admissions WH
 """)
 def _(t):
     codes = gr.edges_of(typed_edges(t), ("admission", "has_diagnosis", "diagnosis"))
-    seeds = fl.by_subject(t.admissions, 37).select(gr.ENCOUNTER.alias("id"))
+    seeds = fl.by_subject(t.admissions, 37).select(gr.encounter_node().alias("id"))
     return gr.shared_entity(seeds, codes)
 
 
@@ -306,7 +306,7 @@ UNION ALL SELECT seed, 2, 'icu_day', node, NULL FROM h2
 UNION ALL SELECT seed, 3, 'drug', node, d FROM h3
 """)
 def _(t):
-    seeds = fl.by_admission_type(t.admissions, "1-URGENT").select(gr.ENCOUNTER.alias("id"))
+    seeds = fl.by_admission_type(t.admissions, "1-URGENT").select(gr.encounter_node().alias("id"))
     return rounded(gr.hop_neighbours(seeds, typed_edges(t), CHAIN, 3))
 
 

@@ -54,23 +54,24 @@ def _(t):
 def _kernel_case(name, expression, sql):
     @case(name, f"SELECT row_id, category, ROUND({sql}, 6) AS similarity FROM scored")
     def _(t):
-        return rounded(t.scored.select("row_id", "category", expression.alias("similarity")))
+        return rounded(t.scored.select("row_id", "category", expression().alias("similarity")))
 
 
-A, B = F.col("score_a"), F.col("score_b")
-_kernel_case("s1_quantitative", kn.quantitative(A, B, 0.5),
+_kernel_case("s1_quantitative",
+             lambda: kn.quantitative(F.col("score_a"), F.col("score_b"), 0.5),
              "GREATEST(0, LEAST(1, 1 - ABS(score_a - score_b) / 0.5))")
-_kernel_case("s2_nominal", kn.same(F.col("category"), F.lit("3")),
+_kernel_case("s2_nominal", lambda: kn.same(F.col("category"), F.lit("3")),
              "CASE WHEN category = '3' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 _kernel_case(
     "s3_ordinal",
-    kn.compare_trait(
+    lambda: kn.compare_trait(
         Trait("c", Kind.ORDINAL, levels=["1", "2", "3", "4", "5", "6", "7"]),
         F.lit("2"), F.col("category"),
     )[0],
     "1 - ABS(CAST(category AS DOUBLE) - 2) / 6",
 )
-_kernel_case("s5_one_sided", kn.one_sided(F.lit(0.6), A, 0.8, Direction.HIGHER),
+_kernel_case("s5_one_sided",
+             lambda: kn.one_sided(F.lit(0.6), F.col("score_a"), 0.8, Direction.HIGHER),
              "GREATEST(0, LEAST(1, 1 - GREATEST(0, 0.6 - score_a) / 0.8))")
 
 

@@ -1,0 +1,142 @@
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseweave.functions.intervals import relation
+from caseweave.functions.times import boundaries, window_hours
+from caseweave.operators import temporal as tp
+
+T0 = datetime(2150, 1, 1)
+
+
+def h(x):
+    return T0 + timedelta(hours=x)
+
+
+@pytest.mark.parametrize("a, b, want", [
+    ((0, 1), (2, 3), "before"), ((0, 2), (2, 3), "meets"), ((0, 2), (1, 3), "overlaps"),
+    ((0, 1), (0, 3), "starts"), ((1, 2), (0, 3), "during"), ((2, 3), (0, 3), "finishes"),
+    ((1, 1), (0, 3), "during"), ((1, 1), (1, 1), None), ((0, 3), (0, 3), None),
+    ((2, 3), (0, 1), None), ((1, 1), (2, 2), "before"),
+])
+def test_relation_table(spark, a, b, want):
+    row = [(h(a[0]), h(a[1]), h(b[0]), h(b[1]))]
+    df = spark.createDataFrame(row, "a timestamp_ntz, b timestamp_ntz, c timestamp_ntz, d timestamp_ntz")
+    assert df.select(relation(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).first()[0] == want
+
+
+def classify(a, b):
+    if a[1] < b[0]:
+        return "before"
+    if a[1] == b[0] and a[0] < b[0]:
+        return "meets"
+    if a[0] < b[0] < a[1] < b[1]:
+        return "overlaps"
+    if a[0] == b[0] and a[1] < b[1]:
+        return "starts"
+    if b[0] < a[0] and a[1] < b[1]:
+        return "during"
+    if a[1] == b[1] and a[0] > b[0]:
+        return "finishes"
+    return None
+
+
+@pytest.mark.parametrize("limit", ["1000000", "15"])
+def test_relations_against_all_pairs(spark, limit):
+    spark.conf.set("caseweave.rowsPerTask", limit)
+    rng = random.Random(3)
+    events = []
+    for i in range(160):
+        start = rng.randrange(60)
+        length = rng.choice([0, 0, 1, 5, 30])
+        events.append((1 if i % 3 == 0 else rng.randrange(2, 9), i, f"n{i % 3}", start, start + length))
+    df = spark.createDataFrame(
+        [(s, s * 10, i, "lab", n, h(a), h(b), 1.0) for s, i, n, a, b in events],
+        "stay_id long, hadm_id long, event_id long, kind string, name string, "
+        "start_ts timestamp_ntz, end_ts timestamp_ntz, value double",
+    )
+    want, before, during = set(), Counter(), Counter()
+    ordered = sorted(events, key=lambda e: e[3])
+    for x in range(len(ordered)):
+        for y in range(x + 1, len(ordered)):
+            a, b = ordered[x], ordered[y]
+            if a[0] != b[0]:
+                continue
+            forward = classify(a[3:], b[3:])
+            back = None if forward else classify(b[3:], a[3:])
+            if forward == "before":
+                before[a[0]] += 1
+            elif forward:
+                want.add((a[0], a[1], forward, b[1]))
+            elif back:
+                want.add((a[0], b[1], back, a[1]))
+            if "during" in (forward, back):
+                during[a[0]] += 1
+    got = {(r["stay_id"], r["src"], r["relation"], r["dst"])
+           for r in tp.touching_relations(df).collect()}
+    assert got == want
+    counts = {r["stay_id"]: r for r in tp.relation_counts(df).collect()}
+    for stay in {e[0] for e in events}:
+        assert counts[stay]["num_before_relations"] == before[stay]
+        assert counts[stay]["num_during_relations"] == during[stay]
+    spark.conf.unset("caseweave.rowsPerTask")
+
+
+def test_point_pairs(spark):
+    df = spark.createDataFrame(
+        [(1, h(x)) for x in (0, 0, 0, 2, 5)], "hadm_id long, charttime timestamp_ntz"
+    )
+    row = tp.point_pair_counts(df).first()
+    assert (row["n_events"], row["n_meets"], row["n_before"]) == (5, 3, 7)
+
+
+def test_days_of_a_stay(spark):
+    stays = spark.createDataFrame(
+        [(1, 1, h(20), h(50)), (2, 2, h(3), h(24)), (3, 3, h(5), None)],
+        "stay_id long, hadm_id long, intime timestamp_ntz, outtime timestamp_ntz",
+    )
+    days = tp.stay_days(stays).collect()
+    assert sorted((r["stay_id"], r["day_number"]) for r in days) == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    events = spark.createDataFrame(
+        [(1, h(x)) for x in (20, 24, 50, 51)] + [(2, h(24))],
+        "stay_id long, charttime timestamp_ntz",
+    )
+    got = sorted(((r["stay_id"], r["charttime"]), r["day_number"]) for r in tp.with_day(events, stays).collect())
+    assert [d for _, d in got] == [1, 2, 3, None, 1]
+
+
+def test_trend_needs_two_readings(spark):
+    df = spark.createDataFrame(
+        [(1, h(0), 1.0), (1, h(2), 5.0), (2, h(0), 1.0), (3, h(1), 1.0), (3, h(1), 9.0),
+         (4, h(0), 2.0), (4, h(3), float("nan"))],
+        "hadm_id long, at timestamp_ntz, value double",
+    )
+    assert {r["hadm_id"]: r["trend"] for r in tp.trend(df).collect()} == {1: 2.0}
+    assert {r["hadm_id"]: r["trend"] for r in tp.trend(df, "delta", tie=["value"]).collect()} == {
+        1: 4.0, 3: 8.0,
+    }
+
+
+def test_order_of_events(spark):
+    rows = [(1, "b", h(1)), (1, "a", h(0)), (2, "a", h(0)), (2, "b", h(4)), (3, "b", h(0)), (4, "a", None)]
+    df = spark.createDataFrame(rows, "hadm_id long, event_name string, event_time timestamp_ntz")
+    row = tp.common_sequence(df).first()
+    assert row["most_common_sequence"] == "a → b" and row["n_patients"] == 2
+    assert row["pct"] == pytest.approx(2 / 3) and row["median_first_to_last_hours"] == 2.5
+
+
+def test_hour_boundaries(spark):
+    df = spark.createDataFrame(
+        [(datetime(2150, 1, 1, 0, 59), datetime(2150, 1, 1, 2, 1))],
+        "a timestamp_ntz, b timestamp_ntz",
+    )
+    assert df.select(boundaries("hour", "a", "b")).first()[0] == 2
+
+
+def test_window_text():
+    assert (window_hours("48h"), window_hours("7d"), window_hours("30m")) == (48, 168, 0.5)
+    with pytest.raises(ValueError):
+        window_hours("soon")
