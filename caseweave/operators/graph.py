@@ -376,7 +376,11 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhoods(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
-    """(seed, node) within a number of undirected steps, the seed included."""
+    """(seed, node) within a number of undirected steps, the seed included.
+
+    The rows are the answer itself; past one step a hub's neighbours reach each
+    other, so ask for more steps with few seeds.
+    """
     around = edges.select("src", "dst").unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ).distinct()
@@ -391,29 +395,70 @@ def neighbourhoods(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFra
     return reached
 
 
-def subgraph_features(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
-    """Nodes, edges, density and degrees of each seed's neighbourhood.
+def linked_pairs(edges: DataFrame) -> DataFrame:
+    """Undirected pairs (x < y) with the number of directed edges between them."""
+    plain = simple_edges(edges).where(F.col("src") != F.col("dst"))
+    return plain.groupBy(
+        F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")
+    ).agg(F.count(F.lit(1)).alias("m"))
+
 
-    One hop reproduces the published features, whose deeper hops never ran.
+def triangles(pairs: DataFrame) -> DataFrame:
+    """Triples of mutually linked nodes (u, v, w) with the edges of each side.
+
+    Every pair points from the node with fewer links to the one with more, which
+    leaves at most the square root of twice the pairs at any node; only those few
+    are combined, so a hub is never paired with all of its neighbours at once.
     """
-    plain = simple_edges(edges)
-    members = neighbourhoods(seeds, plain, hops)
-    sources = members.select("seed", F.col("node").alias("src"))
-    targets = members.select("seed", F.col("node").alias("dst"))
-    inside = plain.join(sources, "src").join(targets, ["seed", "dst"])
-    degree = inside.select("seed", F.explode(F.array("src", "dst")).alias("node")).groupBy(
-        "seed", "node"
-    ).agg(F.count(F.lit(1)).alias("_d"))
-    totals = degree.groupBy("seed").agg(F.sum("_d").alias("_sum"), F.max("_d").alias("_max"))
-    sizes = members.groupBy("seed").agg(F.count(F.lit(1)).alias("n_nodes"))
-    n = F.col("n_nodes").cast("double")
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("id"))
+    links = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    sized = pairs.join(links.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(
+        links.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y"
+    )
+    up = F.struct("nx", "x") < F.struct("ny", "y")
+    out = sized.select(
+        F.when(up, F.col("x")).otherwise(F.col("y")).alias("u"),
+        F.when(up, F.col("y")).otherwise(F.col("x")).alias("to"), "m",
+    )
+    wedges = out.select("u", F.col("to").alias("v"), F.col("m").alias("m_uv")).join(
+        out.select("u", F.col("to").alias("w"), F.col("m").alias("m_uw")), "u"
+    ).where(F.col("v") < F.col("w"))
+    closing = pairs.select(F.col("x").alias("v"), F.col("y").alias("w"), F.col("m").alias("m_vw"))
+    return wedges.join(closing, ["v", "w"])
+
+
+def subgraph_features(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes, edges, density and degrees of each seed's one-step neighbourhood.
+
+    One step is what the published features contain.  An edge lies inside the
+    neighbourhood of its own ends and of every node it forms a triangle with, so
+    the degrees come from the edges and the triangles.
+    """
+    pairs = linked_pairs(edges)
+
+    def rows(*parts: tuple[str, str, str]) -> Column:
+        return F.inline(F.array(*[
+            F.struct(F.col(s).alias("seed"), F.col(n).alias("node"), F.col(m).alias("d"))
+            for s, n, m in parts
+        ]))
+
+    own = pairs.select(rows(("x", "x", "m"), ("x", "y", "m"), ("y", "y", "m"), ("y", "x", "m")))
+    across = triangles(pairs).select(rows(
+        ("u", "v", "m_vw"), ("u", "w", "m_vw"), ("v", "u", "m_uw"), ("v", "w", "m_uw"),
+        ("w", "u", "m_uv"), ("w", "v", "m_uv"),
+    ))
+    degree = own.unionByName(across).groupBy("seed", "node").agg(F.sum("d").alias("_d"))
+    totals = degree.groupBy("seed").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_sum"), F.max("_d").alias("_max")
+    )
+    asked = seeds.select(F.col("id").alias("seed")).distinct().join(totals, "seed", "left")
+    n = F.coalesce("_n", F.lit(1))
     n_edges = F.coalesce(F.col("_sum") / 2, F.lit(0.0))
-    return sizes.join(totals, "seed", "left").select(
-        "seed", "n_nodes", n_edges.cast("bigint").alias("n_edges"),
-        F.when(n > 1, n_edges / F.when(n > 1, n * (n - 1))).otherwise(0.0).alias("density"),
-        F.when(n > 1, F.coalesce(F.col("_sum"), F.lit(0)) / n).otherwise(0.0)
-        .alias("mean_degree"),
-        F.when(n > 1, F.coalesce(F.col("_max"), F.lit(0))).otherwise(0).alias("max_degree"),
+    return asked.select(
+        "seed", n.alias("n_nodes"), n_edges.cast("bigint").alias("n_edges"),
+        density(n_edges, n).alias("density"),
+        F.when(n > 1, F.col("_sum") / n).otherwise(0.0).alias("mean_degree"),
+        F.when(n > 1, F.col("_max")).otherwise(0).alias("max_degree"),
     )
 
 
@@ -659,12 +704,17 @@ def hop_neighbours(
 ) -> DataFrame:
     """Up to n neighbours per seed and hop along a path of edge types.
 
-    Neighbours are taken in id order; a hop starts from the kept ones.
+    Neighbours are taken in id order; a hop starts from the kept ones.  A seed can
+    only keep neighbours that are among the first n of the node they come from, so
+    every node's edges are cut to n before the join and a hub costs n rows.
     """
     frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct()
     found = []
     for depth, hop in enumerate(path, start=1):
-        step = edges_of(edges, hop).select("src_id", "dst_id", "delta_days")
+        links = edges_of(edges, hop).groupBy("src_id", "dst_id").agg(
+            F.min("delta_days").alias("delta_days")
+        )
+        step = top_per_group(links, ["src_id"], ["dst_id"], n)
         reached = frontier.join(step, F.col("node") == F.col("src_id")).groupBy(
             "seed", F.col("dst_id").alias("_next")
         ).agg(F.min("delta_days").alias("delta_days"))

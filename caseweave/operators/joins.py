@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.operators.filters import keep
+from caseweave.plans.ordered import running
 
 
 def with_dimension(facts: DataFrame, dimension: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -98,12 +99,23 @@ def mean_until(
 ) -> DataFrame:
     """Mean of a text reading taken on or before a date of the base row.
 
-    Texts that are not numbers are left out.
+    Texts that are not numbers are left out.  Readings are summed per day and
+    accumulated along the subject's days, and each base row takes the totals of
+    its date, so no pairs of rows and readings are formed.
     """
     numbers = readings.select(
-        F.col(key).alias("_key"), F.col(on).alias("_on"), value.alias("_value")
+        F.col(key).alias("_key"), F.col(on).cast("date").alias("_at"), value.alias("_value")
     ).where(F.col("_value").isNotNull())
-    joined = base.join(
-        numbers, (F.col(key) == F.col("_key")) & (F.col("_on") <= F.to_date(F.col(until)))
+    days = numbers.groupBy("_key", "_at").agg(
+        F.sum("_value").alias("_sum"), F.count(F.lit(1)).alias("_n")
+    ).withColumns({"_side": F.lit(0), by: F.lit(None).cast(dict(base.dtypes)[by])})
+    asked = base.select(
+        F.col(key).alias("_key"), F.to_date(F.col(until)).alias("_at"), F.lit(1).alias("_side"), by
+    )
+    line = running(
+        days.unionByName(asked, allowMissingColumns=True), ["_key"], ["_at", "_side", by],
+        {"_total": "_sum", "_count": "_n"},
+    )
+    return line.where((F.col("_side") == 1) & (F.col("_count") > 0)).select(
+        by, (F.col("_total") / F.col("_count")).alias(name)
     )
-    return joined.groupBy(by).agg(F.avg("_value").alias(name))

@@ -127,7 +127,7 @@ FROM n LEFT JOIN t ON n.seed = t.seed
 """)
 def _(t):
     seeds = t.admissions.select(gr.encounter_node().alias("id"))
-    return rounded(gr.subgraph_features(seeds, structure(t), hops=1))
+    return rounded(gr.subgraph_features(seeds, structure(t)))
 
 
 @case("g6_dense_ids", """
