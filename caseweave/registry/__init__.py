@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "filters", "windows", "cohorts", "codes", "aggregates", "observation", "temporal", "graph",
-    "similarity", "evaluation", "sources",
+    "similarity", "evaluation", "sources", "matrix",
 )
 
 
