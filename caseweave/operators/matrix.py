@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +68,10 @@ def feature_matrix(
     the columns are the same for every cohort; ``extra`` takes further frames keyed
     by hadm_id, such as concept flags.
     """
-    own = record.restricted(cohort)
-    encounters = own.encounters
+    # Written once: every feature group starts from the cohort's encounters and stays.
+    encounters = materialise(fl.keep(record.encounters, cohort))
+    stays = materialise(fl.keep(record.stays, encounters))
+    own = replace(record, encounters=encounters, stays=stays).restricted(encounters)
     labels = fl.keep(co.readmission_labels(record.encounters), encounters).select(
         "hadm_id", "subject_id", *LABELS
     )
