@@ -13,7 +13,7 @@ from caseweave import rules
 from caseweave.functions.texts import contains_any, plain_prefix, starts_with_any
 from caseweave.functions.times import boundaries, days_between, plus_hours
 from caseweave.operators import filters as fl
-from caseweave.plans.fixpoint import transitive_closure
+from caseweave.plans.fixpoint import reachable
 from caseweave.plans.ordered import carried, neighbour
 
 
@@ -194,11 +194,9 @@ def drug_arm(
     control: bool = False,
 ) -> Arm:
     """Received a drug mapped to the concept or to one of its descendants."""
-    below = transitive_closure(edges).where(F.col("ancestor") == concept_id).select(
-        F.col("child").alias("concept_id")
-    )
-    wanted = concepts.where(F.col("concept_id") == concept_id).unionByName(
-        concepts.join(below, "concept_id", "left_semi")
+    start = edges.sparkSession.range(1).select(F.lit(concept_id).alias("start"))
+    wanted = concepts.join(
+        reachable(edges, start).select(F.col("node").alias("concept_id")).distinct(), "concept_id", "left_semi"
     )
     names = wanted.select(F.lower("name").alias("_name")).distinct()
     given = prescriptions.withColumn("_name", F.lower("drug")).join(names, "_name", "left_semi")

@@ -8,62 +8,73 @@ from pyspark.sql import functions as F
 from caseweave.session import materialise
 
 
-def transitive_closure(
-    edges: DataFrame, child: str = "child", parent: str = "parent", max_rounds: int = 64
-) -> DataFrame:
+def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """All (child, ancestor) pairs reachable over ``edges``.
 
-    Each round joins the pairs found last with themselves' remainder, so the
-    path length covered doubles and a hierarchy of depth d needs log2(d) rounds.
-    Every round is written to the checkpoint folder, which keeps the plan short
-    and lets a lost executor be replaced without starting over.
+    Each round extends only the pairs found in the last one: those are joined with all pairs known, on
+    either side, so the path length covered doubles and a hierarchy of depth d needs about log2(d)
+    rounds.  It ends when a round finds nothing new.  Every round is written to the checkpoint folder,
+    which keeps the plan short and lets a lost executor be replaced without starting over.
     """
     known = materialise(
         edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"))
         .where(F.col("child") != F.col("ancestor"))
         .distinct()
     )
-    size = known.count()
-    for _ in range(max_rounds):
-        hop = known.alias("a").join(
-            known.alias("b"), F.col("a.ancestor") == F.col("b.child")
+    fresh = known
+
+    def composed(first: DataFrame, second: DataFrame) -> DataFrame:
+        return first.alias("a").join(
+            second.alias("b"), F.col("a.ancestor") == F.col("b.child")
         ).select(F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"))
-        grown = materialise(
-            known.unionByName(hop).where(F.col("child") != F.col("ancestor")).distinct()
+
+    while not fresh.isEmpty():
+        older = known.join(fresh, ["child", "ancestor"], "left_anti")
+        hop = composed(fresh, known).unionByName(composed(older, fresh))
+        fresh = materialise(
+            hop.where(F.col("child") != F.col("ancestor")).distinct()
+            .join(known, ["child", "ancestor"], "left_anti")
+        )
+        known = materialise(known.unionByName(fresh))
+    return known
+
+
+def reachable(edges: DataFrame, starts: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(start, node): everything reached from the column ``start`` of ``starts`` by going from parent to child.
+
+    The frontier moves one step a round, so only what lies below the starts is ever read.
+    """
+    steps = edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).where("node <> next").distinct()
+    known = materialise(starts.select("start", F.col("start").alias("node")).distinct())
+    fresh = known
+    while not fresh.isEmpty():
+        fresh = materialise(
+            fresh.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
+            .join(known, ["start", "node"], "left_anti")
         )
-        new_size = grown.count()
-        known = grown
-        if new_size == size:
-            return known
-        size = new_size
-    raise RuntimeError(f"closure not reached after {max_rounds} rounds")
+        known = materialise(known.unionByName(fresh))
+    return known
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Weakly connected components: (node, component), component = smallest node.
 
     Alternates two rewritings of the edge set.  In the first, every larger
     neighbour of a node is linked to the smallest of its neighbourhood; in the
     second, every smaller neighbour is.  Both use only a minimum per node and an
     equi join, so a hub costs a combine on the map side, and the number of
-    rounds grows with the logarithm of the graph's size.
+    rounds grows with the logarithm of the graph's size.  It ends when a round
+    leaves every edge as it was.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    nodes = both.select(F.col("u").alias("node")).distinct()
-    links = materialise(both.where(F.col("u") > F.col("v")).distinct())
-
-    def signature(df: DataFrame) -> tuple[int, int]:
-        row = df.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)).alias("h"),
-        ).first()
-        return row["n"], row["h"]
-
-    seen = signature(links)
-    for _ in range(max_rounds):
+    links = materialise(
+        pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    )
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    links = links.where("u > v")
+    while True:
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             around.join(low, "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -75,12 +86,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        links = materialise(small)
-        now = signature(links)
-        if now == seen:
-            roots = links.groupBy("u").agg(F.min("v").alias("component"))
-            return nodes.join(roots, nodes["node"] == roots["u"], "left").select(
-                "node", F.coalesce("component", "node").alias("component")
-            )
-        seen = now
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        new = materialise(small)
+        changed = new.withColumn("_new", F.lit(1)).join(
+            links.withColumn("_old", F.lit(1)), ["u", "v"], "full_outer"
+        ).where("_new IS NULL OR _old IS NULL")
+        links = new
+        if changed.isEmpty():
+            # Now a forest of stars: every node but the smallest of its component has one edge.
+            return nodes.join(
+                links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left"
+            ).select("node", F.coalesce("component", "node").alias("component"))
