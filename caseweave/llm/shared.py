@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.session import checkpoint_dir
+
 #: White space that separates words, as the body of a character class of Java and DuckDB.
 BLANK = "\\x20\\x09-\\x0D"
 
@@ -13,6 +17,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` as Parquet in the shared checkpoint folder and read them again."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
