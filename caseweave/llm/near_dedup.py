@@ -237,7 +237,7 @@ def link_near_duplicates(
     100 * intersection >= percent * union are linked; ``component_id`` is the smallest id that can be
     reached, and the document with that id is kept.  A text of fewer than ``k`` words is one shingle; a
     text without a word, or null, is linked with nothing.  Rows with a null id are kept and linked with
-    nothing.  Rows of the same id are one node with several texts.
+    nothing.  Rows of one id with several texts are judged text by text.
     """
     threshold = percent / 100
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
