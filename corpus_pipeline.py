@@ -33,7 +33,10 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group, by five-word shingles."""
+    """Keep the document with the smallest id of every group, by five-word shingles.
+
+    An id stands for one document: if any text under it is not kept, the id goes.
+    """
     gone = near_dedup.link_near_duplicates(docs, k=5).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
