@@ -68,6 +68,13 @@ class Words:
     ends: np.ndarray
     data: np.ndarray
     text_starts: np.ndarray
+    sums: np.ndarray  # running polynomial of the bytes
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``n`` bytes of the words longer than that, and the words' numbers."""
+        longer = np.flatnonzero(self.ends - self.starts > n)
+        at = self.starts[longer]
+        return mix((self.sums[at + n] - self.sums[at]) * _power(_INVERSE, len(self.sums))[at], 100 + n), longer
 
     @property
     def texts(self) -> int:
@@ -112,7 +119,7 @@ def split_words(
         np.cumsum(_BYTE_VALUES[data] * _power(_BASE, size), out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, size + 1)[starts] + (ends - starts).astype(np.uint64))
         first = np.searchsorted(starts, bounds)
-        yield Words(row, first, hashes, starts, ends, data, bounds)
+        yield Words(row, first, hashes, starts, ends, data, bounds, sums)
         row = end
 
 

