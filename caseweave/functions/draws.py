@@ -6,29 +6,30 @@ same numbers and no shuffle or ordering is needed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from the first 32 bits of an MD5 of seed and keys."""
+    """A number in [0, 1) from the first 52 bits of an MD5 of seed and keys."""
     text = F.concat_ws("-", F.lit(str(seed)), *[k.cast("string") for k in keys])
-    bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return bits / F.lit(4294967296.0)
-
-
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... copies.
-POISSON_ONE = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-    0.999998874797402,
-)
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return bits / F.lit(4503599627370496.0)
+
+
+def _cumulative_poisson() -> tuple[float, ...]:
+    """Chances of at most 0, 1, 2, ... copies at a mean of 1, until a double can't tell them from 1."""
+    term, total, out = math.exp(-1.0), 0.0, []
+    while total + term < 1.0 and total + term > total:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return tuple(out)
+
+
+POISSON_ONE = _cumulative_poisson()
 
 
 def copies(draw: Column) -> Column:

@@ -252,8 +252,8 @@ def widen(
     return long.groupBy(key).agg(*columns)
 
 
-def one_hot_from_data(df: DataFrame, column: str, prefix: str, limit: int = 200) -> DataFrame:
-    """A 0/1 column per value found; refuses a column with too many values."""
+def one_hot_from_data(df: DataFrame, column: str, prefix: str, limit: int) -> DataFrame:
+    """A 0/1 column per value found; the caller says how many columns the result may get."""
     found = take_bounded(
         df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column),
         limit, f"values of {column}",

@@ -92,36 +92,66 @@ def sigmoid(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 
 
+def coefficients(betas: DataFrame, groups: Sequence[str]) -> dict[tuple, np.ndarray]:
+    """The models on the driver: one short row per replicate and arm, as many as the caller asked for."""
+    return {tuple(r[g] for g in groups): np.array(r["beta"], dtype=float) for r in betas.collect()}
+
+
 def fit_logistic(
     rows: DataFrame, groups: Sequence[str], x: Sequence[Column], y: Column,
-    ridge: float = 1.0, steps: int = 8, free: Sequence[int] = (0,),
+    ridge: float = 1.0, tolerance: float = 1e-9, free: Sequence[int] = (0,),
 ) -> DataFrame:
     """Logistic coefficients per group by Newton steps with a unit ridge.
 
-    Each step is one aggregate over the rows; the coefficients in between are one
-    row per group.  Columns listed in ``free`` (the constant) are not penalised.
+    The coefficients go to the tasks with the step; every batch sums what its rows
+    give to each group, so only one small matrix per group and task is shuffled.
+    Steps end when no coefficient moves by more than ``tolerance``, and it is an error
+    if a hundred don't get there.  Columns listed in ``free`` (the constant) are not
+    penalised.
     """
     k = len(x)
     penalty = np.full(k, float(ridge))
     penalty[list(free)] = 0.0
-    betas = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(
-        *groups, F.array(*[F.lit(0.0)] * k).alias("beta")
+    upper = np.triu_indices(k)
+    names = [f"s{i}" for i in range(len(upper[0]) + k)]
+    prepared = rows.select(*groups, F.array(*x).alias("_x"), y.alias("_y"), F.col("copies").alias("_w"))
+    kinds = dict(rows.dtypes)
+    groups_schema = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
+    found = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).collect()
+    betas = {tuple(r[g] for g in groups): np.zeros(k) for r in found}
+
+    def step(current: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+        def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for key, part in batch.groupby(list(groups)):
+                    features = np.stack(part["_x"].to_numpy())
+                    weight = part["_w"].to_numpy()
+                    p = 1 / (1 + np.exp(-features @ current[key]))
+                    xx = (features * (weight * p * (1 - p))[:, None]).T @ features
+                    out.append([*key, *xx[upper], *(features.T @ (weight * (part["_y"].to_numpy() - p)))])
+                yield pd.DataFrame(out, columns=[*groups, *names])
+
+        schema = ", ".join([groups_schema, *(f"{n} double" for n in names)])
+        sums = prepared.mapInPandas(summed, schema).groupBy(*groups).agg(*[F.sum(n).alias(n) for n in names])
+        new = {}
+        for r in sums.collect():
+            key, totals = tuple(r[g] for g in groups), np.array([r[n] for n in names])
+            beta = current[key]
+            xx = _matrix(totals[: len(upper[0])], k) + np.diag(penalty)
+            new[key] = beta + np.linalg.lstsq(xx, totals[len(upper[0]) :] - penalty * beta, rcond=None)[0]
+        return new
+
+    for _ in range(100):
+        before, betas = betas, step(betas)
+        if all(np.abs(betas[g] - before[g]).max() <= tolerance for g in betas):
+            break
+    else:
+        raise RuntimeError("the logistic model did not settle in 100 steps")
+    return rows.sparkSession.createDataFrame(
+        [(*g, b.tolist()) for g, b in betas.items()], f"{groups_schema}, beta array<double>"
     )
 
-    def newton(row: pd.Series, xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
-        beta = np.asarray(row["beta"])
-        return beta + np.linalg.lstsq(xx + np.diag(penalty), xy - penalty * beta, rcond=None)[0]
-
-    for _ in range(steps):
-        current = rows.join(betas, list(groups))
-        p = sigmoid(dot(x))
-        weight = F.col("copies")
-        sums = current.groupBy(*groups, "beta").agg(
-            *_sums(x, y - p, weight * p * (1.0 - p), weight)
-        )
-        betas = materialise(sums.mapInPandas(_solver(groups, k, newton), _schema(sums, groups)))
-    return betas
-
 
 def constant_and(covariates: Sequence[str]) -> list[Column]:
     return [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]]
@@ -133,18 +163,29 @@ def mean_prediction(
     """Mean over the cohort of each (replicate, arm) model's prediction.
 
     A linear mean is the prediction at the mean, so it needs k numbers of the
-    cohort.  A logistic mean takes one pass in which every row meets the models
-    of every replicate.
+    cohort.  A logistic mean takes one pass, in which a batch of rows is multiplied
+    with the models of all replicates.
     """
     if not binary:
         means = frame.agg(F.array(*[F.avg(c) for c in x]).alias("_x")).first()["_x"]
         at = reduce(lambda a, b: a + b, [F.lit(m) * F.col("beta")[i] for i, m in enumerate(means)])
         return betas.select(REPLICATE, ARM, at.alias(name))
-    replicates = betas.agg(F.max(REPLICATE)).first()[0]
-    spread = frame.withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    return spread.drop(ARM).join(betas, REPLICATE).groupBy(REPLICATE, ARM).agg(
-        F.avg(sigmoid(dot(x))).alias(name)
-    )
+    models = coefficients(betas, [REPLICATE, ARM])
+    keys, table = list(models), np.array(list(models.values())).T
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            features = np.stack(batch["_x"].to_numpy())
+            totals = (1 / (1 + np.exp(-features @ table))).sum(axis=0)
+            yield pd.DataFrame(
+                [(*key, total, len(batch)) for key, total in zip(keys, totals, strict=True)],
+                columns=[REPLICATE, ARM, "_sum", "_rows"],
+            )
+
+    kinds = dict(betas.dtypes)
+    return frame.select(F.array(*x).alias("_x")).mapInPandas(
+        summed, f"{REPLICATE} {kinds[REPLICATE]}, {ARM} {kinds[ARM]}, _sum double, _rows long"
+    ).groupBy(REPLICATE, ARM).agg((F.sum("_sum") / F.sum("_rows")).alias(name))
 
 
 def t_learner(

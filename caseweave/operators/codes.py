@@ -38,17 +38,16 @@ def is_a(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def match_prefixes(codes: DataFrame, code: str, table: DataFrame, lengths: Sequence[int]) -> DataFrame:
+def match_prefixes(codes: DataFrame, code: str, table: DataFrame) -> DataFrame:
     """Distinct codes joined to every table row whose ``prefix`` starts the code.
 
-    Each code is unfolded into its prefixes of the given lengths, which makes the
-    join an equality.
+    Each distinct code is unfolded into all its prefixes, which makes the join an
+    equality for prefixes of any length.
     """
-    prefixes = F.array(
-        *[F.when(F.length(code) >= n, F.substring(code, 1, n)) for n in lengths]
-    )
-    unfolded = codes.select(code).distinct().select(
-        code, F.explode(F.array_compact(prefixes)).alias("prefix")
+    unfolded = codes.select(code).distinct().where(F.length(code) > 0).select(
+        code, F.explode(F.transform(
+            F.sequence(F.lit(1), F.length(code)), lambda n: F.substring(code, F.lit(1), n)
+        )).alias("prefix")
     )
     return unfolded.join(table, "prefix")
 
@@ -109,11 +108,18 @@ def map_drugs(prescriptions: DataFrame, concepts: DataFrame) -> DataFrame:
     return prescriptions.join(found, "drug", "left")
 
 
+def first_by(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One row per key: the least by ``columns`` in order, nulls last, so that runs agree."""
+    order = F.struct(*[f(c) for c in columns for f in (F.isnull, F.col)])
+    least = rows.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_row"))
+    return least.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def map_items(events: DataFrame, concepts: DataFrame, key: str = "itemid") -> DataFrame:
     """H4: add concept_id and term by an exact key (item, organism, name, LOINC)."""
-    known = concepts.where(valid_concept_id(F.col("concept_id"))).select(
-        key, "concept_id", "term"
-    ).dropDuplicates([key])
+    known = first_by(
+        concepts.where(valid_concept_id(F.col("concept_id"))), key, ("concept_id", "term")
+    )
     return events.join(known, key, "left")
 
 
@@ -220,9 +226,9 @@ def first_source(codes: DataFrame, key: str, sources: Sequence[tuple[str, DataFr
     """H9: concept of each code from the first source that has it."""
     joined = codes.select(key).distinct()
     for i, (name, table) in enumerate(sources):
-        hit = table.select(
+        hit = first_by(table, key, ("concept_id",)).select(
             key, F.struct("concept_id", F.lit(name).alias("source")).alias(f"_hit{i}")
-        ).dropDuplicates([key])
+        )
         joined = joined.join(hit, key, "left")
     best = F.coalesce(*[F.col(f"_hit{i}") for i in range(len(sources))])
     return joined.select(key, best["concept_id"].alias("concept_id"), best["source"].alias("source"))

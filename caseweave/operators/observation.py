@@ -228,7 +228,7 @@ def charlson(
     coded = diagnoses.where(F.col("icd_version") == 10).select(
         "hadm_id", F.regexp_replace("icd_code", r"\.", "").alias("icd_code")
     ).distinct()
-    hits = match_prefixes(coded, "icd_code", table, (3, 4)).select(
+    hits = match_prefixes(coded, "icd_code", table).select(
         "icd_code", "category", "weight"
     ).distinct()
     rows = coded.join(hits, "icd_code", "left").select("hadm_id", "category", "weight").distinct()

@@ -19,7 +19,7 @@ from caseweave.functions.kernels import Direction, Kind, Trait
 from caseweave.operators.aggregates import reference_ranges
 from caseweave.operators.cohorts import gender_flags
 from caseweave.operators.filters import keep
-from caseweave.operators.windows import sample, set_members, top_per_group, top_scored
+from caseweave.operators.windows import set_members, top_per_group, top_scored
 from caseweave.plans.ordered import numbered, percentiles
 from caseweave.plans.sizes import take_bounded
 from caseweave.session import materialise
@@ -490,13 +490,10 @@ def ranked_members(members: DataFrame) -> DataFrame:
     )
 
 
-def sampled_ranges(
-    encounters: DataFrame, build: Any, columns: Sequence[str], n: int = 10_000, seed: int = 0
-) -> DataFrame:
-    """Robust ranges of derived features, fitted on a fixed sample of encounters.
+def derived_ranges(encounters: DataFrame, build: Any, columns: Sequence[str]) -> DataFrame:
+    """Robust ranges of derived features, fitted on all encounters.
 
-    ``build`` makes the feature frame of a cohort; the sample is by hash, so it is
-    the same in every run.
+    ``build`` makes the feature frame of a cohort.
     """
-    reference = sample(encounters.select("hadm_id").distinct(), "hadm_id", n, seed)
+    reference = encounters.select("hadm_id").distinct()
     return reference_ranges(build(reference), columns).where(F.col("n") >= 2)

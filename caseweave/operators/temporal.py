@@ -112,7 +112,7 @@ def nearest_after(events: DataFrame, key: str = "stay_id") -> DataFrame:
     """
     starts = events.select(
         key, F.col("start_ts").alias("at"), F.lit(1).alias("_side"),
-        F.lit(None).cast("bigint").alias("event_id"), F.col("start_ts").alias("_mark"),
+        F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.col("start_ts").alias("_mark"),
     )
     ends = events.select(
         key, F.col("end_ts").alias("at"), F.lit(2).alias("_side"), "event_id",
@@ -207,7 +207,8 @@ def events_before(events: DataFrame, name: str, key: str = "stay_id") -> DataFra
     """Events of a name that precede others, with how many start after them."""
     starts = events.select(
         key, F.col("start_ts").alias("at"), F.lit(1).alias("_side"),
-        F.lit(1).cast("bigint").alias("_one"), F.lit(None).cast("bigint").alias("event_id"),
+        F.lit(1).cast("bigint").alias("_one"),
+        F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"),
     ).groupBy(key, "at", "_side", "event_id").agg(F.sum("_one").alias("_one"))
     asks = events.where(label_match(F.col("name"), [name])).select(
         key, F.col("end_ts").alias("at"), F.lit(2).alias("_side"),

@@ -297,7 +297,7 @@ SELECT hadm_id, CASE WHEN discharge_location = 'AGAINST ADVICE' THEN 1 ELSE 0 EN
 """)
 def _(t):
     return ag.one_hot_from_data(
-        t.admissions.select("hadm_id", "discharge_location"), "discharge_location", "location"
+        t.admissions.select("hadm_id", "discharge_location"), "discharge_location", "location", 20
     )
 
 

@@ -214,7 +214,7 @@ COPIES = "CASE " + " ".join(
 ) + f" ELSE {len(POISSON_ONE)} END"
 BOOT_SQL = PEAK_SQL + f"""
 , r AS (SELECT f.*, rep, CAST('0x' || md5(concat_ws('-', '5', CAST(hadm_id AS VARCHAR),
-    CAST(rep AS VARCHAR)))[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS d
+    CAST(rep AS VARCHAR)))[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS d
   FROM f, (SELECT UNNEST(range(1, 21)) AS rep)),
 w AS (SELECT rep, arm, x, y, {COPIES} AS w FROM r),
 s AS (SELECT rep, arm, SUM(w) AS n, SUM(w * x) AS sx, SUM(w * y) AS sy, SUM(w * x * x) AS sxx,

@@ -248,7 +248,7 @@ def _(t):
 
 @case("f19_random_ids", """
 SELECT hadm_id FROM admissions WHERE admission_type = '5-LOW'
-ORDER BY md5(concat_ws('-', '7', CAST(hadm_id AS VARCHAR)))[1:8], hadm_id LIMIT 50
+ORDER BY md5(concat_ws('-', '7', CAST(hadm_id AS VARCHAR)))[1:13], hadm_id LIMIT 50
 """)
 def _(t):
     return fl.select_ids(

@@ -314,7 +314,7 @@ SPLIT_SQL = """
 WITH x AS (SELECT a.subject_id, MAX(r.readmitted_30d) AS p FROM admissions a JOIN readmit_flags r
   ON a.hadm_id = r.hadm_id GROUP BY a.subject_id),
 y AS (SELECT subject_id, ROW_NUMBER() OVER (PARTITION BY p ORDER BY
-  md5(concat_ws('-', '42', CAST(subject_id AS VARCHAR)))[1:8], subject_id) AS k,
+  md5(concat_ws('-', '42', CAST(subject_id AS VARCHAR)))[1:13], subject_id) AS k,
   COUNT(*) OVER (PARTITION BY p) AS n FROM x),
 parts AS (SELECT subject_id, CASE WHEN k <= ROUND(n * 0.15) THEN 'test'
   WHEN k <= ROUND(n * 0.15) + ROUND(n * 0.15) THEN 'validation' ELSE 'train' END AS split FROM y)
@@ -508,15 +508,16 @@ def _(t):
 
 
 @case("io11_triples", """
-SELECT COUNT(*) AS n_lines, COUNT(DISTINCT src || predicate || dst) AS n_edges FROM record_edges
+SELECT COUNT(*) + COUNT(DISTINCT src) AS n_lines,
+  COUNT(DISTINCT src || predicate || dst) + COUNT(DISTINCT src) AS n_distinct FROM record_edges
 """)
 def _(t):
     edges = structure(t)
     path = exports.scratch(t.spark, "triples")
-    no_nodes = edges.select(F.col("src").alias("id"), F.col("src").alias("type")).where("1 = 0")
-    exports.write_triples(no_nodes, edges, path)
+    nodes = edges.select(F.col("src").alias("id"), F.substring("src", 1, 2).alias("type")).distinct()
+    exports.write_triples(nodes, edges, path)
     return t.spark.read.text(path).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("value").alias("n_edges")
+        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("value").alias("n_distinct")
     )
 
 

@@ -423,13 +423,11 @@ def _(t):
     return rounded(sm.cohort_quantities(members(t)).where(F.col("name").isin("age", "gender")))
 
 
-@case("s21_sampled_ranges", """
-WITH p AS (SELECT hadm_id FROM admissions
-  ORDER BY md5(concat_ws('-', '3', CAST(hadm_id AS VARCHAR)))[1:8], hadm_id LIMIT 4000),
-l AS (SELECT hadm_id, SUM(DATE_DIFF('second', intime, outtime) / 3600.0) AS v FROM icustays
-  WHERE hadm_id IN (SELECT hadm_id FROM p) GROUP BY hadm_id),
+@case("s21_derived_ranges", """
+WITH l AS (SELECT hadm_id, SUM(DATE_DIFF('second', intime, outtime) / 3600.0) AS v FROM icustays
+  GROUP BY hadm_id),
 r AS (SELECT hadm_id, COUNT(DISTINCT drug)::DOUBLE AS v FROM prescriptions
-  WHERE hadm_id IN (SELECT hadm_id FROM icustays) AND hadm_id IN (SELECT hadm_id FROM p) GROUP BY 1)
+  WHERE hadm_id IN (SELECT hadm_id FROM icustays) GROUP BY 1)
 SELECT 'icu_hours' AS feature, ROUND(quantile_cont(v, 0.01), 6) AS low,
   ROUND(quantile_cont(v, 0.99), 6) AS high, COUNT(*) AS n FROM l
 UNION ALL SELECT 'n_drugs', ROUND(quantile_cont(v, 0.01), 6), ROUND(quantile_cont(v, 0.99), 6),
@@ -441,14 +439,14 @@ def _(t):
             "icu_hours": ag.stay_hours(t.icustays),
             "n_drugs": ag.distinct_drugs(t.prescriptions, t.icustays),
         })
-    return rounded(sm.sampled_ranges(t.admissions, build, ["icu_hours", "n_drugs"], 4000, seed=3))
+    return rounded(sm.derived_ranges(t.admissions, build, ["icu_hours", "n_drugs"]))
 
 
 @case("s21_trend_ranges")
 def _(t):
     def build(reference):
         return tp.assemble_features(reference, {"slope": tp.trend(creatinine(t))})
-    return sm.sampled_ranges(t.admissions, build, ["slope"], 4000, seed=3)
+    return sm.derived_ranges(t.admissions, build, ["slope"])
 
 
 @case("io13_ranked_csv", COHORT_SQL + """

@@ -141,6 +141,24 @@ def decision_log(t):
     return exports.read_log(t.spark, path)
 
 
+@case("io15_skipped_lines", """
+SELECT COUNT(*) FILTER (event_type <> 'view' AND event_type <> 'click') AS n_read,
+  COUNT(*) FILTER (event_type = 'view' OR event_type = 'click') AS n_skipped FROM events
+""")
+def _(t):
+    path = exports.scratch(t.spark, "lines")
+    record = F.to_json(F.struct(
+        F.lit("routing_decision").alias("kind"),
+        F.when(F.col("event_type") == "view", "0").otherwise("1").alias("schema_version"),
+        F.col("event_type").alias("plan"),
+    ))
+    # Half of a record is a line that can't be read.
+    t.events.select(
+        F.when(F.col("event_type") == "click", F.substring(record, 1, 20)).otherwise(record).alias("value")
+    ).write.text(path)
+    return exports.skipped_lines(t.spark, path)
+
+
 @case("io15_log_counts", """
 SELECT 'plan' AS field, upper(event_type) AS value, COUNT(*) AS count FROM events GROUP BY 2
 UNION ALL SELECT 'reason', CASE WHEN value > 50 THEN 'large' ELSE 'small' END, COUNT(*) FROM events
@@ -178,7 +196,7 @@ def _(t):
     ).alias("value")).write.text(path)
     table = read_prefix_categories(t.spark, path)
     coded = t.diagnoses_icd.where("icd_version = 10")
-    hits = match_prefixes(coded, "icd_code", table, (3,))
+    hits = match_prefixes(coded, "icd_code", table)
     return coded.join(hits, "icd_code").groupBy("category").agg(
         F.count_distinct("hadm_id").alias("n_encounters")
     )

@@ -173,7 +173,7 @@ def _(t):
 
 @case("l5_hashed_sample", """
 SELECT hadm_id FROM admissions
-ORDER BY md5(concat_ws('-', '11', CAST(hadm_id AS VARCHAR)))[1:8], hadm_id LIMIT 64
+ORDER BY md5(concat_ws('-', '11', CAST(hadm_id AS VARCHAR)))[1:13], hadm_id LIMIT 64
 """)
 def _(t):
     return wn.sample(t.admissions, "hadm_id", 64, seed=11).select("hadm_id")

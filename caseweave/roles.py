@@ -145,8 +145,8 @@ FROM {admissions} WHERE hadm_id % 15 = 1
 """
 
 ROLE_SQL["labevents"] = """
-SELECT ((l.l_orderkey % 100000000 * 100000 + l.l_partkey % 100000) * 1000
-    + l.l_suppkey % 1000) * 10 + l.l_linenumber AS labevent_id,
+SELECT CONCAT_WS(':', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING),
+    CAST(l.l_partkey AS STRING), CAST(l.l_suppkey AS STRING)) AS labevent_id,
   a.subject_id, l.l_orderkey AS hadm_id,
   CASE WHEN l.l_suppkey % 10 < 4 THEN 50912 WHEN l.l_suppkey % 10 < 6 THEN 50983
     WHEN l.l_suppkey % 10 = 6 THEN 50813 WHEN l.l_suppkey % 10 = 7 THEN 50931
@@ -200,8 +200,8 @@ FROM {lineitem} l JOIN {icd_list} c ON l.l_partkey % 25 = c.code_no
 """
 
 ROLE_SQL["microbiologyevents"] = """
-SELECT ((l.l_orderkey % 100000000 * 100000 + l.l_partkey % 100000) * 1000
-    + l.l_suppkey % 1000) * 10 + l.l_linenumber AS microevent_id,
+SELECT CONCAT_WS(':', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING),
+    CAST(l.l_partkey AS STRING), CAST(l.l_suppkey AS STRING)) AS microevent_id,
   a.subject_id, a.hadm_id,
   a.admittime + INTERVAL '1' HOUR * CAST(l.l_partkey % 100 AS INT) AS charttime,
   CASE l.l_suppkey % 4 WHEN 0 THEN 'BLOOD CULTURE' WHEN 1 THEN 'URINE' WHEN 2 THEN 'SPUTUM'
@@ -269,8 +269,8 @@ FROM {events}
 # Events of a stay with both ends; an instant has equal ends.
 ROLE_SQL["stay_events"] = """
 SELECT i.stay_id, i.hadm_id,
-  ((l.l_orderkey % 100000000 * 100000 + l.l_partkey % 100000) * 1000
-    + l.l_suppkey % 1000) * 10 + l.l_linenumber AS event_id,
+  CONCAT_WS(':', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING),
+    CAST(l.l_partkey AS STRING), CAST(l.l_suppkey AS STRING)) AS event_id,
   CASE l.l_linenumber % 4 WHEN 0 THEN 'drug' WHEN 1 THEN 'biomarker' WHEN 2 THEN 'vital'
     ELSE 'microbiology' END AS kind,
   CASE l.l_suppkey % 4 WHEN 0 THEN 'Creatinine' WHEN 1 THEN 'Sodium' WHEN 2 THEN 'Heart Rate'
@@ -286,8 +286,8 @@ FROM {lineitem} l JOIN {icustays} i
 
 # Two scores and a 0/1 label per order line.
 ROLE_SQL["scored"] = """
-SELECT ((l_orderkey % 100000000 * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000) * 10
-    + l_linenumber AS row_id,
+SELECT CONCAT_WS(':', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING),
+    CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS row_id,
   l_orderkey AS hadm_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
   (l_quantity * 7 + CAST(l_partkey % 50 AS DOUBLE)) / 400 AS score_a,
   (CAST(l_partkey % 97 AS DOUBLE) + CASE WHEN l_returnflag = 'R' THEN 9 ELSE 0 END) / 107

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -16,6 +13,8 @@ SETTINGS = {
     "spark.sql.join.preferSortMergeJoin": "true",
     "spark.sql.files.maxPartitionBytes": "134217728",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,9 +33,8 @@ def session(app: str = "caseweave", master: str | None = None, **extra: str) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """Make sure the session has a checkpoint folder and return it.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is used as is.  A
-    local session without one gets a scratch folder; a cluster session without
-    one is an error, since a folder on one machine does not survive it.
+    The folder the cluster names in ``spark.checkpoint.dir`` is used as is.  Where it
+    names none, a folder below the warehouse is used, which all executors share, too.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -44,9 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        named = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(named)
     return named
 

@@ -54,7 +54,7 @@ def indexed_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 
     One edge is kept per ordered pair of nodes.
     """
-    kinds = nodes.select("id", "type").dropDuplicates(["id"])
+    kinds = nodes.groupBy("id").agg(F.min("type").alias("type"))
     numbers = dense_ids(kinds).join(kinds, ["type", "id"])
     src = numbers.select(
         F.col("id").alias("src"), F.col("type").alias("src_type"), F.col("index").alias("src_index")
@@ -80,14 +80,41 @@ def write_ranked(members: DataFrame, path: str) -> None:
     ranked_members(members).write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """IO15: decision records of a line-by-line JSON log; other lines are dropped."""
+# Fixed value: the versions of a log record that are understood.
+KNOWN_VERSIONS = ("1",)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """IO15: all lines of a line-by-line JSON log, with ``known``.
+
+    True: a decision record of a known version.  False: a malformed line or a decision of another
+    version, which is skipped and counted.  Null: a blank line or a record of another kind.
+    """
     schema = (
         "kind string, schema_version string, plan string, reason string, rule string, "
-        "scope string, turn_id string, had_causal_fallthrough boolean"
+        "scope string, turn_id string, had_causal_fallthrough boolean, _bad string"
     )
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(
-        F.col("kind") == "routing_decision"
+    # The parser leaves a line that it can't read in _bad.
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json(
+        "value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    ).alias("r")).select("r.*")
+    decision = F.col("kind") == "routing_decision"
+    return lines.withColumn(
+        "known",
+        F.when(F.col("_bad").isNotNull(), False)
+        .when(decision, F.coalesce(F.col("schema_version").isin(*KNOWN_VERSIONS), F.lit(False))),
+    ).drop("_bad")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """IO15: the decision records of known versions."""
+    return read_lines(spark, path).where("known").drop("known")
+
+
+def skipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """IO15: one row with the number of lines that were read and that were skipped."""
+    return read_lines(spark, path).agg(
+        F.count_if("known").alias("n_read"), F.count_if(~F.col("known")).alias("n_skipped")
     )
 
 
