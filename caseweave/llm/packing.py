@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import erf
 
 import numpy as np
@@ -126,7 +127,7 @@ class Encoder:
     def part_ids(self, part: str) -> list[int]:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) > REMEMBERED:
+            if len(self.parts) > REMEMBERED // 2:
                 self.parts.clear()
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
             found = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(shown)]
@@ -179,6 +180,12 @@ class Encoder:
                 yield ids[ends[a] : ends[b]]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process: what it remembers serves later tasks, too."""
+    return Encoder(path)
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, ranges: int | None = None
 ) -> DataFrame:
@@ -219,7 +226,7 @@ def pack_documents(
             )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         sequence, filled = TaskContext.get().partitionId() * RANGE_STEP, 0
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         # The pieces of the sequence being filled wait, because its end may have to be cut anew.
