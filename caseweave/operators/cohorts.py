@@ -444,6 +444,24 @@ def cohort_frame(
     return frame
 
 
+def cohort_drops(
+    encounters: DataFrame, arms: Sequence[Arm], covariate_rows: DataFrame
+) -> DataFrame:
+    """How many encounters were asked for, were left out and why, and stay."""
+    names = [c for c in covariate_rows.columns if c != "hadm_id"]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names], F.lit(True))
+    known = covariate_rows.select("hadm_id", whole.alias("_whole"))
+    rows = assign_arms(encounters, arms).join(known, "hadm_id", "left")
+    n, complete = F.col("n_matching"), F.coalesce("_whole", F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_requested"),
+        F.count_if(n == 0).alias("n_unassigned"),
+        F.count_if(n >= 2).alias("n_overlapping"),
+        F.count_if((n == 1) & ~complete).alias("n_missing_covariates"),
+        F.count_if((n == 1) & complete).alias("n_final"),
+    )
+
+
 # --- events of a cohort -----------------------------------------------------------------
 
 

@@ -263,7 +263,7 @@ def bootstrap_areas(
 ) -> DataFrame:
     """Area under the receiver curve of each bootstrap replicate.
 
-    The rows are range-partitioned by score once.  Each task walks its sorted
+    The rows are range-partitioned by score once, and rows of one score stay together.  Each task walks its sorted
     slice and keeps one number per replicate, so no row is copied per replicate;
     the slices' totals are then combined in order.
     """

@@ -348,6 +348,17 @@ def _(t):
     )
 
 
+@case("c18_cohort_drops", ARMS_SQL + """
+SELECT COUNT(*) AS n_requested, COUNT(*) FILTER (n.n_matching = 0) AS n_unassigned,
+  COUNT(*) FILTER (n.n_matching > 1) AS n_overlapping,
+  COUNT(*) FILTER (n.n_matching = 1 AND a.language IS NULL) AS n_missing_covariates,
+  COUNT(*) FILTER (n.n_matching = 1 AND a.language IS NOT NULL) AS n_final
+FROM n JOIN admissions a ON n.hadm_id = a.hadm_id
+""")
+def _(t):
+    return co.cohort_drops(t.admissions, arms(t), t.admissions.select("hadm_id", "language"))
+
+
 def urgent(t):
     return fl.by_admission_type(t.admissions, "1-URGENT")
 
