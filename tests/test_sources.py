@@ -65,10 +65,13 @@ def test_release_files(spark, tmp_path):
 def test_log_drops_other_lines(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     lines = [
-        {"kind": "routing_decision", "plan": "SQL", "turn_id": "1", "scope": "one"},
-        {"kind": "routing_decision", "plan": "GRAPH", "turn_id": "1", "scope": "one"}, {"kind": "other"},
+        {"kind": "routing_decision", "schema_version": "1", "plan": "SQL", "turn_id": "1", "scope": "one"},
+        {"kind": "routing_decision", "schema_version": "1", "plan": "GRAPH", "turn_id": "1", "scope": "one"},
+        {"kind": "routing_decision", "schema_version": "9", "plan": "SQL", "turn_id": "1"},
+        {"kind": "routing_decision", "plan": "SQL", "turn_id": "1"}, {"kind": "other"},
     ]
-    path.write_text("\n".join(json.dumps(x) for x in lines) + "\nnot json\n")
+    path.write_text("\n".join(json.dumps(x) for x in lines) + "\n\nnot json\n")
+    assert exports.skipped_lines(spark, str(path)).first() == (2, 3)
     log = exports.read_log(spark, str(path))
     assert {(r["field"], r["value"]): r["count"] for r in exports.log_counts(log).where("value IS NOT NULL").collect()} == {
         ("plan", "SQL"): 1, ("plan", "GRAPH"): 1, ("scope", "one"): 2,
