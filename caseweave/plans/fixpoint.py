@@ -56,6 +56,10 @@ def reachable(edges: DataFrame, starts: DataFrame, child: str = "child", parent:
     return known
 
 
+#: Edges that one task of a round works on.
+EDGES_PER_TASK = 250_000
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Weakly connected components: (node, component), component = smallest node.
 
@@ -64,29 +68,31 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     second, every smaller neighbour is.  Both use only a minimum per node and an
     equi join, so a hub costs a combine on the map side, and the number of
     rounds grows with the logarithm of the graph's size.  It ends when a round
-    leaves every edge as it was.
+    leaves every edge as it was.  The number of tasks follows the number of edges, so
+    that the many rounds of a small graph don't leave thousands of tiny files.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     links = materialise(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    links = links.where("u > v")
+    tasks = max(4, -(-links.count() // EDGES_PER_TASK))
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).coalesce(tasks).distinct()
+    links = links.where("u > v").coalesce(tasks)
     while True:
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             around.join(low, "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where(F.col("u") > F.col("v")).distinct()
+            .where(F.col("u") > F.col("v")).coalesce(tasks).distinct().coalesce(tasks)
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+            .unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct()
         )
-        new = materialise(small)
+        new = materialise(small.coalesce(tasks))
         changed = new.withColumn("_new", F.lit(1)).join(
             links.withColumn("_old", F.lit(1)), ["u", "v"], "full_outer"
         ).where("_new IS NULL OR _old IS NULL")
