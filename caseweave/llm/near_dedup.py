@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.llm.hashing import WHITE, mix, shingle_sets, split_words
+from caseweave.llm.shared import small_batches
 from caseweave.plans.fixpoint import components
 from caseweave.session import materialise
 
@@ -239,8 +240,19 @@ def link_near_duplicates(
     text without a word, or null, is linked with nothing.  Rows with a null id are kept and linked with
     nothing.  Rows of one id with several texts are judged text by text.
     """
+    with small_batches(docs.sparkSession):
+        rows, named = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), k, percent)
+    linked = rows.where("n > 0 AND id IS NOT NULL").join(named, "fp").select("id", "n", "component")
+    alone = rows.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
+    return linked.unionByName(alone).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+def _components(own: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, fp) of every row, and (fp, component) of every set; all steps are done on return."""
     threshold = percent / 100
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(signatures(own, k))
     # One row per set.  Equal sets meet in map tasks first, so a large group of copies is cheap.
     classes = materialise(
@@ -276,14 +288,19 @@ def link_near_duplicates(
         compared_in_blocks(rest, sketches.drop("popularity"), threshold).distinct()
     ), sets, percent))
     if not more.isEmpty():
-        found = materialise(components(links.unionByName(more), "a", "b"))
-
-    named = classes.select("fp", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        # Links between components that are known: a smaller graph than all links.
+        name = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+        joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+            F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")
+        )
+        merged = materialise(components(joined, "a", "b"))
+        # A node of ``merged`` is the name of a component, or a class that had no link before.
+        renamed = found.join(merged.withColumnRenamed("component", "final"), found["component"] == merged["node"], "left").select(
+            found["node"], F.coalesce("final", found["component"]).alias("component")
+        )
+        fresh = merged.join(found.select("node"), "node", "left_anti")
+        found = materialise(renamed.unionByName(fresh))
+    named = materialise(classes.select("fp", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "fp", F.coalesce("component", "id").alias("component")
-    )
-    linked = rows.where("n > 0 AND id IS NOT NULL").join(named, "fp").select("id", "n", "component")
-    alone = rows.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
-    return linked.unionByName(alone).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
-    )
+    ))
+    return rows.select("id", "n", "fp"), named
