@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseweave.llm import (
+    checks,
     decontamination,
     language_id,
     line_dedup,
@@ -77,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_near_dedup, op8_language_id, op9_decontamination, op10_sharding,
     )
 }
-CHECKS: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
+CHECKS: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op7_near_dedup": checks.NEAR_DEDUP}
