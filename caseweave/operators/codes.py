@@ -62,6 +62,7 @@ def map_diagnoses(diagnoses: DataFrame, concepts: DataFrame) -> DataFrame:
         diagnoses.where(F.col("icd_version") == 10).select("icd_code").distinct()
         .withColumn("_plain", plain_code(F.col("icd_code")))
     )
+    concepts = first_by(concepts, "code", ("concept_id", "term"))
     exact = concepts.select(
         F.col("code").alias("_plain"), F.struct("concept_id", "term").alias("_exact")
     )

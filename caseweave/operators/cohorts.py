@@ -403,7 +403,7 @@ def outcome_diagnosis(
     marks = pool.join(matching, "hadm_id", "left_semi").select(
         "subject_id", F.col("admittime").alias("at"), F.lit(0).alias("side"),
         F.lit(None).cast("bigint").alias("hadm_id"), F.col("admittime").alias("mark"),
-    )
+    ).distinct()
     asks = index.select(
         "subject_id", F.col("dischtime").alias("at"), F.lit(1).alias("side"), "hadm_id",
         F.lit(None).cast("timestamp_ntz").alias("mark"),

@@ -331,6 +331,8 @@ def train_logistic(rows: DataFrame, features: Sequence[str], label: str) -> Mode
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("p")
     ).first()
     n, p = counts["n"], counts["p"]
+    if not 0 < (p or 0) < n:
+        raise ValueError(f"{label}: both classes are needed")
     weight = F.when(F.col(label) == 1, F.lit(n / (2.0 * p))).otherwise(F.lit(n / (2.0 * (n - p))))
     return LogisticRegression(
         labelCol=label, weightCol="_weight", regParam=1.0 / n, standardization=False, maxIter=1000

@@ -435,6 +435,14 @@ def subgraph_features(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     the degrees come from the edges and the triangles.
     """
     pairs = linked_pairs(edges)
+    # Only what lies within one step of a seed is counted, so other triangles are never built.
+    touched = pairs.join(seeds.select(F.col("id").alias("x")), "x", "left_semi").select("x", "y").unionByName(
+        pairs.join(seeds.select(F.col("id").alias("y")), "y", "left_semi").select("x", "y")
+    )
+    around = touched.select(F.explode(F.array("x", "y")).alias("id")).unionByName(seeds.select("id")).distinct()
+    pairs = pairs.join(around.withColumnRenamed("id", "x"), "x", "left_semi").join(
+        around.withColumnRenamed("id", "y"), "y", "left_semi"
+    ).select("x", "y", "m")
 
     def rows(*parts: tuple[str, str, str]) -> Column:
         return F.inline(F.array(*[

@@ -113,7 +113,7 @@ def nearest_after(events: DataFrame, key: str = "stay_id") -> DataFrame:
     starts = events.select(
         key, F.col("start_ts").alias("at"), F.lit(1).alias("_side"),
         F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.col("start_ts").alias("_mark"),
-    )
+    ).distinct()
     ends = events.select(
         key, F.col("end_ts").alias("at"), F.lit(2).alias("_side"), "event_id",
         F.lit(None).cast("timestamp_ntz").alias("_mark"),

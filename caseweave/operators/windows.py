@@ -82,8 +82,12 @@ def with_share(
 ) -> DataFrame:
     """Each count as a share of its group's total.
 
-    ``counts`` is already aggregated, so the window sees one row per value.
+    ``counts`` is already aggregated, so a group's window sees one row per value.  Without groups
+    the total is a scalar, not a window over everything.
     """
+    if not within:
+        whole = counts.agg(F.sum(count)).scalar()
+        return counts.withColumn(name, F.col(count) / F.when(whole != 0, whole))
     total = F.sum(count).over(Window.partitionBy(*within))
     return counts.withColumn(name, F.col(count) / F.when(total != 0, total))
 

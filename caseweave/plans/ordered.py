@@ -33,6 +33,18 @@ def _slices_if_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return range_slices(df, [*keys, *order])
 
 
+def _sized(ladder: DataFrame, counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The rows of ``ladder`` with the size of their group; without keys the size is a scalar."""
+    if not keys:
+        return ladder.select(value, "_upto", counts.agg(F.sum("_n")).scalar().alias("_size"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    return (
+        ladder.alias("l")
+        .join(sizes.alias("s"), _same(ladder, sizes, keys), "left")
+        .select(*[F.col(f"l.{k}") for k in keys], F.col(f"l.{value}"), "l._upto", "s._size")
+    )
+
+
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     condition = F.lit(True)
     for name in names:
@@ -197,12 +209,7 @@ def percentiles(
         )
     counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ladder = running(counts, keys, [value], {"_upto": "_n"})
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = (
-        ladder.alias("l")
-        .join(sizes.alias("s"), _same(ladder, sizes, keys), "left")
-        .select(*[F.col(f"l.{k}") for k in keys], F.col(f"l.{value}"), "l._upto", "s._size")
-    )
+    placed = _sized(ladder, counts, keys, value)
     picks = []
     for name, p in probabilities.items():
         place = (F.col("_size") - 1) * F.lit(float(p))
@@ -234,12 +241,7 @@ def value_at_rank(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ladder = running(counts, keys, [value], {"_upto": "_n"})
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = (
-        ladder.alias("l")
-        .join(sizes.alias("s"), _same(ladder, sizes, keys), "left")
-        .select(*[F.col(f"l.{k}") for k in keys], F.col(f"l.{value}"), "l._upto", "s._size")
-    )
+    placed = _sized(ladder, counts, keys, value)
     def place(share: float) -> Column:
         return F.least(F.col("_size") - 1, F.floor(F.col("_size") * F.lit(float(share))))
     return placed.groupBy(*keys).agg(
