@@ -2,7 +2,8 @@
 
 1. Every text gets the fingerprint of its shingle set, 128 MinHash values in bands of four, and an odd
    sketch: one MinHash sample per bin of the hash range, folded into a bitmap by parity.  The bits in
-   which two sketches differ count the samples in which the sets differ.
+   which two sketches differ count the samples in which the sets differ.  Short sets are sampled in fine
+   bins, so that nearly all of their shingles are samples, long ones in coarse bins, and sets in between in both.
 2. Texts with equal sets are one class from here on, named by its smallest id.
 3. Classes that share a band are candidates.  First each class is held against the most widely shared
    class of every one of its bands, which joins a group of copies by as many links as it has members.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +31,14 @@ from caseweave.session import materialise
 
 #: Two sets at the threshold of 0.8 share none of 32 bands of 4 with probability 5e-8.
 BANDS, ROWS = 32, 4
-#: Bins that give a MinHash sample each, and bits of the odd sketch.
-BIN_BITS, SKETCH_BITS = 10, 2048
+#: Bits of an odd sketch.
+SKETCH_BITS = 2048
+#: Bins of the hash range that give a sample each, for sets up to FINE_MOST and from COARSE_LEAST shingles.
+#: Two sets within 20 % of each other's size always have one kind in common.
+FINE_BINS, FINE_MOST = 1 << 13, 1200
+COARSE_BINS, COARSE_LEAST = 1 << 10, 960
 #: Standard deviations that an estimate may fall short of the threshold.
-SAFETY = 6.0
+SAFETY = 5.0
 #: Most members of a band that one block compares.
 BLOCK = 1024
 
@@ -50,43 +56,83 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(shingles: np.ndarray) -> tuple[bytes, int]:
+def odd_sketch(shingles: np.ndarray, bins: int) -> tuple[bytes, int]:
     """The parity bitmap of the samples, and their number.  ``shingles`` are sorted hashes."""
-    bins = shingles >> np.uint64(64 - BIN_BITS)
-    first = np.ones(len(bins), bool)
-    first[1:] = bins[1:] != bins[:-1]
+    place = shingles // np.uint64((1 << 64) // bins)
+    first = np.ones(len(place), bool)
+    first[1:] = place[1:] != place[:-1]
     samples = mix(shingles[first], 22) & np.uint64(SKETCH_BITS - 1)
     parity = np.bincount(samples.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes(), int(first.sum())
 
 
-def may_reach(
-    a: np.ndarray, b: np.ndarray, samples_a: np.ndarray, samples_b: np.ndarray,
-    size_a: np.ndarray, size_b: np.ndarray, threshold: float,
-) -> np.ndarray:
-    """False where the sketches rule the threshold out.  Sketches are rows of 64-bit words.
+def odd_sketches(shingles: np.ndarray) -> tuple[bytes, bytes, int, int]:
+    """The fine and the coarse sketch and their samples; empty and 0 where the size calls for none."""
+    n = len(shingles)
+    fine = odd_sketch(shingles, FINE_BINS) if n <= FINE_MOST else (b"", 0)
+    coarse = odd_sketch(shingles, COARSE_BINS) if n >= COARSE_LEAST else (b"", 0)
+    return fine[0], coarse[0], fine[1], coarse[1]
 
-    The size filter is exact.  The estimate of differing samples inverts the expected parity; its error
-    and that of the samples, less where nearly all shingles are samples, give the margin.
+
+@dataclass
+class Sketches:
+    """Sizes and sketches of some sets, one per row; sketches as rows of 64-bit words."""
+
+    n: np.ndarray
+    fine: np.ndarray
+    coarse: np.ndarray
+    n_fine: np.ndarray
+    n_coarse: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, side: str = "") -> Sketches:
+        return cls(
+            _numbers(batch, f"n{side}"), _bits(batch.column(f"fine{side}")), _bits(batch.column(f"coarse{side}")),
+            _numbers(batch, f"n_fine{side}"), _numbers(batch, f"n_coarse{side}"),
+        )
+
+    def __getitem__(self, at: np.ndarray | int) -> Sketches:
+        return Sketches(self.n[at], self.fine[at], self.coarse[at], self.n_fine[at], self.n_coarse[at])
+
+
+def may_reach(x: Sketches, y: Sketches, threshold: float) -> np.ndarray:
+    """False where sizes or sketches rule the threshold out; ``x`` may be one set against many.
+
+    The size filter is exact.  For sets at the threshold, a sample of one set is a sample of the other
+    with a known chance; the number of common samples follows from the bits that differ.  The margin covers the error of the
+    parity count and of the samples, which is small where nearly all shingles are samples.
     """
-    low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    differing = np.bitwise_count(a ^ b).sum(axis=-1).astype(float)
+    def occupied(size: np.ndarray) -> np.ndarray:
+        return bins * (1 - np.exp(-size / bins))
+
+    both_fine = (x.n_fine > 0) & (y.n_fine > 0)
+    bins = np.where(both_fine, FINE_BINS, COARSE_BINS)
+    e, f = (np.where(both_fine, s.n_fine, s.n_coarse).astype(float) for s in (x, y))
+    differing = np.where(
+        both_fine, np.bitwise_count(x.fine ^ y.fine).sum(axis=-1), np.bitwise_count(x.coarse ^ y.coarse).sum(axis=-1)
+    )
     inner = 1 - 2 * differing / SKETCH_BITS
-    most = np.maximum(samples_a, samples_b).astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        changed = np.where(inner > 0, -SKETCH_BITS / 2 * np.log(np.maximum(inner, 1e-9)), np.inf)
-        estimate = (samples_a + samples_b - changed) / 2 / most
-        # Changed samples and their error at the threshold.
-        expected = 2 * (1 - threshold) * most
-        parity_error = np.sqrt((np.exp(4 * expected / SKETCH_BITS) - 1) * SKETCH_BITS / 4) / (2 * most)
-        sampled = np.clip(1 - most / high, 0.05, 1.0)
-        sample_error = np.sqrt(threshold * (1 - threshold) / most * sampled)
-    margin = SAFETY * np.sqrt(parity_error**2 + sample_error**2) + 2.0 / most
-    return (low >= threshold * high - 1e-9) & (estimate >= threshold - margin)
+    changed = np.where(inner > 0, -SKETCH_BITS / 2 * np.log(np.maximum(inner, 1e-9)), np.inf)
+    common = (e + f - changed) / 2
+    # What two sets just at the threshold would have in common.
+    union = (x.n + y.n) / (1 + threshold)
+    chance = threshold * occupied(union) * (1 / occupied(x.n) + 1 / occupied(y.n)) / 2
+    mean = (e + f) / 2
+    expected = mean * np.minimum(chance, 1.0)
+    apart = np.maximum(e + f - 2 * expected, 1.0)
+    parity = np.maximum(SKETCH_BITS / 4 * np.expm1(4 * apart / SKETCH_BITS) - apart, 0.5) / 4
+    unseen = np.clip(1 - 2 * mean / (x.n + y.n), 0.03, 1.0)
+    margin = SAFETY * np.sqrt(parity + expected * (1 - np.minimum(chance, 0.999)) * unseen) + 1.0
+    low, high = np.minimum(x.n, y.n), np.maximum(x.n, y.n)
+    return (low >= threshold * high - 1e-9) & (common >= expected - margin)
+
+
+#: The columns of a set's sketches.
+SKETCHES = ("fine", "coarse", "n_fine", "n_coarse")
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, fp, bands, sketch, samples) of each row; without a word n is 0 and the rest null."""
+    """(id, n, fp, bands, sketches) of each row; without a word n is 0 and the rest null."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,22 +140,23 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for words in split_words(batch.column("text"), WHITE, lower=True):
                 for shingles in shingle_sets(words, k):
                     if not len(shingles):
-                        rows.append((0, None, None, None, None))
+                        rows.append((0, *[None] * 6))
                         continue
                     values = min_hashes(shingles).reshape(BANDS, ROWS)
                     key = mix(np.arange(BANDS, dtype=np.uint64), 23)
                     for r in range(ROWS):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, r])
                     print_ = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-                    rows.append((len(shingles), print_, key.astype(np.int64).tobytes(), *odd_sketch(shingles)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                    rows.append((len(shingles), print_, key.astype(np.int64).tobytes(), *odd_sketches(shingles)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
-                pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.int32()),
-            ], names=["id", "n", "fp", "bands", "sketch", "samples"])
+                *[pa.array(columns[c], pa.binary()) for c in (2, 3, 4)],
+                *[pa.array(columns[c], pa.int32()) for c in (5, 6)],
+            ], names=["id", "n", "fp", "bands", *SKETCHES])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(signed, f"id {kind}, n long, fp binary, bands binary, sketch binary, samples int")
+    return docs.mapInArrow(signed, f"id {kind}, n long, fp binary, bands binary, fine binary, coarse binary, n_fine int, n_coarse int")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -130,7 +177,10 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), SKETCH_BITS // 64)
+    none = bytes(SKETCH_BITS // 8)
+    return np.frombuffer(b"".join(x or none for x in column.to_pylist()), dtype=np.uint64).reshape(
+        len(column), SKETCH_BITS // 64
+    )
 
 
 def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -143,14 +193,11 @@ def promising(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                mask = may_reach(
-                    _bits(batch.column("sketch_a")), _bits(batch.column("sketch_b")), _numbers(batch, "samples_a"),
-                    _numbers(batch, "samples_b"), _numbers(batch, "n_a"), _numbers(batch, "n_b"), threshold,
-                )
+                mask = may_reach(Sketches.of(batch, "_a"), Sketches.of(batch, "_b"), threshold)
                 yield batch.select(["a", "b"]).filter(pa.array(mask))
 
     side = lambda s: sketches.select(
-        F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "samples", "sketch")]
+        F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", *SKETCHES)]
     )
     kind = dict(pairs.dtypes)["a"]
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(kept, f"a {kind}, b {kind}")
@@ -193,21 +240,21 @@ def blocks_to_compare(members: DataFrame) -> DataFrame:
     )
 
 
-def compared_in_blocks(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def compared_in_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of one bucket but different components that may reach the threshold.
 
     A pair is compared in the first band that it shares only.
     """
     kind = dict(members.dtypes)["id"]
-    rows = blocks_to_compare(members).join(sketches, "id").select(
-        "block", "bucket", "band", "own", "other", "id", "component", "n", "samples", "sketch", "bands"
+    rows = blocks_to_compare(members).join(known, "id").select(
+        "block", "bucket", "band", "own", "other", "id", "component", "n", *SKETCHES, "bands"
     )
 
     def pairs_of(block: pa.Table) -> pa.Table:
         block = block.combine_chunks().to_batches()[0]
-        sketch = _bits(block.column("sketch"))
+        sketches = Sketches.of(block)
         bands = np.frombuffer(b"".join(block.column("bands").to_pylist()), dtype=np.int64).reshape(-1, BANDS)
-        n, samples = _numbers(block, "n"), _numbers(block, "samples")
+        n = sketches.n
         component, own, other = _numbers(block, "component"), _numbers(block, "own"), _numbers(block, "other")
         bucket, band = _numbers(block, "bucket"), int(block.column("band")[0].as_py())
         across = bool((own != other).any())
@@ -220,7 +267,7 @@ def compared_in_blocks(members: DataFrame, sketches: DataFrame, threshold: float
             if len(j):
                 j = j[(bands[j, :band] != bands[i, :band]).all(axis=1)]
             if len(j):
-                ok = may_reach(sketch[i], sketch[j], samples[i], samples[j], n[i], n[j], threshold)
+                ok = may_reach(sketches[i], sketches[j], threshold)
                 left += [i] * int(ok.sum())
                 right += j[ok].tolist()
         ids = block.column("id")
@@ -257,7 +304,7 @@ def _components(own: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     # One row per set.  Equal sets meet in map tasks first, so a large group of copies is cheap.
     classes = materialise(
         rows.where("n > 0 AND id IS NOT NULL").groupBy("fp")
-        .agg(F.min(F.struct("id", "n", "samples", "sketch", "bands")).alias("c")).select("fp", "c.*")
+        .agg(F.min(F.struct("id", "n", *SKETCHES, "bands")).alias("c")).select("fp", "c.*")
     )
     spread = classes.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
@@ -266,7 +313,7 @@ def _components(own: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     members = materialise(spread.join(sizes, "bucket").select("bucket", "band", "size", "id"))
     shared = members.groupBy("id").agg(F.sum(F.col("size") - 1).alias("popularity"))
     sketches = materialise(
-        classes.join(shared, "id").select("id", "n", "samples", "sketch", "bands", "popularity")
+        classes.join(shared, "id").select("id", "n", *SKETCHES, "bands", "popularity")
     )
     sets = materialise(whole_sets(own, shared.select("id"), k))
 

@@ -9,7 +9,7 @@ import pytest
 
 from caseweave.llm import near_dedup
 from caseweave.llm.hashing import WHITE, shingle_sets, split_words
-from caseweave.llm.near_dedup import link_near_duplicates, may_reach, odd_sketch
+from caseweave.llm.near_dedup import SKETCH_BITS, Sketches, link_near_duplicates, may_reach, odd_sketches
 
 
 def shingles(text, k):
@@ -87,30 +87,45 @@ def test_odd_rows(odd, none, spark):
     assert found(none, 4) == []
 
 
-def test_the_filter_loses_no_pair():
+def sketches(sets):
+    rows = [odd_sketches(s) for s in sets]
+    bits = lambda k: np.stack([np.frombuffer(r[k] or bytes(SKETCH_BITS // 8), np.uint64) for r in rows])
+    return Sketches(
+        np.array([len(s) for s in sets]), bits(0), bits(1), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    )
+
+
+def pairs_at(similarity, n, count, seed):
+    """Pairs of sets with a union of ``n`` and at least that similarity."""
+    rng, left_sets, right_sets = np.random.default_rng(seed), [], []
+    for _ in range(count):
+        union = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        order = rng.permutation(len(union))
+        common = int(np.ceil(similarity * len(union)))
+        cut = common + rng.integers(0, len(union) - common + 1)
+        both, left, right = (union[order[a:b]] for a, b in ((0, common), (common, cut), (cut, len(union))))
+        left_sets.append(np.sort(np.concatenate([both, left])))
+        right_sets.append(np.sort(np.concatenate([both, right])))
+    return sketches(left_sets), sketches(right_sets)
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 20, 60, 170, 500, 1000, 1150, 1250, 1500, 3000, 9000])
+def test_the_filter_loses_no_pair(n):
     """Sketches of pairs at the threshold, short and long."""
-    rng = np.random.default_rng(5)
-    lost = 0
-    for n in (5, 20, 60, 200, 1000, 5000):
-        for _ in range(150):
-            union = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            common = -(-8 * len(union) // 10)
-            left = rng.integers(0, len(union) - common + 1)
-            order = rng.permutation(len(union))
-            both, rest = union[order[:common]], union[order[common:]]
-            a, b = np.sort(np.concatenate([both, rest[:left]])), np.sort(np.concatenate([both, rest[left:]]))
-            (x, p), (y, q) = odd_sketch(a), odd_sketch(b)
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            lost += not may_reach(x, y, np.array(p), np.array(q), np.array(len(a)), np.array(len(b)), 0.8)
-    assert lost == 0
-
-
-def test_sketches_tell_unlike_sets_apart():
-    rng = np.random.default_rng(6)
-    a, b = (np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64)) for _ in range(2))
-    (x, p), (y, q) = odd_sketch(a), odd_sketch(b)
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    assert not may_reach(x, y, np.array(p), np.array(q), np.array(len(a)), np.array(len(b)), 0.8)
+    assert may_reach(*pairs_at(0.8, n, 300 if n < 1000 else 100, n), 0.8).all()
+
+
+@pytest.mark.parametrize("n, similarity", [(170, 0.72), (500, 0.74), (1100, 0.74), (3000, 0.7)])
+def test_the_filter_is_sharp(n, similarity):
+    assert may_reach(*pairs_at(similarity, n, 100, n), 0.8).mean() < 0.1
+
+
+def test_sizes_in_between_have_a_sketch_in_common():
+    for n in (959, 960, 1199, 1200, 1201, 1500):
+        m = int(np.ceil(0.8 * n))
+        rng = np.random.default_rng(n)
+        union = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert may_reach(sketches([union]), sketches([union[: max(m, 1)]]), 0.8)[0] == (len(union[:m]) >= 0.8 * len(union))
 
 
 def test_shingle_hashes_match_sets():
