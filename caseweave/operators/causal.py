@@ -367,10 +367,12 @@ OUTCOMES = ("binary", "continuous")
 def estimate(
     frame: DataFrame, covariates: Sequence[str], outcome: str, labels: Sequence[str], *,
     kind: str = "continuous", learner: str = "t_learner", replicates: int = 200, seed: int = 0,
-    alpha: float = 0.05, key: str = KEY,
+    alpha: float = 0.05, key: str = KEY, within: DataFrame | None = None,
 ) -> DataFrame:
     """Arm means and contrasts with intervals, one row per quantity.
 
+    ``within`` narrows the cohort to its keys, such as the members of a similarity cohort.
+
     The X-learner's arm means are those of its outcome models, one per arm; its
     blended effects come from :func:`x_learner`.
     """
@@ -383,6 +385,8 @@ def estimate(
     if replicates < 1 or not 0.0 < alpha < 1.0:
         raise ValueError("replicates must be positive and alpha between 0 and 1")
     options = {"binary": kind == "binary", "replicates": replicates, "seed": seed, "key": key}
+    if within is not None:
+        frame = materialise(frame.join(within.select(key).distinct(), key, "left_semi"))
     if learner == "s_learner":
         mu = s_learner(frame, covariates, outcome, len(labels), **options)
     else:

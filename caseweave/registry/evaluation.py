@@ -10,6 +10,7 @@ from caseweave.registry.aggregates import lab_extremes, rounded
 from caseweave.registry.case import case
 from caseweave.registry.cohorts import ARMS_SQL, TYPES, arms
 from caseweave.registry.graph import SPLIT_SQL
+from caseweave.registry.similarity import members
 from caseweave.session import materialise
 
 
@@ -277,6 +278,13 @@ def _(t):
     )
 
 
+@case("e7_narrowed")
+def _(t):
+    return cs.estimate(
+        frame(t), ["age", "gender_M"], "peak", LABELS, replicates=20, within=members(t)
+    )
+
+
 @case("e7_estimate_binary")
 def _(t):
     return cs.estimate(

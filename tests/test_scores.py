@@ -165,6 +165,17 @@ def test_linear_learners(trial):
     assert effects == {1: pytest.approx(want[1] - want[0]), 2: pytest.approx(want[2] - want[0])}
 
 
+def test_narrowed_cohort(trial):
+    df, *_ = trial
+    some = df.where("hadm_id % 3 = 0")
+    asked = {"learner": "t_learner", "replicates": 4}
+    got = cs.estimate(df, ["x"], "y", ["a", "b", "c"], within=some, **asked)
+    want = cs.estimate(some, ["x"], "y", ["a", "b", "c"], **asked)
+    key = lambda r: (r["quantity"], r["name"])
+    for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert key(a) == key(b) and a["point"] == pytest.approx(b["point"]) and a["upper"] == pytest.approx(b["upper"])
+
+
 def test_logistic_learner(trial):
     df, x, t, _, died = trial
     got = {r["T"]: r["mu"] for r in cs.t_learner(df, ["x"], "died", binary=True).collect()}
