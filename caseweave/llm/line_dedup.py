@@ -16,6 +16,10 @@ from caseweave.llm.shared import BLANK, whole_text
 from caseweave.session import materialise
 
 
+#: Parts into which the rows of a line are dealt.
+SALTS = 32
+
+
 def line_key(line: Column) -> Column:
     """A 64-bit hash of the line without outer white space."""
     return F.xxhash64(_trimmed(line))
@@ -44,7 +48,13 @@ def boilerplate_lines(
         F.col("rows") >= min_sites
     )
     repeated = materialise(repeated.select("line", "keeper"))
-    sites = lines.select("line", "site").join(repeated.select("line"), "line", "left_semi")
+    # The lines are few by now; each meets its rows in SALTS places, so that the rows of one common line
+    # are sketched apart and only sketches come together.
+    places = repeated.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sites = (
+        lines.select("line", "site", F.pmod(F.xxhash64("id", "site"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(places, ["line", "salt"], "left_semi").select("line", "site")
+    )
     spread = materialise(sites.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log2_registers))).alias("sites")
     ))
