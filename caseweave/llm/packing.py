@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import erf
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from caseweave.llm.shared import bounded, whole_text
 DIMENSIONS, CELL_BITS = 4, 12
 LINE_BLANK = byte_set(b" \n")
 #: Token sequences that a worker remembers by the piece of text between two blanks.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 SLOT_BITS = 20
 #: Sequence numbers of one range start this far apart.
 RANGE_STEP = 1 << 40
@@ -91,6 +92,14 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
     return hilbert_keys(cells, CELL_BITS)
 
 
+@lru_cache(maxsize=1)
+def load_tokenizer(path: str) -> Any:
+    """Read once in a worker process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Token ids of whole texts, remembering the ids of blank-separated pieces.
 
@@ -106,15 +115,13 @@ class Encoder:
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load_tokenizer(path)
         self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
         # The byte-level alphabet: printable bytes stand for themselves, others follow from 256 on.
         own = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
         other = [b for b in range(256) if b not in own]
         self.alphabet = {b: b for b in own} | {b: 256 + k for k, b in enumerate(other)}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -124,13 +131,13 @@ class Encoder:
         # A direct-mapped table in front of ``known``: the hash and the place that own each slot.
         self.slot_keys, self.slot_places = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
 
-    def part_ids(self, part: str) -> list[int]:
+    def part_ids(self, part: str) -> tuple[int, ...]:
         found = self.parts.get(part)
         if found is None:
             if len(self.parts) > REMEMBERED // 2:
                 self.parts.clear()
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-            found = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            found = self.parts[part] = tuple([t.id for t in self.tokenizer.model.tokenize(shown)])
         return found
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -180,12 +187,6 @@ class Encoder:
                 yield ids[ends[a] : ends[b]]
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process: what it remembers serves later tasks, too."""
-    return Encoder(path)
-
-
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, ranges: int | None = None
 ) -> DataFrame:
@@ -226,7 +227,7 @@ def pack_documents(
             )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = Encoder(tokenizer_path)
         sequence, filled = TaskContext.get().partitionId() * RANGE_STEP, 0
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         # The pieces of the sequence being filled wait, because its end may have to be cut anew.
