@@ -86,7 +86,8 @@ def remove_boilerplate(
         whole_text().alias("text"), F.col("text").isNull().alias("missing"),
         F.struct(F.lit(0).alias("_"), *also).alias("also"),
     )
-    found = boilerplate_lines(own.select("id", "site", "text"), min_sites, min_words)
+    # Written, so that the next join has a plain shuffle on either side, whose large parts Spark splits.
+    found = materialise(boilerplate_lines(own.select("id", "site", "text"), min_sites, min_words))
     # What each document must lose: the keys of its boilerplate lines, and of those that it keeps once.
     hits = (
         own.select("id", F.explode(F.split("text", "\n")).alias("l")).where(_words(F.col("l")) >= min_words)
