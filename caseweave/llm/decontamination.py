@@ -192,13 +192,16 @@ def hash_filter(windows: DataFrame) -> bytes:
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest: int = 5, coverage: float = 0.6,
-    consistency: float = 0.8,
+    consistency: float = 0.8, drift: int = 8,
 ) -> DataFrame:
     """One row per contaminated (doc_id, item_id): windows found, of how many, and whether values differ.
 
     An item is in a document when at least ``coverage`` of the item's windows of ``window`` template words are
     found there, and at least ``consistency`` of the values in its placeholders stand against one value
     of the document throughout.  ``exact`` says that all those values are the same as in the item.
+    Windows meet at an alignment, the place in the document less that in the item.  Each alignment is judged
+    on its own, with the nearest meeting of each window up to ``drift`` words off; so is the document as a
+    whole, with the first meeting of each window.  One that passes is enough.
     An item of fewer template words is one window of all its words; below ``shortest`` words it isn't
     looked for.  Null and empty texts hold and contain nothing; rows of one id count together.
     """
@@ -211,27 +214,40 @@ def find_contamination(
     seen = windows_of(own, used, only=only).select(
         F.col("id").alias("doc_id"), F.col("place").alias("doc_place"), "hash", F.col("slots").alias("doc_slots")
     )
-    met = materialise(
-        seen.join(known.withColumnRenamed("id", "item_id"), "hash")
-        .groupBy("doc_id", "item_id", "place").agg(F.first("windows").alias("windows"), F.min(F.struct(
-            "doc_place", F.col("slots").alias("slots"), F.col("doc_slots").alias("doc_slots")
-        )).alias("w"))
+    met = materialise(seen.join(known.withColumnRenamed("id", "item_id"), "hash").drop("hash"))
+    # No alignment has more windows than the document as a whole.
+    enough = met.groupBy(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).agg(
+        F.countDistinct("place").alias("n_found"), F.max("windows").alias("n_windows")
+    ).where(F.col("n_found") >= coverage * F.col("n_windows")).select("d", "i", "n_windows")
+    near = met.join(enough, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")))
+    aligned = near.withColumn("off", F.explode(F.array(*[F.lit(x) for x in range(-drift, drift + 1)]))).withColumn(
+        "at", F.col("doc_place") - F.col("place") + F.col("off")
     )
-    enough = met.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_found"), F.max("windows").alias("n_windows")
-    ).where(F.col("n_found") >= coverage * F.col("n_windows"))
-    values = (
-        met.select("doc_id", "item_id", F.explode_outer(F.arrays_zip("w.slots", "w.doc_slots")).alias("v"))
-        .where("v IS NOT NULL").groupBy("doc_id", "item_id", F.col("v.slots").alias("there"))
+    anywhere = near.withColumn("off", F.lit(0)).withColumn("at", F.lit(None).cast("long"))
+    group = ["doc_id", "item_id", "at"]
+    found = (
+        aligned.unionByName(anywhere).groupBy(*group, "place").agg(
+            F.max("n_windows").alias("n_windows"),
+            F.min(F.struct(F.abs("off").alias("off"), "doc_place", "slots", "doc_slots")).alias("w"),
+        )
+        .groupBy(*group).agg(
+            F.count(F.lit(1)).alias("n_found"), F.max("n_windows").alias("n_windows"), F.min("w.off").alias("off"),
+            F.flatten(F.collect_list(F.arrays_zip("w.slots", "w.doc_slots"))).alias("values"),
+        )
+        .where((F.col("off") == 0) & (F.col("n_found") >= coverage * F.col("n_windows")))
+    )
+    group += ["n_found", "n_windows"]
+    judged = (
+        found.select(*group, F.explode_outer("values").alias("v"))
+        .groupBy(*group, F.col("v.slots").alias("there"))
         .agg(F.min("v.doc_slots").alias("low"), F.max("v.doc_slots").alias("high"))
-        .groupBy("doc_id", "item_id").agg(
+        .groupBy(*group).agg(
             F.avg((F.col("low") == F.col("high")).cast("int")).alias("consistent"),
             F.min((F.col("low") == F.col("high")) & (F.col("low") == F.col("there"))).alias("exact"),
         )
-    )
-    return (
-        enough.join(values, ["doc_id", "item_id"], "left")
         .where(F.coalesce("consistent", F.lit(1.0)) >= consistency)
-        .select("doc_id", "item_id", "n_found", "n_windows", F.coalesce("exact", F.lit(True)).alias("exact"))
     )
-
+    best = judged.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct(F.coalesce("exact", F.lit(True)).alias("exact"), "n_found", "n_windows")).alias("b")
+    )
+    return best.select("doc_id", "item_id", "b.n_found", "b.n_windows", "b.exact")

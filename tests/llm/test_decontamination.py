@@ -53,3 +53,27 @@ def test_odd_rows(spark, odd, none):
     )
     assert set(pairs(odd, items)) == {(4, 1)}
     assert pairs(none, items) == {} and pairs(odd, items.limit(0)) == {}
+
+
+def test_item_after_another_problem_of_its_form(spark):
+    """The item stands whole behind sentences of the same template with other numbers and names."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    other = "A farmer named Anna has 77 apples and sells 12 apples to Kim. How many apples does Boris have left? "
+    texts = [
+        "Some lines. " + other * 3 + "The rest is another story. " + ITEMS[0][1] + " The end.",
+        "Some lines. " + other * 3, "Some lines. " + other + "More of them. " + ITEMS[2][1],
+        ITEMS[0][1] + " " + other,
+    ]
+    found = pairs(docs_of(spark, texts), items)
+    assert found[(0, 1)] is True and found[(3, 1)] is True and found[(2, 3)] is True
+    assert (1, 1) not in found and (2, 1) not in found
+
+
+def test_item_with_a_word_put_in(spark):
+    """Windows before and behind the word meet at two alignments; an earlier problem shares some of them."""
+    item = "A baker named Ruth has 40 loaves in the shop and gives 9 loaves to Omar before the clock in the tower of the town strikes noon. "
+    item += "Then a woman named Edith walks in and asks for 3 loaves with seeds, so how many loaves stay on the long shelf of the shop that day?"
+    other = "A baker named Ivan has 88 loaves in the shop and gives 5 loaves to Lena before the clock in the tower of the town strikes noon. "
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    put_in = item.replace("Then a woman", "Then suddenly a woman")
+    assert pairs(docs_of(spark, [other + put_in, put_in, other]), items) == {(0, 1): True, (1, 1): True}
