@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.hashing import LOWER, NOT_ALNUM, Words, byte_set, mix, pair, split_words
+from caseweave.llm.hashing import _BASE, _INVERSE, LOWER, NOT_ALNUM, Words, _power, byte_set, mix, pair, split_words
 from caseweave.llm.shared import whole_text
 from caseweave.session import materialise
 
@@ -134,7 +134,7 @@ def _window_rows(
 ) -> Iterator[pa.RecordBatch]:
     """(id, place, windows, hash, slots) of a batch's windows; ``only`` is a filter on hashes.
 
-    ``whole`` set: each text makes windows of that size, or, if it is shorter, one of all its words.
+    ``windows`` counts the text's windows of that size.  ``whole`` set: each text makes windows of that size, or, if it is shorter, one of all its words.
     """
     ids = batch.column("id")
     for words in split_words(batch.column("text"), NOT_ALNUM, lower=False):
@@ -143,6 +143,7 @@ def _window_rows(
         for k in sizes:
             hashes, places = template_windows(t, k)
             owner = np.searchsorted(t.first, places, side="right") - 1
+            usable = np.bincount(owner, minlength=words.texts)
             # Empty texts share the place of the next text's first word.
             use = np.ones(len(places), bool)
             if whole is not None:
@@ -159,7 +160,7 @@ def _window_rows(
             lengths = np.concatenate([[0], np.cumsum(filled.sum(axis=1))])
             yield pa.RecordBatch.from_arrays([
                 ids.take(pa.array(words.row + owner)), pa.array(places - t.first[owner]),
-                pa.array((counts[owner] - k + 1).astype(np.int64)), pa.array(hashes.astype(np.int64)),
+                pa.array(usable[owner].astype(np.int64)), pa.array(hashes.astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(slots)),
             ], names=["id", "place", "windows", "hash", "slots"])
 
@@ -174,6 +175,79 @@ def windows_of(rows: DataFrame, sizes: tuple[int, ...], only: bytes | None = Non
     return rows.mapInArrow(made, f"id {kind}, place long, windows long, hash long, slots array<long>")
 
 
+#: Words at the head of a sequence by which its places are found.
+HEAD_WORDS = 8
+
+
+def _runs(sums: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words that begin at ``places``, from running sums."""
+    inside = (sums[places + sizes] - sums[places]) * _power(_INVERSE, len(sums))[places]
+    return mix(inside ^ mix(sizes.astype(np.uint64), 7))
+
+
+def _word_sums(words: Words) -> np.ndarray:
+    sums = np.zeros(len(words.hashes) + 1, np.uint64)
+    np.cumsum(words.hashes * _power(_BASE, len(words.hashes)), out=sums[1:])
+    return sums
+
+
+def sequences_of(items: DataFrame, shortest: int, window: int) -> DataFrame:
+    """(id, size, head, hash) of the texts that have words, but no window: their lower-case words in order."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in split_words(batch.column("text"), NOT_ALNUM, lower=False):
+                t = template(words)
+                lost = np.diff(words.first) > 0
+                for k in range(shortest, window + 1):
+                    owner = np.searchsorted(t.first, template_windows(t, k)[1], side="right") - 1
+                    lost[owner[np.minimum(np.diff(t.first)[owner], window) == k]] = False
+                if not lost.any():
+                    continue
+                own = np.flatnonzero(lost)
+                words.hashes = _rehash(words, LOWER[words.data])
+                sums, at, sizes = _word_sums(words), words.first[own], np.diff(words.first)[own]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").take(pa.array(words.row + own)), pa.array(sizes.astype(np.int64)),
+                    pa.array(_runs(sums, at, np.minimum(sizes, HEAD_WORDS)).astype(np.int64)),
+                    pa.array(_runs(sums, at, sizes).astype(np.int64)),
+                ], names=["id", "size", "head", "hash"])
+
+    kind = dict(items.dtypes)["id"]
+    return items.mapInArrow(made, f"id {kind}, size long, head long, hash long")
+
+
+def sequences_in(rows: DataFrame, sizes: list[int], heads: bytes, only: bytes) -> DataFrame:
+    """(id, hash) of the runs of ``sizes`` words that pass both filters, of their heads and of the whole."""
+
+    def passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        bit = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (filter_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_head, by_whole = np.frombuffer(heads, dtype=np.uint8), np.frombuffer(only, dtype=np.uint8)
+        for batch in batches:
+            for words in split_words(batch.column("text"), NOT_ALNUM, lower=True):
+                sums, n = _word_sums(words), len(words.hashes)
+                left = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(n)  # words up to the text's end
+                for head in sorted({min(size, HEAD_WORDS) for size in sizes}):
+                    places = np.flatnonzero(left >= head)
+                    places = places[passes(by_head, _runs(sums, places, np.full(len(places), head)))]
+                    for size in sizes:
+                        if min(size, HEAD_WORDS) != head:
+                            continue
+                        at = places[left[places] >= size]
+                        hashes = _runs(sums, at, np.full(len(at), size))
+                        use = passes(by_whole, hashes)
+                        owner = np.searchsorted(words.first, at[use], side="right") - 1
+                        yield pa.RecordBatch.from_arrays([
+                            batch.column("id").take(pa.array(words.row + owner)), pa.array(hashes[use].astype(np.int64)),
+                        ], names=["id", "hash"])
+
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(made, f"id {kind}, hash long")
+
+
 def hash_filter(windows: DataFrame) -> bytes:
     """A bitmap of fixed size in which the first bits of every hash are set; one bitmap per task is merged."""
 
@@ -202,8 +276,9 @@ def find_contamination(
     Windows meet at an alignment, the place in the document less that in the item.  Each alignment is judged
     on its own, with the nearest meeting of each window up to ``drift`` words off; so is the document as a
     whole, with the first meeting of each window.  One that passes is enough.
-    An item of fewer template words is one window of all its words; below ``shortest`` words it isn't
-    looked for.  Null and empty texts hold and contain nothing; rows of one id count together.
+    Windows of more placeholders than other words don't count.  An item of fewer template words is one window of
+    all its words; one below ``shortest`` words, or without a window that counts, is looked for as it is
+    written, by its lower-case words in order.  Null and empty texts hold and contain nothing; rows of one id count together.
     """
     items = benchmark.select(F.col("item_id").alias("id"), whole_text().alias("text"))
     sizes = tuple(range(shortest, window + 1))
@@ -250,4 +325,16 @@ def find_contamination(
     best = judged.groupBy("doc_id", "item_id").agg(
         F.max(F.struct(F.coalesce("exact", F.lit(True)).alias("exact"), "n_found", "n_windows")).alias("b")
     )
-    return best.select("doc_id", "item_id", "b.n_found", "b.n_windows", "b.exact")
+    found = best.select("doc_id", "item_id", "b.n_found", "b.n_windows", "b.exact")
+    bare = materialise(sequences_of(items, shortest, window))
+    lengths = sorted(r["size"] for r in bare.select("size").distinct().collect())
+    if not lengths:
+        return found
+    runs = sequences_in(own, lengths, hash_filter(bare.select(F.col("head").alias("hash"))), hash_filter(bare))
+    one = F.lit(1).cast("long")
+    written = runs.withColumnRenamed("id", "doc_id").distinct().join(
+        bare.select(F.col("id").alias("item_id"), "hash"), "hash"
+    ).select("doc_id", "item_id", one.alias("n_found"), one.alias("n_windows"), F.lit(True).alias("exact"))
+    return found.unionByName(written).groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("exact", "n_found", "n_windows")).alias("b")
+    ).select("doc_id", "item_id", "b.n_found", "b.n_windows", "b.exact")

@@ -77,3 +77,20 @@ def test_item_with_a_word_put_in(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     put_in = item.replace("Then a woman", "Then suddenly a woman")
     assert pairs(docs_of(spark, [other + put_in, put_in, other]), items) == {(0, 1): True, (1, 1): True}
+
+
+def test_items_of_names_and_numbers_and_short_ones(spark):
+    """Few or no windows of such items count; as they are written they are found nevertheless."""
+    table = "Ann 3 kg Bob 5 kg Carl 7 kg Dora 9 kg Emil 11 kg Fritz 13 kg Gerd 15 kg"
+    mixed = table + " and the whole of it was put on the old scale by the door of the mill"
+    items = spark.createDataFrame(
+        [(1, table), (2, mixed), (3, "speed of light"), (4, "Yes"), (5, "12, 13, 14, 15 and 16"), (6, "..."), (7, "")],
+        "item_id long, text string",
+    )
+    texts = [
+        "Weights: " + table + ". End.", "so " + mixed + " again", "The Speed of Light, 12 13 14 15 and 16.",
+        table.replace("7", "8"), "the speed of the light; yesterday 12 13 14 15 and", "yes", "",
+    ]
+    found = find_contamination(docs_of(spark, texts), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 1), (1, 1), (1, 2), (2, 3), (2, 5), (5, 4)}
+    assert all(r.exact and r.n_found == r.n_windows for r in found)
