@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.shared import whole_text
+from caseweave.llm.shared import written as stored
 from caseweave.session import materialise
 
 # Fixed patterns.  Possessive repeats keep them linear: no repeat can give back what the next part needs.
@@ -113,9 +113,10 @@ def written(spans: Column) -> Column:
 def disclosing_terms(
     rows: DataFrame, texts: DataFrame, reach: int = 200, min_contexts: int = 3, min_length: int = 3, disclosure: float = 0.9
 ) -> DataFrame:
-    """(_row, start, end): words within ``reach`` characters of an entity that disclose it.
+    """(_row, start, end): every place of a word that discloses an entity, whatever text it is in.
 
-    ``rows`` has _row, text and base spans of the texts with entities, ``texts`` the texts of the whole corpus.
+    ``rows`` has _row, text and base spans of the texts with entities, ``texts`` those of the whole corpus.  The
+    words come from within ``reach`` characters of an entity.
     With n(t) all occurrences of a word, n(t, e) those near the entity e, and p(e) the share of all
     counted words near e, disclosure = 1 - log(n(t) / n(t, e)) / -log p(e).  A word needs
     ``min_contexts`` different surroundings of the same entity, so one text, or any number of its exact
@@ -145,13 +146,9 @@ def disclosing_terms(
     )
     maybe = materialise(together.where(F.col("contexts") >= min_contexts))
     mask = _word_filter(maybe)
-    bit = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << FILTER_BITS))
-    listed = F.split(F.lit(",".join(map(str, mask))), ",").cast("array<bigint>")  # folded to a constant
     split_words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     counted = (
-        texts.select(F.explode(F.filter(split_words, lambda w: F.getbit(
-            F.get(listed, F.shiftright(bit(w), 6).cast("int")), bit(w).cast("int") % 64
-        ) == 1)).alias("term"))
+        texts.select(F.explode(F.filter(split_words, _marked(mask))).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("all"))
     )
     around = places.groupBy("entity").agg(F.countDistinct("_row", "start").alias("near"))
@@ -161,9 +158,28 @@ def disclosing_terms(
     strong = (
         maybe.join(counted, "term").join(around, "entity")
         .where(1 - F.log(F.greatest(F.lit(1.0), F.col("all") / F.col("both"))) / share >= disclosure)
-        .select("entity", "term")
+        .select("term").distinct()
+    )
+    strong = materialise(strong)
+    told = _marked(_word_filter(strong))
+    hits = texts.where(F.exists(split_words, told)).select(
+        "_row", "base", F.explode(spans_of(F.col("text"), WORD, lambda v: told(F.lower(v)))).alias("w")
+    ).select("_row", "base", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    return (
+        hits.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+        .join(strong, "term", "left_semi").select("_row", "start", "end")
     )
-    return places.join(strong, ["entity", "term"], "left_semi").select("_row", "start", "end").distinct()
+
+
+def _marked(mask: list[int]) -> Callable[[Column], Column]:
+    """The test that a word's bit is set in a bitmap of ``_word_filter``."""
+    listed = F.split(F.lit(",".join(map(str, mask))), ",").cast("array<bigint>")  # folded to a constant
+
+    def test(w: Column) -> Column:
+        bit = F.pmod(F.xxhash64(w), F.lit(1 << FILTER_BITS))
+        return F.getbit(F.get(listed, F.shiftright(bit, 6).cast("int")), bit.cast("int") % 64) == 1
+
+    return test
 
 
 def _word_filter(terms: DataFrame) -> list[int]:
@@ -184,17 +200,18 @@ def find_personal_data(docs: DataFrame, **disclosure) -> DataFrame:
     A null text counts as empty and has no span.  Matches of different kinds may overlap; terms never
     overlap a base span.  ``disclosure`` goes to ``disclosing_terms``.
     """
-    own = docs.select("doc_id", whole_text().alias("text"))
-    rows = materialise(
-        own.withColumn("base", base_spans("text")).withColumn("_row", F.monotonically_increasing_id())
-        .select("_row", "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
+    # Written, for the whole texts are read again, and a row must keep its number.
+    rows = stored(
+        docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        .withColumn("base", base_spans("text")).withColumn("_row", F.monotonically_increasing_id()), "pii"
     )
     terms = (
-        disclosing_terms(rows.where(F.col("text").isNotNull()), own.select("text"), **disclosure)
+        disclosing_terms(rows.where(F.size("base") > 0), rows, **disclosure)
         .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
             F.lit("term").alias("kind"), "start", "end"
         ))).alias("terms"))
     )
+    rows = rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
     return rows.join(terms, "_row", "left").withColumn(
         "terms", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     )

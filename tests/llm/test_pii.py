@@ -94,3 +94,16 @@ def test_sanitised_text(spark):
     out = find_personal_data(docs).withColumn("whole", F.coalesce("text", F.lit("")))
     texts = {r.doc_id: r.t for r in out.select("doc_id", sanitised(F.col("whole"), F.col("base")).alias("t")).collect()}
     assert texts == {1: "write to [EMAIL] or [IP] now", 2: "", 3: "[IP]@x.yy"} or texts[1] == "write to [EMAIL] or [IP] now"
+
+
+def test_terms_away_from_the_entity(spark):
+    """What discloses an entity is a span far off in the same text, too, and in texts without any match."""
+    rows = [(i, f"note {i} from the zebrafish project by kim@lab.example.org about item {i * 31}") for i in range(6)]
+    rows += [(100 + i, f"the project of the other people number {i} is about the garden") for i in range(300)]
+    rows[0] = (0, rows[0][1] + " and so on" * 40 + " (Zebrafish)")
+    rows += [(700, "Here the 😀 ZEBRAFISH stands alone, no zebrafishes."), (701, None), (702, "")]
+    found = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    words = lambda d: [texts[d][t["start"] : t["end"]] for t in found[d].terms]
+    assert [w for w in words(0) if w.lower() == "zebrafish"] == ["zebrafish", "Zebrafish"] and words(700) == ["ZEBRAFISH"]
+    assert not found[701].terms and not found[702].terms and len(found) == len(rows)
