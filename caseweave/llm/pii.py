@@ -195,9 +195,9 @@ def _word_filter(terms: DataFrame) -> list[int]:
 
 
 def find_personal_data(docs: DataFrame, **disclosure) -> DataFrame:
-    """Per row: doc_id, text, base and terms, the spans of the patterns and of disclosing terms.
+    """Per row: doc_id, the whole text, base and terms, the spans of the patterns and of disclosing terms.
 
-    A null text counts as empty and has no span.  Matches of different kinds may overlap; terms never
+    A null text stays null and has no span.  Matches of different kinds may overlap; terms never
     overlap a base span.  ``disclosure`` goes to ``disclosing_terms``.
     """
     # Written, for the whole texts are read again, and a row must keep its number.
@@ -211,7 +211,6 @@ def find_personal_data(docs: DataFrame, **disclosure) -> DataFrame:
             F.lit("term").alias("kind"), "start", "end"
         ))).alias("terms"))
     )
-    rows = rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
     return rows.join(terms, "_row", "left").withColumn(
         "terms", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     )
@@ -234,6 +233,13 @@ def sanitised(text: Column, spans: Column) -> Column:
     ))
 
 
+def sanitise(docs: DataFrame, **disclosure) -> DataFrame:
+    """Per row: doc_id and the text with base and term spans generalised; texts without a span are unchanged."""
+    found = find_personal_data(docs, **disclosure)
+    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select("doc_id", sanitised(F.col("text"), F.concat(plain, F.col("terms"))).alias("text"))
+
+
 def personal_data_digest(docs: DataFrame, **disclosure) -> DataFrame:
     """Per document: counts by kind, the hash of the base spans, and all spans as text."""
     found = find_personal_data(docs, **disclosure)

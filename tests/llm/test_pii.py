@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from caseweave.llm.pii import find_personal_data, personal_data_digest, sanitised
+from caseweave.llm.pii import find_personal_data, personal_data_digest, sanitise, sanitised
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -107,3 +107,15 @@ def test_terms_away_from_the_entity(spark):
     words = lambda d: [texts[d][t["start"] : t["end"]] for t in found[d].terms]
     assert [w for w in words(0) if w.lower() == "zebrafish"] == ["zebrafish", "Zebrafish"] and words(700) == ["ZEBRAFISH"]
     assert not found[701].terms and not found[702].terms and len(found) == len(rows)
+
+
+def test_clean_texts_stay_whole(spark):
+    """Every row keeps its text; the sanitised text of a row without spans is the text itself."""
+    rows = [(i, f"note {i} from the zebrafish project by kim@lab.example.org about item {i * 31}") for i in range(6)]
+    rows += [(100 + i, f"the project of the other people number {i} is about the garden") for i in range(300)]
+    rows += [(700, "Only a Zebrafish here."), (701, None), (702, ""), (703, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in find_personal_data(docs).collect()} == dict(rows)
+    clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert clean[700] == "Only a [TERM] here." and "[EMAIL]" in clean[3] and "zebrafish" not in clean[3]
+    assert all(clean[d] == t for d, t in rows if 100 <= d < 400 or d > 700)
