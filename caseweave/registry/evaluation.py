@@ -54,7 +54,7 @@ def _(t):
 @case("m3_boosted")
 def _(t):
     train, test = train_and_test(t)
-    model = ev.train_boosted(train, NAMES, "readmitted_30d", rounds=20, depth=4)
+    model = ev.train_boosted(train, NAMES, "readmitted_30d", depth=4)
     scores = ev.predicted(model, test, NAMES)
     return ev.areas(ev.curve(scores, "readmitted_30d"))
 
@@ -137,7 +137,7 @@ def _(t):
 
 @case("m10_bootstrap_difference")
 def _(t):
-    return ev.compare_areas(t.scored, "row_id", "label", "score_a", "score_b", replicates=200)
+    return ev.compare_areas(t.scored, "row_id", "label", "score_a", "score_b")
 
 
 @case("m11_compared_scores", "WITH" + _curve_sql("score_a") + f"""
@@ -194,7 +194,7 @@ def _(t):
 
 @case("e1_boosted_means")
 def _(t):
-    return cs.boosted_means(frame(t), ["age", "gender_M"], "peak", 3, rounds=3, depth=3)
+    return cs.boosted_means(frame(t), ["age", "gender_M"], "peak", 3, depth=3)
 
 
 @case("e2_s_learner", PEAK_SQL + """
@@ -274,19 +274,19 @@ def _(t):
 @case("e7_estimate")
 def _(t):
     return cs.estimate(
-        frame(t), ["age", "gender_M"], "peak", LABELS, learner="s_learner", replicates=20
+        frame(t), ["age", "gender_M"], "peak", LABELS, learner="s_learner"
     )
 
 
 @case("e7_narrowed")
 def _(t):
     return cs.estimate(
-        frame(t), ["age", "gender_M"], "peak", LABELS, replicates=20, within=members(t)
+        frame(t), ["age", "gender_M"], "peak", LABELS, within=members(t)
     )
 
 
 @case("e7_estimate_binary")
 def _(t):
     return cs.estimate(
-        frame(t), ["age", "gender_M"], "died", LABELS, kind="binary", replicates=5
+        frame(t), ["age", "gender_M"], "died", LABELS, kind="binary"
     )

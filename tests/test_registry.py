@@ -32,3 +32,29 @@ def test_sample(spark, name):
     want = rows_of(columns, cursor.fetchall())
     frame = entry.queries()[name](spark, FOLDER)
     assert want and rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == want
+
+
+def test_published_counts(spark, monkeypatch):
+    """Queries without a SQL check of their own count draw as often, and boost as long, as published."""
+    import inspect
+
+    from caseweave.operators import causal, evaluation
+
+    class Asked(Exception):
+        pass
+
+    def stop(f):
+        def asked(*args, **kwargs):
+            bound = inspect.signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            raise Asked(bound.arguments.get("replicates", bound.arguments.get("rounds")))
+        return asked
+
+    for module, name in ((causal, "estimate"), (causal, "boosted_means"), (evaluation, "compare_areas"), (evaluation, "train_boosted")):
+        monkeypatch.setattr(module, name, stop(getattr(module, name)))
+    got = {}
+    for name in ("e7_estimate", "e7_narrowed", "e7_estimate_binary", "e1_boosted_means", "m3_boosted", "m10_bootstrap_difference"):
+        with pytest.raises(Asked) as asked:
+            entry.queries()[name](spark, "/root/testdata/sf0.001")
+        got[name] = asked.value.args[0]
+    assert list(got.values()) == [200, 200, 200, 200, 100, 1000]
