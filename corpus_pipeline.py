@@ -32,19 +32,46 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With _key, the id as text, or for rows without an id a hash of the text; equal texts without an id share it."""
+    own = F.concat(F.lit("i"), F.col("doc_id").cast("string"))
+    text = F.concat(F.lit("t"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return docs.withColumn("_key", F.coalesce(own, text))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of every group, by five-word shingles.
 
-    An id stands for one document: if any text under it is not kept, the id goes.
+    An id stands for one document: if any text under it is not kept, the id goes.  Of rows with equal id and
+    text one stays.  Rows without an id come after all ids, in the order of the hashes of their texts.
     """
-    gone = near_dedup.link_near_duplicates(docs, k=5).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = _keyed(docs)
+    # Ids as text sort otherwise than ids, so they are linked as numbers, and only then rows without an id.
+    linked = near_dedup.link_near_duplicates(docs, k=5).where(~F.col("kept"))
+    gone = linked.select(F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias("_key")).distinct()
+    left = keyed.join(gone, "_key", "left_anti")
+    if not docs.where(F.col("doc_id").isNull()).isEmpty():
+        # A first letter "i" sorts before "t": a document with an id is kept before one without.
+        linked = near_dedup.link_near_duplicates(left.where("text IS NOT NULL"), k=5, id_col="_key")
+        nameless = linked.where(~F.col("kept") & F.col("_key").startswith("t")).select("_key").distinct()
+        left = left.join(nameless, "_key", "left_anti")
+    mark = F.xxhash64("text", F.lit("row"))
+    repeated = written(
+        left.groupBy("_key", mark.alias("_mark")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key", "_mark"),
+        "repeated",
+    )
+    left = left.withColumn("_mark", mark)
+    again = left.join(repeated, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "text"])
+    once = left.join(repeated, ["_key", "_mark"], "left_anti")
+    return once.unionByName(again).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold an item of the benchmark."""
-    hit = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Drop the documents that hold an item of the benchmark; rows without an id are judged text by text."""
+    keyed = _keyed(docs)
+    rows = keyed.select(F.col("_key").alias("doc_id"), "text")
+    hit = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(hit.distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

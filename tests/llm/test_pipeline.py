@@ -77,3 +77,16 @@ def test_odd_tables(spark, odd, none):
         docs = start
         for _, stage in pipeline.STAGES:
             docs = stage(spark, docs, FOLDER).checkpoint()
+
+
+def test_rows_without_an_id_and_repeated_rows(spark):
+    """A benchmark copy without an id goes; of equal rows, and of copies without an id, one stays."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    a, b = "one two three four five six seven eight nine ten", "some other words stand in this row of the table here"
+    c = "a third text that is found nowhere else in all of the rows"
+    made = [(None, item), (None, a), (1, a), (1, a), (None, b), (None, b), (None, c), (2, "short of it")]
+    docs = spark.createDataFrame([(d, t, "en", "x", len(t)) for d, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    left = pipeline.decontaminate(spark, docs, FOLDER)
+    assert rows(left) == sorted([(d, t, "en", "x", len(t)) for d, t in made[1:]], key=repr)
+    want = [(1, a), (None, b), (None, c), (2, "short of it")]
+    assert rows(pipeline.drop_near_duplicates(spark, left, FOLDER)) == sorted([(d, t, "en", "x", len(t)) for d, t in want], key=repr)
