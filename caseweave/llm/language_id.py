@@ -18,50 +18,45 @@ from pyspark.sql import functions as F
 
 from caseweave.llm.shared import fold
 
-#: Letters below this code point have numbers of their own; others share the numbers up to _BASE.
-_DIRECT, _BASE = 1024, 1290
+#: Bits of a code point; an n-gram is up to three of them in one number.
+_BITS = 21
+#: Stands for a run of other characters; no letter has this code point.
+_BLANK = 1
 UNDETERMINED = "und"
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For every code point: 0 if it isn't a letter, else its number."""
-    numbers = np.zeros(0x110000, dtype=np.uint32)
+    """For every code point: itself if it is a letter, else the blank."""
     is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    codes = np.arange(0x110000, dtype=np.uint32)
-    numbers[is_letter] = np.where(codes < _DIRECT, codes, _DIRECT + codes % (_BASE - _DIRECT))[is_letter]
-    return numbers
+    return np.where(is_letter, np.arange(0x110000, dtype=np.int64), _BLANK)
 
 
 def text_grams(text: str | None) -> np.ndarray:
     """The n-grams of a text as numbers, with repeats; empty without a letter."""
     if not text:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letters = np.zeros(len(codes) + 2, np.uint32)
+    letters = np.full(len(codes) + 2, _BLANK, np.int64)
     letters[1:-1] = _letters()[codes]
     # Runs of other characters become one blank.
     keep = np.ones(len(letters), bool)
-    keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0)
+    keep[1:] = (letters[1:] > _BLANK) | (letters[:-1] > _BLANK)
     s = letters[keep]
     a, b, c = s[:-2], s[1:-1], s[2:]
-    singles = s[s > 0]
+    singles = s[s > _BLANK]
     if not len(singles):
-        return np.zeros(0, np.uint32)
-    pairs = s[:-1] * np.uint32(_BASE) + s[1:] + np.uint32(_BASE)
-    triples = (a * np.uint32(_BASE) + b) * np.uint32(_BASE) + c
-    # A triple may have its blank at an end only, and starts apart from pairs by its size.
-    return np.concatenate([singles, pairs, triples[(b > 0) & ((a > 0) | (c > 0))] + np.uint32(_BASE * (_BASE + 2))])
+        return np.zeros(0, np.int64)
+    pairs = s[:-1] << _BITS | s[1:]
+    triples = a << 2 * _BITS | b << _BITS | c
+    # A triple may have its blank at an end only; as a blank isn't 0, n-grams of unlike lengths differ.
+    return np.concatenate([singles, pairs, triples[(b > _BLANK) & ((a > _BLANK) | (c > _BLANK))]])
 
 
 def most_frequent(grams: np.ndarray, k: int) -> np.ndarray:
     """Up to ``k`` n-grams, most frequent first, equal counts by number."""
     values, counts = np.unique(grams, return_counts=True)
-    keys = (counts.astype(np.int64) << 32) | (0xFFFFFFFF - values.astype(np.int64))
-    if len(keys) > k:
-        keys = np.partition(keys, len(keys) - k)[len(keys) - k :]
-    keys[::-1].sort()
-    return (0xFFFFFFFF - (keys & 0xFFFFFFFF)).astype(np.uint32)
+    return values[np.argsort(-counts, kind="stable")[:k]]
 
 
 @dataclass(frozen=True)
@@ -135,10 +130,10 @@ def learn_profiles(docs: DataFrame, size: int = 300, lang_col: str = "lang", tex
     if not top:
         return None
     languages = tuple(sorted({r["lang"] for r in top}))
-    grams = np.array(sorted({r["gram"] for r in top}), dtype=np.uint32)
+    grams = np.array(sorted({r["gram"] for r in top}), dtype=np.int64)
     ranks = np.full((len(grams), len(languages)), size, dtype=np.int64)
     for r in top:
-        ranks[np.searchsorted(grams, np.uint32(r["gram"])), languages.index(r["lang"])] = r["rank"] - 1
+        ranks[np.searchsorted(grams, r["gram"]), languages.index(r["lang"])] = r["rank"] - 1
     return Profiles(languages, grams, ranks, size)
 
 

@@ -39,3 +39,12 @@ def test_documents(spark, odd, none):
 
 def test_nothing_learned():
     assert identify("text", Profiles(("a",), np.array([1], np.uint32), np.array([[0]]), 3))[0] == "a"
+
+
+def test_letters_of_large_scripts_are_told_apart():
+    """Two Han letters, and a Han and a Hangul letter, 266 code points apart, are different n-grams."""
+    from caseweave.llm.language_id import text_grams
+
+    for a, b in ((0x4E00, 0x4E00 + 266), (0x4E00, 0x4E00 + 266 * 100)):
+        one, other = (set(text_grams(chr(x)).tolist()) for x in (a, b))
+        assert len(one) == 3 and not one & other
