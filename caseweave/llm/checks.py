@@ -30,3 +30,50 @@ WITH RECURSIVE own AS (
 SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, l.component_id = s.doc_id AS kept
 FROM sets s JOIN least_of l USING (doc_id)
 """
+
+#: The CRC-32 of a text whose code points are below 256, as one number; ``{text}`` stands for it, ``crc.t`` for the table of bytes.
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+
+
+def _crc32(text: str) -> str:
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)] ELSE [192 + (ord(ch) >> 6), 128 + (ord(ch) & 63)] END))"
+    steps = f"list_reduce(list_concat([4294967295], list_transform({codes}, lambda b: b::BIGINT)), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)]))"
+    return f"xor({steps}, 4294967295)"
+
+
+#: Near words by equal (before, after) parts around one letter, or equality after a letter is taken out.
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'),
+    lambda r: translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run FROM documents
+), counted AS (
+  SELECT d, run, count(*) AS n FROM runs GROUP BY ALL
+), drawn AS (
+  SELECT run, n, {_crc32("d || ':' || run")} AS h FROM counted, crc
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+    sum(n)::BIGINT AS n FROM drawn GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5
+), parts AS (
+  SELECT word, substr(word, 1, i) || '$' || substr(word, i + 2) AS p, substr(word, 1, i) || substr(word, i + 2) AS less
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM parts a JOIN parts b ON a.p = b.p AND a.word <> b.word
+  UNION SELECT word, less FROM parts WHERE less IN (SELECT word FROM words)
+  UNION SELECT less, word FROM parts WHERE less IN (SELECT word FROM words)
+), best AS (
+  SELECT a, count(*) AS n_near, arg_max(b, (n, -place)) AS b, max(n) AS b_n
+  FROM near JOIN (SELECT word, n, row_number() OVER (ORDER BY word) AS place FROM words) w ON w.word = b GROUP BY a
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 2 * n THEN b END AS form,
+    CASE WHEN b_n >= 2 * n THEN b_n END AS form_n
+  FROM words LEFT JOIN best ON a = word
+), way AS (
+  SELECT word, word AS at_, form AS next FROM forms
+  UNION ALL SELECT way.word, way.next, f.form FROM way JOIN forms f ON f.word = way.next
+)
+SELECT f.word, f.form, way.at_ AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN way ON way.word = f.word AND way.next IS NULL
+"""

@@ -17,6 +17,7 @@ from caseweave.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    spelling,
     toxicity,
 )
 from caseweave.llm.shared import table
@@ -71,11 +72,17 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_pii,
-        op7_near_dedup, op8_language_id, op9_decontamination, op10_sharding,
+        op7_near_dedup, op8_language_id, op9_decontamination, op10_sharding, op13_spelling_variants,
     )
 }
-CHECKS: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op7_near_dedup": checks.NEAR_DEDUP}
+CHECKS: dict[str, str] = {
+    "op5_line_dedup": line_dedup.SQL, "op7_near_dedup": checks.NEAR_DEDUP, "op13_spelling_variants": checks.SPELLING,
+}
