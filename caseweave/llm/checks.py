@@ -77,3 +77,61 @@ WITH RECURSIVE {_CRC_TABLE}, runs AS (
 SELECT f.word, f.form, way.at_ AS root, f.n, f.n_near, f.form_n
 FROM forms f JOIN way ON way.word = f.word AND way.next IS NULL
 """
+
+#: The same hashes, bins and draws in lists, over texts and edited texts alike.
+FINGERPRINTS = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), paired AS (
+  SELECT doc_id, text, length(text) AS n, length(text) // 3 AS third, coalesce(lead(doc_id) OVER d, first_value(doc_id) OVER d) AS next_id,
+    coalesce(lead(text) OVER d, first_value(text) OVER d) AS next_text
+  FROM docs WINDOW d AS (ORDER BY doc_id DESC)
+), changed AS (
+  SELECT *, substr(text, 1, n - third) || substr(next_text, 1, third) AS edited FROM paired
+), texts AS (
+  SELECT DISTINCT text FROM changed UNION SELECT edited FROM changed
+), words AS (
+  SELECT text, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts
+), hashed AS (
+  SELECT text, len(w) AS n, list_sort(list_concat(
+    CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' ')))
+      WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END,
+    list_transform(range(256), lambda b: printf('%02xg', b)))) AS s
+  FROM words
+), entries AS (
+  SELECT text, unnest(s) AS x FROM hashed WHERE n > 0
+), bins AS (
+  SELECT text, instr('0123456789abcdef', x[1]) * 16 + instr('0123456789abcdef', x[2]) - 17 AS b, min(x) AS x FROM entries GROUP BY ALL
+), filled AS (
+  SELECT text, list(CASE WHEN length(x) = 32 THEN x END ORDER BY b) AS v FROM bins GROUP BY text
+), probes AS (
+  SELECT list_transform(range(256), lambda i: list_transform(range(16), lambda t:
+    instr('0123456789abcdef', md5(i || ':' || t)[1]) * 16 + instr('0123456789abcdef', md5(i || ':' || t)[2]) - 17)) AS p
+), empties AS (
+  SELECT text, unnest(list_filter(range(256), lambda i: v[i + 1] IS NULL)) AS i FROM filled
+), lent AS (
+  SELECT e.text, e.i, list_filter(list_transform(p[e.i + 1], lambda q: v[q + 1]), lambda x: x IS NOT NULL)[1] AS x
+  FROM empties e JOIN filled f ON e.text = f.text, probes
+), late AS (
+  SELECT l.text, l.i, min(md5(l.i || '/' || b.b) || b.x)[33:64] AS x
+  FROM lent l JOIN bins b ON b.text = l.text AND length(b.x) = 32 WHERE l.x IS NULL GROUP BY ALL
+), borrowed AS (
+  SELECT text, i, x FROM lent WHERE x IS NOT NULL UNION ALL SELECT text, i, x FROM late
+), digits AS (
+  SELECT text, b AS i, x[32] AS digit FROM bins WHERE length(x) = 32
+  UNION ALL SELECT text, i, md5(x || ':' || i)[32] FROM borrowed
+), prints AS (
+  SELECT text, string_agg(digit, '' ORDER BY i) AS f FROM digits GROUP BY text
+), named AS (
+  SELECT c.doc_id, c.n, sha256(c.edited) AS edited_sha256, coalesce(a.f, '') AS fingerprint,
+    coalesce(e.f, '') AS edited_fingerprint, coalesce(x.f, '') AS next_fingerprint
+  FROM changed c LEFT JOIN prints a ON a.text = c.text LEFT JOIN prints e ON e.text = c.edited LEFT JOIN prints x ON x.text = c.next_text
+), counted AS (
+  SELECT *, len(list_filter(range(1, 257), lambda i: fingerprint[i] = edited_fingerprint[i])) AS m,
+    len(list_filter(range(1, 257), lambda i: fingerprint[i] = next_fingerprint[i])) AS o FROM named
+)
+SELECT doc_id, n AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = '' OR edited_fingerprint = '' THEN (fingerprint = edited_fingerprint)::DOUBLE ELSE greatest(0.0::DOUBLE, (m - 16) / 240.0::DOUBLE) END AS near_edited,
+  CASE WHEN fingerprint = '' OR next_fingerprint = '' THEN (fingerprint = next_fingerprint)::DOUBLE ELSE greatest(0.0::DOUBLE, (o - 16) / 240.0::DOUBLE) END AS near_next
+FROM counted
+"""

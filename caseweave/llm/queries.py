@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from caseweave.llm import (
     checks,
     decontamination,
+    fingerprints,
     language_id,
     line_dedup,
     near_dedup,
@@ -72,6 +73,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.group_spellings(table(spark, folder, "documents"))
 
@@ -80,9 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_pii,
-        op7_near_dedup, op8_language_id, op9_decontamination, op10_sharding, op13_spelling_variants,
+        op7_near_dedup, op8_language_id, op9_decontamination, op10_sharding, op12_fingerprints, op13_spelling_variants,
     )
 }
 CHECKS: dict[str, str] = {
-    "op5_line_dedup": line_dedup.SQL, "op7_near_dedup": checks.NEAR_DEDUP, "op13_spelling_variants": checks.SPELLING,
+    "op5_line_dedup": line_dedup.SQL, "op7_near_dedup": checks.NEAR_DEDUP, "op12_fingerprints": checks.FINGERPRINTS,
+    "op13_spelling_variants": checks.SPELLING,
 }
