@@ -135,3 +135,39 @@ SELECT doc_id, n AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
   CASE WHEN fingerprint = '' OR next_fingerprint = '' THEN (fingerprint = next_fingerprint)::DOUBLE ELSE greatest(0.0::DOUBLE, (o - 16) / 240.0::DOUBLE) END AS near_next
 FROM counted
 """
+
+#: A prefix is the sequence of 64 hex digits per turn; a node's subtree is every node that begins with it.
+PREFIX_TRIE = f"""
+WITH {_CRC_TABLE}, turns AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), plan AS (
+  SELECT c, c - c % 5 AS base, {_crc32("c::VARCHAR")} % 9 AS h, n FROM (SELECT conv_id AS c, count(*) AS n FROM turns GROUP BY 1), crc
+), sized AS (
+  SELECT p.c, p.base, p.h, p.n, least(p.h, coalesce(b.n, 0)) AS taken FROM plan p LEFT JOIN plan b ON b.c = p.base
+), rebuilt AS (
+  SELECT c, p AS d, t, text FROM sized JOIN turns ON conv_id = base AND p <= taken
+  UNION ALL SELECT c, p - h + taken, t, text FROM sized JOIN turns ON conv_id = c AND p > h
+), keyed AS (
+  SELECT c, d, text, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS key FROM rebuilt
+  UNION ALL SELECT c, 0, '', '' FROM sized
+), nodes AS (
+  SELECT key, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(strlen(text)) AS saved
+  FROM keyed GROUP BY ALL
+), ends AS (
+  SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM keyed
+  WHERE d = (SELECT taken + greatest(n - h, 0) FROM sized WHERE sized.c = keyed.c) GROUP BY key
+), children AS (
+  SELECT left(key, 64 * (depth - 1)::INT) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (key)
+), totals AS (
+  SELECT left(key, 64 * up) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1))::INT AS up FROM full_nodes) GROUP BY 1
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, t.n_leaves, t.saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_nodes f JOIN totals t USING (key) LEFT JOIN ends e USING (key)
+LEFT JOIN full_nodes p ON f.depth > 0 AND p.key = left(f.key, 64 * (f.depth - 1)::INT)
+"""

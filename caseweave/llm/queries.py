@@ -15,6 +15,7 @@ from caseweave.llm import (
     near_dedup,
     packing,
     pii,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sharding,
@@ -73,6 +74,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
 
@@ -85,10 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_pii,
-        op7_near_dedup, op8_language_id, op9_decontamination, op10_sharding, op12_fingerprints, op13_spelling_variants,
+        op7_near_dedup, op8_language_id, op9_decontamination, op10_sharding, op11_prefix_trie, op12_fingerprints, op13_spelling_variants,
     )
 }
 CHECKS: dict[str, str] = {
-    "op5_line_dedup": line_dedup.SQL, "op7_near_dedup": checks.NEAR_DEDUP, "op12_fingerprints": checks.FINGERPRINTS,
+    "op5_line_dedup": line_dedup.SQL, "op7_near_dedup": checks.NEAR_DEDUP, "op11_prefix_trie": checks.PREFIX_TRIE,
+    "op12_fingerprints": checks.FINGERPRINTS,
     "op13_spelling_variants": checks.SPELLING,
 }
