@@ -157,7 +157,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
     )
 
 
-#: What a node carries and passes on; ``k`` children are left, ``kc`` and ``kd`` are the exclusive or of their ids.
+#: What a node carries and passes on.
 _CARRIED = ("leaves", "saved")
 
 
@@ -168,81 +168,83 @@ def _coin(c: str, d: str, turn: int, bits: int) -> Column:
     return F.xxhash64(F.col(c), F.col(d), F.lit(turn)).bitwiseAND(F.lit(1))
 
 
-def _told(nodes: DataFrame, messages: DataFrame) -> DataFrame:
-    """``nodes`` after the sums of the ``messages`` (tc, td, dk, xc, xd, leaves, saved, up_c, up_d) to each."""
-    sums = messages.groupBy("tc", "td").agg(
-        F.sum("dk").alias("m_dk"), F.bit_xor("xc").alias("m_xc"), F.bit_xor("xd").alias("m_xd"),
-        *[F.sum(x).alias(f"m_{x}") for x in _CARRIED], F.max("up_c").alias("m_up_c"), F.max("up_d").alias("m_up_d"),
+#: Nodes that one task of a round works on.
+_NODES_PER_TASK = 250_000
+
+
+def _message(target: tuple[str, str], minus: int = 0, out: Column | None = None, into: Column | None = None,
+             carry: bool = True, up: tuple[str, str] | None = None) -> Column:
+    """What a node tells another: fewer children, changes of the exclusive or, sums to add, a new parent."""
+    none, nought = F.lit(None).cast("long"), F.lit(0).cast("long")
+    change = lambda x: F.lit(0).cast("long") if x is None else x
+    return F.struct(
+        F.col(target[0]).alias("c"), F.col(target[1]).alias("d"), none.alias("pc"), none.alias("pd"),
+        F.lit(-minus).cast("long").alias("k"), change(out).alias("kc"), change(into).alias("kd"),
+        *[(F.col(x) if carry else nought).alias(x) for x in _CARRIED],
+        F.lit(None).cast("int").alias("status"),
+        *[(none if up is None else F.col(u)).alias(f"new_{p}") for p, u in zip(("pc", "pd"), up or ("", ""), strict=True)],
     )
-    told = nodes.join(sums, (nodes["c"] == sums["tc"]) & (nodes["d"] == sums["td"]), "left")
-    plus = lambda x, m: F.col(x) + F.coalesce(m, F.lit(0))
-    return told.select(
-        "c", "d", F.coalesce("m_up_c", "pc").alias("pc"), F.coalesce("m_up_d", "pd").alias("pd"),
-        plus("k", "m_dk").alias("k"), *[plus(x, f"m_{x}").alias(x) for x in _CARRIED],
-        F.col("kc").bitwiseXOR(F.coalesce("m_xc", F.lit(0))).alias("kc"),
-        F.col("kd").bitwiseXOR(F.coalesce("m_xd", F.lit(0))).alias("kd"), "status",
+
+
+def _told(nodes: DataFrame, messages: DataFrame) -> DataFrame:
+    """``nodes`` after what the ``messages`` say to each: one shuffle, summed in map tasks first."""
+    own = nodes.withColumns({"new_pc": F.lit(None).cast("long"), "new_pd": F.lit(None).cast("long")})
+    return own.unionByName(messages).groupBy("c", "d").agg(
+        F.coalesce(F.max("new_pc"), F.max("pc")).alias("pc"), F.coalesce(F.max("new_pd"), F.max("pd")).alias("pd"),
+        F.sum("k").alias("k"), F.bit_xor("kc").alias("kc"), F.bit_xor("kd").alias("kd"),
+        *[F.sum(x).alias(x) for x in _CARRIED], F.max("status").alias("status"),
     )
 
 
 def _round(active: DataFrame, turn: int, bits: int) -> DataFrame:
     """One rake and one compress: the nodes with their ``status`` afterwards."""
-    active = active.withColumn("status", F.lit(ACTIVE))
-    none = F.lit(None).cast("long")
     inner = F.col("pc").isNotNull()
     leaves = active.where((F.col("k") == 0) & inner)
     raked = _told(active.where((F.col("k") > 0) | ~inner), leaves.select(
-        F.col("pc").alias("tc"), F.col("pd").alias("td"), F.lit(-1).alias("dk"), F.col("c").alias("xc"), F.col("d").alias("xd"),
-        *_CARRIED, none.alias("up_c"), none.alias("up_d"),
-    ))
+        _message(("pc", "pd"), minus=1, out=F.col("c"), into=F.col("d")).alias("m")
+    ).select("m.*"))
     chosen = (F.col("k") == 1) & inner & (_coin("c", "d", turn, bits) == 1) & (_coin("kc", "kd", turn, bits) == 0)
     marked = raked.withColumn("status", F.when(chosen, SPLICED).otherwise(ACTIVE))
-    nought = F.lit(0).cast("long")
-    to_parent = F.struct(
-        F.col("pc").alias("tc"), F.col("pd").alias("td"), F.lit(0).alias("dk"), F.col("c").bitwiseXOR(F.col("kc")).alias("xc"),
-        F.col("d").bitwiseXOR(F.col("kd")).alias("xd"), *_CARRIED, none.alias("up_c"), none.alias("up_d"),
-    )
-    to_child = F.struct(
-        F.col("kc").alias("tc"), F.col("kd").alias("td"), F.lit(0).alias("dk"), nought.alias("xc"), nought.alias("xd"),
-        *[nought.alias(x) for x in _CARRIED], F.col("pc").alias("up_c"), F.col("pd").alias("up_d"),
-    )
-    messages = marked.where(F.col("status") == SPLICED).select(F.explode(F.array(to_parent, to_child)).alias("m")).select("m.*")
-    # No message reaches a spliced node: neither its parent nor its child is spliced with it.
+    # One pass over the nodes gives the nodes themselves and what the spliced ones say.  No message reaches
+    # a spliced node: neither its parent nor its child is spliced with it.
+    swap = (F.col("c").bitwiseXOR(F.col("kc")), F.col("d").bitwiseXOR(F.col("kd")))
+    messages = marked.where(F.col("status") == SPLICED).select(F.explode(F.array(
+        _message(("pc", "pd"), out=swap[0], into=swap[1]), _message(("kc", "kd"), carry=False, up=("pc", "pd")),
+    )).alias("m")).select("m.*")
     return leaves.withColumn("status", F.lit(RAKED)).unionByName(_told(marked, messages))
 
 
 def subtree_totals(nodes: DataFrame) -> DataFrame:
-    """(c, d, leaves, saved): for nodes (c, d, pc, pd, leaves, saved), the sums over each node's subtree.
+    """(c, d, leaves, saved): for nodes (c, d, pc, pd, k, kc, kd, leaves, saved), the sums over each node's subtree.
 
-    The root has a null parent.  The work of a round falls with the tree; what reaches the driver is one
-    depth and one flag per round.
+    The root has a null parent; ``k`` children have the exclusive or (``kc``, ``kd``) of their ids.  The work
+    of a round falls with the tree, and small rounds use few tasks; what reaches the driver is one depth and
+    one count per round.
     """
-    kids = nodes.where("pc IS NOT NULL").groupBy("pc", "pd").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("c").alias("x"), F.bit_xor("d").alias("y")
-    ).withColumnsRenamed({"pc": "tc", "pd": "td"})
-    state = materialise(
-        nodes.join(kids, (nodes["c"] == kids["tc"]) & (nodes["d"] == kids["td"]), "left").select(
-            "c", "d", "pc", "pd", F.coalesce("n", F.lit(0)).alias("k"), *_CARRIED,
-            F.coalesce("x", F.lit(0)).alias("kc"), F.coalesce("y", F.lit(0)).alias("kd"),
-        )
-    )
-    bits = int(state.agg(F.max("d")).first()[0] or 0).bit_length()
-    gone, turn = [], 0
-    while not state.where("pc IS NOT NULL").isEmpty():
-        after = materialise(_round(state, turn, bits))
+    def few(rows: DataFrame, n: int) -> DataFrame:
+        return rows.coalesce(-(-n // _NODES_PER_TASK))
+
+    state = nodes.withColumn("status", F.lit(ACTIVE))
+    size = state.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
+    total, bits = size["n"], int(size["d"] or 0).bit_length()
+    left, gone, turn = total, [], 0
+    while left > 1:
+        after = materialise(few(_round(few(state, left), turn, bits), left))
         gone.append(after.where(F.col("status") != ACTIVE))
-        state = after.where(F.col("status") == ACTIVE).drop("status")
+        state = after.where(F.col("status") == ACTIVE)
+        left = state.count()
         turn += 1
     gone.append(state.withColumn("status", F.lit(RAKED)))
     spliced = F.col("status") == SPLICED
-    known = materialise(reduce(DataFrame.unionByName, gone).select(
+    known = materialise(few(reduce(DataFrame.unionByName, gone).select(
         "c", "d", F.when(spliced, F.col("kc")).alias("tc"), F.when(spliced, F.col("kd")).alias("td"), *_CARRIED
-    ))
+    ), max(total, 1)))
     while not known.where("tc IS NOT NULL").isEmpty():
         a, b = known.where("tc IS NOT NULL").alias("a"), known.alias("b")
         moved = a.join(b, (F.col("a.tc") == F.col("b.c")) & (F.col("a.td") == F.col("b.d"))).select(
             "a.c", "a.d", "b.tc", "b.td", *[(F.col(f"a.{x}") + F.col(f"b.{x}")).alias(x) for x in _CARRIED]
         )
-        known = materialise(moved.unionByName(known.where("tc IS NULL")))
+        known = materialise(few(moved.unionByName(known.where("tc IS NULL")), total))
     return known.select("c", "d", *_CARRIED)
 
 
@@ -277,21 +279,28 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         "n_convs", F.lit(0).cast("long").alias("n_bytes"),
     )
     named = top.select(*columns).unionByName(deep.select(*columns)).unionByName(root)
-    children = named.where("depth > 0").groupBy(
-        F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")
-    ).agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = materialise(
-        named.join(children, ["conv_id", "depth"], "left")
-        .join(end_digests(ends), "key", "left")
-        .withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-        .withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
+    # Every node counts itself in at its parent: children, and the exclusive or of their ids.
+    nought = F.lit(0).cast("long")
+    own = named.select(
+        F.col("conv_id").alias("c"), F.col("depth").alias("d"), "key", F.col("parent_conv_id").alias("pc"), "n_convs", "n_bytes",
+        nought.alias("k"), nought.alias("kc"), nought.alias("kd"),
+    )
+    none = F.lit(None).cast("long")
+    counted = named.where("depth > 0").select(
+        F.col("parent_conv_id").alias("c"), (F.col("depth") - 1).alias("d"), F.lit(None).cast("string").alias("key"), none.alias("pc"),
+        none.alias("n_convs"), none.alias("n_bytes"), F.lit(1).cast("long").alias("k"), F.col("conv_id").alias("kc"), F.col("depth").alias("kd"),
     )
+    nodes = materialise(own.unionByName(counted).groupBy("c", "d").agg(
+        *[F.max(x).alias(x) for x in ("key", "pc", "n_convs", "n_bytes")],
+        F.sum("k").alias("k"), F.bit_xor("kc").alias("kc"), F.bit_xor("kd").alias("kd"),
+    ))
     totals = subtree_totals(nodes.select(
-        F.col("conv_id").alias("c"), F.col("depth").alias("d"), F.col("parent_conv_id").alias("pc"),
-        F.when(F.col("depth") > 0, F.col("depth") - 1).alias("pd"),
-        (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved"),
+        "c", "d", "pc", F.when(F.col("pc").isNotNull(), F.col("d") - 1).alias("pd"), "k", "kc", "kd",
+        (F.col("k") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved"),
     ))
-    return nodes.join(totals, (nodes["conv_id"] == totals["c"]) & (nodes["depth"] == totals["d"])).select(
-        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", F.col("leaves").alias("n_leaves"),
-        F.col("saved").alias("saved_tokens"), "ends_sha256",
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    return nodes.join(end_digests(ends), "key", "left").join(totals, ["c", "d"]).select(
+        F.col("c").alias("conv_id"), F.col("d").alias("depth"), F.col("pc").alias("parent_conv_id"), "n_convs",
+        F.col("k").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", nothing).alias("ends_sha256"),
     )
