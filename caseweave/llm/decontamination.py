@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.hashing import _BASE, _INVERSE, LOWER, NOT_ALNUM, Words, _power, byte_set, mix, pair, split_words
+from caseweave.llm.hashing import LOWER, NOT_ALNUM, Runs, Words, byte_set, mix, pair, split_words
 from caseweave.llm.shared import whole_text
 from caseweave.session import materialise
 
@@ -179,18 +179,6 @@ def windows_of(rows: DataFrame, sizes: tuple[int, ...], only: bytes | None = Non
 HEAD_WORDS = 8
 
 
-def _runs(sums: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of words that begin at ``places``, from running sums."""
-    inside = (sums[places + sizes] - sums[places]) * _power(_INVERSE, len(sums))[places]
-    return mix(inside ^ mix(sizes.astype(np.uint64), 7))
-
-
-def _word_sums(words: Words) -> np.ndarray:
-    sums = np.zeros(len(words.hashes) + 1, np.uint64)
-    np.cumsum(words.hashes * _power(_BASE, len(words.hashes)), out=sums[1:])
-    return sums
-
-
 def sequences_of(items: DataFrame, shortest: int, window: int) -> DataFrame:
     """(id, size, head, hash) of the texts that have words, but no window: their lower-case words in order."""
 
@@ -206,11 +194,11 @@ def sequences_of(items: DataFrame, shortest: int, window: int) -> DataFrame:
                     continue
                 own = np.flatnonzero(lost)
                 words.hashes = _rehash(words, LOWER[words.data])
-                sums, at, sizes = _word_sums(words), words.first[own], np.diff(words.first)[own]
+                runs, at, sizes = Runs(words.hashes), words.first[own], np.diff(words.first)[own]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").take(pa.array(words.row + own)), pa.array(sizes.astype(np.int64)),
-                    pa.array(_runs(sums, at, np.minimum(sizes, HEAD_WORDS)).astype(np.int64)),
-                    pa.array(_runs(sums, at, sizes).astype(np.int64)),
+                    pa.array(runs(at, np.minimum(sizes, HEAD_WORDS)).astype(np.int64)),
+                    pa.array(runs(at, sizes).astype(np.int64)),
                 ], names=["id", "size", "head", "hash"])
 
     kind = dict(items.dtypes)["id"]
@@ -228,16 +216,16 @@ def sequences_in(rows: DataFrame, sizes: list[int], heads: bytes, only: bytes) -
         by_head, by_whole = np.frombuffer(heads, dtype=np.uint8), np.frombuffer(only, dtype=np.uint8)
         for batch in batches:
             for words in split_words(batch.column("text"), NOT_ALNUM, lower=True):
-                sums, n = _word_sums(words), len(words.hashes)
+                runs, n = Runs(words.hashes), len(words.hashes)
                 left = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(n)  # words up to the text's end
                 for head in sorted({min(size, HEAD_WORDS) for size in sizes}):
                     places = np.flatnonzero(left >= head)
-                    places = places[passes(by_head, _runs(sums, places, np.full(len(places), head)))]
+                    places = places[passes(by_head, runs(places, np.full(len(places), head)))]
                     for size in sizes:
                         if min(size, HEAD_WORDS) != head:
                             continue
                         at = places[left[places] >= size]
-                        hashes = _runs(sums, at, np.full(len(at), size))
+                        hashes = runs(at, np.full(len(at), size))
                         use = passes(by_whole, hashes)
                         owner = np.searchsorted(words.first, at[use], side="right") - 1
                         yield pa.RecordBatch.from_arrays([

@@ -1,7 +1,9 @@
 """Words of Arrow text batches as 64-bit hashes, computed on whole byte buffers with numpy.
 
-The hash of a word is a polynomial over its bytes, taken from running sums, so that no loop runs over
-words.  All arithmetic is modulo 2**64.
+The hash of a word is a sum over its bytes, each times a random number of its place in the word, taken from
+running sums modulo 2**64, so that no loop runs over words.  (Powers of one base would not do: modulo 2**64 they
+give some long words of two letters equal sums whatever the base.)  Runs of words need a hash that can be moved
+along the text; theirs are polynomials modulo two primes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 
@@ -42,19 +43,18 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _BYTE_VALUES = mix(np.arange(256, dtype=np.uint64), 1)
-_powers: dict[int, np.ndarray] = {}
+_places = np.zeros(0, np.uint64)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    found = _powers.get(base)
-    if found is None or len(found) < n:
-        size = max(n, 1024)
-        found = np.full(size, base, dtype=np.uint64)
-        found[0] = 1
-        found = np.cumprod(found, dtype=np.uint64)
-        if size <= 4 * SLICE_BYTES:
-            _powers[base] = found
-    return found[:n]
+def _place_values(n: int) -> np.ndarray:
+    """A random odd number for each of the first ``n`` places of a word."""
+    global _places
+    if len(_places) >= n:
+        return _places[:n]
+    values = mix(np.arange(max(n, 1024), dtype=np.uint64), 3) | np.uint64(1)
+    if len(values) <= 4 * SLICE_BYTES:
+        _places = values
+    return values[:n]
 
 
 @dataclass
@@ -68,13 +68,13 @@ class Words:
     ends: np.ndarray
     data: np.ndarray
     text_starts: np.ndarray
-    sums: np.ndarray  # running polynomial of the bytes
+    sums: np.ndarray  # running sums of the bytes' values
 
     def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first ``n`` bytes of the words longer than that, and the words' numbers."""
         longer = np.flatnonzero(self.ends - self.starts > n)
         at = self.starts[longer]
-        return mix((self.sums[at + n] - self.sums[at]) * _power(_INVERSE, len(self.sums))[at], 100 + n), longer
+        return mix(self.sums[at + n] - self.sums[at], 100 + n), longer
 
     @property
     def texts(self) -> int:
@@ -116,8 +116,11 @@ def split_words(
         else:
             starts = ends = np.zeros(0, np.int64)
         sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * _power(_BASE, size), out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, size + 1)[starts] + (ends - starts).astype(np.uint64))
+        if size:
+            lengths = np.diff(places)
+            place = np.arange(size) - np.repeat(places[:-1], lengths)
+            np.cumsum(_BYTE_VALUES[data] * _place_values(int(lengths.max()))[place], out=sums[1:])
+        hashes = mix(sums[ends] - sums[starts] + mix((ends - starts).astype(np.uint64), 5))
         first = np.searchsorted(starts, bounds)
         yield Words(row, first, hashes, starts, ends, data, bounds, sums)
         row = end
@@ -154,3 +157,38 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
             yield mix(whole, int(b - a))
         else:
             yield np.unique(hashes[cuts[i] : cuts[i + 1]])
+
+
+#: Primes and bases of the hashes of runs.
+_FIELDS = ((2147483647, 1103515245), (2147483629, 747796405))
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), dtype=np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+        have += more
+    return out[:n]
+
+
+class Runs:
+    """Hashes of runs of words that begin anywhere, from running sums of the words' hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes)
+        self.sums, self.back = [], []
+        for prime, base in _FIELDS:
+            p = np.uint64(prime)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(hashes % p * _powers(base, prime, n) % p, out=sums[1:])
+            self.sums.append(sums)
+            self.back.append(_powers(pow(base, -1, prime), prime, n + 1))
+
+    def __call__(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        parts = [
+            (sums[places + sizes] - sums[places]) % np.uint64(prime) * back[places] % np.uint64(prime)
+            for (prime, _), sums, back in zip(_FIELDS, self.sums, self.back, strict=True)
+        ]
+        return mix((parts[0] << np.uint64(32) | parts[1]) ^ mix(sizes.astype(np.uint64), 7))

@@ -132,3 +132,18 @@ def test_shingle_hashes_match_sets():
     texts = ["A b C d", "a B c d e", "a b", "", "x y z w x y z w"]
     words = next(split_words(pa.array(texts), WHITE, lower=True))
     assert [len(s) for s in shingle_sets(words, 4)] == [len(shingles(t, 4)) for t in texts]
+
+
+def twins(letters=1024):
+    """Two words that every polynomial modulo 2**64 takes for one: a Thue-Morse word and its complement."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(letters))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_words_of_two_letters_stay_apart(spark, letters):
+    a, b = twins(letters)
+    docs = spark.createDataFrame([(1, f"{a} one two three four"), (2, f"{b} one two three four"), (3, a), (4, b)], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id, r.kept) for r in link_near_duplicates(docs, 5).orderBy("doc_id").collect()] == [
+        (i, i, True) for i in (1, 2, 3, 4)
+    ]

@@ -77,3 +77,10 @@ def test_the_curve_visits_every_cell_by_single_steps():
     assert sorted(keys.tolist()) == list(range(len(grid)))
     path = grid[np.argsort(keys)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_words_of_two_letters_keep_their_ids(spark, tokenizer):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, f"x {word}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check(pack_documents(docs, tokenizer_path(), ranges=1).collect(), rows, tokenizer, 2048)
