@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseweave.llm.shared import fold
 
@@ -154,6 +155,8 @@ def identify_languages(
 ) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score; with ``keep_rows`` all columns of ``docs`` before them.
 
+    Columns of ``docs`` with the names of the three results give way to the results.
+
     Profiles are learned from the rows with a language outside the held-out fold (crc32 of the id
     as text, modulo ``folds``).  A text that is null or has no letter is 'und' with score 0, as is every
     text when nothing could be learned.  Equal distances go to the first language by name.
@@ -162,20 +165,24 @@ def identify_languages(
     own = own.withColumn("held_out", fold("doc_id", folds) == held_out_fold)
     profiles = learn_profiles(own.where(~F.col("held_out")), size)
 
-    columns = docs.columns if keep_rows else ["doc_id"]
-    sent = docs.withColumn("held_out", fold("doc_id", folds) == held_out_fold).select(
-        *columns, "held_out", F.col("text").cast("string").alias("_whole")
+    results = ("held_out", "lang_pred", "score")
+    columns = [c for c in docs.columns if c not in results] if keep_rows else ["doc_id"]
+    whole = "_whole"
+    while whole in docs.columns:
+        whole += "_"
+    sent = docs.select(
+        *columns, (fold("doc_id", folds) == held_out_fold).alias("held_out"), F.col("text").cast("string").alias(whole)
     )
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                identify(t.as_py(), profiles) if profiles else (UNDETERMINED, 0.0) for t in batch.column("_whole")
+                identify(t.as_py(), profiles) if profiles else (UNDETERMINED, 0.0) for t in batch.column(batch.num_columns - 1)
             ]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[:-1], pa.array([x[0] for x in found], pa.string()),
                 pa.array([x[1] for x in found], pa.float64()),
-            ], names=[*columns, "held_out", "lang_pred", "score"])
+            ], names=[*columns, *results])
 
-    schema = sent.drop("_whole").schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(sent.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
     return sent.mapInArrow(named, schema)

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from caseweave.llm.language_id import Profiles, identify, identify_languages, most_frequent, text_grams
 
@@ -48,3 +49,10 @@ def test_letters_of_large_scripts_are_told_apart():
     for a, b in ((0x4E00, 0x4E00 + 266), (0x4E00, 0x4E00 + 266 * 100)):
         one, other = (set(text_grams(chr(x)).tolist()) for x in (a, b))
         assert len(one) == 3 and not one & other
+
+
+def test_clashing_columns_give_way(odd):
+    wide = odd.withColumns({c: F.lit("own") for c in ("held_out", "lang_pred", "_whole")})
+    rows = identify_languages(wide, keep_rows=True)
+    assert rows.columns.count("score") == 1 and dict(rows.dtypes)["score"] == "double"
+    assert dict(rows.dtypes)["held_out"] == "boolean" and rows.count() == odd.count()
