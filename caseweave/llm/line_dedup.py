@@ -53,14 +53,16 @@ def boilerplate_lines(
     places = repeated.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     sites = (
         lines.select("line", "site", F.pmod(F.xxhash64("id", "site"), F.lit(SALTS)).cast("int").alias("salt"))
-        .join(places, ["line", "salt"], "left_semi").select("line", "site")
+        .join(places, ["line", "salt"], "left_semi")
     )
     spread = materialise(sites.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log2_registers))).alias("sites")
     ))
     near = spread.where(F.col("sites").between(min_sites * (1 - band) - 1, min_sites * (1 + band) + 1))
+    # Rows of a line are met where they are, and equal sites become one before they come together.
+    asked = materialise(near.select("line")).join(places, "line")
     exact = (
-        sites.join(near.select("line"), "line", "left_semi").distinct()
+        sites.join(asked, ["line", "salt"], "left_semi").select("line", "site").distinct()
         .groupBy("line").agg(F.count(F.lit(1)).alias("exact"))
     )
     return (
@@ -70,7 +72,7 @@ def boilerplate_lines(
 
 
 def remove_boilerplate(
-    docs: DataFrame, min_sites: int = 10, min_words: int = 4, site_col: str = "source", also: Sequence[str] = ()
+    docs: DataFrame, min_sites: int = 3, min_words: int = 4, site_col: str = "source", also: Sequence[str] = ()
 ) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, the text without cross-site boilerplate, columns ``also``.
 
@@ -78,21 +80,25 @@ def remove_boilerplate(
     in documents of at least ``min_sites`` distinct sites.  It stays once, at its first place in the
     document with the smallest id that has it, and goes everywhere else, also where one document repeats it.
     Lines that stay are unchanged and in order.  A null text stays null and has no lines; a null site
-    counts as one site of its own; rows with a null id keep no first copy.  Rows of one id with
-    several texts each keep the lines that the id keeps.
+    counts as one site of its own; rows with a null id keep no first copy, and are told apart by a
+    digest of the text.  Rows of one id with several texts each keep the lines that the id keeps.
+
+    ``min_sites`` is low, so that lines repeated on a few sites of a small table, or mostly on one hot site,
+    go, too; a corpus with many mirrored texts may want more.
     """
     own = docs.select(
         F.col("doc_id").alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
         whole_text().alias("text"), F.col("text").isNull().alias("missing"),
+        F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.sha2(whole_text().cast("binary"), 256)).alias("key"),
         F.struct(F.lit(0).alias("_"), *also).alias("also"),
     )
     # Written, so that the next join has a plain shuffle on either side, whose large parts Spark splits.
     found = materialise(boilerplate_lines(own.select("id", "site", "text"), min_sites, min_words))
     # What each document must lose: the keys of its boilerplate lines, and of those that it keeps once.
     hits = (
-        own.select("id", F.explode(F.split("text", "\n")).alias("l")).where(_words(F.col("l")) >= min_words)
-        .select("id", line_key(F.col("l")).alias("line")).distinct().join(found, "line")
-        .groupBy(F.col("id").alias("hit")).agg(
+        own.select("id", "key", F.explode(F.split("text", "\n")).alias("l")).where(_words(F.col("l")) >= min_words)
+        .select("id", "key", line_key(F.col("l")).alias("line")).distinct().join(found, "line")
+        .groupBy("key").agg(
             F.collect_list("line").alias("bad"),
             F.collect_list(F.when(F.col("keeper") == F.col("id"), F.col("line"))).alias("once"),
         )
@@ -104,7 +110,7 @@ def remove_boilerplate(
         | (F.array_contains("once", F.get("keys", i)) & (F.array_position("keys", F.get("keys", i)) == i + 1))
     )
     cleaned = (
-        own.join(hits, F.col("id").eqNullSafe(F.col("hit")), "left")
+        own.join(hits, "key", "left")
         .withColumn("lines", lines)
         .withColumn("keys", F.when(F.col("bad").isNotNull(), keys))
         .withColumn("left", F.when(F.col("bad").isNotNull(), F.filter("lines", stays)).otherwise(F.col("lines")))
@@ -131,7 +137,7 @@ WITH own AS (
          len(regexp_split_to_array(trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+')) AS w
   FROM unfolded
 ), spread AS (
-  SELECT t, min(doc_id) AS keeper FROM worded WHERE w >= 4 GROUP BY t HAVING count(DISTINCT site) >= 10
+  SELECT t, min(doc_id) AS keeper FROM worded WHERE w >= 4 GROUP BY t HAVING count(DISTINCT site) >= 3
 ), marked AS (
   SELECT x.*, s.t IS NOT NULL AND NOT (s.keeper IS NOT DISTINCT FROM x.doc_id
          AND x.p = min(x.p) OVER (PARTITION BY x.r, x.t)) AS gone

@@ -63,3 +63,12 @@ def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text, r.source) for r in odd.collect()]
     assert got(remove_boilerplate(odd, 2, 2)) == plain(rows, 2, 2)
     assert remove_boilerplate(none).count() == 0
+
+
+def test_hot_and_rare_sites_and_rows_without_an_id(spark):
+    """A third of all rows on one site; lines on two, three and four sites; many rows have no id."""
+    rows = [(None if i % 4 == 0 else i, f"own {i} of {i} here\nshared by some of {i % 7} of them", "hot" if i % 3 == 0 else f"s{i % 5 % (1 + i % 7)}") for i in range(300)]
+    rows += [(None, "shared by some of 6 of them\nx", "hot")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = plain(rows, 3, 4)
+    assert got(remove_boilerplate(docs)) == want and 0 < sum(r[2] for r in want) < 320
