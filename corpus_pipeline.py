@@ -61,9 +61,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         "repeated",
     )
     left = left.withColumn("_mark", mark)
-    again = left.join(repeated, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "text"])
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    again = (
+        left.join(repeated, ["_key", "_mark"], "left_semi").groupBy("_key", "text")
+        .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(*others)).alias("_rest")).select("*", "_rest.*")
+    )
     once = left.join(repeated, ["_key", "_mark"], "left_anti")
-    return once.unionByName(again).select(*COLUMNS)
+    return once.select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
