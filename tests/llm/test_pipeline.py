@@ -37,7 +37,7 @@ def test_language_stage(stages):
 
 def test_line_stage(stages):
     before, after = stages["line_dedup"]
-    want = test_line_dedup.plain([(r.doc_id, r.text, r.source) for r in before.collect()], 10, 4)
+    want = test_line_dedup.plain([(r.doc_id, r.text, r.source) for r in before.collect()], 3, 4)
     assert [(r[0], r[1]) for r in rows(after)] == sorted(((d, t) for d, _, _, t in want), key=repr)
     assert all(r[4] == len(r[1]) for r in rows(after))
 
