@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.draws import copies, uniform
 from caseweave.plans.ordered import percentiles
+from caseweave.plans.sizes import take_bounded
 from caseweave.session import materialise
 
 KEY, ARM, REPLICATE = "hadm_id", "T", "replicate"
@@ -188,6 +190,185 @@ def mean_prediction(
     ).groupBy(REPLICATE, ARM).agg((F.sum("_sum") / F.sum("_rows")).alias(name))
 
 
+# --- ordinal outcomes ----------------------------------------------------------------------
+
+#: Levels of an ordinal outcome; more is an error, since every level has its own coefficients.
+MOST_LEVELS = 50
+#: Chances that differ by less count as equal; the lowest level wins.
+EVEN = 1e-6
+
+
+def weighted(frame: DataFrame, replicates: int, seed: int, key: str = KEY) -> DataFrame:
+    """Rows with ``_w``, their copies in replicates 0 to B as one array; the draws of :func:`replicated`, rows not multiplied."""
+    def drawn(r: Column) -> Column:
+        return F.when(r == 0, F.lit(1)).otherwise(copies(uniform(seed, F.col(key), r))).cast("tinyint")
+
+    return frame.withColumn("_w", F.transform(F.sequence(F.lit(0), F.lit(replicates)), drawn))
+
+
+def levels_of(frame: DataFrame, outcome: str) -> list[float]:
+    """The distinct values of an ordinal outcome, ascending."""
+    rows = frame.where(F.col(outcome).isNotNull()).select(F.col(outcome).cast("double").alias("v")).distinct()
+    return sorted(r["v"] for r in take_bounded(rows, MOST_LEVELS, f"levels of {outcome}"))
+
+
+def _columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arm, covariates, outcome and copies of a batch; the last as one column per replicate."""
+    arm, y = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_arm", "_y"))
+    x, w = (batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for n in ("_x", "_w"))
+    return arm, x, y, w.astype(float)
+
+
+def _shares(x: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The chance of every level for the rows of ``x``; absent levels have an infinite constant."""
+    z = x @ np.where(np.isfinite(model), model, 0.0).T + np.where(np.isfinite(model[:, 0]), 0.0, -np.inf)
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def level_values(x: np.ndarray, model: np.ndarray, levels: Sequence[float], expected: bool) -> np.ndarray:
+    """The most likely level of each row, or the mean level."""
+    p = _shares(x, model)
+    if expected:
+        return p @ np.asarray(levels)
+    return np.asarray(levels)[np.argmax(p >= p.max(axis=1, keepdims=True) - EVEN, axis=1)]
+
+
+def _summed(rows: DataFrame, of: Callable[[pa.RecordBatch, dict], None], width: int) -> dict[tuple, np.ndarray]:
+    """Sums by (replicate, arm) of what ``of`` adds to a task's table of arrays; one row per model and task is shuffled."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                of(batch, table)
+        keys = list(table)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+            pa.array([table[k].tolist() for k in keys], pa.list_(pa.float64())),
+        ], names=["r", "a", "s"])
+
+    sums = rows.mapInArrow(made, "r int, a int, s array<double>").groupBy("r", "a").agg(
+        F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s")
+    )
+    return {(row["r"], row["a"]): np.array(row["s"], dtype=float) for row in sums.collect()}
+
+
+def fit_levels(
+    rows: DataFrame, levels: Sequence[float], k: int, *, ridge: float = 1.0, free: Sequence[int] = (0,), tolerance: float = 1e-10,
+) -> dict[tuple, np.ndarray]:
+    """Multinomial models of (``_arm``, ``_x``, ``_y``, ``_w``) rows: per (replicate, arm) one row of coefficients per level.
+
+    Newton steps with the whole Hessian (levels x covariates), summed in the tasks for all replicates at once.  The
+    ridge is on all coefficients but those of ``free``; levels that a replicate's arm lacks have no chance
+    there.  Steps end when none promises to raise a log-likelihood by more than ``tolerance``: a level that a
+    corner of the covariates lacks moves its coefficients on and on, to no effect.  What reaches the driver
+    is one small matrix per replicate and arm.
+    """
+    n, size = len(levels), len(levels) * k
+    upper = np.triu_indices(size)
+    known = {v: i for i, v in enumerate(levels)}
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        arm, x, y, w = _columns_of(batch)
+        own = np.eye(n)[[known[v] for v in y.tolist()]]
+        for a in np.unique(arm).tolist():
+            at = arm == a
+            yield a, x[at], own[at], w[at]
+
+    def count(batch: pa.RecordBatch, table: dict) -> None:
+        for a, _, own, w in parts(batch):
+            for r, found in enumerate(w.T @ own):
+                table[r, a] = table.get((r, a), 0) + found
+
+    present = {key: found > 0 for key, found in _summed(rows, count, n).items()}
+    penalty = np.full(k, float(ridge))
+    penalty[list(free)] = 0.0
+    models = {key: np.where(has[:, None], 0.0, -np.inf) * np.ones((1, k)) for key, has in present.items() if has.any()}
+
+    for _ in range(200):
+        current = models
+
+        def step(batch: pa.RecordBatch, table: dict) -> None:
+            for a, x, own, w in parts(batch):
+                outer = np.einsum("ni,nj->nij", x, x).reshape(len(x), -1)
+                for r in range(w.shape[1]):
+                    used = w[:, r] > 0
+                    if (r, a) not in current or not used.any():
+                        continue
+                    p, weight = _shares(x[used], current[r, a]), w[used, r]
+                    slope = ((own[used] - p) * weight[:, None]).T @ x[used]
+                    second = np.einsum("nc,nd->ncd", p, -p)
+                    second[:, range(n), range(n)] += p
+                    bend = ((second * weight[:, None, None]).reshape(len(p), -1).T @ outer[used]).reshape(n, n, k, k)
+                    bend = bend.transpose(0, 2, 1, 3).reshape(size, size)
+                    table[r, a] = table.get((r, a), 0) + np.concatenate([slope.ravel(), bend[upper]])
+
+        models, gained = {}, 0.0
+        for key, found in _summed(rows, step, size + len(upper[0])).items():
+            model = current[key]
+            live = np.repeat(np.isfinite(model[:, 0]), k)
+            flat = np.where(live, model.ravel(), 0.0)
+            bend = np.zeros((size, size))
+            bend[upper] = found[size:]
+            bend = bend + np.triu(bend, 1).T + np.diag(np.tile(penalty, n))
+            slope = found[:size] - np.tile(penalty, n) * flat
+            change = np.zeros(size)
+            change[live] = np.linalg.lstsq(bend[np.ix_(live, live)], slope[live], rcond=1e-12)[0]
+            gained = max(gained, float(slope @ change))
+            # Far from the optimum a whole step may overshoot.
+            change *= min(1.0, 5.0 / max(np.abs(change).max(), 1e-300))
+            models[key] = np.where(live, flat + change, -np.inf).reshape(n, k)
+        if gained <= tolerance:
+            return models
+    raise RuntimeError("the model of levels did not settle in 200 steps")
+
+
+def mean_levels(
+    frame: DataFrame, models: dict[tuple, np.ndarray], x: Sequence[Column], levels: Sequence[float], expected: bool,
+) -> DataFrame:
+    """(replicate, T, mu): mean over the cohort of each model's level."""
+    def add(batch: pa.RecordBatch, table: dict) -> None:
+        features = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for key, model in models.items():
+            table[key] = table.get(key, 0) + np.array([level_values(features, model, levels, expected).sum(), len(features)])
+
+    sums = _summed(frame.select(F.array(*x).alias("_x")), add, 2)
+    return frame.sparkSession.createDataFrame(
+        [(r, a, float(s[0] / s[1])) for (r, a), s in sorted(sums.items())], f"{REPLICATE} int, {ARM} int, mu double"
+    )
+
+
+def _prepared(known: DataFrame, x: Sequence[Column], y: Column, arm: Column, replicates: int, seed: int, key: str) -> DataFrame:
+    """The rows that batches are made of; written, since every Newton step reads them."""
+    return materialise(weighted(known, replicates, seed, key).select(
+        arm.cast("int").alias("_arm"), F.array(*x).alias("_x"), y.alias("_y"), "_w"
+    ))
+
+
+def ordinal_learner(
+    frame: DataFrame, covariates: Sequence[str], outcome: str, n_arms: int, *, single: bool = False,
+    replicates: int = 0, seed: int = 0, key: str = KEY, ridge: float = 1.0, expected: bool = False,
+) -> DataFrame:
+    """E1 and E2 for an ordinal outcome: (replicate, T, mu), mu the mean of the levels given to the cohort's rows.
+
+    A row is given its most likely level under the arm's model, or with ``expected`` the mean of the
+    levels by their chances.  ``single`` fits one model with the arm as 0/1 columns in place of one per arm.
+    """
+    known = frame.where(F.col(outcome).isNotNull())
+    levels = levels_of(known, outcome)
+    y, plain = F.col(outcome).cast("double"), constant_and(covariates)
+    if not single:
+        models = fit_levels(_prepared(known, plain, y, F.col(ARM), replicates, seed, key), levels, len(plain), ridge=ridge)
+        return mean_levels(known, models, plain, levels, expected)
+    marks = [(F.col(ARM) == a).cast("double") for a in range(n_arms)]
+    rows = _prepared(known, [*marks, *plain[1:]], y, F.lit(0), replicates, seed, key)
+    both = fit_levels(rows, levels, n_arms + len(covariates), ridge=ridge, free=range(n_arms))
+    # With the arm fixed, its column is the constant.
+    models = {(r, a): np.delete(m, [i for i in range(n_arms) if i != a], axis=1) for (r, _), m in both.items() for a in range(n_arms)}
+    return mean_levels(known, models, plain, levels, expected)
+
+
 def t_learner(
     frame: DataFrame, covariates: Sequence[str], outcome: str, *, binary: bool = False,
     replicates: int = 0, seed: int = 0, key: str = KEY,
@@ -236,54 +417,75 @@ def s_learner(
 
 def x_learner(
     frame: DataFrame, covariates: Sequence[str], outcome: str, n_arms: int, *,
-    binary: bool = False, replicates: int = 0, seed: int = 0, key: str = KEY,
+    binary: bool = False, replicates: int = 0, seed: int = 0, key: str = KEY, ordinal: bool = False, ridge: float = 1.0,
 ) -> DataFrame:
     """(replicate, T, effect) of each arm against arm 0, propensity-blended.
 
     Treated rows impute their effect with the control model, control rows with the
     arm's model; a linear model of each is averaged with the chance of the arm.
+    All models are small and go to the tasks: the rows are read once for the sums of all replicates and
+    arms, and once for the means, and are never joined or multiplied.
     """
     known = frame.where(F.col(outcome).isNotNull())
-    rows = replicated(known, replicates, seed, key)
-    x, y = constant_and(covariates), F.col(outcome).cast("double")
-    fit = fit_logistic if binary else fit_linear
-    models = materialise(fit(rows, [REPLICATE, ARM], x, y))
-
-    def value(beta: str) -> Column:
-        return sigmoid(dot(x, beta)) if binary else dot(x, beta)
-
-    control = models.where(F.col(ARM) == 0).select(REPLICATE, F.col("beta").alias("beta0"))
-    arms = models.where(F.col(ARM) > 0).select(
-        REPLICATE, F.col(ARM).alias("arm"), F.col("beta").alias("beta1")
-    )
-    treated = rows.where(F.col(ARM) > 0).join(control, REPLICATE).select(
-        "*", F.col(ARM).alias("arm"), (y - value("beta0")).alias("_gain")
-    )
-    # A control row answers for every arm of its replicate.
-    controls = rows.where(F.col(ARM) == 0).join(arms, REPLICATE).select(
-        "*", (value("beta1") - y).alias("_gain")
-    )
-    gain = F.col("_gain")
-    by_treated = fit_linear(treated, [REPLICATE, "arm"], x, gain)
-    by_control = fit_linear(controls, [REPLICATE, "arm"], x, gain)
+    x, y, k = constant_and(covariates), F.col(outcome).cast("double"), 1 + len(covariates)
+    rows = _prepared(known, x, y, F.col(ARM), replicates, seed, key)
+    levels = levels_of(known, outcome) if ordinal else []
+    if ordinal:
+        models = fit_levels(rows, levels, k, ridge=ridge)
+    else:
+        fit = fit_logistic if binary else fit_linear
+        models = coefficients(fit(replicated(known, replicates, seed, key), [REPLICATE, ARM], x, y), [REPLICATE, ARM])
+    arms, upper = range(1, n_arms), np.triu_indices(k)
+
+    def value(features: np.ndarray, model: np.ndarray) -> np.ndarray:
+        if ordinal:
+            return level_values(features, model, levels, False)
+        z = features @ model
+        return 1 / (1 + np.exp(-z)) if binary else z
+
+    def gains(batch: pa.RecordBatch, table: dict) -> None:
+        arm, features, own, copies_ = _columns_of(batch)
+
+        def add(r: int, place: int, at: np.ndarray, gain: np.ndarray) -> None:
+            weighted_ = features[at] * copies_[at, r][:, None]
+            found = np.concatenate([(weighted_.T @ features[at])[upper], weighted_.T @ gain])
+            table[r, place] = table.get((r, place), 0) + found
+
+        for r in range(copies_.shape[1]):
+            control = arm == 0
+            for a in arms:
+                treated = arm == a
+                if (r, 0) in models and treated.any():
+                    add(r, 2 * a, treated, own[treated] - value(features[treated], models[r, 0]))
+                if (r, a) in models and control.any():
+                    add(r, 2 * a + 1, control, value(features[control], models[r, a]) - own[control])
+
+    # Place 2a holds what arm a's rows say of its effect, 2a + 1 what the controls say.
+    found = _summed(rows, gains, len(upper[0]) + k)
+    effects = {
+        key_: np.linalg.lstsq(_matrix(s[: len(upper[0])], k), s[len(upper[0]) :], rcond=None)[0] for key_, s in found.items()
+    }
     # Chance of each arm against the control, on the cohort as it is.
     once = known.withColumn("copies", F.lit(1.0))
     against = reduce(
         lambda a, b: a.unionByName(b),
-        [once.where(F.col(ARM).isin(0, a)).withColumn("arm", F.lit(a)) for a in range(1, n_arms)],
+        [once.where(F.col(ARM).isin(0, a)).withColumn("arm", F.lit(a)) for a in arms],
     )
-    chance = fit_logistic(against, ["arm"], x, (F.col(ARM) > 0).cast("double"))
-    effects = (
-        by_treated.withColumnRenamed("beta", "tau1")
-        .join(by_control.withColumnRenamed("beta", "tau0"), [REPLICATE, "arm"])
-        .join(chance.withColumnRenamed("beta", "e"), "arm")
+    chance = coefficients(fit_logistic(against, ["arm"], x, (F.col(ARM) > 0).cast("double")), ["arm"])
+
+    def blended(batch: pa.RecordBatch, table: dict) -> None:
+        _, features, _, copies_ = _columns_of(batch)
+        for a in arms:
+            e = 1 / (1 + np.exp(-features @ chance[(a,)]))
+            for r in range(copies_.shape[1]):
+                if (r, 2 * a) in effects and (r, 2 * a + 1) in effects:
+                    effect = e * (features @ effects[r, 2 * a + 1]) + (1 - e) * (features @ effects[r, 2 * a])
+                    table[r, a] = table.get((r, a), 0) + np.array([effect.sum(), len(effect)])
+
+    means = _summed(rows, blended, 2)
+    return frame.sparkSession.createDataFrame(
+        [(r, a, float(s[0] / s[1])) for (r, a), s in sorted(means.items())], f"{REPLICATE} int, {ARM} int, effect double"
     )
-    spread = known.withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    e = sigmoid(dot(x, "e"))
-    blended = e * dot(x, "tau0") + (1.0 - e) * dot(x, "tau1")
-    return spread.drop(ARM).join(effects, REPLICATE).groupBy(
-        REPLICATE, F.col("arm").alias(ARM)
-    ).agg(F.avg(blended).alias("effect"))
 
 
 def boosted_means(
@@ -361,20 +563,20 @@ def overlap(frame: DataFrame, covariates: Sequence[str]) -> DataFrame:
 
 
 LEARNERS = ("t_learner", "s_learner", "x_learner")
-OUTCOMES = ("binary", "continuous")
+OUTCOMES = ("binary", "continuous", "ordinal")
 
 
 def estimate(
     frame: DataFrame, covariates: Sequence[str], outcome: str, labels: Sequence[str], *,
     kind: str = "continuous", learner: str = "t_learner", replicates: int = 200, seed: int = 0,
-    alpha: float = 0.05, key: str = KEY, within: DataFrame | None = None,
+    alpha: float = 0.05, key: str = KEY, within: DataFrame | None = None, ridge: float = 1.0,
 ) -> DataFrame:
     """Arm means and contrasts with intervals, one row per quantity.
 
     ``within`` narrows the cohort to its keys, such as the members of a similarity cohort.
 
-    The X-learner's arm means are those of its outcome models, one per arm; its
-    blended effects come from :func:`x_learner`.
+    The X-learner's arm means are those of its outcome models, one per arm; it adds its blended effects
+    (:func:`x_learner`) of each arm against the first, as quantity ``effect``.  ``ridge`` is that of ordinal models.
     """
     if len(labels) < 2 or len(set(labels)) != len(labels):
         raise ValueError("at least two arms with different labels are needed")
@@ -387,7 +589,12 @@ def estimate(
     options = {"binary": kind == "binary", "replicates": replicates, "seed": seed, "key": key}
     if within is not None:
         frame = materialise(frame.join(within.select(key).distinct(), key, "left_semi"))
-    if learner == "s_learner":
+    if kind == "ordinal":
+        mu = ordinal_learner(
+            frame, covariates, outcome, len(labels), single=learner == "s_learner", replicates=replicates, seed=seed,
+            key=key, ridge=ridge,
+        )
+    elif learner == "s_learner":
         mu = s_learner(frame, covariates, outcome, len(labels), **options)
     else:
         mu = t_learner(frame, covariates, outcome, **options)
@@ -399,4 +606,10 @@ def estimate(
         F.lit("contrast").alias("quantity"), F.col("contrast").alias("name"), "point", "lower",
         "upper",
     )
-    return means.unionByName(gaps)
+    if learner != "x_learner":
+        return means.unionByName(gaps)
+    blended = x_learner(frame, covariates, outcome, len(labels), **options, ordinal=kind == "ordinal", ridge=ridge)
+    effects = arm_means(blended.withColumnRenamed("effect", "mu"), labels, alpha).select(
+        F.lit("effect").alias("quantity"), F.concat_ws("|", "label", F.lit(labels[0])).alias("name"), "point", "lower", "upper"
+    )
+    return means.unionByName(gaps).unionByName(effects)

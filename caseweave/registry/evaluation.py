@@ -224,7 +224,7 @@ COPIES = "CASE " + " ".join(
 BOOT_SQL = PEAK_SQL + f"""
 , r AS (SELECT f.*, rep, CAST('0x' || md5(concat_ws('-', '5', CAST(hadm_id AS VARCHAR),
     CAST(rep AS VARCHAR)))[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS d
-  FROM f, (SELECT UNNEST(range(1, 21)) AS rep)),
+  FROM f, (SELECT UNNEST(range(1, 201)) AS rep)),
 w AS (SELECT rep, arm, x, y, {COPIES} AS w FROM r),
 s AS (SELECT rep, arm, SUM(w) AS n, SUM(w * x) AS sx, SUM(w * y) AS sy, SUM(w * x * x) AS sxx,
   SUM(w * x * y) AS sxy FROM w GROUP BY rep, arm),
@@ -235,7 +235,7 @@ NAME = "CASE arm WHEN 0 THEN 'norepinephrine' WHEN 1 THEN 'heparin' ELSE 'ventil
 
 
 def replicates(t):
-    return cs.t_learner(frame(t), ["age"], "peak", replicates=20, seed=5)
+    return cs.t_learner(frame(t), ["age"], "peak", replicates=200, seed=5)
 
 
 @case("e4_bootstrap", BOOT_SQL + f"""
@@ -266,6 +266,77 @@ def _(t):
     )
 
 
+#: Peaks in five levels; with one 0/1 covariate a model of levels has the shares of the levels in each of its two groups.
+LEVEL_SQL = "CASE WHEN y < 0.8 THEN 0 WHEN y < 1.2 THEN 1 WHEN y < 2.0 THEN 2 WHEN y < 4.0 THEN 3 ELSE 4 END"
+STAGE_SQL = ARMS_SQL + f"""
+, z AS (SELECT n.hadm_id, n.arm, p.gender = 'M' AS g, (SELECT MAX(l.valuenum)
+    FROM labevents l WHERE l.hadm_id = n.hadm_id AND l.itemid IN (50912, 51082)) AS y
+  FROM n JOIN patients p ON n.subject_id = p.subject_id WHERE n.n_matching = 1),
+f AS (SELECT hadm_id, arm, g, {LEVEL_SQL} AS v FROM z WHERE y IS NOT NULL),
+sizes AS (SELECT g, COUNT(*) AS size FROM f GROUP BY g)
+"""
+
+
+def staged(t):
+    y = F.col("peak")
+    level = F.when(y < 0.8, 0).when(y < 1.2, 1).when(y < 2.0, 2).when(y < 4.0, 3).when(y.isNotNull(), 4)
+    return frame(t).withColumn("stage", level)
+
+
+#: So small a ridge leaves the shares as they are.
+NO_RIDGE = 1e-9
+
+
+def _most_likely(weights, groups):
+    return f"""
+, c AS (SELECT {groups}, arm, g, v, SUM({weights}) AS n FROM r GROUP BY ALL HAVING SUM({weights}) > 0),
+top AS (SELECT {groups}, arm, g, ARG_MIN(v, (-n, v)) AS v FROM c GROUP BY ALL),
+mu_rows AS (SELECT {groups}, arm, SUM(v * size) / SUM(size) AS mu FROM top JOIN sizes USING (g) GROUP BY ALL)
+"""
+
+
+@case("e1_ordinal", STAGE_SQL + ", r AS (SELECT 0 AS rep, 1 AS w, * FROM f)" + _most_likely("w", "rep") + """
+SELECT rep AS replicate, arm AS T, ROUND(mu, 6) AS mu FROM mu_rows
+""")
+def _(t):
+    return rounded(cs.ordinal_learner(staged(t), ["gender_M"], "stage", 3, ridge=NO_RIDGE))
+
+
+@case("e1_ordinal_expected", STAGE_SQL + """
+, cells AS (SELECT arm, g, AVG(v) AS v FROM f GROUP BY ALL)
+SELECT 0 AS replicate, arm AS T, ROUND(SUM(v * size) / SUM(size), 5) AS mu FROM cells JOIN sizes USING (g) GROUP BY arm
+""")
+def _(t):
+    return rounded(cs.ordinal_learner(staged(t), ["gender_M"], "stage", 3, ridge=NO_RIDGE, expected=True), 5)
+
+
+@case("e2_ordinal", STAGE_SQL + """
+SELECT 0 AS replicate, arm AS T, ROUND(AVG(v), 5) AS mu FROM f GROUP BY arm
+""")
+def _(t):
+    return rounded(cs.ordinal_learner(staged(t), [], "stage", 3, single=True, expected=True), 5)
+
+
+@case("e7_ordinal", STAGE_SQL + f"""
+, r AS (SELECT rep, {COPIES} AS w, f.* FROM (SELECT f.*, rep, CAST('0x' || md5(concat_ws('-', '0', CAST(hadm_id AS VARCHAR),
+    CAST(rep AS VARCHAR)))[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS d
+  FROM f, (SELECT UNNEST(range(1, 201)) AS rep)) f)""" + _most_likely("w", "rep") + f"""
+, q AS (SELECT 'mean' AS quantity, {NAME} AS name, mu AS v FROM mu_rows
+  UNION ALL SELECT 'contrast', a.label || '|' || b.label, a.mu - b.mu
+  FROM (SELECT rep, {NAME} AS label, mu FROM mu_rows) a JOIN (SELECT rep, {NAME} AS label, mu FROM mu_rows) b
+  ON a.rep = b.rep AND a.label < b.label)
+SELECT quantity, name, ROUND(AVG(v), 5) AS point, ROUND(quantile_cont(v, 0.025), 5) AS lower,
+  ROUND(quantile_cont(v, 0.975), 5) AS upper FROM q GROUP BY quantity, name
+""")
+def _(t):
+    return rounded(cs.estimate(staged(t), ["gender_M"], "stage", LABELS, kind="ordinal", ridge=NO_RIDGE), 5)
+
+
+@case("e7_x_effects")
+def _(t):
+    return cs.estimate(frame(t), ["age", "gender_M"], "peak", LABELS, learner="x_learner")
+
+
 @case("e6_overlap")
 def _(t):
     return cs.overlap(frame(t), ["age", "gender_M"])
