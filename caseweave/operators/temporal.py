@@ -5,7 +5,9 @@ Events are rows with ``stay_id``, ``event_id``, ``name``, ``start_ts`` and
 
 * "before" is counted from running totals over the merged ends and starts, and
   the relation itself is kept as its nearest successors (it is transitive);
-* the other relations need two intervals that touch, so they come from a join
+* the other relations are counted from counts per moment and, for "during" and "overlaps",
+  by running totals per bit of the ends' ranks;
+* where the related pairs themselves are asked for, they come from a join
   on (stay, time cell) that splits a busy stay by time.
 """
 
@@ -155,30 +157,136 @@ def before_counts(
     )
 
 
+def dominated(
+    cells: DataFrame, keys: Sequence[str], x: str, y: str, weight: Column, larger: bool = True, name: str = "n",
+) -> DataFrame:
+    """``cells`` (distinct in keys, x, y) with the weight of the cells of their group at a smaller x and a larger
+    (smaller, unless ``larger``) y.
+
+    The y are ranked within the group.  Two ranks differ first in one bit: at that level they share all higher
+    bits, and one has 0, the other 1.  So every cell stands once per level, in the group of its higher bits,
+    and takes the running weight of the cells before it, by x, that have the other bit.  That is n log n rows
+    and running totals that split a large group; no two cells are paired.
+    """
+    ranks = running(cells.select(*keys, y).distinct(), keys, [y], {"_rank": F.lit(1).cast("bigint")})
+    sizes = ranks.groupBy(*keys).agg(F.max("_rank").alias("_most"))
+    placed = cells.withColumn("_w", weight.cast("bigint")).join(ranks, [*keys, y]).join(sizes, list(keys))
+    # Within one x nothing counts: there, the bit that is summed comes after the one that asks.
+    tie = F.col("_rank") if larger else -F.col("_rank")
+    levels = placed.where("_most > 1").select(
+        *keys, x, y, "_rank", "_w", tie.alias("_tie"),
+        F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("_most") - 1)) - 1)).alias("_level"),
+    )
+    bit = F.expr("shiftright(_rank - 1, _level) & 1")
+    split = levels.select(
+        *keys, x, y, "_tie", "_level", F.expr("shiftright(_rank - 1, _level + 1)").alias("_branch"), bit.alias("_bit"),
+        F.when(bit == int(larger), F.col("_w")).otherwise(0).alias("_given"),
+    )
+    line = running(split, [*keys, "_level", "_branch"], [x, "_tie"], {"_sum": "_given"}, inclusive=False)
+    sums = line.where(F.col("_bit") != int(larger)).groupBy(*keys, x, y).agg(F.sum("_sum").alias(name))
+    return cells.join(sums, [*keys, x, y], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def _cells(events: DataFrame, key: str, **roles: Column) -> DataFrame:
+    """Distinct intervals of a stay, with how many events (or events of a role) have them.  Only intervals whose end
+    is known and does not precede their start."""
+    counts = roles or {"n": F.lit(True)}
+    return events.where(F.col("start_ts") <= F.col("end_ts")).groupBy(key, "start_ts", "end_ts").agg(
+        *[F.sum(F.coalesce(c, F.lit(False)).cast("bigint")).alias(name) for name, c in counts.items()]
+    )
+
+
+def relation_totals(events: DataFrame, key: str = "stay_id") -> DataFrame:
+    """T4: per stay, how many pairs of events have each of the six relations, without forming a pair.
+
+    Pairs with an equal start, an equal end or an end at a start are products of counts per moment; "before" comes
+    from running totals, "during" from :func:`dominated`; every other pair of unlike events overlaps.
+    """
+    cells = _cells(events, key)
+    proper = F.when(F.col("start_ts") < F.col("end_ts"), F.col("n")).otherwise(0)
+    pairs = lambda c: F.expr(f"shiftright({c} * ({c} - 1), 1)")
+    starts = cells.groupBy(key, F.col("start_ts").alias("at")).agg(F.sum("n").alias("s"))
+    ends = cells.groupBy(key, F.col("end_ts").alias("at")).agg(
+        F.sum(proper).alias("e"), F.sum(F.when(F.col("start_ts") < F.col("end_ts"), pairs("n")).otherwise(0)).alias("same")
+    )
+    moments = (
+        starts.select(key, "at", "s", F.lit(0).alias("e"), F.lit(0).alias("same"))
+        .unionByName(ends.select(key, "at", F.lit(0).alias("s"), "e", "same"))
+        .groupBy(key, "at").agg(*[F.sum(c).alias(c) for c in ("s", "e", "same")])
+    )
+    equal = moments.groupBy(key).agg(
+        F.sum(pairs("s")).alias("same_start"), F.sum(pairs("e") - F.col("same")).alias("finishes"),
+        F.sum(F.col("s") * F.col("e")).alias("meets"),
+    )
+    own = cells.groupBy(key).agg(F.sum("n").alias("size"), F.sum(pairs("n")).alias("identical"))
+    during = dominated(cells, [key], "start_ts", "end_ts", F.col("n"), name="_around").groupBy(key).agg(
+        F.sum(F.col("n") * F.col("_around")).alias("during")
+    )
+    before = before_counts(events.where(F.col("start_ts") <= F.col("end_ts")), key, name="before")
+    found = own.join(equal, key).join(during, key).join(before, key)
+    starting = F.col("same_start") - F.col("identical")
+    others = F.col("before") + F.col("meets") + F.col("during") + F.col("finishes") + F.col("same_start")
+    return found.select(
+        key, "before", "meets", (pairs("size") - others).alias("overlaps"), starting.alias("starts"), "during", "finishes"
+    )
+
+
 def relation_counts(events: DataFrame, key: str = "stay_id") -> DataFrame:
     """T4: pairs per stay: before, during, and all six relations together."""
-    before = before_counts(events, key)
-    touching = touching_relations(events, key).groupBy(key).agg(
-        F.count_if(F.col("relation") == "during").alias("_during"),
-        F.count(F.lit(1)).alias("_touching"),
-    )
-    return before.join(touching, key, "left").select(
+    totals = relation_totals(events, key)
+    every = reduce(lambda a, b: a + b, [F.coalesce(r, F.lit(0)) for r in RELATIONS])
+    return events.select(key).distinct().join(totals, key, "left").select(
         key,
-        F.col("n_before").alias("num_before_relations"),
-        F.coalesce("_during", F.lit(0)).alias("num_during_relations"),
-        (F.col("n_before") + F.coalesce("_touching", F.lit(0))).alias("total_temporal_edges"),
+        F.coalesce("before", F.lit(0)).alias("num_before_relations"),
+        F.coalesce("during", F.lit(0)).alias("num_during_relations"),
+        every.alias("total_temporal_edges"),
     )
 
 
 def relations_by_name(events: DataFrame, key: str = "stay_id") -> DataFrame:
     """Pairs per relation over all stays."""
-    before = before_counts(events, key).agg(F.sum("n_before").alias("count")).select(
-        F.lit("before").alias("relation"), "count"
+    sums = relation_totals(events, key).agg(*[F.sum(r).alias(r) for r in RELATIONS])
+    return sums.unpivot([], list(RELATIONS), "relation", "count").where(F.col("count") > 0)
+
+
+def related_pairs(events: DataFrame, rel: str, first: Column, second: Column, key: str = "stay_id", name: str = "_n") -> DataFrame:
+    """Per stay, the pairs in which an event of role ``first`` has the relation to one of role ``second``.
+
+    As in :func:`relation_totals`, from counts and running totals over distinct intervals.
+    """
+    valid = events.where(F.col("start_ts") <= F.col("end_ts"))
+    if rel == "before":
+        return before_counts(valid, key, first, second, name)
+    cells = _cells(events, key, f=first, s=second)
+    is_proper = F.col("start_ts") < F.col("end_ts")
+
+    def meeting(second_proper: bool) -> DataFrame:
+        ends = cells.where(is_proper).select(key, F.col("end_ts").alias("at"), "f", F.lit(0).alias("s"))
+        starts = cells.where(is_proper) if second_proper else cells
+        both = ends.unionByName(starts.select(key, F.col("start_ts").alias("at"), F.lit(0).alias("f"), "s"))
+        moments = both.groupBy(key, "at").agg(F.sum("f").alias("f"), F.sum("s").alias("s"))
+        return moments.groupBy(key).agg(F.sum(F.col("f") * F.col("s")).alias(name))
+
+    if rel == "meets":
+        return meeting(False)
+    if rel == "starts":
+        line = running(cells, [key, "start_ts"], ["end_ts"], {"_sum": "f"}, inclusive=False)
+        return line.groupBy(key).agg(F.coalesce(F.sum(F.col("s") * F.col("_sum")), F.lit(0)).alias(name))
+    if rel == "finishes":
+        line = running(cells.where(is_proper), [key, "end_ts"], ["start_ts"], {"_sum": "s"}, inclusive=False)
+        return line.groupBy(key).agg(F.coalesce(F.sum(F.col("f") * F.col("_sum")), F.lit(0)).alias(name))
+    if rel == "during":
+        found = dominated(cells, [key], "start_ts", "end_ts", F.col("s"), name="_around")
+        return found.groupBy(key).agg(F.sum(F.col("f") * F.col("_around")).alias(name))
+    # Earlier at both ends, but for those that end before the other starts, or as it starts.
+    earlier = dominated(cells, [key], "start_ts", "end_ts", F.col("f"), larger=False, name="_earlier").groupBy(key).agg(
+        F.sum(F.col("s") * F.col("_earlier")).alias("_all")
     )
-    others = touching_relations(events, key).groupBy("relation").agg(
-        F.count(F.lit(1)).alias("count")
+    return (
+        earlier.join(before_counts(valid, key, first, second, "_before"), key)
+        .join(meeting(True).withColumnRenamed(name, "_meets"), key, "left")
+        .select(key, (F.col("_all") - F.col("_before") - F.coalesce("_meets", F.lit(0))).alias(name))
     )
-    return before.unionByName(others)
 
 
 def precedence(
@@ -189,14 +297,8 @@ def precedence(
     if rel not in RELATIONS:
         raise ValueError(f"unknown relation {rel!r}")
     low = F.lower(F.col("name"))
-    if rel == "before":
-        counts = before_counts(events, key, low == first.lower(), low == second.lower(), "_n")
-    else:
-        both = events.where(low.isin(first.lower(), second.lower()))
-        counts = touching_relations(both, key, extra=["name"]).where(
-            (F.col("relation") == rel) & (F.lower("src_name") == first.lower())
-            & (F.lower("dst_name") == second.lower())
-        ).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    both = events.where(low.isin(first.lower(), second.lower()))
+    counts = related_pairs(both, rel, low == first.lower(), low == second.lower(), key)
     owners = events.select(key, owner).distinct()
     sums = counts.join(owners, key).groupBy(owner).agg(F.sum("_n").alias("_n")).where("_n > 0")
     value = F.lit(1.0) if as_flag else F.col("_n").cast("double")
@@ -227,10 +329,8 @@ def events_before(events: DataFrame, name: str, key: str = "stay_id") -> DataFra
 
 def events_during(events: DataFrame, key: str = "stay_id") -> DataFrame:
     """Events that lie inside another, with how many they lie inside."""
-    inside = touching_relations(events, key).where(F.col("relation") == "during").groupBy(
-        F.col("src").alias("event_id")
-    ).agg(F.count(F.lit(1)).alias("n_around"))
-    return events.join(inside, "event_id").select(
+    inside = dominated(_cells(events, key), [key], "start_ts", "end_ts", F.col("n"), name="n_around").where("n_around > 0")
+    return events.join(inside.drop("n"), [key, "start_ts", "end_ts"]).select(
         key, "event_id", "kind", "name", "start_ts", "value", "n_around"
     )
 

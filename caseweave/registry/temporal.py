@@ -270,7 +270,7 @@ AND src_name = 'Creatinine' AND dst_name = 'Vancomycin' GROUP BY hadm_id
         return tp.precedence(t.stay_events, "creatinine", "vancomycin", rel)
 
 
-for _rel in ("before", "during"):
+for _rel in ("before", "meets", "overlaps", "starts", "during"):
     _precedence_case(_rel)
 
 FIRSTS_SQL = f"""
