@@ -16,7 +16,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.functions.draws import POISSON_ONE, uniform
@@ -220,19 +220,25 @@ def replicate_copies(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(np.array(POISSON_ONE), draws, side="right").astype(np.float64)
 
 
+#: What a sorted slice says per replicate: weights of both classes at its first and last score, and in between, with
+#: the pairs won there.
+_PARTS = ("first_pos", "first_neg", "pos", "neg", "won", "last_pos", "last_neg")
+
+
 def _slice_concordance(replicates: int, seed: int):
-    """Per sorted slice: weights of both classes and pairs won inside the slice."""
+    """Per sorted slice, _PARTS of every replicate; the scores at both ends stay open, other slices may have them, too."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pos, neg, won = (np.zeros(replicates) for _ in range(3))
-        tie_pos, tie_neg = np.zeros(replicates), np.zeros(replicates)
-        slice_id, last = None, None
+        first, tie, tie_score, slice_id, scores = None, None, None, None, []
 
         def close() -> None:
-            nonlocal pos, neg, won, tie_pos, tie_neg
-            won = won + tie_pos * (neg + 0.5 * tie_neg)
-            pos, neg = pos + tie_pos, neg + tie_neg
-            tie_pos, tie_neg = np.zeros(replicates), np.zeros(replicates)
+            nonlocal pos, neg, won, first
+            if first is None:
+                first = tie
+            else:
+                won = won + tie[0] * (neg + 0.5 * tie[1])
+                pos, neg = pos + tie[0], neg + tie[1]
 
         for batch in batches:
             if batch.empty:
@@ -242,52 +248,64 @@ def _slice_concordance(replicates: int, seed: int):
             labels, values = batch["_label"].to_numpy(), batch["_score"].to_numpy()
             edges = np.flatnonzero(np.diff(values)) + 1
             for part in np.split(np.arange(len(values)), edges):
-                if last is None or values[part[0]] != last:
-                    close()
-                    last = values[part[0]]
+                if tie is None or values[part[0]] != tie_score:
+                    if tie is not None:
+                        close()
+                    tie, tie_score = np.zeros((2, replicates)), values[part[0]]
+                    scores = [scores[0] if scores else tie_score, tie_score]
                 ones = labels[part] == 1
-                tie_pos = tie_pos + copies[part][ones].sum(axis=0)
-                tie_neg = tie_neg + copies[part][~ones].sum(axis=0)
-        close()
+                tie = tie + np.stack([copies[part][ones].sum(axis=0), copies[part][~ones].sum(axis=0)])
         if slice_id is not None:
+            one = first is None
+            ends = (tie, np.zeros((2, replicates))) if one else (first, tie)
             yield pd.DataFrame({
-                "_slice": slice_id, "replicate": np.arange(replicates, dtype=np.int64),
-                "pos": pos, "neg": neg, "won": won,
+                "_slice": slice_id, "replicate": np.arange(replicates, dtype=np.int64), "low": scores[0], "high": scores[1],
+                **dict(zip(_PARTS, (*ends[0], pos, neg, won, *ends[1]), strict=True)),
             })
 
     return fold
 
 
+def _joined_slices(slices: pd.DataFrame) -> pd.DataFrame:
+    """The area of one replicate from its slices in order: a score that goes on into the next slice stays open."""
+    pos = neg = won = 0.0
+    score, tie_pos, tie_neg = None, 0.0, 0.0
+    for s in slices.sort_values("_slice").itertuples():
+        for value, p, n in ((s.low, s.first_pos, s.first_neg), (s.high, s.last_pos, s.last_neg)):
+            if value != score:
+                won, pos, neg = won + tie_pos * (neg + 0.5 * tie_neg), pos + tie_pos, neg + tie_neg
+                score, tie_pos, tie_neg = value, 0.0, 0.0
+                if value == s.high and s.low != s.high:
+                    won, pos, neg = won + s.won + s.pos * neg, pos + s.pos, neg + s.neg
+            tie_pos, tie_neg = tie_pos + p, tie_neg + n
+    won, pos, neg = won + tie_pos * (neg + 0.5 * tie_neg), pos + tie_pos, neg + tie_neg
+    area = won / (pos * neg) if pos * neg > 0 else None
+    return pd.DataFrame({"replicate": slices["replicate"].iloc[:1], "auroc": pd.array([area], dtype="Float64")})
+
+
 def bootstrap_areas(
     rows: DataFrame, row_id: str, label: str, score: str, replicates: int, seed: int
 ) -> DataFrame:
     """Area under the receiver curve of each bootstrap replicate.
 
-    The rows are range-partitioned by score once, and rows of one score stay together.  Each task walks its sorted
-    slice and keeps one number per replicate, so no row is copied per replicate;
-    the slices' totals are then combined in order.
+    The rows are range-partitioned by score and row once, so that a score with very many rows goes over several
+    tasks.  Each task walks its sorted slice and keeps a few numbers per replicate, so no row is copied per
+    replicate; the slices are then joined in order, a score that two of them share as one.
     """
+    numbers = ", ".join(f"{c} double" for c in ("low", "high", *_PARTS))
     slices = (
         rows.select(
             F.xxhash64(F.col(row_id)).alias("_id"), F.col(label).cast("int").alias("_label"),
             F.col(score).cast("double").alias("_score"),
         )
-        .repartitionByRange("_score")
+        .where("_score IS NOT NULL AND _label IS NOT NULL")
+        .repartitionByRange("_score", "_id")
         .withColumn("_slice", F.spark_partition_id())
         .sortWithinPartitions("_score")
-        .mapInPandas(
-            _slice_concordance(replicates, seed),
-            "_slice int, replicate bigint, pos double, neg double, won double",
-        )
-    )
-    below = Window.partitionBy("replicate").orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    won = F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0))
-    pairs = F.sum("pos") * F.sum("neg")
-    return slices.withColumn("_won", won).groupBy("replicate").agg(
-        (F.sum("_won") / F.when(pairs > 0, pairs)).alias("auroc")
+        .mapInPandas(_slice_concordance(replicates, seed), f"_slice int, replicate bigint, {numbers}")
     )
+    # One row per slice and replicate.
+    return slices.groupBy("replicate").applyInPandas(_joined_slices, "replicate bigint, auroc double")
 
 
 def compare_areas(

@@ -369,12 +369,11 @@ def trajectory_scores(
 def trajectory_members(anchor: DataFrame, buckets: DataFrame, hadm_ids: DataFrame) -> DataFrame:
     """Shared, anchor-only and candidate-only events of chosen candidates.
 
-    The anchor's events are repeated for each chosen candidate, so the choice is
-    a checked, short list (a result page).
+    The anchor is one encounter; its events go to the rows of the candidates as one array, and any number of
+    candidates may be asked for.
     """
-    chosen = [r[0] for r in take_bounded(hadm_ids.select("hadm_id"), 1000, "candidates")]
-    asked = F.explode(F.array(*[F.lit(h) for h in chosen]))
-    left = anchor.select(asked.alias("hadm_id"), "bucket", "code")
+    own = anchor.agg(F.collect_set(F.struct("bucket", "code"))).scalar()
+    left = hadm_ids.select("hadm_id").distinct().select("hadm_id", F.explode(own).alias("_e")).select("hadm_id", "_e.*")
     right = keep(buckets, hadm_ids).select("hadm_id", "bucket", "code")
     return set_members(left, right, ["hadm_id", "bucket"], "code")
 

@@ -114,6 +114,23 @@ def test_areas_and_bootstrap(spark, scored):
         assert boot[b] == pytest.approx(area(labels, a, copies[:, b]))
 
 
+@pytest.mark.parametrize("digits", [0, 1, 3])
+def test_tied_scores_go_over_several_tasks(spark, scored, digits):
+    """With no digits there are two scores; slices end inside of them."""
+    _, data = scored
+    rows = [(r[0], r[1], round(r[3], digits)) for r in data]
+    df = spark.createDataFrame(rows, "id long, label int, a double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        boot = {r["replicate"]: r["auroc"] for r in ev.bootstrap_areas(df, "id", "label", "a", 5, 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hashes = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64("id")).collect()], dtype=np.int64)
+    copies = ev.replicate_copies(hashes, 5, 7)
+    for b in range(5):
+        assert boot[b] == pytest.approx(area([r[1] for r in rows], [r[2] for r in rows], copies[:, b]))
+
+
 def test_copies_average_one():
     copies = ev.replicate_copies(np.arange(4000, dtype=np.int64), 20, 1)
     assert abs(copies.mean() - 1.0) < 0.02 and abs(copies.var() - 1.0) < 0.05
@@ -202,3 +219,67 @@ def test_estimate_and_guards(trial):
             cs.estimate(df, ["x"], "y", ["a", "b", "c"], **bad)
     with pytest.raises(ValueError):
         cs.estimate(df, ["x"], "y", ["a", "a", "c"])
+
+
+# --- ordinal outcomes -----------------------------------------------------------------------
+
+
+@pytest.fixture
+def arms(spark):
+    rng = random.Random(8)
+    data = []
+    for i in range(400):
+        arm, g, x = rng.randrange(3), rng.randrange(2), rng.gauss(0, 1)
+        data.append((i, arm, g, x, min(3, max(0, round(1 + arm * 0.7 + g * 0.5 + 0.5 * x + rng.gauss(0, 0.7))))))
+    return spark.createDataFrame(data, "hadm_id long, T int, g int, x double, y int"), data
+
+
+def test_models_of_levels_are_at_the_optimum(spark, arms):
+    """The slope of the penalised likelihood is nought, for every replicate and arm."""
+    df, data = arms
+    x = cs.constant_and(["g", "x"])
+    rows = cs._prepared(df, x, F.col("y").cast("double"), F.col("T"), 3, 2, "hadm_id")
+    models = cs.fit_levels(rows, [0.0, 1.0, 2.0, 3.0], 3)
+    weights = {r["hadm_id"]: r["_w"] for r in cs.weighted(df, 3, 2).collect()}
+    assert set(models) == {(r, a) for r in range(4) for a in range(3)}
+    for (r, a), model in models.items():
+        own = [d for d in data if d[1] == a]
+        features = np.array([[1.0, d[2], d[3]] for d in own])
+        w, y = np.array([weights[d[0]][r] for d in own], float), np.array([d[4] for d in own])
+        live = np.isfinite(model[:, 0])
+        assert live.tolist() == [bool(w[y == v].sum()) for v in range(4)]
+        p = cs._shares(features, model)
+        slope = ((np.eye(4)[y] - p) * w[:, None]).T @ features
+        slope[:, 1:] -= np.where(live[:, None], model[:, 1:], 0.0)
+        assert np.abs(slope[live]).max() < 1e-3
+
+
+def test_ordinal_effects(spark, arms):
+    df, _ = arms
+    found = cs.estimate(df, ["g", "x"], "y", ["a", "b", "c"], kind="ordinal", learner="x_learner", replicates=5)
+    rows = {(r["quantity"], r["name"]): r for r in found.collect()}
+    assert set(rows) == {("mean", n) for n in "abc"} | {("contrast", n) for n in ("a|b", "a|c", "b|c")} | {("effect", n) for n in ("b|a", "c|a")}
+    assert 0.3 < rows["effect", "b|a"]["point"] < 1.1 < rows["effect", "c|a"]["point"] + 0.2
+    with pytest.raises(ValueError):
+        cs.levels_of(spark.range(60).withColumn("y", F.col("id")), "y")
+
+
+def test_x_learner_blends_by_the_chance_of_the_arm(spark):
+    """Unequal arms and a curved outcome: the two models of an effect differ, so the chance of the arm matters."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=600)
+    arm = (rng.random(600) < 1 / (1 + np.exp(1.5 - x))).astype(int)
+    y = x**2 + arm * (1 + x) + rng.normal(size=600) * 0.1
+    df = spark.createDataFrame([(i, int(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(arm, x, y))], "hadm_id long, T int, x double, y double")
+    one = np.column_stack([np.ones(600), x])
+    fit = lambda at, v: np.linalg.lstsq(one[at], v, rcond=None)[0]
+    mu0, mu1 = fit(arm == 0, y[arm == 0]), fit(arm == 1, y[arm == 1])
+    tau1 = fit(arm == 1, y[arm == 1] - one[arm == 1] @ mu0)
+    tau0 = fit(arm == 0, one[arm == 0] @ mu1 - y[arm == 0])
+    beta = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-one @ beta))
+        beta += np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + np.diag([0, 1.0]), one.T @ (arm - p) - np.array([0, 1.0]) * beta)
+    e = 1 / (1 + np.exp(-one @ beta))
+    got = cs.x_learner(df, ["x"], "y", 2).first()["effect"]
+    assert got == pytest.approx(float((e * (one @ tau0) + (1 - e) * (one @ tau1)).mean()), abs=1e-6)
