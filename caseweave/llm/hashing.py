@@ -16,7 +16,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def byte_set(characters: bytes) -> np.ndarray:
@@ -118,8 +118,13 @@ def split_words(
         sums = np.zeros(size + 1, dtype=np.uint64)
         if size:
             lengths = np.diff(places)
-            place = np.arange(size) - np.repeat(places[:-1], lengths)
-            np.cumsum(_BYTE_VALUES[data] * _place_values(int(lengths.max()))[place], out=sums[1:])
+            # 32-bit places halve the memory that is moved; a text may be longer than they reach.
+            kind = np.int32 if size < 1 << 31 else np.int64
+            place = np.arange(size, dtype=kind)
+            place -= np.repeat(places[:-1].astype(kind), lengths)
+            values = _place_values(int(lengths.max())).take(place)
+            values *= _BYTE_VALUES.take(data)
+            np.cumsum(values, out=sums[1:])
         hashes = mix(sums[ends] - sums[starts] + mix((ends - starts).astype(np.uint64), 5))
         first = np.searchsorted(starts, bounds)
         yield Words(row, first, hashes, starts, ends, data, bounds, sums)

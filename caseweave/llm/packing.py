@@ -161,7 +161,7 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for words in split_words(texts, LINE_BLANK, lower=False, slice_bytes=2 * SLICE_BYTES):
+        for words in split_words(texts, LINE_BLANK, lower=False, slice_bytes=4 * SLICE_BYTES):
             slots = words.hashes & np.uint64((1 << SLOT_BITS) - 1)
             places = self.slot_places[slots]
             other = np.flatnonzero(self.slot_keys[slots] != words.hashes)
