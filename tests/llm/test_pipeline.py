@@ -66,7 +66,8 @@ def test_registered(spark):
     assert "pipeline" in names and "pipeline" not in entry.oracle_sql()
     assert sorted(n for n in names if n.startswith("op")) == sorted(
         f"op{k}_{n}" for k, n in enumerate(
-            "toxicity quality_rules packing quality_classifier line_dedup pii near_dedup language_id decontamination sharding".split(), 1
+            "toxicity quality_rules packing quality_classifier line_dedup pii near_dedup language_id decontamination sharding "
+            "prefix_trie fingerprints spelling_variants".split(), 1
         )
     )
     assert names["pipeline"](spark, FOLDER).count() > 0
