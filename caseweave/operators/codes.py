@@ -252,9 +252,19 @@ def concept_features(
 FULL_NAME, SYNONYM = "900000000000003001", "900000000000013009"
 
 
-def read_release(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated release file, active rows only."""
+def read_release(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
+    """The rows of a tab-separated release file that are active, at the date ``as_of`` (yyyyMMdd) if given.
+
+    A full release has every version of a row under one id, and retires it by a later version: the latest
+    version up to the date speaks, and only then is it asked whether it is active.  A file without ids has one
+    version per row.
+    """
     rows = spark.read.csv(path, sep="\t", header=True, quote="", escape="")
+    if as_of is not None:
+        rows = rows.where(F.col("effectiveTime") <= as_of)
+    if "id" in rows.columns:
+        others = [c for c in rows.columns if c not in ("id", "effectiveTime")]
+        rows = rows.groupBy("id").agg(F.max(F.struct("effectiveTime", *others)).alias("_v")).select("id", "_v.*")
     return rows.where(F.col("active") == "1")
 
 

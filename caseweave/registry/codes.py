@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from caseweave.operators import codes as cd
 from caseweave.registry.case import case
+from caseweave.sources import exports
 
 CLOSURE_SQL = """
 WITH RECURSIVE reach(child, ancestor) AS (
@@ -231,3 +234,61 @@ def _(t):
     return cd.concept_features(
         mapped, ["372735009"], "snomed_med", "num_snomed_med_classes", distinct=True
     )
+
+
+def _release(t, rows, name):
+    """A release file, tab-separated, in the shared folder."""
+    path = exports.scratch(t.spark, name)
+    rows.select(*[F.col(c).cast("string") for c in rows.columns]).write.csv(path, sep="\t", header=True, quote="")
+    return path
+
+
+def _stack(items, *versions):
+    return reduce(lambda a, b: a.unionByName(b), [items.select(*v) for v in versions])
+
+
+@case("h12_terms", """
+SELECT CAST(itemid AS VARCHAR) AS "conceptId", as_of, CASE WHEN as_of = '20211231' THEN label
+  WHEN itemid % 3 = 0 THEN label || ' level' ELSE 'New ' || label END AS term
+FROM d_labitems, (VALUES ('20211231'), ('20221231')) AS d(as_of)
+""")
+def _(t):
+    def version(at, active, kind, term, digit):
+        return [
+            (F.col("itemid") * 10 + digit).alias("id"), F.lit(at).alias("effectiveTime"), active.alias("active"),
+            F.col("itemid").alias("conceptId"), F.lit(kind).alias("typeId"), term.alias("term"),
+        ]
+
+    label, on = F.col("label"), F.lit("1")
+    # The full name is rewritten in 2022 and retired for every third item; the synonym stays.
+    path = _release(t, _stack(
+        t.d_labitems,
+        version("20200101", on, cd.FULL_NAME, F.concat(label, F.lit(" (observable)")), 1),
+        version("20220101", F.when(F.col("itemid") % 3 == 0, "0").otherwise("1"), cd.FULL_NAME,
+                F.concat(F.lit("New "), label, F.lit(" (observable)")), 1),
+        version("20210101", on, cd.SYNONYM, F.concat(label, F.lit(" level")), 2),
+    ), "terms")
+    return reduce(lambda a, b: a.unionByName(b), [
+        cd.release_terms(cd.read_release(t.spark, path, at)).withColumn("as_of", F.lit(at)) for at in ("20211231", "20221231")
+    ])
+
+
+@case("h12_map", """
+SELECT itemid || '-1' AS loinc, CAST(CASE WHEN itemid % 2 = 1 THEN itemid * 100 + 7 ELSE itemid * 100 END AS VARCHAR) AS concept_id
+FROM d_labitems WHERE itemid % 5 <> 0
+""")
+def _(t):
+    def version(at, active, concept):
+        return [
+            F.col("itemid").alias("id"), F.lit(at).alias("effectiveTime"), active.alias("active"),
+            concept.alias("referencedComponentId"), F.concat(F.col("itemid"), F.lit("-1")).alias("mapTarget"),
+        ]
+
+    odd = F.col("itemid") % 2 == 1
+    path = _release(t, _stack(
+        t.d_labitems,
+        version("20200101", F.lit("1"), F.col("itemid") * 100),
+        # Odd items get another concept, every fifth loses its own.
+        version("20220101", F.when(F.col("itemid") % 5 == 0, "0").otherwise("1"), F.when(odd, F.col("itemid") * 100 + 7).otherwise(F.col("itemid") * 100)),
+    ), "map")
+    return cd.release_map(cd.read_release(t.spark, path), "mapTarget", "referencedComponentId")
