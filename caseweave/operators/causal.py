@@ -10,6 +10,7 @@ replicate and arm.  Binary outcomes use the same sums in a few Newton steps.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -508,6 +509,214 @@ def boosted_means(
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+# --- boosted trees of all replicates --------------------------------------------------------
+
+#: Places of a covariate: up to 30 quantiles cut it, and the last place is that of missing values.
+PLACES = 32
+#: A child node needs this many copies.
+LEAST_COPIES = 1.0
+
+
+@dataclass(frozen=True)
+class Forest:
+    """The trees of one round: per level and arm, covariate and cut by (replicate, node), then the leaves' values."""
+
+    levels: list[dict[int, tuple[np.ndarray, np.ndarray]]]
+    leaves: dict[int, np.ndarray]
+
+    def nodes(self, x: np.ndarray, arm: int, replicates: int) -> np.ndarray:
+        """(rows, replicates): the node that the levels grown so far lead to."""
+        node, own = np.zeros((len(x), replicates), dtype=np.int64), np.arange(replicates)[None, :]
+        rows = np.arange(len(x))[:, None]
+        for level in self.levels:
+            covariate, cut = level[arm]
+            node = 2 * node + (x[rows, covariate[own, node]] > cut[own, node])
+        return node
+
+    def values(self, x: np.ndarray, arm: int, replicates: int) -> np.ndarray:
+        return self.leaves[arm][np.arange(replicates)[None, :], self.nodes(x, arm, replicates)]
+
+
+def placed(frame: DataFrame, covariates: Sequence[str]) -> list[Column]:
+    """The place of each covariate among its quantiles, found by one aggregate; what is missing has the last place."""
+    shares = F.lit([(i + 1) / (PLACES - 1) for i in range(PLACES - 2)])
+    values = [F.col(c).cast("double") for c in covariates]
+    found = frame.agg(*[
+        F.percentile_approx(F.when(~F.isnan(v), v), shares, F.lit(10_000)).alias(f"c{i}") for i, v in enumerate(values)
+    ]).first()
+
+    def place(v: Column, cuts: Sequence[float]) -> Column:
+        below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < v))
+        return F.when(v.isNull() | F.isnan(v), F.lit(PLACES - 1)).otherwise(below).cast("double")
+
+    return [place(v, sorted(set(cuts or []))) for v, cuts in zip(values, found, strict=True)]
+
+
+def _splits(shrink: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best cut of each (arm, replicate, node, covariate) row of residual and copy sums per place."""
+
+    def best_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = batch.column("s").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, 2, PLACES)
+            left = sums.cumsum(axis=2)[:, :, :-1]
+            whole = sums.sum(axis=2)
+            g, h, (g_all, h_all) = left[:, 0], left[:, 1], whole.T
+            g_right, h_right = g_all[:, None] - g, h_all[:, None] - h
+            # A cut with no copy on one side is none; a float hides the order in which sums were added.
+            real = (h >= LEAST_COPIES) & (h_right >= LEAST_COPIES)
+            h, h_right = np.where(real, h, 1.0), np.where(real, h_right, 1.0)
+            gain = g**2 / (h + shrink) + g_right**2 / (h_right + shrink) - (g_all**2 / (h_all + shrink))[:, None]
+            gain = np.where(real, gain, -1.0).astype(np.float32)
+            cut = gain.argmax(axis=1)
+            at = np.arange(len(gain)), cut
+            best, small = gain[at], 1e-9 * np.maximum(1.0, np.abs(g_all))
+            split = best > small
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in ("a", "r", "node", "f")], *[pa.array(v) for v in (
+                    np.where(split, cut, PLACES).astype(np.int32), np.where(split, best, 0.0).astype(float),
+                    np.where(split, g[at] / (h[at] + shrink), g_all / (h_all + shrink)),
+                    np.where(split, g_right[at] / (h_right[at] + shrink), 0.0),
+                )]], names=["a", "r", "node", "f", "cut", "gain", "low", "high"],
+            )
+
+    return best_cuts
+
+
+def boosted_learner(
+    frame: DataFrame, covariates: Sequence[str], outcome: str, n_arms: int, *, replicates: int = 200, seed: int = 0,
+    key: str = KEY, rounds: int = 200, depth: int = 6, rate: float = 0.3, shrink: float = 1.0, write_every: int = 5,
+) -> DataFrame:
+    """E1 and E4 with boosted trees for a continuous outcome: (replicate, T, mu) from one model per arm and replicate.
+
+    All trees of a round grow at once: a level is one pass, in which a task sums residuals and copies by
+    (arm, replicate, node, covariate, place), and Spark adds up those sums and picks the best cut of each
+    node.  Rows are never multiplied.  What reaches the driver is one cut per node of the level.  Every ``write_every`` rounds the
+    rows are written with what the trees say of them, so no more rounds than that go to the tasks.
+
+    Means of nodes are shrunk as by ``shrink`` rows of no residual.  Cuts are quantiles of the cohort.  Rows that lack
+    the outcome or the arm are left out; missing covariates go to the right of every cut.  An arm without
+    rows has no model; a replicate that draws none of an arm's rows has no model of that arm.
+    """
+    known = frame.where(F.col(outcome).isNotNull() & F.col(ARM).isNotNull())
+    size, k = replicates + 1, len(covariates)
+    x = placed(known, covariates)
+    rows = _prepared(known, x, F.col(outcome).cast("double"), F.col(ARM), replicates, seed, key)
+
+    def add_outcomes(batch: pa.RecordBatch, table: dict) -> None:
+        arm, _, y, w = _columns_of(batch)
+        for a in np.unique(arm).tolist():
+            at = arm == a
+            for r, found in enumerate(np.stack([w[at].T @ y[at], w[at].sum(axis=0)], axis=1)):
+                table[r, a] = table.get((r, a), 0) + found
+
+    start = {place: s[0] / s[1] for place, s in _summed(rows, add_outcomes, 2).items() if s[1] > 0}
+    arms = sorted({a for _, a in start if 0 <= a < n_arms})
+    constant = {a: np.array([start.get((r, a), 0.0) for r in range(size)]) for a in arms}
+    added: dict[tuple, float] = dict.fromkeys(start, 0.0)
+    fitted: DataFrame = rows.where(F.col("_arm").isin(arms)).withColumn("_f", F.lit(None).cast("array<double>"))
+    sums = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(2 * PLACES)]).alias("s")
+    best = F.max_by(F.struct("f", "cut", "low", "high"), F.struct("gain", -F.col("f"))).alias("b")
+
+    def said(batch: pa.RecordBatch, a: int, at: np.ndarray, x: np.ndarray, forests: Sequence[Forest]) -> np.ndarray:
+        """What the models so far say of arm ``a``'s rows, by replicate."""
+        before = batch.column("_f")
+        if before.null_count:
+            out = np.tile(constant[a], (len(x), 1))
+        else:
+            out = before.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[at].copy()
+        for forest in forests:
+            out += forest.values(x, a, size)
+        return out
+
+    def grown(rows_: DataFrame, forests: Sequence[Forest], tree: Forest) -> pd.DataFrame:
+        width = 2 ** len(tree.levels)
+
+        def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                arm, x, y, w = _columns_of(batch)
+                x = x.astype(np.int64)
+                for a in np.unique(arm).tolist():
+                    at = arm == a
+                    copies_, own = w[at], x[at]
+                    gap = copies_ * (y[at][:, None] - said(batch, a, at, own, forests))
+                    node = tree.nodes(own, a, size) + width * np.arange(size)[None, :]
+                    table = tables.setdefault(a, np.zeros((k, 2, size * width * PLACES)))
+                    for f in range(k):
+                        place = (node * PLACES + own[:, f][:, None]).ravel()
+                        for i, what in enumerate((gap, copies_)):
+                            table[f, i] += np.bincount(place, what.ravel(), minlength=size * width * PLACES)
+            for a, table in tables.items():
+                cells = table.reshape(k, 2, size, width, PLACES)
+                r, node = np.nonzero(cells[0, 1].sum(axis=2) > 0)
+                values = cells[:, :, r, node].transpose(0, 2, 1, 3).reshape(-1)
+                n = k * len(r)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, a, np.int32)), pa.array(np.tile(r, k).astype(np.int32)),
+                    pa.array(np.tile(node, k).astype(np.int32)), pa.array(np.repeat(np.arange(k), len(r)).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 2 * PLACES, pa.int32()), pa.array(values)),
+                ], names=["a", "r", "node", "f", "s"])
+
+        found = rows_.mapInArrow(histograms, "a int, r int, node int, f int, s array<double>")
+        cuts = found.groupBy("a", "r", "node", "f").agg(sums).mapInArrow(
+            _splits(shrink), "a int, r int, node int, f int, cut int, gain double, low double, high double"
+        )
+        return cuts.groupBy("a", "r", "node").agg(best).select("a", "r", "node", "b.*").toPandas()
+
+    forests: list[Forest] = []
+    for done in range(1, rounds + 1):
+        tree = Forest([], {})
+        for level in range(depth):
+            found, width = grown(fitted, forests, tree), 2**level
+            cuts, leaves = {}, {}
+            for a in arms:
+                covariate, cut = np.zeros((size, width), np.int64), np.full((size, width), PLACES, np.int64)
+                value = np.zeros((size, width, 2))
+                part = found[found["a"] == a]
+                at = part["r"].to_numpy(), part["node"].to_numpy()
+                covariate[at], cut[at] = part["f"].to_numpy(), part["cut"].to_numpy()
+                value[at] = part[["low", "high"]].to_numpy()
+                cuts[a], leaves[a] = (covariate, cut), rate * value.reshape(size, 2 * width)
+            tree = Forest([*tree.levels, cuts], leaves)
+        forests.append(tree)
+        if done % write_every and done < rounds:
+            continue
+        latest = forests
+
+        def add_means(batch: pa.RecordBatch, table: dict) -> None:
+            _, x, _, _ = _columns_of(batch)
+            x = x.astype(np.int64)
+            for a in arms:
+                total = sum(forest.values(x, a, size) for forest in latest).sum(axis=0)
+                for r in range(size):
+                    table[r, a] = table.get((r, a), 0) + np.array([total[r], len(x)])
+
+        for place, s in _summed(rows, add_means, 2).items():
+            if place in added:
+                added[place] += s[0] / s[1]
+
+        def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                arm, x, _, _ = _columns_of(batch)
+                out = np.empty((batch.num_rows, size))
+                for a in np.unique(arm).tolist():
+                    at = arm == a
+                    out[at] = said(batch, a, at, x[at].astype(np.int64), latest)
+                ends = pa.array(np.arange(batch.num_rows + 1) * size, pa.int32())
+                yield batch.set_column(4, "_f", pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1))))
+
+        if done < rounds:
+            fitted, forests = materialise(fitted.mapInArrow(carry, fitted.schema)), []
+    return frame.sparkSession.createDataFrame(
+        [(r, a, float(start[r, a] + added[r, a])) for r, a in sorted(start) if a in arms],
+        f"{REPLICATE} int, {ARM} int, mu double",
+    )
+
+
 # --- summaries ----------------------------------------------------------------------------
 
 
@@ -570,9 +779,12 @@ def estimate(
     frame: DataFrame, covariates: Sequence[str], outcome: str, labels: Sequence[str], *,
     kind: str = "continuous", learner: str = "t_learner", replicates: int = 200, seed: int = 0,
     alpha: float = 0.05, key: str = KEY, within: DataFrame | None = None, ridge: float = 1.0,
+    model: str = "linear", rounds: int = 200, depth: int = 6,
 ) -> DataFrame:
     """Arm means and contrasts with intervals, one row per quantity.
 
+    ``model`` is ``linear`` or, for the T-learner of a continuous outcome, ``boosted``: ``rounds`` trees of ``depth``.
+
     ``within`` narrows the cohort to its keys, such as the members of a similarity cohort.
 
     The X-learner's arm means are those of its outcome models, one per arm; it adds its blended effects
@@ -586,10 +798,16 @@ def estimate(
         raise ValueError(f"outcomes of kind {kind!r} are not supported")
     if replicates < 1 or not 0.0 < alpha < 1.0:
         raise ValueError("replicates must be positive and alpha between 0 and 1")
+    if model not in ("linear", "boosted") or model == "boosted" and (kind, learner) != ("continuous", "t_learner"):
+        raise ValueError(f"model {model!r} is not supported for {kind} outcomes of the {learner}")
     options = {"binary": kind == "binary", "replicates": replicates, "seed": seed, "key": key}
     if within is not None:
         frame = materialise(frame.join(within.select(key).distinct(), key, "left_semi"))
-    if kind == "ordinal":
+    if model == "boosted":
+        mu = boosted_learner(
+            frame, covariates, outcome, len(labels), replicates=replicates, seed=seed, key=key, rounds=rounds, depth=depth,
+        )
+    elif kind == "ordinal":
         mu = ordinal_learner(
             frame, covariates, outcome, len(labels), single=learner == "s_learner", replicates=replicates, seed=seed,
             key=key, ridge=ridge,

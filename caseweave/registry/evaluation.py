@@ -246,6 +246,41 @@ def _(t):
     return rounded(cs.arm_means(replicates(t), LABELS), 5)
 
 
+@case("e4_boosted")
+def _(t):
+    # Boosted outcome models in all 200 replicates; few and small trees, as one round is a pass per level.
+    mu = cs.boosted_learner(frame(t), ["age", "gender_M"], "peak", 3, replicates=200, seed=5, rounds=20, depth=3)
+    return cs.arm_means(mu, LABELS)
+
+
+#: One round at rate 1 without shrinkage splits a 0/1 covariate into its two groups, whose weighted means are the model.
+TREE_SQL = ARMS_SQL + f"""
+, z AS (SELECT n.hadm_id, n.arm, p.gender = 'M' AS g, (SELECT MAX(l.valuenum)
+    FROM labevents l WHERE l.hadm_id = n.hadm_id AND l.itemid IN (50912, 51082)) AS y
+  FROM n JOIN patients p ON n.subject_id = p.subject_id WHERE n.n_matching = 1),
+f AS (SELECT * FROM z WHERE y IS NOT NULL),
+sizes AS (SELECT g, COUNT(*) AS size FROM f GROUP BY g),
+r AS (SELECT f.*, rep, CAST('0x' || md5(concat_ws('-', '5', CAST(hadm_id AS VARCHAR),
+    CAST(rep AS VARCHAR)))[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS d
+  FROM f, (SELECT UNNEST(range(1, 201)) AS rep)),
+w AS (SELECT rep, arm, g, y, {COPIES} AS w FROM r),
+c AS (SELECT rep, arm, g, SUM(w * y) / SUM(w) AS m FROM w GROUP BY ALL HAVING SUM(w) > 0),
+mu_rows AS (SELECT rep, arm, SUM(m * size) / SUM(size) AS mu FROM c JOIN sizes USING (g) GROUP BY ALL
+  HAVING COUNT(*) = 2)
+"""
+
+
+@case("e4_single_trees", TREE_SQL + f"""
+SELECT arm AS T, {NAME} AS label, ROUND(AVG(mu), 5) AS point, ROUND(quantile_cont(mu, 0.025), 5) AS lower,
+  ROUND(quantile_cont(mu, 0.975), 5) AS upper FROM mu_rows GROUP BY arm
+""")
+def _(t):
+    mu = cs.boosted_learner(
+        frame(t), ["gender_M"], "peak", 3, replicates=200, seed=5, rounds=1, depth=1, rate=1.0, shrink=0.0
+    )
+    return rounded(cs.arm_means(mu, LABELS), 5)
+
+
 @case("e5_contrasts", BOOT_SQL + f"""
 , g AS (SELECT rep, {NAME} AS label, mu FROM mu_rows),
 c AS (SELECT a.label || '|' || b.label AS contrast, a.mu - b.mu AS gap FROM g a JOIN g b
