@@ -150,7 +150,7 @@ def lab_nodes(labs: DataFrame, dictionary: DataFrame, stays: DataFrame) -> DataF
     named = labs.where(F.col("valuenum").isNotNull()).join(
         dictionary.select("itemid", "label"), "itemid"
     )
-    placed = with_day(assign_stay(named, stays, ["hadm_id", "labevent_id", "charttime"]), stays)
+    placed = with_day(assign_stay(named, stays), stays)
     return _event_rows(
         placed, "lab", node_id("BME", F.col("stay_id"), F.col("itemid"), stamp(F.col("charttime"))),
         F.col("label"), "charttime", None, F.col("valuenum"), F.col("valueuom"), F.col("itemid"),
@@ -171,7 +171,7 @@ def vital_nodes(charts: DataFrame, dictionary: DataFrame, stays: DataFrame) -> D
 
 def culture_nodes(cultures: DataFrame, stays: DataFrame) -> DataFrame:
     """Cultures taken inside a stay."""
-    placed = with_day(assign_stay(cultures, stays, ["hadm_id", "microevent_id", "charttime"]), stays)
+    placed = with_day(assign_stay(cultures, stays), stays)
     return _event_rows(
         placed, "microbiology", node_id("MBE", F.col("microevent_id")),
         F.col("spec_type_desc"), "charttime", None, F.lit(None), F.lit(None),
@@ -186,7 +186,7 @@ def prescription_nodes(prescriptions: DataFrame, stays: DataFrame) -> DataFrame:
         F.min(F.struct("stoptime", "dose_val_rx", "dose_unit_rx", "route")).alias("_r")
     ).select("hadm_id", "drug", "starttime", "_r.*")
     placed = with_day(
-        assign_stay(once, stays, ["hadm_id", "drug", "starttime"], "starttime"), stays, "starttime"
+        assign_stay(once, stays, "starttime"), stays, "starttime"
     )
     return _event_rows(
         placed, "drug", node_id("RXE", F.col("hadm_id"), slug(F.col("drug")), stamp(F.col("starttime"))),

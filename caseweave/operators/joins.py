@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.operators.filters import keep
-from caseweave.plans.ordered import running
+from caseweave.plans.ordered import carried, running
 
 
 def with_dimension(facts: DataFrame, dimension: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -63,25 +63,46 @@ def in_interval(
     )
 
 
-def assign_stay(
-    events: DataFrame, stays: DataFrame, event_id: Sequence[str], time: str = "charttime"
-) -> DataFrame:
-    """The earliest stay that contains each event; a stay without end is open.
+def first_claims(stays: DataFrame) -> DataFrame:
+    """The stretch of time in which each stay is the earliest one of its encounter that lasts.
+
+    A stay that started before lasts still at a time exactly if its end is not passed, so a stay's stretch
+    begins at its start, or just after the latest end among the stays before it.  Stretches of an encounter do
+    not overlap.  ``_side`` is 0 where the beginning belongs to the stretch and 2 where it doesn't.
+    """
+    kind = dict(stays.dtypes)["outtime"]
+    known = stays.where("hadm_id IS NOT NULL AND intime IS NOT NULL").select(
+        "hadm_id", "stay_id", "intime",
+        F.coalesce("outtime", F.lit("9999-12-31 00:00:00").cast(kind)).alias("_until"),
+    )
+    line = running(known, ["hadm_id"], ["intime", "stay_id"], {"_taken": "_until"}, how="max", inclusive=False)
+    free = F.col("_taken").isNull() | (F.col("_taken") < F.col("intime"))
+    return line.where(
+        (free & (F.col("_until") >= F.col("intime"))) | (~free & (F.col("_until") > F.col("_taken")))
+    ).select(
+        "hadm_id", F.when(free, F.col("intime")).otherwise(F.col("_taken")).alias("_at"),
+        F.when(free, 0).otherwise(2).alias("_side"), F.struct("stay_id", "_until").alias("_claim"),
+    )
+
+
+def assign_stay(events: DataFrame, stays: DataFrame, time: str = "charttime") -> DataFrame:
+    """Events with the earliest stay of their encounter that contains them; a stay without end is open.
 
-    The choice is an aggregate per event, not a sort per encounter.
+    Events without such a stay are left out.  Events and the stretches of :func:`first_claims` lie on one time line
+    and every event carries the stretch that began last: events are read once and compared with one stretch
+    each, however many stays an encounter has, and an encounter with very many events is cut into slices.
     """
-    bounds = stays.where(F.col("intime").isNotNull()).select(
-        "hadm_id", "stay_id", "intime", "outtime"
+    own = events.drop("stay_id", "intime", "outtime").where(
+        F.col("hadm_id").isNotNull() & F.col(time).isNotNull()
     )
-    own = events.drop("stay_id", "intime", "outtime")
-    inside = own.join(bounds, "hadm_id").where(
-        (F.col(time) >= F.col("intime"))
-        & (F.col("outtime").isNull() | (F.col(time) <= F.col("outtime")))
+    asked = own.withColumns({"_at": F.col(time), "_side": F.lit(1)})
+    line = carried(
+        asked.unionByName(first_claims(stays), allowMissingColumns=True), ["hadm_id"], ["_at", "_side"],
+        {"_held": "_claim"},
     )
-    first = inside.groupBy(*event_id).agg(
-        F.min_by("stay_id", F.struct("intime", "stay_id")).alias("stay_id")
+    return line.where((F.col("_side") == 1) & (F.col("_at") <= F.col("_held._until"))).select(
+        *own.columns, F.col("_held.stay_id").alias("stay_id")
     )
-    return own.join(first, list(event_id))
 
 
 def merge_features(base: DataFrame, frames: Sequence[DataFrame], key: str = "hadm_id") -> DataFrame:

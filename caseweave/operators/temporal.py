@@ -462,7 +462,7 @@ def bucket_events(events: DataFrame, encounters: DataFrame, stays: DataFrame) ->
     # The stay's start travels as the identity of the stay the event falls in.
     starts = closed.select("hadm_id", F.col("intime").alias("stay_id"), "intime", "outtime")
     inside = assign_stay(
-        points.select("hadm_id", "code", "at"), starts, ["hadm_id", "code", "at"], "at"
+        points.select("hadm_id", "code", "at"), starts, "at"
     ).withColumnRenamed("stay_id", "_in")
     placed = points.join(first, "hadm_id", "left").join(inside, ["hadm_id", "code", "at"], "left")
     hours = hours_between("admittime", "at")
@@ -523,7 +523,7 @@ def reading_series(
         located = readings.join(stays.select("stay_id").distinct(), "stay_id", "left_semi")
     else:
         ids = [c for c in ("labevent_id", "charttime") if c in readings.columns]
-        located = assign_stay(readings, stays, ["hadm_id", *ids])
+        located = assign_stay(readings, stays)
     return located.select(
         "hadm_id", "stay_id", F.col("charttime").alias("at"),
         F.col("valuenum").cast("double").alias("value"),
@@ -541,7 +541,7 @@ def dose_series(
         drugs & F.col("starttime").isNotNull() & F.col("dose_val_rx").isNotNull()
     ).select("hadm_id", "drug", "starttime", F.col("dose_val_rx").cast("double").alias("value"))
     once = orders.groupBy("hadm_id", "drug", "starttime").agg(F.max("value").alias("value"))
-    located = assign_stay(once, stays, ["hadm_id", "drug", "starttime"], "starttime")
+    located = assign_stay(once, stays, "starttime")
     return located.select("hadm_id", "stay_id", "drug", F.col("starttime").alias("at"), "value")
 
 

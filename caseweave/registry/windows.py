@@ -313,7 +313,7 @@ SELECT labevent_id, hadm_id, stay_id FROM (SELECT e.labevent_id, e.hadm_id, s.st
 """)
 def _(t):
     events = t.labevents.select("hadm_id", "labevent_id", "charttime").distinct()
-    return jn.assign_stay(events, t.icustays, ["labevent_id", "charttime"]).select(
+    return jn.assign_stay(events, t.icustays).select(
         "labevent_id", "hadm_id", "stay_id"
     )
 
