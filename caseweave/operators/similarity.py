@@ -1,15 +1,18 @@
 """Similarity of encounters: mixed-type distance, contextual score, trajectories.
 
 A comparison with one profile is Column arithmetic over the candidates, so it is
-a scan without any join.  Comparisons with several rows take a checked number of
-them, or the pairs the caller names; all pairs of a table are never formed.
+a scan without any join.  The nearest rows of a table's rows are looked for in cells that bound the
+distance from below; other comparisons take the pairs the caller names.  All pairs of a table are never formed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,38 +128,174 @@ def pair_distances(
     return joined.select("left_id", "right_id", (1.0 - value if similarity else value).alias(name))
 
 
-MAX_ANCHORS = 256
+#: Cells that the candidates are laid in, at most; as many traits set the cells, the heaviest ones.
+MOST_CELLS, CELL_TRAITS = 4096, 6
+#: Candidates of one cell that a task compares; a fuller cell is dealt out by the hash of the key.
+CELL_ROWS = 100_000
+
+
+def _coordinate(trait: Trait, column: Column, places: int) -> Column:
+    """A trait's value as a number; of a nominal one, a hash below ``places``.  NULL where it is missing."""
+    if trait.kind is Kind.BINARY:
+        return (column == F.lit(trait.present)).cast("double")
+    if trait.kind is Kind.ORDINAL:
+        return kn.level(column, trait.levels)
+    if trait.kind is Kind.NOMINAL:
+        return F.when(column.isNotNull(), F.pmod(F.xxhash64(column), F.lit(places)).cast("double"))
+    return F.when(~F.isnan(column.cast("double")), column.cast("double"))
+
+
+def _range(trait: Trait) -> tuple[float, float]:
+    if trait.kind is Kind.ORDINAL:
+        return 0.0, float(max(len(trait.levels) - 1, 1))
+    if trait.kind is Kind.QUANTITATIVE:
+        low, high = trait.scale
+        return low, (high if high != low else low + 1.0)
+    return 0.0, 1.0
+
+
+def _place(trait: Trait, coordinate: Column, places: int) -> Column:
+    """The part of the trait's range that a value lies in, 1 to ``places``; 0 where it is missing."""
+    low, high = _range(trait)
+    if trait.kind is Kind.NOMINAL:
+        part = coordinate
+    else:
+        share = (coordinate - F.lit(low)) / F.lit(high - low)
+        part = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(places - 1.0), share * places)))
+    return F.when(coordinate.isNull(), F.lit(0)).otherwise(part + 1).cast("long")
+
+
+@dataclass(frozen=True)
+class Cells:
+    """The cells of the candidates: id, rows, and per trait the smallest and largest number (NaN: missing)."""
+
+    traits: Sequence[Trait]
+    beyond: float
+    ids: np.ndarray
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """(anchors, cells): no row of the cell is nearer to the anchor than this.
+
+        A cell's rows lack the same traits, so it is known which ones take part; traits that set no cell
+        count with their weight and no gap.
+        """
+        top, weight = np.zeros((len(x), len(self.ids))), np.full((len(x), len(self.ids)), self.beyond)
+        for i, t in enumerate(self.traits):
+            own, low, high = x[:, i][:, None], self.low[None, :, i], self.high[None, :, i]
+            gone = np.isnan(own) | np.isnan(low)
+            if t.kind in (Kind.NOMINAL, Kind.BINARY):
+                far = (own != low).astype(float)
+            else:
+                short, over = np.maximum(low - own, 0.0), np.maximum(own - high, 0.0)
+                gap = {Direction.SYMMETRIC: short + over, Direction.HIGHER: over, Direction.LOWER: short}[t.direction]
+                first, last = _range(t)
+                far = np.minimum(gap / (last - first), 1.0)
+            part = ~gone
+            if t.asymmetric and t.kind is Kind.BINARY:
+                part = part & ~((own == 0.0) & (low == 0.0))
+            if t.missing is kn.Missing.ZERO:
+                far, part = np.where(gone, 1.0, far), part | gone
+            top += np.where(part, t.weight * far, 0.0)
+            weight += np.where(part, t.weight, 0.0)
+        return np.where(weight > 0, top / np.where(weight > 0, weight, 1.0), np.inf)
+
+    def first(self, x: np.ndarray, n: int) -> np.ndarray:
+        """(anchors, cells): the cells with the lowest bounds that hold more than ``n`` rows together."""
+        order = np.argsort(self.bounds(x), axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        chosen = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(chosen, order, before <= n, axis=1)
+        return chosen
 
 
 def nearest(
     anchors: DataFrame, candidates: DataFrame, traits: Sequence[Trait], key: str, n: int,
-    max_anchors: int = MAX_ANCHORS,
 ) -> DataFrame:
-    """The n nearest candidates of each anchor row, undefined ones last.
+    """The n nearest candidates of each anchor row, undefined distances last, ties to the smaller key.
 
-    The anchors are a checked handful, carried as a constant array, and each map
-    task keeps only its n best per anchor before the shuffle.
+    Candidates lie in cells, one per combination of parts of the traits' ranges.  An anchor is compared with
+    the cells of the lowest bounds until they hold more than n rows; then only with cells whose bound does not exceed
+    the distance of its n-th row so far.  The result is that of comparing all.  Both tables may be of any
+    size: only the cells, 4,096 at most, reach the driver, and a full cell is dealt out.  Keys are unique;
+    rows without a key are left out.
     """
     names = [t.name for t in traits]
-    rows = take_bounded(anchors.select(key, *names), max_anchors, "anchors")
-    kinds = {f.name: f.dataType for f in anchors.select(key, *names).schema.fields}
-    constant = F.array(
-        *[
-            F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in [key, *names]])
-            for r in rows
-        ]
-    )
-    spread = candidates.select(key, *names).withColumn("_a", F.explode(constant))
-    value = distance_of(
-        compared(traits, {c: F.col(f"_a.{c}") for c in names}, {c: F.col(c) for c in names})
+    tracked = sorted(traits, key=lambda t: -t.weight)[:CELL_TRAITS]
+    places = max(int(MOST_CELLS ** (1 / len(tracked)) + 1e-9) - 1, 1)
+    numbers = [_coordinate(t, F.col(t.name), places) for t in tracked]
+    cell = F.lit(0).cast("long")
+    for t, number in zip(tracked, numbers, strict=True):
+        cell = cell * F.lit(places + 1) + _place(t, number, places)
+    own = candidates.select(F.col(key).alias("right_id"), *names, cell.alias("_cell")).where("right_id IS NOT NULL")
+    rows = own.groupBy("_cell").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(c) for c in numbers]).alias("low"),
+        F.array(*[F.max(c) for c in numbers]).alias("high"),
+    ).collect()
+    cells = Cells(
+        tracked, float(sum(t.weight for t in traits) - sum(t.weight for t in tracked)),
+        np.array([r["_cell"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64),
+        np.array([r["low"] for r in rows], dtype=float).reshape(-1, len(tracked)),
+        np.array([r["high"] for r in rows], dtype=float).reshape(-1, len(tracked)),
     )
-    scored = spread.where(F.col(f"_a.{key}") != F.col(key)).select(
-        F.col(f"_a.{key}").alias("left_id"), F.col(key).alias("right_id"), value.alias("distance")
+    parts = -(-cells.rows // CELL_ROWS)
+    full = {int(c): int(p) for c, p in zip(cells.ids, parts, strict=True) if p > 1}
+    dealt = F.lit(1)
+    if full:
+        table = F.create_map(*[F.lit(v) for pair in full.items() for v in pair])
+        dealt = F.coalesce(table[F.col("_cell")], F.lit(1))
+    own = own.withColumn("_part", F.pmod(F.xxhash64("right_id"), dealt).cast("int"))
+
+    asked = anchors.select(
+        F.col(key).alias("left_id"), *[F.col(c).alias(f"l_{c}") for c in names], F.array(*numbers).alias("_x")
     )
-    return top_per_group(
-        scored, ["left_id"], [F.col("distance").asc_nulls_last(), "right_id"], n
+
+    def visits(table: DataFrame, chosen: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> DataFrame:
+        """The rows of ``table`` with the cells, and parts of cells, that are chosen for them."""
+
+        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), 256):
+                    block = batch.iloc[start : start + 256]
+                    x = np.array([[np.nan if v is None else v for v in r] for r in block["_x"]], dtype=float)
+                    row, at = np.nonzero(chosen(x, block))
+                    again = np.repeat(np.arange(len(row)), parts[at])
+                    part = np.arange(len(again)) - np.repeat(np.cumsum(parts[at]) - parts[at], parts[at])
+                    yield pd.DataFrame({
+                        "left_id": block["left_id"].to_numpy()[row[again]], "_cell": cells.ids[at[again]],
+                        "_part": part.astype(np.int32),
+                    })
+
+        kind = dict(table.dtypes)["left_id"]
+        return table.mapInPandas(made, f"left_id {kind}, _cell long, _part int")
+
+    value = distance_of(compared(traits, {c: F.col(f"l_{c}") for c in names}, {c: F.col(c) for c in names}))
+
+    def best(found: DataFrame) -> DataFrame:
+        return top_per_group(found, ["left_id"], [F.col("distance").asc_nulls_last(), "right_id"], n)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        with_values = pairs.join(asked.drop("_x"), "left_id")
+        return with_values.join(own, ["_cell", "_part"]).where(F.col("left_id") != F.col("right_id")).select(
+            "left_id", "right_id", value.alias("distance")
+        )
+
+    head = asked.select("left_id", "_x")
+    early = materialise(best(scored(visits(head, lambda x, block: cells.first(x, n)))))
+    # Without n defined distances every cell may still hold one of the n.
+    reach = early.groupBy("left_id").agg(F.count("distance").alias("_n"), F.max("distance").alias("_far"))
+    left = head.join(reach, "left_id", "left").select(
+        "left_id", "_x", F.when(F.col("_n") >= n, F.col("_far")).otherwise(F.lit(float("inf"))).alias("_far")
     )
 
+    def rest(x: np.ndarray, block: pd.DataFrame) -> np.ndarray:
+        # What rounding may take from a bound.
+        return (cells.bounds(x) <= block["_far"].to_numpy()[:, None] + 1e-9) & ~cells.first(x, n)
+
+    return best(early.unionByName(scored(visits(left, rest))))
+
 
 # --- contextual score ------------------------------------------------------------------------
 

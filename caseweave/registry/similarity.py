@@ -170,6 +170,17 @@ def _(t):
     return rounded(sm.nearest(anchors, t.part, fitted, "p_partkey", 3))
 
 
+@case("s9_nearest_table", f"""
+SELECT left_id, right_id, distance FROM (SELECT x.p_partkey AS left_id, y.p_partkey AS right_id,
+  ROUND({PART_SQL}, 6) AS distance, ROW_NUMBER() OVER (PARTITION BY x.p_partkey
+    ORDER BY ROUND({PART_SQL}, 12), y.p_partkey) AS rn
+  FROM part x JOIN part y ON y.p_partkey <> x.p_partkey WHERE x.p_partkey % 100 = 0) WHERE rn <= 5
+""")
+def _(t):
+    anchors = t.part.where(F.col("p_partkey") % 100 == 0)
+    return rounded(sm.nearest(anchors, t.part, sm.fit_scales(t.part, PART_TRAITS), "p_partkey", 5))
+
+
 @case("s10_fitted_scales", """
 SELECT p_brand, ROUND(MIN((p_size - lo) / (hi - lo)), 6) AS lowest,
   ROUND(MAX((p_size - lo) / (hi - lo)), 6) AS highest

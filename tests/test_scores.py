@@ -62,8 +62,6 @@ def test_nearest_matches_pairs(spark):
         got.setdefault(r["left_id"], []).append((r["distance"], r["right_id"]))
     for key, found in got.items():
         assert sorted(found) == sorted(want[key])[:4]
-    with pytest.raises(ValueError):
-        sm.nearest(df, df, TRAITS, "id", 1, max_anchors=3)
 
 
 def test_trajectories(spark):
