@@ -27,6 +27,7 @@ from caseweave.operators.temporal import stay_days, with_day
 from caseweave.operators.windows import followed_by, top_per_group
 from caseweave.plans.fixpoint import components
 from caseweave.plans.ordered import numbered, percentiles
+from caseweave.session import materialise
 
 
 def node_id(prefix: str, *parts: Column) -> Column:
@@ -470,6 +471,58 @@ def subgraph_features(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def wider_subgraph_features(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
+    """As :func:`subgraph_features`, within ``hops`` undirected steps of each seed.
+
+    All links of a node that is reached before the last step lead to members, so its degree inside is its
+    degree in the whole graph, and its links are not looked at.  A node of the last step has the links it was
+    reached by, and those to other nodes of the last step; the latter are found from the end with fewer
+    links, so a hub's links are not gone through for each seed around it.  The members themselves are counted,
+    so there are rows for every (seed, member).
+    """
+    if hops < 1:
+        raise ValueError("at least one step")
+    pairs = linked_pairs(edges)
+    around = materialise(pairs.select(F.inline(F.array(
+        F.struct(F.col("x").alias("src"), F.col("y").alias("dst"), "m"),
+        F.struct(F.col("y").alias("src"), F.col("x").alias("dst"), "m"),
+    ))))
+    whole = around.groupBy(F.col("src").alias("node")).agg(F.sum("m").alias("d"), F.count(F.lit(1)).alias("links"))
+    asked = seeds.select(F.col("id").alias("seed")).where("seed IS NOT NULL").distinct()
+    reached = frontier = asked.withColumn("node", F.col("seed"))
+    inner = None
+    for _ in range(hops):
+        inner = reached
+        met = frontier.join(around, F.col("node") == F.col("src")).groupBy("seed", F.col("dst").alias("node")).agg(
+            F.sum("m").alias("d")
+        )
+        frontier = materialise(met.join(reached, ["seed", "node"], "left_anti"))
+        reached = reached.unionByName(frontier.select("seed", "node"))
+    sized = around.join(whole.select(F.col("node").alias("src"), F.col("links").alias("n_src")), "src").join(
+        whole.select(F.col("node").alias("dst"), F.col("links").alias("n_dst")), "dst"
+    )
+    upward = sized.where(F.struct("n_src", "src") < F.struct("n_dst", "dst")).select("src", "dst", "m")
+    last = frontier.select("seed", "node")
+    across = last.join(upward, F.col("node") == F.col("src")).select("seed", "src", "dst", "m").join(
+        last.withColumnRenamed("node", "dst"), ["seed", "dst"]
+    ).select("seed", F.inline(F.array(
+        F.struct(F.col("src").alias("node"), F.col("m").alias("d")), F.struct(F.col("dst").alias("node"), F.col("m").alias("d")),
+    )))
+    # A node without links counts with none.
+    inside = inner.join(whole.drop("links"), "node", "left").select("seed", "node", "d")
+    degree = inside.unionByName(frontier).unionByName(across).groupBy("seed", "node").agg(
+        F.coalesce(F.sum("d"), F.lit(0)).alias("_d")
+    )
+    totals = degree.groupBy("seed").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_sum"), F.max("_d").alias("_max")
+    )
+    n, n_edges = F.col("_n"), F.col("_sum") / 2
+    return totals.select(
+        "seed", n.alias("n_nodes"), n_edges.cast("bigint").alias("n_edges"), density(n_edges, n).alias("density"),
+        F.when(n > 1, F.col("_sum") / n).otherwise(0.0).alias("mean_degree"), F.col("_max").alias("max_degree"),
+    )
+
+
 def density(n_edges: Column, n_nodes: Column) -> Column:
     """Edges as a share of the possible ordered pairs."""
     possible = n_nodes.cast("double") * (n_nodes - 1)

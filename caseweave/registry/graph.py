@@ -130,6 +130,46 @@ def _(t):
     return rounded(gr.subgraph_features(seeds, structure(t)))
 
 
+def _wider_sql(hops):
+    """The features of all nodes within ``hops`` steps, for encounters of id divisible by 100."""
+    steps = "".join(
+        f", m{k} AS (SELECT * FROM m{k - 1} UNION SELECT m{k - 1}.seed, u.dst FROM m{k - 1} JOIN u ON u.src = m{k - 1}.node)"
+        for k in range(1, hops + 1)
+    )
+    return f"""
+WITH e AS (SELECT DISTINCT src, dst FROM record_edges),
+u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+m0 AS (SELECT 'HA-' || hadm_id AS seed, 'HA-' || hadm_id AS node FROM admissions WHERE hadm_id % 100 = 0)
+{steps},
+i AS (SELECT x.seed, e.src, e.dst FROM e JOIN m{hops} x ON e.src = x.node
+  JOIN m{hops} y ON e.dst = y.node AND x.seed = y.seed WHERE e.src <> e.dst),
+d AS (SELECT seed, node, COUNT(*) AS k FROM (SELECT seed, src AS node FROM i
+  UNION ALL SELECT seed, dst FROM i) GROUP BY seed, node),
+t AS (SELECT seed, SUM(k) AS s, MAX(k) AS mx FROM d GROUP BY seed),
+n AS (SELECT seed, COUNT(*) AS n FROM m{hops} GROUP BY seed)
+SELECT n.seed, n.n AS n_nodes, CAST(COALESCE(t.s, 0) / 2 AS BIGINT) AS n_edges,
+  ROUND(CASE WHEN n.n > 1 THEN COALESCE(t.s, 0) / 2 / (n.n * (n.n - 1)) ELSE 0 END, 6) AS density,
+  ROUND(CASE WHEN n.n > 1 THEN COALESCE(t.s, 0) / n.n ELSE 0 END, 6) AS mean_degree,
+  COALESCE(t.mx, 0) AS max_degree
+FROM n LEFT JOIN t ON n.seed = t.seed
+"""
+
+
+def _wider(t, hops):
+    seeds = t.admissions.where(F.col("hadm_id") % 100 == 0).select(gr.encounter_node().alias("id"))
+    return rounded(gr.wider_subgraph_features(seeds, structure(t), hops))
+
+
+@case("g5_subgraph_features_2", _wider_sql(2))
+def _(t):
+    return _wider(t, 2)
+
+
+@case("g5_subgraph_features_3", _wider_sql(3))
+def _(t):
+    return _wider(t, 3)
+
+
 @case("g6_dense_ids", """
 WITH n AS (SELECT 'Patient' AS type, 'PA-' || subject_id AS id FROM patients
   UNION ALL SELECT 'HospitalAdmission', 'HA-' || hadm_id FROM admissions

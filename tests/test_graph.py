@@ -26,6 +26,30 @@ def test_neighbourhoods_with_a_hub(spark):
             assert row["mean_degree"] == pytest.approx(sum(degree.values()) / len(members))
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_wider_neighbourhoods(spark, hops):
+    """A hub, links both ways, loops, repeated edges, seeds without links or named twice, against a plain search."""
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 15)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(75)]
+    edges += [(7, 0), (70, 71), (71, 70), (72, 72)] + edges[:5]
+    df = spark.createDataFrame([(f"n{a:02}", "p", f"n{b:02}") for a, b in edges], "src string, predicate string, dst string")
+    seeds = spark.createDataFrame([(f"n{i:02}",) for i in [*range(75), 3]] + [(None,)], "id string")
+    got = {r["seed"]: r for r in gr.wider_subgraph_features(seeds, df, hops).collect()}
+    assert len(got) == 75
+    once = {(a, b) for a, b in edges if a != b}
+    for s in range(75):
+        members = {s}
+        for _ in range(hops):
+            members |= {b for a, b in once if a in members} | {a for a, b in once if b in members}
+        inside = [(a, b) for a, b in once if a in members and b in members]
+        degree = [sum((a == m) + (b == m) for a, b in inside) for m in members]
+        row = got[f"n{s:02}"]
+        assert (row["n_nodes"], row["n_edges"], row["max_degree"]) == (len(members), len(inside), max(degree))
+        possible = len(members) * (len(members) - 1)
+        assert row["density"] == pytest.approx(len(inside) / possible if possible else 0.0)
+        assert row["mean_degree"] == pytest.approx(sum(degree) / len(members))
+
+
 def test_hops_are_capped_by_id(spark):
     rows = [("a", "r", "b", "s1", f"h{i}", float(i)) for i in (3, 1, 2)] + [
         ("b", "q", "c", f"h{i}", f"x{j}", None) for i in (1, 2, 3) for j in (9, 7, 8)
