@@ -25,8 +25,13 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[\p{L}\p{N}]+"
 
-#: Bits of the filter that tells which words can matter.
-FILTER_BITS = 18
+#: Stands for a letter or digit of a base span; a run that holds it is no word of its own.
+MARK = "\ue000"
+MARKED_WORD = r"[\p{L}\p{N}\x{E000}]+"
+
+#: Bits (as powers of two) of the filter that tells which words can matter: 16 bits a word between these two.  Past
+#: a million words more of the others come through; they are left out by the join that follows.
+FILTER_BITS = (18, 24)
 
 
 def _digits(value: Column) -> Column:
@@ -110,6 +115,60 @@ def written(spans: Column) -> Column:
     ), ",")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _characters(text: Column) -> Column:
+    return F.split(F.translate(text, MARK, " "), "", -1)
+
+
+def _blanked(characters: Column, spans: Column) -> Column:
+    """The characters with a mark for each letter and digit of the spans (one kind's, so in order and apart)."""
+    def part(i: Column) -> Column:
+        own, before = F.get(spans, i), F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        begin = F.coalesce(own["start"], F.size(characters))
+        inside = F.slice(characters, begin + 1, F.coalesce(own["end"], begin) - begin)
+        return F.concat(
+            F.slice(characters, before + 1, begin - before),
+            F.transform(inside, lambda c: F.when(c.rlike(WORD), F.lit(MARK)).otherwise(c)),
+        )
+
+    return F.when(F.size(spans) == 0, characters).otherwise(
+        F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), part))
+    )
+
+
+def _marked_characters(characters: Column, base: Column) -> Column:
+    """The characters without what belongs to a base span of any kind; linear in characters and spans."""
+    def without(characters: Column, kind: str) -> Column:
+        spans = F.filter(base, lambda s: s["kind"] == kind)
+        return _bound(characters, lambda c: _bound(spans, lambda own: _blanked(c, own)))
+
+    for kind, *_ in KINDS:
+        characters = without(characters, kind)
+    return characters
+
+
+def _surroundings(text: Column, base: Column, reach: int) -> Column:
+    """Per base span: its entity, the first place around it, the characters there and the same without base spans."""
+    def around(whole: Column, marked: Column, size: Column, s: Column) -> Column:
+        begin = F.greatest(F.lit(0), s["start"] - reach)
+        length = F.least(size, s["end"] + reach) - begin
+        return F.struct(
+            F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), begin.alias("from"), size.alias("size"),
+            F.xxhash64(F.array_join(F.slice(whole, begin + 1, length), "")).alias("context"),
+            F.array_join(F.slice(marked, begin + 1, length), "").alias("around"),
+        )
+
+    return _bound(F.split(text, "", -1), lambda whole: _bound(
+        _marked_characters(_characters(text), base), lambda marked: _bound(F.char_length(text), lambda size: F.transform(
+            base, lambda s: around(whole, marked, size, s)
+        ))
+    ))
+
+
 def disclosing_terms(
     rows: DataFrame, texts: DataFrame, reach: int = 200, min_contexts: int = 3, min_length: int = 3, disclosure: float = 0.9
 ) -> DataFrame:
@@ -118,42 +177,35 @@ def disclosing_terms(
     ``rows`` has _row, text and base spans of the texts with entities, ``texts`` those of the whole corpus.  The
     words come from within ``reach`` characters of an entity.
     With n(t) all occurrences of a word, n(t, e) those near the entity e, and p(e) the share of all
-    counted words near e, disclosure = 1 - log(n(t) / n(t, e)) / -log p(e).  A word needs
+    words near e, disclosure = 1 - log(n(t) / n(t, e)) / -log p(e).  A word needs
     ``min_contexts`` different surroundings of the same entity, so one text, or any number of its exact
-    copies, discloses nothing.
+    copies, discloses nothing.  Base spans are blanked in the text once, so a text of very many
+    entities costs its length, and a row of the explosion carries nothing of the whole text.
     """
-    near = rows.select("_row", "text", "base", F.explode("base").alias("e")).select(
-        "_row", "base", F.xxhash64("e.kind", F.lower("e.value")).alias("entity"), F.char_length("text").alias("size"),
-        F.greatest(F.lit(0), F.col("e.start") - reach).alias("from"),
-        F.substring(
-            F.col("text"), F.greatest(F.lit(0), F.col("e.start") - reach) + 1,
-            F.col("e.end") + reach - F.greatest(F.lit(0), F.col("e.start") - reach),
-        ).alias("around"),
+    near = rows.select("_row", F.explode(_surroundings(F.col("text"), F.col("base"), reach)).alias("e")).select("_row", "e.*")
+    words = near.select("_row", "entity", "from", "size", "context", F.char_length("around").alias("length"), F.explode(
+        spans_of(F.col("around"), MARKED_WORD, lambda v: (F.char_length(v) >= min_length) & ~v.contains(MARK))
+    ).alias("w"))
+    # A word at the edge of the surroundings may be a part of a longer one.
+    cut = ((F.col("w.start") == 0) & (F.col("from") > 0)) | (
+        (F.col("w.end") == F.col("length")) & (F.col("from") + F.col("length") < F.col("size"))
     )
-    words = near.withColumn("w", F.explode(spans_of(F.col("around"), WORD, lambda v: F.char_length(v) >= min_length)))
-    words = words.select(
-        "_row", "entity", "base", F.xxhash64("around").alias("context"), F.lower("w.value").alias("term"),
+    words = words.where(~cut).select(
+        "_row", "entity", "context", F.lower("w.value").alias("term"),
         (F.col("from") + F.col("w.start")).alias("start"), (F.col("from") + F.col("w.end")).alias("end"),
-        # A word at the edge of the surroundings may be a part of a longer one.
-        (((F.col("w.start") == 0) & (F.col("from") > 0))
-         | ((F.col("w.end") == F.char_length("around")) & (F.col("from") + F.char_length("around") < F.col("size")))).alias("cut"),
-    ).where(
-        ~F.col("cut") & ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     )
     places = materialise(words.groupBy("entity", "term", "_row", "start", "end").agg(F.min("context").alias("context")))
     together = places.groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("both"), F.approx_count_distinct("context", 0.01).alias("contexts")
     )
     maybe = materialise(together.where(F.col("contexts") >= min_contexts))
-    mask = _word_filter(maybe)
     split_words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     counted = (
-        texts.select(F.explode(F.filter(split_words, _marked(mask))).alias("term"))
+        texts.select(F.explode(F.filter(split_words, _marked(*_word_filter(maybe)))).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("all"))
     )
     around = places.groupBy("entity").agg(F.countDistinct("_row", "start").alias("near"))
-    total = texts.agg(F.sum(F.ceil(F.char_length("text") / 6)).alias("words"))  # scale of p(e) only
-    words_all = float(total.first()["words"] or 1)
+    words_all = float(texts.agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("words")).first()["words"] or 1)
     share = -F.log(F.least(F.lit(0.5), F.col("near") / words_all))
     strong = (
         maybe.join(counted, "term").join(around, "entity")
@@ -161,37 +213,40 @@ def disclosing_terms(
         .select("term").distinct()
     )
     strong = materialise(strong)
-    told = _marked(_word_filter(strong))
-    hits = texts.where(F.exists(split_words, told)).select(
-        "_row", "base", F.explode(spans_of(F.col("text"), WORD, lambda v: told(F.lower(v)))).alias("w")
-    ).select("_row", "base", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    return (
-        hits.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-        .join(strong, "term", "left_semi").select("_row", "start", "end")
+    told = _marked(*_word_filter(strong))
+    free = F.when(F.size("base") == 0, F.translate("text", MARK, " ")).otherwise(
+        F.array_join(_marked_characters(_characters(F.col("text")), F.col("base")), "")
     )
+    hits = texts.where(F.exists(split_words, told)).select("_row", F.explode(
+        spans_of(free, MARKED_WORD, lambda v: ~v.contains(MARK) & told(F.lower(v)))
+    ).alias("w")).select("_row", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    return hits.join(strong, "term", "left_semi").select("_row", "start", "end")
 
 
-def _marked(mask: list[int]) -> Callable[[Column], Column]:
+def _marked(bits: int, mask: list[int]) -> Callable[[Column], Column]:
     """The test that a word's bit is set in a bitmap of ``_word_filter``."""
     listed = F.split(F.lit(",".join(map(str, mask))), ",").cast("array<bigint>")  # folded to a constant
 
     def test(w: Column) -> Column:
-        bit = F.pmod(F.xxhash64(w), F.lit(1 << FILTER_BITS))
+        bit = F.pmod(F.xxhash64(w), F.lit(1 << bits))
         return F.getbit(F.get(listed, F.shiftright(bit, 6).cast("int")), bit.cast("int") % 64) == 1
 
     return test
 
 
-def _word_filter(terms: DataFrame) -> list[int]:
-    """A bitmap of fixed size over word hashes, as whole numbers of 64 bits."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(1 << FILTER_BITS))
+def _word_filter(terms: DataFrame) -> tuple[int, list[int]]:
+    """The size and the bitmap over word hashes, as whole numbers of 64 bits; the size follows the count of the words."""
+    low, high = FILTER_BITS
+    count = terms.agg(F.approx_count_distinct("term").alias("n")).first()["n"]
+    bits = min(high, max(low, (16 * count).bit_length()))
+    bit = F.pmod(F.xxhash64("term"), F.lit(1 << bits))
     rows = terms.select(bit.alias("bit")).selectExpr(
         "cast(bit div 64 AS int) AS at", "shiftleft(1L, cast(bit % 64 AS int)) AS b"
     )
-    out = [0] * (1 << (FILTER_BITS - 6))
+    out = [0] * (1 << (bits - 6))
     for r in rows.groupBy("at").agg(F.bit_or("b").alias("b")).collect():
         out[r["at"]] = r["b"]
-    return out
+    return bits, out
 
 
 def find_personal_data(docs: DataFrame, **disclosure) -> DataFrame:
