@@ -29,6 +29,9 @@ WORD = r"[\p{L}\p{N}]+"
 MARK = "\ue000"
 MARKED_WORD = r"[\p{L}\p{N}\x{E000}]+"
 
+#: Matches of a text whose places are summed in one fold.
+PIECE = 256
+
 #: Bits (as powers of two) of the filter that tells which words can matter: 16 bits a word between these two.  Past
 #: a million words more of the others come through; they are left out by the join that follows.
 FILTER_BITS = (18, 24)
@@ -68,10 +71,16 @@ KINDS: tuple[tuple[str, str, Callable[[Column], Column], Callable[[Column], Colu
 )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans_of(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
     """(start, end, value) of the valid matches, leftmost first, in code points, end exclusive.
 
-    The places follow from the lengths of the matches and of what lies between them.
+    The places follow from the lengths of the matches and of what lies between them.  They are summed in pieces
+    of ``PIECE`` matches, then over the pieces, as a fold copies what it has gathered at every step.
     """
     found = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
@@ -89,7 +98,20 @@ def spans_of(text: Column, pattern: str, valid: Callable[[Column], Column]) -> C
             .otherwise(done["out"]).alias("out"),
         ).cast(kind)
 
-    return F.aggregate(found, start, step, lambda done: done["out"])
+    def join(done: Column, piece: Column) -> Column:
+        moved = F.transform(piece["out"], lambda s: F.struct(
+            (s["start"] + done["at"]).alias("start"), (s["end"] + done["at"]).alias("end"), s["value"].alias("value")
+        ))
+        return F.struct((done["at"] + piece["at"]).alias("at"), F.concat(done["out"], moved).alias("out")).cast(kind)
+
+    def whole(found: Column) -> Column:
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PIECE).cast("int")),
+            lambda i: F.aggregate(F.slice(found, i * PIECE + 1, F.lit(PIECE)), start, step),
+        )
+        return F.aggregate(pieces, start, join, lambda done: done["out"])
+
+    return _bound(found, whole)
 
 
 def base_spans(text: str) -> Column:
@@ -115,11 +137,6 @@ def written(spans: Column) -> Column:
     ), ",")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _characters(text: Column) -> Column:
     return F.split(F.translate(text, MARK, " "), "", -1)
 
