@@ -165,8 +165,10 @@ def with_categories(
 
 
 def category_table(
-    spark: SparkSession, categories: Mapping[str, Sequence[str]] = rules.DRUG_CATEGORIES
+    spark: SparkSession,
+    categories: Mapping[str, Sequence[str]] = {**rules.DRUG_CATEGORIES, **rules.MEASURED_GROUPS},
 ) -> DataFrame:
+    """H6: (category, member) of curated groups, by default all built-in ones."""
     rows = [(c, m) for c, members in categories.items() for m in members]
     return spark.createDataFrame(rows, "category string, member string")
 
@@ -203,6 +205,30 @@ def resolve_names(
     return found.unionByName(itself)
 
 
+def word_runs(text: Column, longest: int) -> Column:
+    """All runs of up to ``longest`` words of a text, lower-cased and joined by blanks."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w, i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i)),
+        lambda n: F.array_join(F.slice(words, i + 1, n), " "),
+    )))
+
+
+def rows_for_names(resolved: DataFrame, dictionary: DataFrame, label: str, longest: int = 6) -> DataFrame:
+    """H6: (name, dictionary row) where the label holds a resolved member as whole word or phrase.
+
+    Labels are unfolded into their runs of words, so the match is an equality join; a row that holds several
+    members of a name is given once.  Members have up to ``longest`` words; a longer one finds nothing.
+    """
+    members = resolved.select("name", F.array_join(
+        F.filter(F.split(F.lower("member"), "[^a-z0-9]+"), lambda w: w != ""), " "
+    ).alias("_run")).where("_run <> ''").distinct()
+    labels = dictionary.select(label).distinct().where(F.col(label).isNotNull())
+    runs = labels.select(label, F.explode(F.array_distinct(word_runs(F.col(label), longest))).alias("_run"))
+    hits = runs.join(members, "_run").select("name", label).distinct()
+    return dictionary.join(hits, label)
+
+
 def items_for_loinc(lab_concepts: DataFrame, loinc: str) -> DataFrame:
     """H7: items measured under exactly this LOINC code (the specimen counts)."""
     return lab_concepts.where(F.col("loinc") == loinc).select("itemid").distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from caseweave import rules
 from caseweave.functions.texts import slug
 from caseweave.functions.times import days_between
-from caseweave.operators import filters as fl
+from caseweave.operators import codes as cd, filters as fl
 from caseweave.operators.cohorts import readmission_flags
 from caseweave.operators.evaluation import split_subjects
 from caseweave.operators.joins import assign_stay
@@ -620,6 +620,39 @@ def diagnosis_concept_edges(rows: DataFrame) -> DataFrame:
     return typed(rows, "admission", "has_diagnosis", "diagnosis", encounter_node(), F.col("concept"))
 
 
+@dataclass(frozen=True)
+class Concepts:
+    """Concept tables: items and organisms by exact key, drugs by name, diagnoses by code."""
+
+    lab_items: DataFrame
+    chart_items: DataFrame
+    organisms: DataFrame
+    drugs: DataFrame
+    diagnoses: DataFrame
+
+
+def typed_edges(record: Record, concepts: Concepts) -> DataFrame:
+    """Structural edges, the four kinds of day events, and diagnoses, all by concept where one is known."""
+    def by_key(nodes: DataFrame, table: DataFrame, key: str) -> DataFrame:
+        known = table.select(F.col(key).cast("string").alias("concept_key"), "concept_id", "term")
+        return cd.map_items(nodes, known, "concept_key")
+
+    drugs = prescription_nodes(record.prescriptions, record.stays).withColumn("drug", F.col("name"))
+    kinds = {
+        "lab": by_key(lab_nodes(record.labs, record.lab_items, record.stays), concepts.lab_items, "itemid"),
+        "vital": by_key(vital_nodes(record.charts, record.chart_items, record.stays), concepts.chart_items, "itemid"),
+        "microbiology": by_key(culture_nodes(record.cultures, record.stays), concepts.organisms, "org_name"),
+        "drug": cd.map_drugs(drugs, concepts.drugs),
+    }
+    codes = cd.map_diagnoses(diagnosis_nodes(record.diagnoses, record.diagnosis_titles), concepts.diagnoses)
+    parts = [
+        structural_edges(record.encounters, record.stays),
+        *[clinical_edges(concept_keys(rows, kind), record.encounters, kind) for kind, rows in kinds.items()],
+        diagnosis_concept_edges(concept_keys(codes, "diagnosis", "icd_code")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def with_reverse(edges: DataFrame) -> DataFrame:
     """Every edge and its reverse, from one pass over the edges."""
     here = F.struct(*TYPED)

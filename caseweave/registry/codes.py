@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from caseweave import rules
 from caseweave.operators import codes as cd
 from caseweave.registry.case import case
-from caseweave.sources import exports
+from caseweave.sources import exports, mappings
 
 CLOSURE_SQL = """
 WITH RECURSIVE reach(child, ancestor) AS (
@@ -69,13 +70,7 @@ def _(t):
     return cd.is_a(asked, cd.closure(t.concept_edges))
 
 
-MAP_SQL = """
-SELECT di.hadm_id, di.seq_num, di.icd_code, di.icd_version,
-  CASE WHEN di.icd_version = 10 AND length(COALESCE(x.concept_id, y.concept_id)) >= 5
-    THEN COALESCE(x.concept_id, y.concept_id) END AS concept_id
-FROM diagnoses_icd di LEFT JOIN icd_concepts x ON di.icd_code = x.code
-LEFT JOIN icd_concepts y ON length(di.icd_code) > 3 AND substr(di.icd_code, 1, 3) = y.code
-"""
+MAP_SQL = "SELECT * FROM mapped_diagnoses"
 
 
 @case("h2_mapped_diagnoses", MAP_SQL)
@@ -85,14 +80,7 @@ def _(t):
     )
 
 
-DRUG_MAP_SQL = """
-WITH plain AS (SELECT DISTINCT drug, trim(regexp_replace(regexp_replace(trim(lower(drug)),
-    '\\s*\\(.*\\)\\s*$', ''), '(?i)\\s+\\d+[\\d.]*\\s*(mg|g|ml|mcg|%|units?|meq).*$', '')) AS p
-  FROM prescriptions),
-hits AS (SELECT p.drug, c.concept_id, ROW_NUMBER() OVER (PARTITION BY p.drug
-    ORDER BY c.name <> p.p, c.name) AS rn
-  FROM plain p JOIN drug_concepts c ON starts_with(p.p, c.name) OR starts_with(c.name, p.p))
-"""
+DRUG_MAP_SQL = "WITH hits AS (SELECT * FROM drug_hits)"
 
 
 @case("h3_mapped_drugs", DRUG_MAP_SQL + """
@@ -165,6 +153,66 @@ def _(t):
     return cd.resolve_names(asked, curated, t.drug_concepts, cd.closure(t.concept_edges))
 
 
+GROUP_ROWS = ", ".join(f"('{g}', '{m}')" for g, members in rules.MEASURED_GROUPS.items() for m in members)
+GROUP_HITS = """
+WITH curated AS (SELECT * FROM (VALUES {rows}) AS v(category, member)),
+own AS (SELECT DISTINCT {label} AS label, ' ' || trim(regexp_replace(lower({label}), '[^a-z0-9]+', ' ', 'g')) || ' ' AS words
+  FROM {table} WHERE {label} IS NOT NULL),
+names AS (SELECT category AS name, member FROM curated UNION ALL SELECT lower(label), lower(label) FROM own
+  WHERE lower(label) NOT IN (SELECT category FROM curated)),
+hits AS (SELECT DISTINCT n.name, o.label FROM names n JOIN own o
+  ON contains(o.words, ' ' || trim(regexp_replace(n.member, '[^a-z0-9]+', ' ', 'g')) || ' '))
+"""
+
+
+def _groups(t):
+    """The curated groups, written as a mapping file and read back."""
+    body = F.to_json(F.struct(F.collect_list("member").alias("members")))
+    rows = cd.category_table(t.spark).groupBy("category").agg(body.alias("body"))
+    line = rows.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(
+        F.concat(F.lit('"'), "category", F.lit('": '), "body")
+    ), ", "), F.lit("}")).alias("value"))
+    path = exports.scratch(t.spark, "categories")
+    line.write.text(path)
+    return mappings.read_categories(t.spark, path).select("category", "member")
+
+
+def _named(t, dictionary, label):
+    """Dictionary rows of every curated group of measurements and of every label itself, by resolved names."""
+    groups = _groups(t)
+    asked = groups.where(F.col("category").isin(list(rules.MEASURED_GROUPS))).select(
+        F.col("category").alias("name")
+    ).unionByName(dictionary.where(F.col(label).isNotNull()).select(F.lower(label).alias("name")))
+    resolved = cd.resolve_names(asked, groups, t.drug_concepts, cd.closure(t.concept_edges))
+    return cd.rows_for_names(resolved, dictionary, label)
+
+
+@case("h6_group_readings", GROUP_HITS.format(rows=GROUP_ROWS, label="label", table="d_labitems") + """
+SELECT h.name, d.label, COUNT(*) AS n, ROUND(AVG(l.valuenum), 6) AS mean_value FROM hits h
+JOIN d_labitems d ON h.label = d.label JOIN labevents l ON l.itemid = d.itemid GROUP BY h.name, d.label
+""")
+def _(t):
+    named = _named(t, t.d_labitems.select("itemid", "label"), "label")
+    counts = t.labevents.groupBy("itemid").agg(
+        F.count(F.lit(1)).alias("n"), F.count("valuenum").alias("_known"), F.sum("valuenum").alias("_sum")
+    )
+    return named.join(counts, "itemid").groupBy("name", "label").agg(
+        F.sum("n").alias("n"), F.round(F.sum("_sum") / F.sum("_known"), 6).alias("mean_value")
+    )
+
+
+@case("h6_group_cultures", GROUP_HITS.format(rows=GROUP_ROWS, label="org_name", table="microbiologyevents") + """
+SELECT h.name, COUNT(*) AS n, COUNT(DISTINCT m.hadm_id) AS n_encounters FROM hits h
+JOIN microbiologyevents m ON h.label = m.org_name GROUP BY h.name
+""")
+def _(t):
+    organisms = t.microbiologyevents.select("org_name").distinct()
+    named = _named(t, organisms, "org_name")
+    return t.microbiologyevents.join(named, "org_name").groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("hadm_id").alias("n_encounters")
+    )
+
+
 @case("h7_loinc_items", """
 SELECT itemid, COUNT(*) AS n, SUM(valuenum) AS total FROM labevents WHERE itemid IN
 (SELECT itemid FROM lab_concepts WHERE loinc = '2160-0') GROUP BY itemid

@@ -8,7 +8,8 @@ from caseweave import rules
 from caseweave.operators import codes as cd, filters as fl, graph as gr, observation as ob
 from caseweave.registry.aggregates import rounded
 from caseweave.registry.case import case
-from caseweave.registry.observation import CHARLSON_SQL, cohort as first_cohort
+from caseweave.registry.observation import CHARLSON_SQL, WINDOW_EVENTS_SQL, cohort as first_cohort
+from caseweave.registry.shared import DAY_NUMBER
 from caseweave.sources import exports, mappings
 
 
@@ -25,20 +26,9 @@ def structure(t):
 
 
 def typed_edges(t):
-    def keyed(nodes, kind):
-        return gr.concept_keys(nodes.withColumn("concept_id", F.lit(None).cast("string")), kind)
-
-    labs = gr.lab_nodes(t.labevents, t.d_labitems, t.icustays)
-    drugs = gr.prescription_nodes(t.prescriptions, t.icustays)
-    codes = gr.diagnosis_nodes(t.diagnoses_icd, t.d_icd_diagnoses).withColumn(
-        "concept_key", F.col("icd_code")
-    )
-    return (
-        gr.structural_edges(t.admissions, t.icustays)
-        .unionByName(gr.clinical_edges(keyed(labs, "lab"), t.admissions, "lab"))
-        .unionByName(gr.clinical_edges(keyed(drugs, "drug"), t.admissions, "drug"))
-        .unionByName(gr.diagnosis_concept_edges(keyed(codes, "diagnosis")))
-    )
+    return gr.typed_edges(record(t), gr.Concepts(
+        t.lab_concepts, t.chart_concepts, t.organism_concepts, t.drug_concepts, t.icd_concepts
+    ))
 
 
 @case("g1_subject_nodes", """
@@ -481,27 +471,24 @@ def _(t):
     )
 
 
-@case("g25_neuro_nodes", """
-WITH g AS (SELECT s.stay_id, c.charttime FROM chartevents c JOIN first_stay s
-  ON c.stay_id = s.stay_id AND c.charttime BETWEEN s.intime AND s.intime + INTERVAL 48 HOUR
-  WHERE c.itemid IN (220739, 223900, 223901) GROUP BY s.stay_id, c.charttime
-  HAVING COALESCE(MAX(CASE WHEN c.itemid = 220739 THEN c.valuenum END), 0)
-    + COALESCE(MAX(CASE WHEN c.itemid = 223900 THEN c.valuenum END), 0)
-    + COALESCE(MAX(CASE WHEN c.itemid = 223901 THEN c.valuenum END), 0) > 0),
-v AS (SELECT DISTINCT s.stay_id, pe.starttime FROM procedureevents pe JOIN first_stay s
-  ON pe.stay_id = s.stay_id AND pe.starttime BETWEEN s.intime AND s.intime + INTERVAL 48 HOUR
-  WHERE pe.itemid = 225792)
-SELECT 'gcs' AS kind, COUNT(*) AS n FROM g UNION ALL SELECT 'ventilation', COUNT(*) FROM v
+@case("g25_neuro_nodes", f"""
+WITH w AS ({WINDOW_EVENTS_SQL})
+SELECT upper(w.kind) || '-' || w.stay_id || '-' || trim(regexp_replace(lower(w.name), '[^a-z0-9]+', '-', 'g'), '-') || '-'
+    || strftime(w.start_ts, '%Y%m%d%H%M%S') AS id,
+  w.kind, i.hadm_id, w.stay_id, w.name, w.start_ts, MIN(w.end_ts) AS end_ts,
+  arg_min(w.value, (w.end_ts, w.value)) AS value,
+  MIN(CASE WHEN w.start_ts >= i.intime AND w.start_ts <= i.outtime THEN
+    CAST({DAY_NUMBER.format(ts="w.start_ts", start="i.intime", end="i.outtime")} AS INT) END) AS day_number
+FROM w JOIN icustays i ON w.stay_id = i.stay_id GROUP BY w.kind, i.hadm_id, w.stay_id, w.name, w.start_ts
 """)
 def _(t):
     rows = ob.window_events(
         first_cohort(t), t.chartevents, t.inputevents, t.procedureevents, t.labevents, t.d_items,
         t.d_labitems,
     )
-    nodes = gr.neuro_nodes(rows, t.icustays)
-    return nodes.where(F.col("concept_key").isin("gcs", "ventilation")).groupBy(
-        F.col("concept_key").alias("kind")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    return gr.neuro_nodes(rows, t.icustays).select(
+        "id", F.col("concept_key").alias("kind"), "hadm_id", "stay_id", "name", "start_ts", "end_ts", "value", "day_number"
+    )
 
 
 @case("g26_cohort_graph", """

@@ -69,7 +69,7 @@ SELECT 'CSE-' || c.stay_id || '-' || c.itemid || '-' || strftime(c.charttime, '%
   c.hadm_id, c.stay_id, CASE WHEN c.charttime >= i.intime AND c.charttime <= i.outtime THEN
   CAST({DAY_NUMBER.format(ts="c.charttime", start="i.intime", end="i.outtime")} AS INT) END
     AS day_number,
-  d.label AS name, c.charttime AS start_ts, MIN(c.valuenum) AS value
+  d.label AS name, c.charttime AS start_ts, MIN(c.valuenum) AS value, c.itemid
 FROM chartevents c JOIN icustays i ON c.stay_id = i.stay_id JOIN d_items d ON c.itemid = d.itemid
 WHERE c.valuenum IS NOT NULL GROUP BY ALL
 """
@@ -96,6 +96,42 @@ WHERE GREATEST(intime, CAST(d AS TIMESTAMP)) < LEAST(outtime, CAST(d AS TIMESTAM
 SHARED_SQL["diagnosis_rows"] = """
 SELECT hadm_id, seq_num, MIN((icd_code, icd_version)) AS c FROM diagnoses_icd GROUP BY hadm_id, seq_num
 """
+SHARED_SQL["mapped_diagnoses"] = """
+SELECT di.hadm_id, di.seq_num, di.icd_code, di.icd_version,
+  CASE WHEN di.icd_version = 10 AND length(COALESCE(x.concept_id, y.concept_id)) >= 5
+    THEN COALESCE(x.concept_id, y.concept_id) END AS concept_id
+FROM diagnoses_icd di LEFT JOIN icd_concepts x ON di.icd_code = x.code
+LEFT JOIN icd_concepts y ON length(di.icd_code) > 3 AND substr(di.icd_code, 1, 3) = y.code
+"""
+SHARED_SQL["plain_drugs"] = """
+SELECT DISTINCT drug, trim(regexp_replace(regexp_replace(trim(lower(drug)),
+    '\\s*\\(.*\\)\\s*$', ''), '(?i)\\s+\\d+[\\d.]*\\s*(mg|g|ml|mcg|%|units?|meq).*$', '')) AS p
+  FROM prescriptions
+"""
+SHARED_SQL["drug_hits"] = """
+SELECT p.drug, c.concept_id, ROW_NUMBER() OVER (PARTITION BY p.drug ORDER BY c.name <> p.p, c.name) AS rn
+  FROM plain_drugs p JOIN drug_concepts c ON starts_with(p.p, c.name) OR starts_with(c.name, p.p)
+"""
+SHARED_SQL["diagnosis_concepts"] = """
+SELECT r.hadm_id, r.seq_num, COALESCE(m.concept_id, 'unmapped:diagnosis:' || c[1]) AS concept FROM diagnosis_rows r
+LEFT JOIN (SELECT DISTINCT icd_code, icd_version, concept_id FROM mapped_diagnoses) m
+ON r.c[1] = m.icd_code AND r.c[2] = m.icd_version
+"""
+SHARED_SQL["day_events"] = """
+SELECT 'lab' AS kind, n.hadm_id, n.stay_id, n.day_number, n.start_ts,
+  COALESCE(c.concept_id, 'unmapped:lab:' || n.concept_key) AS concept
+  FROM lab_nodes n LEFT JOIN lab_concepts c ON n.concept_key = CAST(c.itemid AS VARCHAR)
+UNION ALL SELECT 'vital', n.hadm_id, n.stay_id, n.day_number, n.start_ts,
+  COALESCE(c.concept_id, 'unmapped:vital:' || n.itemid) FROM vital_nodes n
+  LEFT JOIN (SELECT * FROM chart_concepts WHERE length(concept_id) >= 5) c ON n.itemid = c.itemid
+  WHERE n.day_number IS NOT NULL
+UNION ALL SELECT 'microbiology', n.hadm_id, n.stay_id, n.day_number, n.start_ts,
+  COALESCE(c.concept_id, 'unmapped:microbiology:' || COALESCE(n.concept_key, 'None'))
+  FROM culture_nodes n LEFT JOIN organism_concepts c ON n.concept_key = c.org_name
+UNION ALL SELECT 'drug', n.hadm_id, n.stay_id, n.day_number, n.start_ts,
+  COALESCE(h.concept_id, 'unmapped:drug:' || n.concept_key)
+  FROM drug_nodes n LEFT JOIN (SELECT * FROM drug_hits WHERE rn = 1) h ON n.name = h.drug
+"""
 SHARED_SQL["next_pairs"] = """
 SELECT * FROM (SELECT hadm_id, admittime, LEAD(hadm_id) OVER w AS next_id,
   LEAD(admittime) OVER w AS next_at FROM admissions
@@ -122,12 +158,9 @@ UNION ALL SELECT 'icu_stay', 'has_icu_day', 'icu_day', 'IS-' || stay_id,
   'ID-' || stay_id || '-D' || day_number, NULL FROM stay_day_rows
 UNION ALL SELECT 'admission', 'followed_by', 'admission', 'HA-' || hadm_id, 'HA-' || next_id,
   DATE_DIFF('second', admittime, next_at) / 86400.0 FROM next_pairs
-UNION ALL SELECT 'icu_day', 'has_event', 'lab', 'ID-' || n.stay_id || '-D' || n.day_number,
-  'unmapped:lab:' || n.concept_key, DATE_DIFF('second', a.admittime, n.start_ts) / 86400.0
-  FROM lab_nodes n JOIN admissions a ON n.hadm_id = a.hadm_id
-UNION ALL SELECT 'icu_day', 'has_event', 'drug', 'ID-' || n.stay_id || '-D' || n.day_number,
-  'unmapped:drug:' || n.concept_key, DATE_DIFF('second', a.admittime, n.start_ts) / 86400.0
-  FROM drug_nodes n JOIN admissions a ON n.hadm_id = a.hadm_id
-UNION ALL SELECT 'admission', 'has_diagnosis', 'diagnosis', 'HA-' || hadm_id,
-  'unmapped:diagnosis:' || c[1], NULL FROM diagnosis_rows
+UNION ALL SELECT 'icu_day', 'has_event', n.kind, 'ID-' || n.stay_id || '-D' || n.day_number,
+  n.concept, DATE_DIFF('second', a.admittime, n.start_ts) / 86400.0
+  FROM day_events n JOIN admissions a ON n.hadm_id = a.hadm_id
+UNION ALL SELECT 'admission', 'has_diagnosis', 'diagnosis', 'HA-' || hadm_id, concept, NULL
+  FROM diagnosis_concepts
 """

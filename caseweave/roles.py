@@ -325,6 +325,17 @@ SELECT * FROM (VALUES
 ) AS v(itemid, concept_id, term, loinc)
 """
 
+ROLE_SQL["chart_concepts"] = """
+SELECT * FROM (VALUES
+  (220052, '6797001', 'Mean blood pressure'), (220181, '6797001', 'Mean blood pressure'),
+  (223834, '427081008', 'Delivered oxygen flow rate'), (220739, '12', 'Code that is too short')
+) AS v(itemid, concept_id, term)
+"""
+
+ROLE_SQL["organism_concepts"] = """
+SELECT * FROM (VALUES ('ESCHERICHIA COLI', '112283007', 'Escherichia coli')) AS v(org_name, concept_id, term)
+"""
+
 # An IS-A tree over some of the concepts above.
 ROLE_SQL["concept_edges"] = """
 SELECT * FROM (VALUES

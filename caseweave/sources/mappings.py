@@ -50,6 +50,15 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_categories(spark: SparkSession, path: str) -> DataFrame:
+    """IO14: (category, concept_id, kind, member) from curated categories; kind may be missing."""
+    body = F.from_json("body", "snomed_code string, kind string, members array<string>")
+    return read_mapping(spark, path).select(F.col("name").alias("category"), body.alias("b")).select(
+        "category", F.col("b.snomed_code").alias("concept_id"), F.col("b.kind").alias("kind"),
+        F.explode("b.members").alias("member"),
+    )
+
+
 def read_concepts(spark: SparkSession, path: str, key: str) -> DataFrame:
     """IO14: (key, concept_id, term) from code-to-concept objects."""
     body = F.from_json("body", "snomed_code string, snomed_term string, loinc string")

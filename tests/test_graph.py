@@ -84,3 +84,43 @@ def test_means_up_to_a_date(spark, limit):
     for hadm, subject, at in visits:
         known = [float(v) for s, d, v in readings if s == subject and d <= at.date() and v != "n/a"]
         assert got.get(hadm) == (pytest.approx(sum(known) / len(known)) if known else None)
+
+
+def test_typed_edges_of_every_kind(spark):
+    """Events without a concept keep a key of their own; short concept ids do not count."""
+    frame = spark.createDataFrame
+    encounters = frame([(1, 5, "2020-01-01 00:00:00", "2020-01-09 00:00:00")], "hadm_id long, subject_id long, a string, d string").select(
+        "hadm_id", "subject_id", F.col("a").cast("timestamp").alias("admittime"), F.col("d").cast("timestamp").alias("dischtime")
+    )
+    at = F.lit("2020-01-02 12:00:00").cast("timestamp")
+    stays = encounters.select(
+        F.lit(7).cast("long").alias("stay_id"), "hadm_id", "subject_id",
+        F.lit("2020-01-02 00:00:00").cast("timestamp").alias("intime"), F.lit("2020-01-03 00:00:00").cast("timestamp").alias("outtime"),
+    )
+    items = frame([(1, "Sodium"), (2, "Odd")], "itemid int, label string")
+    readings = items.select(
+        F.lit(1).cast("long").alias("hadm_id"), F.lit(7).cast("long").alias("stay_id"), "itemid", at.alias("charttime"),
+        F.lit(3.0).alias("valuenum"), F.lit("u").alias("valueuom"),
+    )
+    cultures = frame([("a", 1, "BLOOD", "ESCHERICHIA COLI"), ("b", 1, "BLOOD", None)], "microevent_id string, hadm_id long, spec_type_desc string, org_name string").withColumn("charttime", at)
+    drugs = frame([(1, "Vancomycin 1 g", 1.0, "g", "IV"), (1, "Unheard", 1.0, "g", "IV")], "hadm_id long, drug string, dose_val_rx double, dose_unit_rx string, route string").withColumns({"starttime": at, "stoptime": at})
+    codes = frame([(1, 1, "I639", 10), (1, 2, "430", 9)], "hadm_id long, seq_num int, icd_code string, icd_version int")
+    titles = codes.select("icd_code", "icd_version", F.lit("t").alias("long_title"))
+    none = frame([], "category string, weight int, prefix string")
+    record = gr.Record(
+        frame([(5,)], "subject_id long"), encounters, stays, readings.drop("stay_id"), items, readings, items, drugs, codes, titles, cultures, none
+    )
+    table = lambda key, rows, kind: frame(rows, f"{key} {kind}, concept_id string, term string")
+    concepts = gr.Concepts(
+        table("itemid", [(1, "104934005", "Sodium")], "int"), table("itemid", [(1, "12", "short"), (2, "6797001", "x")], "int"),
+        table("org_name", [("ESCHERICHIA COLI", "112283007", "E")], "string"), table("name", [("vancomycin", "372735009", "V")], "string"),
+        table("code", [("I639", "432504007", "C")], "string"),
+    )
+    edges = gr.typed_edges(record, concepts).where("rel IN ('has_event', 'has_diagnosis')").collect()
+    assert {(r.src_id, r.dst_type, r.dst_id, r.delta_days) for r in edges} == {
+        ("ID-7-D1", "lab", "104934005", 1.5), ("ID-7-D1", "lab", "unmapped:lab:2", 1.5),
+        ("ID-7-D1", "vital", "unmapped:vital:1", 1.5), ("ID-7-D1", "vital", "6797001", 1.5),
+        ("ID-7-D1", "microbiology", "112283007", 1.5), ("ID-7-D1", "microbiology", "unmapped:microbiology:None", 1.5),
+        ("ID-7-D1", "drug", "372735009", 1.5), ("ID-7-D1", "drug", "unmapped:drug:unheard", 1.5),
+        ("HA-1", "diagnosis", "432504007", None), ("HA-1", "diagnosis", "unmapped:diagnosis:430", None),
+    }

@@ -87,3 +87,27 @@ def test_graph_files(spark, tmp_path):
     exports.write_triples(nodes, edges, str(tmp_path / "t"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "t")).collect()]
     assert len(lines) == 3 and all(line.startswith("<") and line.endswith(" .") for line in lines)
+
+
+def test_curated_groups(spark, tmp_path):
+    """Groups are read from a file of one object; kind may be missing, notes are left out."""
+    path = tmp_path / "groups.json"
+    path.write_text('{"_metadata": {"note": "x"}, "blood gases": {"snomed_code": "167029005", "members": ["ph", "base excess"]},\n'
+                    ' "opioids": {"snomed_code": "373265006", "kind": "drug", "members": ["morphine"]}}')
+    rows = mappings.read_categories(spark, str(path)).collect()
+    assert {tuple(r) for r in rows} == {
+        ("blood gases", "167029005", None, "ph"), ("blood gases", "167029005", None, "base excess"), ("opioids", "373265006", "drug", "morphine"),
+    }
+    assert {"electrolytes", "gram-positive bacteria", "insulin"} <= {r.category for r in cd.category_table(spark).collect()}
+
+
+def test_names_match_whole_words_of_labels(spark):
+    resolved = spark.createDataFrame(
+        [("gases", "ph"), ("gases", "base excess"), ("markers", "CK-MB"), ("void", "--")], "name string, member string"
+    )
+    labels = spark.createDataFrame(
+        [(1, "pH, Arterial"), (2, "Phosphate"), (3, "Base  Excess (pH)"), (4, "CK MB"), (5, "Excess base"), (6, None), (7, "")],
+        "itemid int, label string",
+    )
+    found = cd.rows_for_names(resolved, labels, "label").select("name", "itemid").collect()
+    assert sorted(tuple(r) for r in found) == [("gases", 1), ("gases", 3), ("markers", 4)]
