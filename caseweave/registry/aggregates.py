@@ -242,24 +242,30 @@ def _(t):
     return rounded(ag.vital_summary(t.chartevents, t.d_items, t.icustays, t.admissions))
 
 
-@case("a15_medication_summary", """
+MEDICATION_SQL = """
 SELECT c.hadm_id, COALESCE(p.n, 0) AS num_distinct_meds,
   ROUND(COALESCE(p.d, 0.0), 6) AS total_prescription_days,
   CASE WHEN p.n IS NOT NULL THEN 1 ELSE 0 END AS has_prescription
 FROM admissions c LEFT JOIN (SELECT hadm_id, COUNT(DISTINCT drug) AS n,
   SUM(DATE_DIFF('second', starttime, stoptime) / 86400.0) AS d FROM prescriptions
   WHERE starttime IS NOT NULL AND stoptime IS NOT NULL GROUP BY hadm_id) p ON c.hadm_id = p.hadm_id
-""")
+"""
+
+
+@case("a15_medication_summary", MEDICATION_SQL)
 def _(t):
     return rounded(ag.medication_summary(t.admissions, t.prescriptions))
 
 
-@case("a16_diagnosis_summary", """
+DIAGNOSIS_SQL = """
 SELECT c.hadm_id, COALESCE(d.n, 0) AS num_diagnoses, COALESCE(d.ch, 'Unknown') AS primary_chapter
 FROM admissions c LEFT JOIN (SELECT hadm_id, COUNT(*) AS n,
   UPPER(LEFT(MIN(CASE WHEN seq_num = 1 THEN icd_code END), 1)) AS ch FROM diagnoses_icd
   GROUP BY hadm_id) d ON c.hadm_id = d.hadm_id
-""")
+"""
+
+
+@case("a16_diagnosis_summary", DIAGNOSIS_SQL)
 def _(t):
     return ag.diagnosis_summary(t.admissions, t.diagnoses_icd)
 

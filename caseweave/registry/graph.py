@@ -98,7 +98,7 @@ def _(t):
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-@case("g5_subgraph_features", """
+SUBGRAPH_SQL = """
 WITH e AS (SELECT DISTINCT src, dst FROM record_edges),
 u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 m AS (SELECT 'HA-' || hadm_id AS seed, 'HA-' || hadm_id AS node FROM admissions
@@ -114,7 +114,10 @@ SELECT n.seed, n.n AS n_nodes, CAST(COALESCE(t.s, 0) / 2 AS BIGINT) AS n_edges,
   ROUND(CASE WHEN n.n > 1 THEN COALESCE(t.s, 0) / n.n ELSE 0 END, 6) AS mean_degree,
   CASE WHEN n.n > 1 THEN COALESCE(t.mx, 0) ELSE 0 END AS max_degree
 FROM n LEFT JOIN t ON n.seed = t.seed
-""")
+"""
+
+
+@case("g5_subgraph_features", SUBGRAPH_SQL)
 def _(t):
     seeds = t.admissions.select(gr.encounter_node().alias("id"))
     return rounded(gr.subgraph_features(seeds, structure(t)))
@@ -535,17 +538,17 @@ def _(t):
 
 
 @case("io11_triples", """
-SELECT COUNT(*) + COUNT(DISTINCT src) AS n_lines,
-  COUNT(DISTINCT src || predicate || dst) + COUNT(DISTINCT src) AS n_distinct FROM record_edges
+WITH r AS (SELECT '<http://example.org/record#' AS space)
+SELECT DISTINCT space || src || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ' || space || substr(src, 1, 2) || '> .'
+  AS line FROM record_edges, r
+UNION ALL SELECT space || src || '> ' || space || predicate || '> ' || space || dst || '> .' FROM record_edges, r
 """)
 def _(t):
     edges = structure(t)
     path = exports.scratch(t.spark, "triples")
     nodes = edges.select(F.col("src").alias("id"), F.substring("src", 1, 2).alias("type")).distinct()
     exports.write_triples(nodes, edges, path)
-    return t.spark.read.text(path).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("value").alias("n_distinct")
-    )
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @case("io12_indexed_graph", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseweave.operators import cohorts as co, filters as fl
 from caseweave.operators.aggregates import lab_summary
-from caseweave.registry.aggregates import rounded
+from caseweave.registry.aggregates import LAB_SUMMARY_SQL, rounded
 from caseweave.registry.case import case
 from caseweave.sources import exports, tables
 
@@ -114,18 +114,11 @@ def _(t):
     return tables.join_check(t.patients, t.admissions, t.icustays)
 
 
-@case("io10_feature_matrix", """
-SELECT COUNT(*) AS n, ROUND(SUM(mean), 2) AS total FROM (SELECT i.hadm_id, d.label,
-  AVG(l.valuenum) AS mean FROM labevents l JOIN d_labitems d ON l.itemid = d.itemid JOIN icustays i
-  ON l.hadm_id = i.hadm_id WHERE l.valuenum IS NOT NULL AND l.charttime >= i.intime
-  AND l.charttime <= i.outtime GROUP BY i.hadm_id, d.label)
-""")
+@case("io10_feature_matrix", LAB_SUMMARY_SQL)
 def _(t):
     path = exports.scratch(t.spark, "matrix")
     exports.write_matrix(lab_summary(t.labevents, t.d_labitems, t.icustays, t.admissions), path)
-    return t.spark.read.parquet(path).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("mean"), 2).alias("total")
-    )
+    return rounded(t.spark.read.parquet(path))
 
 
 def decision_log(t):

@@ -67,7 +67,7 @@ UNION ALL SELECT i.hadm_id, c.charttime FROM chartevents c JOIN icustays i ON c.
 """
 
 
-@case("t3_temporal_features", f"""
+TEMPORAL_FEATURES_SQL = f"""
 WITH e AS ({POINTS_SQL}), n AS (SELECT hadm_id, charttime, ROW_NUMBER() OVER (PARTITION BY hadm_id
   ORDER BY charttime) AS rn FROM e),
 r AS (SELECT a.hadm_id, SUM(CASE WHEN a.charttime <> b.charttime THEN 1 ELSE 0 END) AS nb,
@@ -81,7 +81,10 @@ SELECT a.hadm_id, ROUND(COALESCE(c.ne, 0) * 1.0 / GREATEST(COALESCE(d.nd, 1), 1)
   CAST(COALESCE(r.nt, 0) AS BIGINT) AS total_temporal_edges
 FROM admissions a LEFT JOIN c ON a.hadm_id = c.hadm_id LEFT JOIN d ON a.hadm_id = d.hadm_id
 LEFT JOIN r ON a.hadm_id = r.hadm_id
-""")
+"""
+
+
+@case("t3_temporal_features", TEMPORAL_FEATURES_SQL)
 def _(t):
     return rounded(tp.temporal_features(t.admissions, t.labevents, t.chartevents, t.icustays))
 
