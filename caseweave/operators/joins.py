@@ -52,15 +52,51 @@ def not_matching(base: DataFrame, matches: DataFrame, key: str = "hadm_id") -> D
     return base.join(matches.select(key).distinct(), key, "left_anti")
 
 
+#: Cells of time: 6 hours, and 8 times as long at each further level; what is longer than the last has one cell.
+CELL_SECONDS = tuple(6 * 3600 * 8**level for level in range(5))
+
+
+def _cell(seconds: Column, level: Column) -> Column:
+    width = F.get(F.array(*[F.lit(w).cast("bigint") for w in CELL_SECONDS]), level)
+    return F.coalesce(F.floor(seconds / width), F.lit(0))
+
+
 def in_interval(
     events: DataFrame, intervals: DataFrame, key: str, time: str = "charttime",
     start: str = "intime", end: str = "outtime",
 ) -> DataFrame:
-    """Events joined to the intervals of the same key that contain them."""
+    """Events joined to the intervals of the same key that contain them.
+
+    An interval lies in the one or two cells of the first level whose cells are no shorter than itself, and an event
+    looks into its own cell at each level that has intervals, so a pair is met once.  An event is compared with the
+    intervals near it, whatever the number of its key's intervals, and a busy key goes over many tasks.  Rows without
+    a time, and intervals without an end, contain or meet nothing.
+    """
     bounds = intervals.drop(*[c for c in intervals.columns if c in events.columns and c != key])
-    return events.join(bounds, key).where(
-        (F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end))
+    kinds = {dict(events.dtypes)[time], dict(bounds.dtypes)[start], dict(bounds.dtypes)[end]}
+
+    def seconds(column: str) -> Column:
+        # Whole seconds since 1970 that never run backwards: instants, or wall times where there is no zone.
+        if kinds <= {"timestamp_ntz", "date"}:
+            return F.timestamp_diff(
+                "SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz")
+            )
+        return F.unix_seconds(F.col(column).cast("timestamp"))
+
+    length = seconds(end) - seconds(start)
+    level = F.lit(len(CELL_SECONDS))
+    for n, width in reversed(list(enumerate(CELL_SECONDS))):
+        level = F.when(length <= width, n).otherwise(level)
+    placed = bounds.where(F.col(start) <= F.col(end)).withColumn("_level", level).withColumn("_cell", F.explode(
+        F.sequence(_cell(seconds(start), F.col("_level")), _cell(seconds(end), F.col("_level")))
+    ))
+    levels = placed.agg(F.collect_set("_level")).scalar()
+    asked = events.where(F.col(time).isNotNull()).withColumn("_level", F.explode(levels)).withColumn(
+        "_cell", _cell(seconds(time), F.col("_level"))
     )
+    return asked.join(placed, [key, "_level", "_cell"]).where(
+        (F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end))
+    ).drop("_level", "_cell")
 
 
 def first_claims(stays: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from caseweave.operators.joins import assign_stay
+from caseweave.operators.joins import assign_stay, in_interval
 
 START = datetime(2020, 1, 1)
 STAYS = "hadm_id long, stay_id long, intime timestamp, outtime timestamp"
@@ -65,3 +65,26 @@ def test_events_are_read_once(spark, tmp_path):
     read = spark.read.parquet(str(tmp_path / "events"))
     plan = assign_stay(read, spark.createDataFrame(stays, STAYS))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_events_in_intervals_of_any_length(spark, kind):
+    """Intervals of minutes to years, both ends counted, before 1970 and without ends, against the plain rule."""
+    draw = np.random.default_rng(5)
+    first = datetime(1969, 6, 1)
+    lengths = [0, 60, 6 * 3600, 6 * 3600 + 1, 86400, 20 * 86400, 400 * 86400, 4000 * 86400]
+    intervals = [
+        (int(draw.integers(3)), n, s := first + timedelta(seconds=int(draw.integers(500 * 86400))), s + timedelta(seconds=lengths[n % len(lengths)]))
+        for n in range(200)
+    ]
+    events = [(int(draw.integers(3)), n, first + timedelta(seconds=int(draw.integers(500 * 86400)))) for n in range(300)]
+    events += [(k, 1000 + n, s) for k, n, s, _ in intervals] + [(k, 2000 + n, e) for k, n, _, e in intervals]
+    expected = sorted((e, n) for k, e, at in events for k2, n, s, until in intervals if k == k2 and s <= at <= until)
+    intervals += [(0, 900, first, None), (1, 901, None, first), (None, 902, first, datetime(2030, 1, 1)), (2, 903, datetime(1999, 1, 1), first)]
+    events += [(0, 5000, None), (None, 5001, datetime(1970, 1, 2))]
+    left = spark.createDataFrame(events, f"hadm_id int, id int, charttime {kind}").withColumnRenamed("id", "event_id")
+    right = spark.createDataFrame(intervals, f"hadm_id int, stay_id int, intime {kind}, outtime {kind}")
+    found = in_interval(left, right, "hadm_id")
+    assert found.columns == ["hadm_id", "event_id", "charttime", "stay_id", "intime", "outtime"]
+    assert sorted((r.event_id, r.stay_id) for r in found.collect()) == expected
+    assert in_interval(left, right.limit(0), "hadm_id").count() == 0
