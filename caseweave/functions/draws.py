@@ -7,6 +7,7 @@ same numbers and no shuffle or ordering is needed.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,3 +39,22 @@ def copies(draw: Column) -> Column:
     for k in range(len(POISSON_ONE) - 1, -1, -1):
         count = F.when(draw < POISSON_ONE[k], F.lit(k)).otherwise(count)
     return count
+
+
+def drawn_copies(seed: int, keys: Sequence[Column], replicates: Column) -> Column:
+    """:func:`copies` of :func:`uniform` for every element of ``replicates``, as an array.
+
+    A number is below a chance exactly when the hash is below the chance's hexadecimal digits, so
+    each hash is computed once and compared as text.
+    """
+    # Above the last hash of 13 digits every hash is below.
+    limits = [format(n, "013x") if n < 16**13 else "g" for n in (math.ceil(p * 4503599627370496) for p in POISSON_ONE)]
+
+    def count(text: Column) -> Column:
+        found = F.lit(len(limits))
+        for k in range(len(limits) - 1, -1, -1):
+            found = F.when(text < limits[k], F.lit(k)).otherwise(found)
+        return found
+
+    start = F.concat_ws("-", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.transform(F.transform(replicates, lambda r: F.md5(F.concat_ws("-", start, r.cast("string")))), count)

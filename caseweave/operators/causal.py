@@ -23,7 +23,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.draws import copies, uniform
+from caseweave.functions.draws import copies, drawn_copies, uniform
 from caseweave.plans.ordered import percentiles
 from caseweave.plans.sizes import take_bounded
 from caseweave.session import materialise
@@ -43,13 +43,129 @@ def replicated(frame: DataFrame, replicates: int, seed: int, key: str = KEY) ->
     return spread.withColumn("copies", weight.cast("double")).where(F.col("copies") > 0)
 
 
-def _sums(x: Sequence[Column], y: Column, weight: Column, slope: Column) -> list[Column]:
-    """Weighted sums of x xᵀ (upper half, row by row) and of x y."""
-    k = len(x)
-    return [
-        F.array(*[F.sum(weight * x[i] * x[j]) for i in range(k) for j in range(i, k)]).alias("xx"),
-        F.array(*[F.sum(slope * x[i] * y) for i in range(k)]).alias("xy"),
-    ]
+def weighted(frame: DataFrame, replicates: int, seed: int, key: str = KEY) -> DataFrame:
+    """Rows with ``_w``, their copies in replicates 0 to B as one array; the draws of :func:`replicated`, rows not multiplied."""
+    drawn = drawn_copies(seed, [F.col(key)], F.sequence(F.lit(1), F.lit(replicates))) if replicates else F.array()
+    return frame.withColumn("_w", F.concat(F.array(F.lit(1)), drawn).cast("array<tinyint>"))
+
+
+# --- rows of all replicates -----------------------------------------------------------------
+
+#: Stands for a row without an arm.
+NO_ARM = -(2**31)
+#: Merged rows that a task holds before it hands them on.
+MOST_MERGED = 20_000
+_ROWS = "_arm int, _x array<double>, _y double, _w array<int>"
+
+#: Arm (or another place of a table), covariates, outcome and copies by replicate.
+Part = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arm, covariates, outcome and copies of a batch; the last as one column per replicate."""
+    arm, y = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_arm", "_y"))
+    x, w = (batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for n in ("_x", "_w"))
+    return arm, x, y, w.astype(float)
+
+
+def _lists(table: np.ndarray) -> pa.ListArray:
+    """One list per row of a table."""
+    ends = np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(table).reshape(-1)))
+
+
+def _folded(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of equal keys as one, their sums added."""
+    order = np.lexsort(keys.T)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    return keys[starts], np.add.reduceat(sums[order], starts, axis=0)
+
+
+def _cut(held: tuple[np.ndarray, np.ndarray], made: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(held[0]), 4096):
+        yield made(held[0][i : i + 4096], held[1][i : i + 4096])
+
+
+def _folding(
+    split: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], made: Callable[[np.ndarray, np.ndarray], pa.RecordBatch],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fold the rows of a task by their keys; what does not fold is handed on, so a task holds a bounded number of rows."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _folded(*split(batch))
+            held = own if held is None else _folded(*(np.concatenate(both) for both in zip(held, own, strict=True)))
+            if len(held[0]) > MOST_MERGED:
+                yield from _cut(held, made)
+                held = None
+        if held is not None:
+            yield from _cut(held, made)
+
+    return fold
+
+
+def _row_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    arm, x, y, w = _columns_of(batch)
+    return np.column_stack([arm, x, y]), w
+
+
+def _merged_rows(keys: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[:, 0].astype(np.int32)), _lists(keys[:, 1:-1]), pa.array(keys[:, -1]), _lists(w.astype(np.int32))],
+        names=["_arm", "_x", "_y", "_w"],
+    )
+
+
+def _prepared(known: DataFrame, x: Sequence[Column], y: Column, arm: Column, replicates: int, seed: int, key: str) -> DataFrame:
+    """The rows that batches are made of; written, since every Newton step reads them.
+
+    A model can't tell rows of equal arm, covariates and outcome apart: a task hands them on as one, their copies
+    summed.  Replicate 0 has every row once, so its copies are the number of rows.
+    """
+    return materialise(weighted(known, replicates, seed, key).select(
+        F.coalesce(arm.cast("int"), F.lit(NO_ARM)).alias("_arm"), F.array(*x).cast("array<double>").alias("_x"),
+        y.cast("double").alias("_y"), "_w",
+    ).mapInArrow(_folding(_row_keys, _merged_rows), _ROWS))
+
+
+def _by_arm(batch: pa.RecordBatch) -> Iterator[Part]:
+    arm, x, y, w = _columns_of(batch)
+    for a in np.unique(arm).tolist():
+        at = arm == a
+        yield a, x[at], y[at], w[at]
+
+
+def _summed(rows: DataFrame, of: Callable[[pa.RecordBatch, dict], None], width: int) -> dict[tuple, np.ndarray]:
+    """Sums by (replicate, arm) of what ``of`` adds to a task's table of arrays; one row per model and task is shuffled."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                of(batch, table)
+        keys = list(table)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+            pa.array([table[k].tolist() for k in keys], pa.list_(pa.float64())),
+        ], names=["r", "a", "s"])
+
+    sums = rows.mapInArrow(made, "r int, a int, s array<double>").groupBy("r", "a").agg(
+        F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s")
+    )
+    return {(row["r"], row["a"]): np.array(row["s"], dtype=float) for row in sums.collect()}
+
+
+def _add(table: dict, place: int, sums: np.ndarray) -> None:
+    """Add one column of sums per replicate."""
+    for r, found in enumerate(sums.T):
+        table[r, place] = table.get((r, place), 0) + found
+
+
+# --- linear and logistic models -------------------------------------------------------------
 
 
 def _matrix(upper: np.ndarray, k: int) -> np.ndarray:
@@ -58,137 +174,127 @@ def _matrix(upper: np.ndarray, k: int) -> np.ndarray:
     return full + np.triu(full, 1).T
 
 
-def _solver(
-    groups: Sequence[str], k: int, step: Callable[[pd.Series, np.ndarray, np.ndarray], np.ndarray]
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Solve each row's small system; rows are independent of each other."""
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            betas = [
-                step(row, _matrix(np.asarray(row["xx"]), k), np.asarray(row["xy"])).tolist()
-                for _, row in batch.iterrows()
-            ]
-            yield batch[list(groups)].assign(beta=betas)
-
-    return solve
+def _known(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x), 0.0, x)
 
 
-def _schema(df: DataFrame, groups: Sequence[str]) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "beta array<double>"])
+def _products(x: np.ndarray) -> np.ndarray:
+    """The upper half of x xᵀ of each row; a missing covariate adds nothing."""
+    first, second = np.triu_indices(x.shape[1])
+    known = _known(x)
+    return known[:, first] * known[:, second]
 
 
-def fit_linear(rows: DataFrame, groups: Sequence[str], x: Sequence[Column], y: Column) -> DataFrame:
-    """Least-squares coefficients per group, from one aggregate."""
-    weight = F.col("copies")
-    sums = rows.groupBy(*groups).agg(*_sums(x, y, weight, weight))
-    solve = _solver(groups, len(x), lambda _, xx, xy: np.linalg.lstsq(xx, xy, rcond=None)[0])
-    return sums.mapInPandas(solve, _schema(sums, groups))
+def solved(sums: dict[tuple, np.ndarray], k: int) -> dict[tuple, np.ndarray]:
+    """Least-squares coefficients from sums of x xᵀ and x y."""
+    m = k * (k + 1) // 2
+    return {key: np.linalg.lstsq(_matrix(s[:m], k), s[m : m + k], rcond=None)[0] for key, s in sums.items()}
 
 
-def dot(x: Sequence[Column], beta: str = "beta") -> Column:
-    return reduce(lambda a, b: a + b, [c * F.col(beta)[i] for i, c in enumerate(x)])
+def fit_linear(rows: DataFrame, k: int, parts: Callable[[pa.RecordBatch], Iterator[Part]] = _by_arm) -> dict[tuple, np.ndarray]:
+    """Least-squares coefficients per (replicate, place) of :func:`_prepared` rows, from one pass."""
 
+    def add(batch: pa.RecordBatch, table: dict) -> None:
+        for a, x, y, w in parts(batch):
+            _add(table, a, np.concatenate([_products(x).T @ w, (_known(x) * y[:, None]).T @ w, w.sum(axis=0)[None, :]]))
 
-def sigmoid(z: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-z))
+    found = _summed(rows, add, k * (k + 1) // 2 + k + 1)
+    return solved({key: s for key, s in found.items() if s[-1] > 0}, k)
 
 
-def coefficients(betas: DataFrame, groups: Sequence[str]) -> dict[tuple, np.ndarray]:
-    """The models on the driver: one short row per replicate and arm, as many as the caller asked for."""
-    return {tuple(r[g] for g in groups): np.array(r["beta"], dtype=float) for r in betas.collect()}
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    # Beyond 700 the exponential leaves a double's range; the chance is 0 there, too.
+    return 1.0 / (1.0 + np.exp(np.minimum(-z, 700.0)))
 
 
 def fit_logistic(
-    rows: DataFrame, groups: Sequence[str], x: Sequence[Column], y: Column,
+    rows: DataFrame, k: int, parts: Callable[[pa.RecordBatch], Iterator[Part]] = _by_arm,
     ridge: float = 1.0, tolerance: float = 1e-9, free: Sequence[int] = (0,),
-) -> DataFrame:
-    """Logistic coefficients per group by Newton steps with a unit ridge.
+) -> dict[tuple, np.ndarray]:
+    """Logistic coefficients per (replicate, place) of :func:`_prepared` rows, by Newton steps with a unit ridge.
 
-    The coefficients go to the tasks with the step; every batch sums what its rows
-    give to each group, so only one small matrix per group and task is shuffled.
-    Steps end when no coefficient moves by more than ``tolerance``, and it is an error
-    if a hundred don't get there.  Columns listed in ``free`` (the constant) are not
-    penalised.
+    The coefficients of all replicates go to the tasks with the step; a batch is multiplied with all of them at once, and
+    only one small matrix per model and task is shuffled.  Steps end when no coefficient moves by more than ``tolerance``,
+    and it is an error if a hundred don't get there.  Columns listed in ``free`` (the constant) are not penalised.
     """
-    k = len(x)
+    m = k * (k + 1) // 2
     penalty = np.full(k, float(ridge))
     penalty[list(free)] = 0.0
-    upper = np.triu_indices(k)
-    names = [f"s{i}" for i in range(len(upper[0]) + k)]
-    prepared = rows.select(*groups, F.array(*x).alias("_x"), y.alias("_y"), F.col("copies").alias("_w"))
-    kinds = dict(rows.dtypes)
-    groups_schema = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
-    found = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).collect()
-    betas = {tuple(r[g] for g in groups): np.zeros(k) for r in found}
-
-    def step(current: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
-        def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for key, part in batch.groupby(list(groups)):
-                    features = np.stack(part["_x"].to_numpy())
-                    weight = part["_w"].to_numpy()
-                    p = 1 / (1 + np.exp(-features @ current[key]))
-                    xx = (features * (weight * p * (1 - p))[:, None]).T @ features
-                    out.append([*key, *xx[upper], *(features.T @ (weight * (part["_y"].to_numpy() - p)))])
-                yield pd.DataFrame(out, columns=[*groups, *names])
-
-        schema = ", ".join([groups_schema, *(f"{n} double" for n in names)])
-        sums = prepared.mapInPandas(summed, schema).groupBy(*groups).agg(*[F.sum(n).alias(n) for n in names])
+
+    def count(batch: pa.RecordBatch, table: dict) -> None:
+        for a, _, _, w in parts(batch):
+            _add(table, a, w.sum(axis=0)[None, :])
+
+    betas = {key: np.zeros(k) for key, s in _summed(rows, count, 1).items() if s[0] > 0}
+
+    def stepped(current: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+        def add(batch: pa.RecordBatch, table: dict) -> None:
+            for a, x, y, w in parts(batch):
+                beta = np.stack([current.get((r, a), np.zeros(k)) for r in range(w.shape[1])], axis=1)
+                p = sigmoid(x @ beta)
+                _add(table, a, np.concatenate([_products(x).T @ (w * p * (1 - p)), x.T @ (w * (y[:, None] - p))]))
+
         new = {}
-        for r in sums.collect():
-            key, totals = tuple(r[g] for g in groups), np.array([r[n] for n in names])
-            beta = current[key]
-            xx = _matrix(totals[: len(upper[0])], k) + np.diag(penalty)
-            new[key] = beta + np.linalg.lstsq(xx, totals[len(upper[0]) :] - penalty * beta, rcond=None)[0]
+        for key, totals in _summed(rows, add, m + k).items():
+            if key in current:
+                beta, xx = current[key], _matrix(totals[:m], k) + np.diag(penalty)
+                new[key] = beta + np.linalg.lstsq(xx, totals[m:] - penalty * beta, rcond=None)[0]
         return new
 
     for _ in range(100):
-        before, betas = betas, step(betas)
+        before, betas = betas, stepped(betas)
         if all(np.abs(betas[g] - before[g]).max() <= tolerance for g in betas):
-            break
-    else:
-        raise RuntimeError("the logistic model did not settle in 100 steps")
-    return rows.sparkSession.createDataFrame(
-        [(*g, b.tolist()) for g, b in betas.items()], f"{groups_schema}, beta array<double>"
-    )
+            return betas
+    raise RuntimeError("the logistic model did not settle in 100 steps")
 
 
 def constant_and(covariates: Sequence[str]) -> list[Column]:
     return [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]]
 
 
+def _table(frame: DataFrame, values: dict[tuple, float], name: str) -> DataFrame:
+    """(replicate, T, value) rows; one per replicate and arm, as many as the caller asked for."""
+    kind = dict(frame.dtypes)[ARM]
+    rows = [(r, None if a == NO_ARM else a, float(v)) for (r, a), v in sorted(values.items())]
+    return frame.sparkSession.createDataFrame(rows, f"{REPLICATE} int, {ARM} int, {name} double").withColumn(
+        ARM, F.col(ARM).cast(kind)
+    )
+
+
+def _with_constant(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), x])
+
+
 def mean_prediction(
-    frame: DataFrame, betas: DataFrame, x: Sequence[Column], binary: bool, name: str = "mu"
-) -> DataFrame:
-    """Mean over the cohort of each (replicate, arm) model's prediction.
+    rows: DataFrame, models: dict[tuple, np.ndarray], k: int, binary: bool,
+    features: Callable[[np.ndarray], np.ndarray] = lambda x: x,
+) -> dict[tuple, float]:
+    """Mean over the cohort of each (replicate, arm) model's prediction; ``features`` makes the model's ``k`` from a row's covariates.
 
     A linear mean is the prediction at the mean, so it needs k numbers of the
     cohort.  A logistic mean takes one pass, in which a batch of rows is multiplied
     with the models of all replicates.
     """
+    if not models:
+        return {}
     if not binary:
-        means = frame.agg(F.array(*[F.avg(c) for c in x]).alias("_x")).first()["_x"]
-        at = reduce(lambda a, b: a + b, [F.lit(m) * F.col("beta")[i] for i, m in enumerate(means)])
-        return betas.select(REPLICATE, ARM, at.alias(name))
-    models = coefficients(betas, [REPLICATE, ARM])
-    keys, table = list(models), np.array(list(models.values())).T
+        def add_means(batch: pa.RecordBatch, table: dict) -> None:
+            _, x, _, w = _columns_of(batch)
+            x, n = features(x), w[:, 0]
+            sums = np.concatenate([_known(x).T @ n, (~np.isnan(x)).T @ n])
+            table[0, 0] = table.get((0, 0), 0) + sums
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            features = np.stack(batch["_x"].to_numpy())
-            totals = (1 / (1 + np.exp(-features @ table))).sum(axis=0)
-            yield pd.DataFrame(
-                [(*key, total, len(batch)) for key, total in zip(keys, totals, strict=True)],
-                columns=[REPLICATE, ARM, "_sum", "_rows"],
-            )
+        sums = _summed(rows, add_means, 2 * k)[0, 0]
+        return {key: float(sums[:k] / sums[k:] @ beta) for key, beta in models.items()}
+    keys, table_of = list(models), np.array(list(models.values())).T
+
+    def add(batch: pa.RecordBatch, table: dict) -> None:
+        _, x, _, w = _columns_of(batch)
+        n = w[:, 0]
+        for key, total in zip(keys, n @ sigmoid(features(x) @ table_of), strict=True):
+            table[key] = table.get(key, 0) + np.array([total, n.sum()])
 
-    kinds = dict(betas.dtypes)
-    return frame.select(F.array(*x).alias("_x")).mapInPandas(
-        summed, f"{REPLICATE} {kinds[REPLICATE]}, {ARM} {kinds[ARM]}, _sum double, _rows long"
-    ).groupBy(REPLICATE, ARM).agg((F.sum("_sum") / F.sum("_rows")).alias(name))
+    return {key: float(s[0] / s[1]) for key, s in _summed(rows, add, 2).items()}
 
 
 # --- ordinal outcomes ----------------------------------------------------------------------
@@ -199,27 +305,12 @@ MOST_LEVELS = 50
 EVEN = 1e-6
 
 
-def weighted(frame: DataFrame, replicates: int, seed: int, key: str = KEY) -> DataFrame:
-    """Rows with ``_w``, their copies in replicates 0 to B as one array; the draws of :func:`replicated`, rows not multiplied."""
-    def drawn(r: Column) -> Column:
-        return F.when(r == 0, F.lit(1)).otherwise(copies(uniform(seed, F.col(key), r))).cast("tinyint")
-
-    return frame.withColumn("_w", F.transform(F.sequence(F.lit(0), F.lit(replicates)), drawn))
-
-
 def levels_of(frame: DataFrame, outcome: str) -> list[float]:
     """The distinct values of an ordinal outcome, ascending."""
     rows = frame.where(F.col(outcome).isNotNull()).select(F.col(outcome).cast("double").alias("v")).distinct()
     return sorted(r["v"] for r in take_bounded(rows, MOST_LEVELS, f"levels of {outcome}"))
 
 
-def _columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Arm, covariates, outcome and copies of a batch; the last as one column per replicate."""
-    arm, y = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_arm", "_y"))
-    x, w = (batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for n in ("_x", "_w"))
-    return arm, x, y, w.astype(float)
-
-
 def _shares(x: np.ndarray, model: np.ndarray) -> np.ndarray:
     """The chance of every level for the rows of ``x``; absent levels have an infinite constant."""
     z = x @ np.where(np.isfinite(model), model, 0.0).T + np.where(np.isfinite(model[:, 0]), 0.0, -np.inf)
@@ -235,26 +326,6 @@ def level_values(x: np.ndarray, model: np.ndarray, levels: Sequence[float], expe
     return np.asarray(levels)[np.argmax(p >= p.max(axis=1, keepdims=True) - EVEN, axis=1)]
 
 
-def _summed(rows: DataFrame, of: Callable[[pa.RecordBatch, dict], None], width: int) -> dict[tuple, np.ndarray]:
-    """Sums by (replicate, arm) of what ``of`` adds to a task's table of arrays; one row per model and task is shuffled."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                of(batch, table)
-        keys = list(table)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
-            pa.array([table[k].tolist() for k in keys], pa.list_(pa.float64())),
-        ], names=["r", "a", "s"])
-
-    sums = rows.mapInArrow(made, "r int, a int, s array<double>").groupBy("r", "a").agg(
-        F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s")
-    )
-    return {(row["r"], row["a"]): np.array(row["s"], dtype=float) for row in sums.collect()}
-
-
 def fit_levels(
     rows: DataFrame, levels: Sequence[float], k: int, *, ridge: float = 1.0, free: Sequence[int] = (0,), tolerance: float = 1e-10,
 ) -> dict[tuple, np.ndarray]:
@@ -326,25 +397,21 @@ def fit_levels(
 
 
 def mean_levels(
-    frame: DataFrame, models: dict[tuple, np.ndarray], x: Sequence[Column], levels: Sequence[float], expected: bool,
-) -> DataFrame:
-    """(replicate, T, mu): mean over the cohort of each model's level."""
+    rows: DataFrame, models: dict[tuple, np.ndarray], levels: Sequence[float], expected: bool,
+    features: Callable[[np.ndarray], np.ndarray] = lambda x: x,
+) -> dict[tuple, float]:
+    """Mean over the cohort of each (replicate, arm) model's level."""
     def add(batch: pa.RecordBatch, table: dict) -> None:
-        features = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        _, x, _, w = _columns_of(batch)
+        x, n = features(x), w[:, 0]
         for key, model in models.items():
-            table[key] = table.get(key, 0) + np.array([level_values(features, model, levels, expected).sum(), len(features)])
+            table[key] = table.get(key, 0) + np.array([n @ level_values(x, model, levels, expected), n.sum()])
 
-    sums = _summed(frame.select(F.array(*x).alias("_x")), add, 2)
-    return frame.sparkSession.createDataFrame(
-        [(r, a, float(s[0] / s[1])) for (r, a), s in sorted(sums.items())], f"{REPLICATE} int, {ARM} int, mu double"
-    )
+    return {key: float(s[0] / s[1]) for key, s in _summed(rows, add, 2).items()}
 
 
-def _prepared(known: DataFrame, x: Sequence[Column], y: Column, arm: Column, replicates: int, seed: int, key: str) -> DataFrame:
-    """The rows that batches are made of; written, since every Newton step reads them."""
-    return materialise(weighted(known, replicates, seed, key).select(
-        arm.cast("int").alias("_arm"), F.array(*x).alias("_x"), y.alias("_y"), "_w"
-    ))
+def _ordinal(frame: DataFrame, values: dict[tuple, float]) -> DataFrame:
+    return _table(frame.withColumn(ARM, F.lit(0)), values, "mu")
 
 
 def ordinal_learner(
@@ -357,17 +424,18 @@ def ordinal_learner(
     levels by their chances.  ``single`` fits one model with the arm as 0/1 columns in place of one per arm.
     """
     known = frame.where(F.col(outcome).isNotNull())
-    levels = levels_of(known, outcome)
     y, plain = F.col(outcome).cast("double"), constant_and(covariates)
     if not single:
-        models = fit_levels(_prepared(known, plain, y, F.col(ARM), replicates, seed, key), levels, len(plain), ridge=ridge)
-        return mean_levels(known, models, plain, levels, expected)
+        rows = _prepared(known, plain, y, F.col(ARM), replicates, seed, key)
+        levels = levels_of(rows.withColumnRenamed("_y", outcome), outcome)
+        return _ordinal(frame, mean_levels(rows, fit_levels(rows, levels, len(plain), ridge=ridge), levels, expected))
     marks = [(F.col(ARM) == a).cast("double") for a in range(n_arms)]
     rows = _prepared(known, [*marks, *plain[1:]], y, F.lit(0), replicates, seed, key)
+    levels = levels_of(rows.withColumnRenamed("_y", outcome), outcome)
     both = fit_levels(rows, levels, n_arms + len(covariates), ridge=ridge, free=range(n_arms))
     # With the arm fixed, its column is the constant.
     models = {(r, a): np.delete(m, [i for i in range(n_arms) if i != a], axis=1) for (r, _), m in both.items() for a in range(n_arms)}
-    return mean_levels(known, models, plain, levels, expected)
+    return _ordinal(frame, mean_levels(rows, models, levels, expected, lambda x: _with_constant(x[:, n_arms:])))
 
 
 def t_learner(
@@ -376,12 +444,10 @@ def t_learner(
 ) -> DataFrame:
     """(replicate, T, mu) from one outcome model per arm."""
     known = frame.where(F.col(outcome).isNotNull())
-    rows = replicated(known, replicates, seed, key)
-    x, y = constant_and(covariates), F.col(outcome).cast("double")
-    fit = fit_logistic if binary else fit_linear
-    # One row per replicate and arm: kept, so that summaries do not fit again.
-    models = materialise(fit(rows, [REPLICATE, ARM], x, y))
-    return mean_prediction(known, models, x, binary)
+    x, k = constant_and(covariates), 1 + len(covariates)
+    rows = _prepared(known, x, F.col(outcome), F.col(ARM), replicates, seed, key)
+    models = (fit_logistic if binary else fit_linear)(rows, k)
+    return _table(frame, mean_prediction(rows, models, k, binary), "mu")
 
 
 def s_learner(
@@ -392,28 +458,15 @@ def s_learner(
 
     The arm is then set to each value in turn for every row.
     """
-    known = frame.where(F.col(outcome).isNotNull())
-    rows = replicated(known, replicates, seed, key)
-    base = [F.col(c).cast("double") for c in covariates]
-    x = [*base, *[(F.col(ARM) == a).cast("double") for a in range(n_arms)]]
-    y = F.col(outcome).cast("double")
-    if binary:
-        betas = fit_logistic(rows, [REPLICATE], x, y, free=range(len(base), len(x)))
-    else:
-        betas = materialise(fit_linear(rows, [REPLICATE], x, y))
-    forced = reduce(
-        lambda a, b: a.unionByName(b),
-        [betas.select(REPLICATE, F.lit(a).alias(ARM), "beta") for a in range(n_arms)],
-    )
-    k = len(base)
+    known, n = frame.where(F.col(outcome).isNotNull()), len(covariates)
+    marks = [F.coalesce(F.col(ARM) == a, F.lit(False)).cast("double") for a in range(n_arms)]
+    x = [*constant_and(covariates)[1:], *marks]
+    rows = _prepared(known, x, F.col(outcome), F.lit(0), replicates, seed, key)
+    models = fit_logistic(rows, len(x), free=range(n, len(x))) if binary else fit_linear(rows, len(x))
     # With the arm fixed, its coefficient is the constant.
-    one_arm = forced.select(
-        REPLICATE, ARM,
-        F.concat(
-            F.array(F.get("beta", F.col(ARM) + k)), F.slice("beta", 1, k)
-        ).alias("beta"),
-    )
-    return mean_prediction(known, one_arm, constant_and(covariates), binary)
+    one_arm = {(r, a): np.append(beta[n + a], beta[:n]) for (r, _), beta in models.items() for a in range(n_arms)}
+    means = mean_prediction(rows, one_arm, 1 + n, binary, lambda x: _with_constant(x[:, :n]))
+    return _table(known.withColumn(ARM, F.lit(0)), means, "mu")
 
 
 def x_learner(
@@ -428,65 +481,72 @@ def x_learner(
     arms, and once for the means, and are never joined or multiplied.
     """
     known = frame.where(F.col(outcome).isNotNull())
-    x, y, k = constant_and(covariates), F.col(outcome).cast("double"), 1 + len(covariates)
-    rows = _prepared(known, x, y, F.col(ARM), replicates, seed, key)
-    levels = levels_of(known, outcome) if ordinal else []
+    x, k = constant_and(covariates), 1 + len(covariates)
+    rows = _prepared(known, x, F.col(outcome), F.col(ARM), replicates, seed, key)
+    levels = levels_of(rows.withColumnRenamed("_y", outcome), outcome) if ordinal else []
     if ordinal:
         models = fit_levels(rows, levels, k, ridge=ridge)
     else:
-        fit = fit_logistic if binary else fit_linear
-        models = coefficients(fit(replicated(known, replicates, seed, key), [REPLICATE, ARM], x, y), [REPLICATE, ARM])
-    arms, upper = range(1, n_arms), np.triu_indices(k)
+        models = (fit_logistic if binary else fit_linear)(rows, k)
+    arms, size = range(1, n_arms), replicates + 1
 
-    def value(features: np.ndarray, model: np.ndarray) -> np.ndarray:
+    def values(features: np.ndarray, place: int) -> np.ndarray:
+        """What each replicate's model of an arm says of the rows; nought where there is none."""
+        out = np.zeros((len(features), size))
+        has = [r for r in range(size) if (r, place) in models]
         if ordinal:
-            return level_values(features, model, levels, False)
-        z = features @ model
-        return 1 / (1 + np.exp(-z)) if binary else z
+            for r in has:
+                out[:, r] = level_values(features, models[r, place], levels, False)
+        elif has:
+            z = features @ np.stack([models[r, place] for r in has], axis=1)
+            out[:, has] = sigmoid(z) if binary else z
+        return out
 
     def gains(batch: pa.RecordBatch, table: dict) -> None:
         arm, features, own, copies_ = _columns_of(batch)
 
-        def add(r: int, place: int, at: np.ndarray, gain: np.ndarray) -> None:
-            weighted_ = features[at] * copies_[at, r][:, None]
-            found = np.concatenate([(weighted_.T @ features[at])[upper], weighted_.T @ gain])
-            table[r, place] = table.get((r, place), 0) + found
+        def add(place: int, other: int, at: np.ndarray, sign: int) -> None:
+            has = np.array([(r, other) in models for r in range(size)])
+            if at.any() and has.any():
+                w, z = copies_[at], features[at]
+                gain = sign * (own[at][:, None] - values(z, other))
+                found = np.concatenate([_products(z).T @ w, z.T @ (w * gain)])
+                for r in np.flatnonzero(has).tolist():
+                    table[r, place] = table.get((r, place), 0) + found[:, r]
+
+        # Place 2a holds what arm a's rows say of its effect, 2a + 1 what the controls say.
+        for a in arms:
+            add(2 * a, 0, arm == a, 1)
+            add(2 * a + 1, a, arm == 0, -1)
+
+    effects = solved(_summed(rows, gains, k * (k + 1) // 2 + k), k)
+
+    def against(batch: pa.RecordBatch) -> Iterator[Part]:
+        arm, features, _, copies_ = _columns_of(batch)
+        for a in arms:
+            at = (arm == 0) | (arm == a)
+            if at.any():
+                yield a, features[at], (arm[at] > 0).astype(float), copies_[at][:, :1]
 
-        for r in range(copies_.shape[1]):
-            control = arm == 0
-            for a in arms:
-                treated = arm == a
-                if (r, 0) in models and treated.any():
-                    add(r, 2 * a, treated, own[treated] - value(features[treated], models[r, 0]))
-                if (r, a) in models and control.any():
-                    add(r, 2 * a + 1, control, value(features[control], models[r, a]) - own[control])
-
-    # Place 2a holds what arm a's rows say of its effect, 2a + 1 what the controls say.
-    found = _summed(rows, gains, len(upper[0]) + k)
-    effects = {
-        key_: np.linalg.lstsq(_matrix(s[: len(upper[0])], k), s[len(upper[0]) :], rcond=None)[0] for key_, s in found.items()
-    }
     # Chance of each arm against the control, on the cohort as it is.
-    once = known.withColumn("copies", F.lit(1.0))
-    against = reduce(
-        lambda a, b: a.unionByName(b),
-        [once.where(F.col(ARM).isin(0, a)).withColumn("arm", F.lit(a)) for a in arms],
-    )
-    chance = coefficients(fit_logistic(against, ["arm"], x, (F.col(ARM) > 0).cast("double")), ["arm"])
+    chance = {a: beta for (_, a), beta in fit_logistic(rows, k, against).items()}
 
-    def blended(batch: pa.RecordBatch, table: dict) -> None:
+    def by_chance(batch: pa.RecordBatch, table: dict) -> None:
         _, features, _, copies_ = _columns_of(batch)
+        n = copies_[:, 0]
         for a in arms:
-            e = 1 / (1 + np.exp(-features @ chance[(a,)]))
-            for r in range(copies_.shape[1]):
-                if (r, 2 * a) in effects and (r, 2 * a + 1) in effects:
-                    effect = e * (features @ effects[r, 2 * a + 1]) + (1 - e) * (features @ effects[r, 2 * a])
-                    table[r, a] = table.get((r, a), 0) + np.array([effect.sum(), len(effect)])
-
-    means = _summed(rows, blended, 2)
-    return frame.sparkSession.createDataFrame(
-        [(r, a, float(s[0] / s[1])) for (r, a), s in sorted(means.items())], f"{REPLICATE} int, {ARM} int, effect double"
-    )
+            if a in chance:
+                e = sigmoid(features @ chance[a])
+                found = np.concatenate([features.T @ (n * e), features.T @ (n * (1 - e)), [n.sum()]])
+                table[0, a] = table.get((0, a), 0) + found
+
+    # An effect is linear in the covariates, so its mean needs their sums, weighted by the chance.
+    means = {
+        (r, a): (s[:k] @ effects[r, 2 * a + 1] + s[k : 2 * k] @ effects[r, 2 * a]) / s[-1]
+        for (_, a), s in _summed(rows, by_chance, 2 * k + 1).items() for r in range(size)
+        if (r, 2 * a) in effects and (r, 2 * a + 1) in effects
+    }
+    return _table(frame.withColumn(ARM, F.lit(0)), means, "effect")
 
 
 def boosted_means(
@@ -494,9 +554,10 @@ def boosted_means(
     depth: int = 6, step: float = 0.3, seed: int = 0,
 ) -> DataFrame:
     """E1 with boosted trees per arm, for a point estimate of a continuous outcome."""
-    known = VectorAssembler(inputCols=list(covariates), outputCol="features").transform(
+    # Written once: the boosting of every arm reads it, and the means do.
+    known = materialise(VectorAssembler(inputCols=list(covariates), outputCol="features").transform(
         frame.where(F.col(outcome).isNotNull())
-    )
+    ).select(ARM, outcome, "features"))
     parts = []
     for arm in range(n_arms):
         model = GBTRegressor(
@@ -552,6 +613,37 @@ def placed(frame: DataFrame, covariates: Sequence[str]) -> list[Column]:
     return [place(v, sorted(set(cuts or []))) for v, cuts in zip(values, found, strict=True)]
 
 
+def _cell_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arm and places of a batch of cells, their copies and sums of outcomes; the last two as one column per replicate."""
+    x, w, wy = (batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for n in ("_x", "_w", "_wy"))
+    return batch.column("_arm").to_numpy(zero_copy_only=False), x.astype(np.int64), w, wy
+
+
+def _cells(known: DataFrame, x: Sequence[Column], y: Column, replicates: int, seed: int, key: str) -> DataFrame:
+    """Rows of equal arm and places as one, with ``_w`` and ``_wy``: their copies and sums of outcomes by replicate."""
+    size, schema = replicates + 1, "_arm int, _x array<double>, _w array<double>, _wy array<double>"
+
+    def of_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        arm, places, y_, w = _columns_of(batch)
+        return np.column_stack([arm, places]), np.concatenate([w, w * y_[:, None]], axis=1)
+
+    def of_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        arm, places, w, wy = _cell_columns(batch)
+        return np.column_stack([arm, places]).astype(float), np.concatenate([w, wy], axis=1)
+
+    def made(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys[:, 0].astype(np.int32)), _lists(keys[:, 1:]), _lists(sums[:, :size]), _lists(sums[:, size:])],
+            names=["_arm", "_x", "_w", "_wy"],
+        )
+
+    rows = weighted(known, replicates, seed, key).select(
+        F.col(ARM).cast("int").alias("_arm"), F.array(*x).alias("_x"), y.cast("double").alias("_y"), "_w"
+    )
+    cells = rows.mapInArrow(_folding(of_rows, made), schema).repartition("_arm", "_x")
+    return materialise(cells.mapInArrow(_folding(of_cells, made), schema))
+
+
 def _splits(shrink: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The best cut of each (arm, replicate, node, covariate) row of residual and copy sums per place."""
 
@@ -590,26 +682,27 @@ def boosted_learner(
 ) -> DataFrame:
     """E1 and E4 with boosted trees for a continuous outcome: (replicate, T, mu) from one model per arm and replicate.
 
-    All trees of a round grow at once: a level is one pass, in which a task sums residuals and copies by
+    Trees tell rows apart by arm and places only, so rows of equal ones are a cell that holds, per replicate, their
+    copies and the sum of their outcomes; there are at most as many cells as rows.
+    All trees of a round grow at once: a level is one pass over the cells, in which a task sums residuals and copies by
     (arm, replicate, node, covariate, place), and Spark adds up those sums and picks the best cut of each
     node.  Rows are never multiplied.  What reaches the driver is one cut per node of the level.  Every ``write_every`` rounds the
-    rows are written with what the trees say of them, so no more rounds than that go to the tasks.
+    cells are written with what the trees say of them, so no more rounds than that go to the tasks.
 
     Means of nodes are shrunk as by ``shrink`` rows of no residual.  Cuts are quantiles of the cohort.  Rows that lack
     the outcome or the arm are left out; missing covariates go to the right of every cut.  An arm without
     rows has no model; a replicate that draws none of an arm's rows has no model of that arm.
     """
-    known = frame.where(F.col(outcome).isNotNull() & F.col(ARM).isNotNull())
+    wanted = dict.fromkeys([key, ARM, outcome, *covariates])
+    known = materialise(frame.where(F.col(outcome).isNotNull() & F.col(ARM).isNotNull()).select(*wanted))
     size, k = replicates + 1, len(covariates)
-    x = placed(known, covariates)
-    rows = _prepared(known, x, F.col(outcome).cast("double"), F.col(ARM), replicates, seed, key)
+    rows = _cells(known, placed(known, covariates), F.col(outcome), replicates, seed, key)
 
     def add_outcomes(batch: pa.RecordBatch, table: dict) -> None:
-        arm, _, y, w = _columns_of(batch)
+        arm, _, w, wy = _cell_columns(batch)
         for a in np.unique(arm).tolist():
             at = arm == a
-            for r, found in enumerate(np.stack([w[at].T @ y[at], w[at].sum(axis=0)], axis=1)):
-                table[r, a] = table.get((r, a), 0) + found
+            _add(table, a, np.stack([wy[at].sum(axis=0), w[at].sum(axis=0)]))
 
     start = {place: s[0] / s[1] for place, s in _summed(rows, add_outcomes, 2).items() if s[1] > 0}
     arms = sorted({a for _, a in start if 0 <= a < n_arms})
@@ -638,12 +731,11 @@ def boosted_learner(
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                arm, x, y, w = _columns_of(batch)
-                x = x.astype(np.int64)
+                arm, x, w, wy = _cell_columns(batch)
                 for a in np.unique(arm).tolist():
                     at = arm == a
                     copies_, own = w[at], x[at]
-                    gap = copies_ * (y[at][:, None] - said(batch, a, at, own, forests))
+                    gap = wy[at] - copies_ * said(batch, a, at, own, forests)
                     node = tree.nodes(own, a, size) + width * np.arange(size)[None, :]
                     table = tables.setdefault(a, np.zeros((k, 2, size * width * PLACES)))
                     for f in range(k):
@@ -688,12 +780,11 @@ def boosted_learner(
         latest = forests
 
         def add_means(batch: pa.RecordBatch, table: dict) -> None:
-            _, x, _, _ = _columns_of(batch)
-            x = x.astype(np.int64)
+            _, x, w, _ = _cell_columns(batch)
+            n = w[:, 0]
             for a in arms:
-                total = sum(forest.values(x, a, size) for forest in latest).sum(axis=0)
-                for r in range(size):
-                    table[r, a] = table.get((r, a), 0) + np.array([total[r], len(x)])
+                total = n @ sum(forest.values(x, a, size) for forest in latest)
+                _add(table, a, np.stack([total, np.full(size, n.sum())]))
 
         for place, s in _summed(rows, add_means, 2).items():
             if place in added:
@@ -701,13 +792,12 @@ def boosted_learner(
 
         def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                arm, x, _, _ = _columns_of(batch)
+                arm, x, _, _ = _cell_columns(batch)
                 out = np.empty((batch.num_rows, size))
                 for a in np.unique(arm).tolist():
                     at = arm == a
-                    out[at] = said(batch, a, at, x[at].astype(np.int64), latest)
-                ends = pa.array(np.arange(batch.num_rows + 1) * size, pa.int32())
-                yield batch.set_column(4, "_f", pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1))))
+                    out[at] = said(batch, a, at, x[at], latest)
+                yield batch.set_column(4, "_f", _lists(out))
 
         if done < rounds:
             fitted, forests = materialise(fitted.mapInArrow(carry, fitted.schema)), []
