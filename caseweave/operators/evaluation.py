@@ -7,6 +7,7 @@ task should sort is accumulated in slices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -207,17 +208,34 @@ def subgroup_metrics(
 # --- bootstrap of the area --------------------------------------------------------------
 
 
+#: A draw is below the k-th chance exactly when its 53 bits are below the k-th of these.
+_LIMITS = np.array([math.ceil(p * (1 << 53)) for p in POISSON_ONE], dtype=np.uint64)
+#: Copies by the first 16 of the 53 bits, and the few beginnings that have a limit among them, where all bits are asked.
+_COPIES = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64) << np.uint64(37), side="right").astype(np.uint16)
+_OPEN = np.unique(_LIMITS >> np.uint64(37))
+_IS_OPEN = np.isin(np.arange(1 << 16, dtype=np.uint64), _OPEN)
+#: Rows whose draws are made at once: they and what is made of them stay in a core's cache.
+_BLOCK = 64
+
+
 def replicate_copies(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """Copies of each row in each replicate: Poisson(1) draws from a hash of both."""
     with np.errstate(over="ignore"):
         steps = np.arange(replicates, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)
         x = ids.astype(np.uint64)[:, None] + steps[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        moved = np.empty_like(x)
         # Two rounds of xor, shift and multiply spread neighbouring inputs.
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x = x ^ (x >> np.uint64(31))
-    draws = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return np.searchsorted(np.array(POISSON_ONE), draws, side="right").astype(np.float64)
+            np.right_shift(x, np.uint64(shift), out=moved)
+            x ^= moved
+            x *= np.uint64(factor)
+        np.right_shift(x, np.uint64(31), out=moved)
+        x ^= moved
+    starts = np.right_shift(x, np.uint64(48), out=moved)
+    copies = _COPIES[starts]
+    unsure = np.flatnonzero(_IS_OPEN[starts])
+    copies.reshape(-1)[unsure] = np.searchsorted(_LIMITS, x.reshape(-1)[unsure] >> np.uint64(11), side="right")
+    return copies
 
 
 #: What a sorted slice says per replicate: weights of both classes at its first and last score, and in between, with
@@ -232,29 +250,44 @@ def _slice_concordance(replicates: int, seed: int):
         pos, neg, won = (np.zeros(replicates) for _ in range(3))
         first, tie, tie_score, slice_id, scores = None, None, None, None, []
 
-        def close() -> None:
+        def close(ones: np.ndarray, zeros: np.ndarray) -> None:
+            """Take in scores that are passed, in order: a row of weights of each class per score."""
             nonlocal pos, neg, won, first
             if first is None:
-                first = tie
-            else:
-                won = won + tie[0] * (neg + 0.5 * tie[1])
-                pos, neg = pos + tie[0], neg + tie[1]
+                first, ones, zeros = np.stack([ones[0], zeros[0]]), ones[1:], zeros[1:]
+            passed = zeros.cumsum(axis=0)
+            won = won + (ones * (neg + passed - 0.5 * zeros)).sum(axis=0)
+            pos, neg = pos + ones.sum(axis=0), neg + zeros.sum(axis=0)
+
+        def weights(ids: np.ndarray, positive: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+            """Copies per score (``place``) and class; sums of a block's copies fit 16 bits."""
+            order = np.lexsort((positive, place))
+            cell = (2 * place + positive)[order]
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            table = np.zeros((2 * n, replicates))
+            table[cell[starts]] = np.add.reduceat(replicate_copies(ids[order], replicates, seed), starts, axis=0)
+            return table[1::2], table[::2]
 
         for batch in batches:
             if batch.empty:
                 continue
             slice_id = int(batch["_slice"].iloc[0])
-            copies = replicate_copies(batch["_id"].to_numpy(np.int64), replicates, seed)
-            labels, values = batch["_label"].to_numpy(), batch["_score"].to_numpy()
-            edges = np.flatnonzero(np.diff(values)) + 1
-            for part in np.split(np.arange(len(values)), edges):
-                if tie is None or values[part[0]] != tie_score:
-                    if tie is not None:
-                        close()
-                    tie, tie_score = np.zeros((2, replicates)), values[part[0]]
-                    scores = [scores[0] if scores else tie_score, tie_score]
-                ones = labels[part] == 1
-                tie = tie + np.stack([copies[part][ones].sum(axis=0), copies[part][~ones].sum(axis=0)])
+            all_ids, labels = batch["_id"].to_numpy(np.int64), batch["_label"].to_numpy() == 1
+            all_values = batch["_score"].to_numpy()
+            for begin in range(0, len(all_values), _BLOCK):
+                at = slice(begin, begin + _BLOCK)
+                values = all_values[at]
+                place = np.append(0, np.cumsum(values[1:] != values[:-1]))
+                ones, zeros = weights(all_ids[at], labels[at].astype(np.int64), place, int(place[-1]) + 1)
+                if tie is not None and values[0] == tie_score:
+                    ones[0] += tie[0]
+                    zeros[0] += tie[1]
+                elif tie is not None:
+                    close(tie[:1], tie[1:])
+                if len(ones) > 1:
+                    close(ones[:-1], zeros[:-1])
+                scores = [scores[0] if scores else values[0], values[-1]]
+                tie, tie_score = np.stack([ones[-1], zeros[-1]]), values[-1]
         if slice_id is not None:
             one = first is None
             ends = (tie, np.zeros((2, replicates))) if one else (first, tie)
