@@ -1,8 +1,9 @@
-"""Shuffle partitions follow the input."""
+"""Shuffle partitions follow the input; edges of events come from one pass."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from caseweave.operators import graph as gr
 from caseweave.plans import sizes
 from caseweave.roles import Tables
 
@@ -47,3 +48,26 @@ def test_smaller_settings_stay(settings, given, kept):
     settings.conf.set(sizes.ADVISORY, given)
     sizes.deal_by_size(settings, 0)
     assert sizes._bytes(settings.conf.get(sizes.ADVISORY)) == kept
+
+
+def test_event_edges_read_the_events_once(spark):
+    events = spark.createDataFrame([("a", 1, 2), ("b", 1, None), ("c", None, 3)], "id string, stay_id bigint, day_number int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    edges = gr.event_edges(events.mapInPandas(look, events.schema))
+    found = sorted(map(tuple, edges.collect()), key=str)
+    assert seen.value == 3
+    assert edges.columns == ["src", "predicate", "dst"]
+    stay, day = gr.stay_node(), gr.day_node()
+    names = {r["id"]: (r["s"], r["d"]) for r in events.select("id", stay.alias("s"), day.alias("d")).collect()}
+    expected = []
+    for event, (s, d) in names.items():
+        expected += [(event, "associatedWithICUStay", s), (s, "hasICUStayEvent", event)]
+        if event != "b":
+            expected += [(event, "associatedWithICUDay", d), (d, "hasICUDayEvent", event)]
+    assert found == sorted(expected, key=str)
