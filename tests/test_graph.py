@@ -124,3 +124,23 @@ def test_typed_edges_of_every_kind(spark):
         ("ID-7-D1", "drug", "372735009", 1.5), ("ID-7-D1", "drug", "unmapped:drug:unheard", 1.5),
         ("HA-1", "diagnosis", "432504007", None), ("HA-1", "diagnosis", "unmapped:diagnosis:430", None),
     }
+
+
+@pytest.mark.parametrize("share", [4_000_000, 10])
+def test_shared_entities_without_a_distinct_over_pairs(spark, monkeypatch, share):
+    """Popular entities dealt over shares, repeated, null and foreign rows; no step groups the pairs."""
+    monkeypatch.setattr(gr, "PAIRS_PER_TASK", share)
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(60)}", f"e{min(rng.randrange(12), rng.randrange(12))}") for _ in range(250)]
+    rows += rows[:20] + [(None, "e0"), ("n1", None), ("n70", "own"), ("n71", None)]
+    edges = spark.createDataFrame(rows, "src_id string, dst_id string")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in (0, 1, 2, 2, 3, 70, 71, 99)] + [(None,)], "id string")
+    held = {}
+    for n, e in rows:
+        if n and e:
+            held.setdefault(n, set()).add(e)
+    want = sorted((s, n) for s in ("n0", "n1", "n2", "n3", "n70") if s in held for n in held if n != s and held[s] & held[n])
+    found = gr.shared_entity(seeds, edges)
+    assert sorted((r["seed"], r["node"]) for r in found.collect()) == want
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert gr.shared_entity(seeds.where("id = 'n99'"), edges).collect() == []
