@@ -23,7 +23,7 @@ from caseweave.operators.aggregates import reference_ranges
 from caseweave.operators.cohorts import gender_flags
 from caseweave.operators.filters import keep
 from caseweave.operators.windows import set_members, top_per_group, top_scored
-from caseweave.plans.ordered import numbered, percentiles
+from caseweave.plans.ordered import numbered, percentiles, percentiles_of_counts
 from caseweave.plans.sizes import take_bounded
 from caseweave.session import materialise
 
@@ -318,7 +318,8 @@ def encounter_features(
         F.avg(F.when(item == rules.SODIUM, value)).alias("sodium_mean"),
         F.min(F.when(item == rules.PLATELETS, value)).alias("platelet_min"),
     )
-    wide = base.join(hours, "hadm_id", "left").join(values, "hadm_id", "left")
+    # Written once: the medians and the filled rows read it back.
+    wide = materialise(base.join(hours, "hadm_id", "left").join(values, "hadm_id", "left"))
     names = ["creatinine_max", "sodium_mean", "platelet_min"]
     long = wide.select("hadm_id", *names).unpivot(["hadm_id"], names, "feature", "value")
     medians = {
@@ -614,10 +615,13 @@ def cohort_quantities(members: DataFrame) -> DataFrame:
 
 def cohort_distances(members: DataFrame) -> DataFrame:
     """Size and spread of the members' distances."""
-    median = percentiles(members, [], "distance", {"median": 0.5}).select("median").scalar()
-    return members.agg(
-        F.count(F.lit(1)).alias("n_returned"), F.min("distance").alias("min"),
-        F.avg("distance").alias("mean"), F.max("distance").alias("max"),
+    # Written once, in any order: the median reads the distances several times.
+    counts = materialise(members.groupBy("distance").agg(F.count(F.lit(1)).alias("_n")))
+    median = percentiles_of_counts(counts, [], "distance", {"median": 0.5}).select("median").scalar()
+    known = F.when(F.col("distance").isNotNull(), F.col("_n"))
+    return counts.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_returned"), F.min("distance").alias("min"),
+        (F.sum(F.col("distance") * F.col("_n")) / F.sum(known)).alias("mean"), F.max("distance").alias("max"),
     ).withColumn("median", median)
 
 

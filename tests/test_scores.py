@@ -281,3 +281,21 @@ def test_x_learner_blends_by_the_chance_of_the_arm(spark):
     e = 1 / (1 + np.exp(-one @ beta))
     got = cs.x_learner(df, ["x"], "y", 2).first()["effect"]
     assert got == pytest.approx(float((e * (one @ tau0) + (1 - e) * (one @ tau1)).mean()), abs=1e-6)
+
+
+def test_distances_are_read_once(spark):
+    """Size, spread and median of a cohort from one pass over its members, with ties and missing distances."""
+    passes = spark.sparkContext.accumulator(0)
+    values = [0.1, 0.2, 0.2, 0.5, None, 0.4]
+
+    def seen(rows):
+        for batch in rows:
+            passes.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(v,) for v in values], "distance double").mapInArrow(seen, "distance double")
+    row = sm.cohort_distances(rows).first()
+    assert (row["n_returned"], row["min"], row["max"], row["median"]) == (6, 0.1, 0.5, 0.2)
+    assert abs(row["mean"] - 0.28) < 1e-12 and passes.value == 6
+    none = sm.cohort_distances(rows.where("distance > 1")).first()
+    assert none["n_returned"] == 0 and none["median"] is None and none["mean"] is None
