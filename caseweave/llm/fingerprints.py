@@ -38,25 +38,60 @@ def _probes() -> str:
     )
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), f"[{BLANK}]+"), "")
+
+
+def _shingles(words: Column, k: int, first: Column) -> Column:
+    """MD5 of every run of ``k`` words from place ``first`` on, of all words if there are fewer; null without words."""
+    # Words by place: a slice would copy the shingle's words first.
+    many = F.transform(F.sequence(first, F.size(words) - k), lambda i: F.md5(
+        F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]).cast("binary")
+    ))
+    return F.when(F.size(words) >= k, F.when(first <= F.size(words) - k, many).otherwise(F.array().cast("array<string>"))).when(
+        F.size(words) > 0, F.array(F.md5(F.concat_ws(" ", words).cast("binary")))
+    )
+
+
 def with_fingerprint(rows: DataFrame, text_col: str, name: str, k: int = SHINGLE) -> DataFrame:
     """``rows`` with the column ``name``, the fingerprint of the text; empty for a text without a word.
 
     Words are runs without white space, in lower case; a text of fewer than ``k`` words is one shingle.
     Columns that begin with ``_fp`` are used on the way.
     """
-    words, values, filled = F.col("_fp_words"), F.col("_fp_values"), F.col("_fp_filled")
-    step = rows.withColumn("_fp_words", F.array_remove(F.split(F.lower(F.col(text_col)), f"[{BLANK}]+"), ""))
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.md5(
-        F.concat_ws(" ", F.slice(words, i, k)).cast("binary")
-    ))
-    hashes = F.when(F.size(words) >= k, many).when(F.size(words) > 0, F.array(F.md5(F.concat_ws(" ", words).cast("binary"))))
+    step = rows.withColumn("_fp_words", _words(F.col(text_col)))
+    step = step.withColumn("_fp_hashes", _shingles(F.col("_fp_words"), k, F.lit(0)))
+    return _with_digits(step, "_fp_hashes", name).drop("_fp_words", "_fp_hashes")
+
+
+def _with_both(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """``rows`` (text, edited, kept) with the fingerprints of ``text`` and ``edited``, which both begin with ``kept``.
+
+    All words of ``kept`` but the last stand in both texts; shingles of these are hashed once.
+    """
+    step = rows.withColumns({
+        "_fp_words": _words(F.col("text")), "_fp_edited": _words(F.col("edited")),
+        "_fp_shared": F.greatest(F.lit(0), F.size(_words(F.col("kept"))) - k),
+    }).withColumn("_fp_hashes", _shingles(F.col("_fp_words"), k, F.lit(0)))
+    fresh = _shingles(F.col("_fp_edited"), k, F.col("_fp_shared"))
+    # Without a shared shingle, those of the text need not exist.
+    step = step.withColumn("_fp_others", F.when(
+        F.col("_fp_shared") > 0, F.concat(F.slice("_fp_hashes", F.lit(1), F.col("_fp_shared")), fresh)
+    ).otherwise(fresh))
+    step = step.drop("_fp_words", "_fp_edited")
+    step = _with_digits(_with_digits(step, "_fp_hashes", "fingerprint"), "_fp_others", "edited_fingerprint")
+    return step.drop("_fp_shared", "_fp_hashes", "_fp_others")
+
+
+def _with_digits(rows: DataFrame, hashes_col: str, name: str) -> DataFrame:
+    """``rows`` with the column ``name``, the fingerprint of a text's shingle hashes; empty where they are null."""
+    hashes, values, filled = F.col(hashes_col), F.col("_fp_values"), F.col("_fp_filled")
     # A mark at the upper end of every bin: after sorting, the first entry of a bin is its minimum, or the mark.
     marks = F.split(F.lit(",".join(f"{b:02x}g" for b in range(BINS))), ",")
-    step = step.withColumn("_fp_sorted", F.sort_array(F.concat(F.coalesce(hashes, F.array().cast("array<string>")), marks)))
+    step = rows.withColumn("_fp_sorted", F.sort_array(F.concat(F.coalesce(hashes, F.array().cast("array<string>")), marks)))
     ordered = F.col("_fp_sorted")
-    bin_of = lambda x: F.substring(x, 1, 2)
-    firsts = F.filter(ordered, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(ordered, i - 1))))
-    step = step.withColumn("_fp_values", F.transform(firsts, lambda x: F.when(F.length(x) == 32, x)))
+    firsts = F.filter(ordered, lambda x, i: (i == 0) | ~F.startswith(F.get(ordered, i - 1), F.substring(x, 1, 2)))
+    step = step.withColumn("_fp_values", F.transform(firsts, lambda x: F.when(F.octet_length(x) == 32, x)))
     step = step.withColumn("_fp_filled", F.filter(
         F.transform(values, lambda v, b: F.struct(b.alias("b"), v.alias("v"))), lambda e: e["v"].isNotNull()
     ))
@@ -72,15 +107,14 @@ def with_fingerprint(rows: DataFrame, text_col: str, name: str, k: int = SHINGLE
     digits = F.transform(values, lambda v, i: F.coalesce(
         F.substring(v, 32, 1), F.substring(F.md5(F.concat_ws(":", borrowed(i), i.cast("string")).cast("binary")), 32, 1)
     ))
-    print_ = F.when(F.size(words) > 0, F.array_join(digits, "")).otherwise("")
-    return step.withColumn(name, print_).drop("_fp_words", "_fp_sorted", "_fp_values", "_fp_filled")
+    print_ = F.when(hashes.isNotNull(), F.array_join(digits, "")).otherwise("")
+    return step.withColumn(name, print_).drop("_fp_sorted", "_fp_values", "_fp_filled")
 
 
 def likeness(a: str, b: str) -> Column:
     """The estimated Jaccard likeness of two fingerprints, 0 to 1; two empty ones are alike."""
-    agreeing = F.size(F.filter(
-        F.sequence(F.lit(1), F.lit(BINS)), lambda i: F.substring(F.col(a), i, F.lit(1)) == F.substring(F.col(b), i, F.lit(1))
-    ))
+    same = F.zip_with(F.split(F.col(a), ""), F.split(F.col(b), ""), lambda x, y: x == y)
+    agreeing = F.size(F.filter(same, lambda x: x))
     estimate = F.greatest(F.lit(0.0), (agreeing - BINS // 16) / F.lit(float(BINS - BINS // 16)))
     return F.when((F.col(a) == "") | (F.col(b) == ""), (F.col(a) == F.col(b)).cast("double")).otherwise(estimate)
 
@@ -136,15 +170,17 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pieces = texts.join(asked, "key").select(
         F.col("asker").alias("key"), "third", F.substring("text", F.lit(1), F.col("third")).alias("piece")
     )
-    edited = texts.join(pieces, "key").select("key", "text", F.concat(
-        F.substring("text", F.lit(1), F.char_length("text") - F.col("third")), F.col("piece")
-    ).alias("edited"))
-    printed = with_fingerprint(with_fingerprint(edited, "text", "fingerprint"), "edited", "edited_fingerprint")
-    own = materialise(printed.select(
-        "key", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"
-    ))
+    kept = F.substring("text", F.lit(1), F.char_length("text") - F.col("third"))
+    edited = texts.join(pieces, "key").select("key", "text", kept.alias("kept"), F.concat(kept, F.col("piece")).alias("edited"))
+    printed = _with_both(edited)
+    # Digits are written and shuffled as bytes, two to a byte.
+    digests = {"edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)}
+    digests |= {n: F.col(n) for n in ("fingerprint", "edited_fingerprint")}
+    own = materialise(printed.select("key", *[F.unhex(c).alias(n) for n, c in digests.items()]))
     following = own.select(F.col("key").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    found = own.join(order, "key").join(following, "next").withColumns({
+    found = own.join(order, "key").join(following, "next").withColumns(
+        {n: F.lower(F.hex(n)) for n in (*digests, "next_fingerprint")}
+    ).withColumns({
         "near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "next_fingerprint"),
         "copy": F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))),
     })

@@ -83,3 +83,11 @@ def test_estimates(spark):
     for r in rows.select("n", "a", "b", "near", F.length("fa").alias("size")).collect():
         x, y = shingles(r.a), shingles(r.b)
         assert r.size == BINS and abs(r.near - len(x & y) / len(x | y)) < 0.17, r.n
+
+
+def test_cuts_through_words(spark):
+    """Shingles of the kept part are hashed once: cuts in and between words, few words, a sigma at the cut."""
+    texts = [" ".join(f"W{i}ΑΣ" for i in range(n)) + "x" * (n % 4) + " " * (n % 3) for n in (0, 1, 4, 5, 6, 7, 8, 9, 10, 11, 20, 60)]
+    rows = [*enumerate(texts), (100, "ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ"), (101, "a  \t" * 40), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == brute(rows)
