@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caseweave.operators import aggregates as ag, cohorts as co, filters as fl, graph as gr
 from caseweave.operators import temporal as tp
-from caseweave.operators.joins import merge_features
+from caseweave.operators.joins import few_per_key, merge_features
 from caseweave.session import materialise
 
 IDS = ("hadm_id", "subject_id")
@@ -57,6 +57,18 @@ def graph_features(record: gr.Record) -> DataFrame:
     return seeds.join(found, "id").drop("id")
 
 
+def _labelled(events: DataFrame, items: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The readings and items of the labels that get columns, told by their item before the readings are joined to anything."""
+    asked = items.where(F.col("label").isin(*names))
+    return fl.keep(events, asked, "itemid"), asked
+
+
+def _apart(features: DataFrame) -> DataFrame:
+    """One row per encounter, handed over by a shuffle: what it is made of is dealt by encounter, too, and would otherwise
+    be sorted in the same tasks as all other features."""
+    return features.repartition("hadm_id")
+
+
 def feature_matrix(
     record: gr.Record, cohort: DataFrame, *, lab_names: Sequence[str], vital_names: Sequence[str],
     admission_types: Sequence[str], chapters: Sequence[str], extra: Sequence[DataFrame] = (),
@@ -71,7 +83,10 @@ def feature_matrix(
     # Written once: every feature group starts from the cohort's encounters and stays.
     encounters = materialise(fl.keep(record.encounters, cohort))
     stays = materialise(fl.keep(record.stays, encounters))
-    own = replace(record, encounters=encounters, stays=stays).restricted(encounters)
+    own = replace(
+        record, subjects=fl.keep(record.subjects, encounters, "subject_id"), encounters=encounters, stays=stays,
+        **{n: fl.keep(getattr(record, n), encounters) for n in ("labs", "charts", "prescriptions", "diagnoses", "cultures")},
+    )
     labels = fl.keep(co.readmission_labels(record.encounters), encounters).select(
         "hadm_id", "subject_id", *LABELS
     )
@@ -79,20 +94,24 @@ def feature_matrix(
         own.subjects.select("subject_id", "gender"), "subject_id"
     )
     genders = {n: c for n, c in co.gender_flags().items() if n != "gender_unknown"}
+    labs, lab_items = _labelled(record.labs, record.lab_items, lab_names)
+    charts, chart_items = _labelled(record.charts, record.chart_items, vital_names)
+    # Asked once for both readers of the labs.
+    few = few_per_key(own.labs, own.stays, "hadm_id")
     frames = [
         people.select("hadm_id", "age", *[c.alias(n) for n, c in genders.items()]),
         stay_features(encounters, own.stays, admission_types),
+        _apart(ag.widen(
+            ag.lab_summary(fl.keep(labs, encounters), lab_items, own.stays, encounters, few), "hadm_id",
+            "label", LAB_STATISTICS, lab_names,
+        )),
         ag.widen(
-            ag.lab_summary(own.labs, own.lab_items, own.stays, encounters), "hadm_id", "label",
-            LAB_STATISTICS, lab_names,
-        ),
-        ag.widen(
-            ag.vital_summary(own.charts, own.chart_items, own.stays, encounters), "hadm_id",
+            ag.vital_summary(fl.keep(charts, encounters), chart_items, own.stays, encounters), "hadm_id",
             "label", VITAL_STATISTICS, vital_names,
         ),
-        ag.medication_summary(encounters, own.prescriptions),
-        diagnosis_features(encounters, own.diagnoses, chapters),
-        tp.temporal_features(encounters, own.labs, own.charts, own.stays),
+        _apart(ag.medication_summary(encounters, own.prescriptions)),
+        _apart(diagnosis_features(encounters, own.diagnoses, chapters)),
+        tp.temporal_features(encounters, own.labs, own.charts, own.stays, few),
         graph_features(own),
         *extra,
     ]
