@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.draws import copies, drawn_copies, uniform
 from caseweave.plans.ordered import percentiles
-from caseweave.plans.sizes import take_bounded
+from caseweave.plans.sizes import fits, take_bounded
 from caseweave.session import materialise
 
 KEY, ARM, REPLICATE = "hadm_id", "T", "replicate"
@@ -576,6 +576,8 @@ def boosted_means(
 PLACES = 32
 #: A child node needs this many copies.
 LEAST_COPIES = 1.0
+#: So many cells fit a task that grows whole models; a task grows those of so many replicates.
+MOST_CELLS, MODELS_PER_TASK = 50_000, 4
 
 
 @dataclass(frozen=True)
@@ -644,6 +646,28 @@ def _cells(known: DataFrame, x: Sequence[Column], y: Column, replicates: int, se
     return materialise(cells.mapInArrow(_folding(of_cells, made), schema))
 
 
+def _best_cuts(sums: np.ndarray, shrink: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut, gain and the means on both sides, from rows of residual and copy sums per place."""
+    left = sums.cumsum(axis=2)[:, :, :-1]
+    whole = sums.sum(axis=2)
+    g, h, (g_all, h_all) = left[:, 0], left[:, 1], whole.T
+    g_right, h_right = g_all[:, None] - g, h_all[:, None] - h
+    # A cut with no copy on one side is none; a float hides the order in which sums were added.
+    real = (h >= LEAST_COPIES) & (h_right >= LEAST_COPIES)
+    h, h_right = np.where(real, h, 1.0), np.where(real, h_right, 1.0)
+    gain = g**2 / (h + shrink) + g_right**2 / (h_right + shrink) - (g_all**2 / (h_all + shrink))[:, None]
+    gain = np.where(real, gain, -1.0).astype(np.float32)
+    cut = gain.argmax(axis=1)
+    at = np.arange(len(gain)), cut
+    best, small = gain[at], 1e-9 * np.maximum(1.0, np.abs(g_all))
+    split = best > small
+    return (
+        np.where(split, cut, PLACES).astype(np.int32), np.where(split, best, 0.0).astype(float),
+        np.where(split, g[at] / (h[at] + shrink), g_all / (h_all + shrink)),
+        np.where(split, g_right[at] / (h_right[at] + shrink), 0.0),
+    )
+
+
 def _splits(shrink: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The best cut of each (arm, replicate, node, covariate) row of residual and copy sums per place."""
 
@@ -652,30 +676,80 @@ def _splits(shrink: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             if not batch.num_rows:
                 continue
             sums = batch.column("s").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, 2, PLACES)
-            left = sums.cumsum(axis=2)[:, :, :-1]
-            whole = sums.sum(axis=2)
-            g, h, (g_all, h_all) = left[:, 0], left[:, 1], whole.T
-            g_right, h_right = g_all[:, None] - g, h_all[:, None] - h
-            # A cut with no copy on one side is none; a float hides the order in which sums were added.
-            real = (h >= LEAST_COPIES) & (h_right >= LEAST_COPIES)
-            h, h_right = np.where(real, h, 1.0), np.where(real, h_right, 1.0)
-            gain = g**2 / (h + shrink) + g_right**2 / (h_right + shrink) - (g_all**2 / (h_all + shrink))[:, None]
-            gain = np.where(real, gain, -1.0).astype(np.float32)
-            cut = gain.argmax(axis=1)
-            at = np.arange(len(gain)), cut
-            best, small = gain[at], 1e-9 * np.maximum(1.0, np.abs(g_all))
-            split = best > small
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in ("a", "r", "node", "f")], *[pa.array(v) for v in (
-                    np.where(split, cut, PLACES).astype(np.int32), np.where(split, best, 0.0).astype(float),
-                    np.where(split, g[at] / (h[at] + shrink), g_all / (h_all + shrink)),
-                    np.where(split, g_right[at] / (h_right[at] + shrink), 0.0),
-                )]], names=["a", "r", "node", "f", "cut", "gain", "low", "high"],
+                [*[batch.column(n) for n in ("a", "r", "node", "f")], *[pa.array(v) for v in _best_cuts(sums, shrink)]],
+                names=["a", "r", "node", "f", "cut", "gain", "low", "high"],
             )
 
     return best_cuts
 
 
+def _histogram(x: np.ndarray, gap: np.ndarray, copies_: np.ndarray, node: np.ndarray, width: int) -> np.ndarray:
+    """Sums of residuals and copies by (covariate, which, replicate, node, place)."""
+    models, k = node.shape[1], x.shape[1]
+    node = node + width * np.arange(models)[None, :]
+    table = np.empty((k, 2, models * width * PLACES))
+    for f in range(k):
+        place = (node * PLACES + x[:, f][:, None]).ravel()
+        for i, what in enumerate((gap, copies_)):
+            table[f, i] = np.bincount(place, what.ravel(), minlength=models * width * PLACES)
+    return table
+
+
+def _node_sums(table: np.ndarray, models: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replicate and node of the nodes that hold copies, and their sums by (covariate, node, which, place)."""
+    cells = table.reshape(len(table), 2, models, width, PLACES)
+    r, node = np.nonzero(cells[0, 1].sum(axis=2) > 0)
+    return r, node, cells[:, :, r, node].transpose(0, 2, 1, 3)
+
+
+def _boosted_apart(
+    rows: DataFrame, start: dict[tuple, float], arms: Sequence[int], size: int, rounds: int, depth: int, rate: float, shrink: float,
+) -> dict[tuple, float]:
+    """What boosting adds to the mean of each (replicate, arm): the cells are few, so a task grows whole models of some replicates."""
+    tasks = -(-size // MODELS_PER_TASK)
+
+    def own_part(name: str, b: int) -> Column:
+        return F.slice(name, b * MODELS_PER_TASK + 1, MODELS_PER_TASK).alias(name)
+
+    dealt = rows.select("_arm", "_x", F.element_at("_w", 1).alias("n"), F.inline(F.array(*[
+        F.struct(F.lit(b).alias("b"), own_part("_w", b), own_part("_wy", b)) for b in range(tasks)
+    ]))).repartition(2 * tasks, "b")
+
+    def grow(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        arm, x, w, wy = _cell_columns(batch)
+        n, first, models = batch.column("n").to_numpy(zero_copy_only=False), batch.column("b")[0].as_py() * MODELS_PER_TASK, w.shape[1]
+        out = []
+        for a in arms:
+            at = arm == a
+            own, copies_, outcomes = x[at], w[at], wy[at]
+            said = np.tile([start.get((first + r, a), 0.0) for r in range(models)], (len(x), 1))
+            total = np.zeros(models)
+            for _ in range(rounds):
+                gap, tree = outcomes - copies_ * said[at], Forest([], {})
+                for level in range(depth):
+                    width = 2**level
+                    r, node, sums = _node_sums(_histogram(own, gap, copies_, tree.nodes(own, a, models), width), models, width)
+                    found = [v.reshape(len(sums), -1) for v in _best_cuts(sums.reshape(-1, 2, PLACES), shrink)]
+                    # Of equal gains the first covariate's counts.
+                    best = found[1].argmax(axis=0), np.arange(len(r))
+                    covariate, cut = np.zeros((models, width), np.int64), np.full((models, width), PLACES, np.int64)
+                    value = np.zeros((models, width, 2))
+                    covariate[r, node], cut[r, node] = best[0], found[0][best]
+                    value[r, node] = np.stack([found[2][best], found[3][best]], axis=1)
+                    tree = Forest([*tree.levels, {a: (covariate, cut)}], {a: rate * value.reshape(models, 2 * width)})
+                added = tree.values(x, a, models)
+                said += added
+                total += n @ added / n.sum()
+            out += [(first + r, a, float(total[r])) for r in range(models)]
+        return pa.table({"r": pa.array([o[0] for o in out], pa.int32()), "a": pa.array([o[1] for o in out], pa.int32()),
+                         "mu": pa.array([o[2] for o in out], pa.float64())})
+
+    grown = dealt.groupBy("b").applyInArrow(grow, "r int, a int, mu double").collect()
+    return {(row["r"], row["a"]): row["mu"] for row in grown}
+
+
 def boosted_learner(
     frame: DataFrame, covariates: Sequence[str], outcome: str, n_arms: int, *, replicates: int = 200, seed: int = 0,
     key: str = KEY, rounds: int = 200, depth: int = 6, rate: float = 0.3, shrink: float = 1.0, write_every: int = 5,
@@ -684,7 +758,8 @@ def boosted_learner(
 
     Trees tell rows apart by arm and places only, so rows of equal ones are a cell that holds, per replicate, their
     copies and the sum of their outcomes; there are at most as many cells as rows.
-    All trees of a round grow at once: a level is one pass over the cells, in which a task sums residuals and copies by
+    Where the cells are few enough for a task, tasks grow the whole models of some replicates each.  Otherwise
+    all trees of a round grow at once: a level is one pass over the cells, in which a task sums residuals and copies by
     (arm, replicate, node, covariate, place), and Spark adds up those sums and picks the best cut of each
     node.  Rows are never multiplied.  What reaches the driver is one cut per node of the level.  Every ``write_every`` rounds the
     cells are written with what the trees say of them, so no more rounds than that go to the tasks.
@@ -708,6 +783,9 @@ def boosted_learner(
     arms = sorted({a for _, a in start if 0 <= a < n_arms})
     constant = {a: np.array([start.get((r, a), 0.0) for r in range(size)]) for a in arms}
     added: dict[tuple, float] = dict.fromkeys(start, 0.0)
+    apart = fits(rows, MOST_CELLS)
+    if apart:
+        added |= _boosted_apart(rows, start, arms, size, rounds, depth, rate, shrink)
     fitted: DataFrame = rows.where(F.col("_arm").isin(arms)).withColumn("_f", F.lit(None).cast("array<double>"))
     sums = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(2 * PLACES)]).alias("s")
     best = F.max_by(F.struct("f", "cut", "low", "high"), F.struct("gain", -F.col("f"))).alias("b")
@@ -736,21 +814,14 @@ def boosted_learner(
                     at = arm == a
                     copies_, own = w[at], x[at]
                     gap = wy[at] - copies_ * said(batch, a, at, own, forests)
-                    node = tree.nodes(own, a, size) + width * np.arange(size)[None, :]
-                    table = tables.setdefault(a, np.zeros((k, 2, size * width * PLACES)))
-                    for f in range(k):
-                        place = (node * PLACES + own[:, f][:, None]).ravel()
-                        for i, what in enumerate((gap, copies_)):
-                            table[f, i] += np.bincount(place, what.ravel(), minlength=size * width * PLACES)
+                    tables[a] = tables.get(a, 0) + _histogram(own, gap, copies_, tree.nodes(own, a, size), width)
             for a, table in tables.items():
-                cells = table.reshape(k, 2, size, width, PLACES)
-                r, node = np.nonzero(cells[0, 1].sum(axis=2) > 0)
-                values = cells[:, :, r, node].transpose(0, 2, 1, 3).reshape(-1)
+                r, node, values = _node_sums(table, size, width)
                 n = k * len(r)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, a, np.int32)), pa.array(np.tile(r, k).astype(np.int32)),
                     pa.array(np.tile(node, k).astype(np.int32)), pa.array(np.repeat(np.arange(k), len(r)).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 2 * PLACES, pa.int32()), pa.array(values)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 2 * PLACES, pa.int32()), pa.array(values.reshape(-1))),
                 ], names=["a", "r", "node", "f", "s"])
 
         found = rows_.mapInArrow(histograms, "a int, r int, node int, f int, s array<double>")
@@ -760,7 +831,7 @@ def boosted_learner(
         return cuts.groupBy("a", "r", "node").agg(best).select("a", "r", "node", "b.*").toPandas()
 
     forests: list[Forest] = []
-    for done in range(1, rounds + 1):
+    for done in range(1, 1 if apart else rounds + 1):
         tree = Forest([], {})
         for level in range(depth):
             found, width = grown(fitted, forests, tree), 2**level

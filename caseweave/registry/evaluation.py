@@ -248,8 +248,7 @@ def _(t):
 
 @case("e4_boosted")
 def _(t):
-    # Boosted outcome models in all 200 replicates; few and small trees, as one round is a pass per level.
-    mu = cs.boosted_learner(frame(t), ["age", "gender_M"], "peak", 3, replicates=200, seed=5, rounds=20, depth=3)
+    mu = cs.boosted_learner(frame(t), ["age", "gender_M"], "peak", 3, replicates=200, seed=5, rounds=200, depth=6)
     return cs.arm_means(mu, LABELS)
 
 
