@@ -553,20 +553,25 @@ def boosted_means(
     frame: DataFrame, covariates: Sequence[str], outcome: str, n_arms: int, rounds: int = 200,
     depth: int = 6, step: float = 0.3, seed: int = 0,
 ) -> DataFrame:
-    """E1 with boosted trees per arm, for a point estimate of a continuous outcome."""
+    """E1 with boosted trees per arm, for a point estimate of a continuous outcome.
+
+    Squared error tells rows of equal arm and covariates apart by nothing but their number and mean, so such rows are one,
+    weighted by their number.
+    """
     # Written once: the boosting of every arm reads it, and the means do.
-    known = materialise(VectorAssembler(inputCols=list(covariates), outputCol="features").transform(
-        frame.where(F.col(outcome).isNotNull())
-    ).select(ARM, outcome, "features"))
+    merged = frame.where(F.col(outcome).isNotNull()).groupBy(ARM, *dict.fromkeys(covariates)).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.avg(F.col(outcome).cast("double")).alias("_y")
+    )
+    known = materialise(VectorAssembler(inputCols=list(covariates), outputCol="features").transform(merged).select(
+        ARM, "_n", "_y", "features"
+    ))
+    mean = (F.sum(F.col("prediction") * F.col("_n")) / F.sum("_n")).alias("mu")
     parts = []
     for arm in range(n_arms):
         model = GBTRegressor(
-            labelCol=outcome, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed + arm
+            labelCol="_y", weightCol="_n", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed + arm
         ).fit(known.where(F.col(ARM) == arm))
-        parts.append(
-            model.transform(known).agg(F.avg("prediction").alias("mu"))
-            .select(F.lit(arm).alias(ARM), "mu")
-        )
+        parts.append(model.transform(known).agg(mean).select(F.lit(arm).alias(ARM), "mu"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
