@@ -45,8 +45,8 @@ def triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_triples(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """IO11: the graph as N-Triples; every task writes its own file."""
-    triples(nodes, edges).write.mode("overwrite").text(path)
+    """IO11: the graph as N-Triples; every task writes its own file, packed by gzip, since lines repeat their name space."""
+    triples(nodes, edges).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def indexed_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
