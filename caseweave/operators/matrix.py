@@ -85,7 +85,7 @@ def feature_matrix(
     stays = materialise(fl.keep(record.stays, encounters))
     own = replace(
         record, subjects=fl.keep(record.subjects, encounters, "subject_id"), encounters=encounters, stays=stays,
-        **{n: fl.keep(getattr(record, n), encounters) for n in ("labs", "charts", "prescriptions", "diagnoses", "cultures")},
+        **{n: fl.keep(getattr(record, n), encounters) for n in ("labs", "charts", "prescriptions", "cultures")},
     )
     labels = fl.keep(co.readmission_labels(record.encounters), encounters).select(
         "hadm_id", "subject_id", *LABELS
@@ -105,13 +105,14 @@ def feature_matrix(
             ag.lab_summary(fl.keep(labs, encounters), lab_items, own.stays, encounters, few), "hadm_id",
             "label", LAB_STATISTICS, lab_names,
         )),
-        ag.widen(
+        _apart(ag.widen(
             ag.vital_summary(fl.keep(charts, encounters), chart_items, own.stays, encounters), "hadm_id",
             "label", VITAL_STATISTICS, vital_names,
-        ),
+        )),
         _apart(ag.medication_summary(encounters, own.prescriptions)),
-        _apart(diagnosis_features(encounters, own.diagnoses, chapters)),
-        tp.temporal_features(encounters, own.labs, own.charts, own.stays, few),
+        # Codes are counted per encounter before they are shuffled; those of other encounters are not joined.
+        _apart(diagnosis_features(encounters, record.diagnoses, chapters)),
+        _apart(tp.temporal_features(encounters, own.labs, own.charts, own.stays, few)),
         graph_features(own),
         *extra,
     ]
